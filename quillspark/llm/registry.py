@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, embeddings, mixing, neardup, passages, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op5_sharding": sharding.op5_sharding,
+        "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_substring_dedup": passages.op9_substring_dedup,
     }
 
 
