@@ -4,14 +4,15 @@ Units (documents, lines) are sets of shingles. Equal sets are one unit. The rest
 
 1. SuperMinHash signatures: each element's ranks come from one random permutation of the slots, which lowers the
    variance, and a row stops as soon as every slot is taken by an earlier round (``textkernel.super_minhash``).
-2. Banding: units that agree on all slots of a band share a bucket. Within a bucket, every unit is paired with the
-   bucket's least unit only, so a bucket of n units gives n - 1 pairs.
-3. Pairs are verified on the full sets, in full, from the texts. Links give components (``components``).
-4. Pairs of a bucket that the stars of step 2 leave open are those between units of different components. Only buckets
-   with two components or more are looked at again, and only their pairs across components whose sizes and signatures
-   allow the threshold are verified. A bucket too large for that is split by further bands of the same signatures, and
-   what stays large is compared block by block, so no task holds more than a fixed number of units and no pair is
-   dropped. Further links join the components.
+2. Banding: units that agree on all slots of a band share a bucket. Rows carry half a byte of up to 64 slots, with which
+   a pair far below the threshold is told at sight. Within a bucket, a unit is paired with the first unit that is near
+   by this sketch, or leads those after it; so a bucket of n units gives n - 1 pairs at most.
+3. Pairs are verified on the full sets, from the texts. Links give components (``components``).
+4. What step 2 leaves open are pairs of a bucket from different components. The buckets are gone through again, now with
+   the components, and all such pairs that are near by sketch and size are verified; further links join the components.
+
+A bucket of more than GROUP units is dealt over several groups by a hash in step 2, and by pairs of parts in step 4, so
+that no task holds more than a fixed number of units and no pair is lost.
 
 With 32 bands of 4 slots a pair at a similarity of 0.75 shares no bucket with a probability of 5e-6.
 
@@ -27,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,16 +58,22 @@ class Method:
     def slots(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def least_equal(self) -> int:
-        """Equal slots below which a pair at the threshold is five standard deviations away."""
-        s = self.part / self.whole
-        return int(self.slots * s - 5 * (self.slots * s * (1 - s)) ** 0.5)
 
+#: Units that one group may have; larger buckets are dealt over several groups.
+GROUP = 2048
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Half a byte of up to 64 slots of each signature, two to a byte."""
+    low = (sig[:, :64] & 15).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
 
-#: Units that one group of step 4 may have; larger ones are split by more bands, then into blocks.
-GROUP = 512
-DEPTH = 3
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(rows)])
 
 
 def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
@@ -81,15 +87,13 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                 with np.errstate(over="ignore"):
                     hi = K.row_sums(K.mix(values + np.uint64(0xA24BAED4963EE407)), bounds)
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
-                size = 2 * method.slots
-                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.arange(b - a + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sig, "<u2"))])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), packed],
-                    [*keys, "n_shingles", "set_hi", "set_lo", "sig"],
+                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(sketches(sig))],
+                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "sketch"],
                 )
 
-    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
@@ -98,8 +102,12 @@ def band_keys(method: Method) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * size + 1, size)) for k in range(method.bands)])
 
 
-def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Method) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold. ``texts``: (uid, text).
+#: Adds the column ``text`` to a table with the column ``uid``.
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def verified(scratch: Scratch, pairs: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the threshold.
 
     Each pair's texts meet at its first unit. A unit with many partners is dealt over several groups.
     """
@@ -109,7 +117,7 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     wanted = dealt.select("a", "salt", F.col("b").alias("uid"), F.lit(1).alias("member")).unionByName(
         dealt.select("a", "salt", F.col("a").alias("uid"), F.lit(0).alias("member")).distinct()
     )
-    with_text = wanted.join(texts, "uid").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    with_text = fetch(wanted).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs = None, []
@@ -147,33 +155,34 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     return with_text.select("a", "salt", "uid", "member", "text").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _open_pairs(members: DataFrame, method: Method) -> DataFrame:
-    """Pairs within groups (key) across components that sizes and signatures allow; groups are small.
+def _near(method: Method, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which rows of sketches could reach the threshold: at it, a pair is missed at 4.5 standard deviations."""
+    slots = 2 * one.shape[-1]
+    p = method.part / method.whole
+    p += (1 - p) / 16
+    least = slots * p - 4.5 * (slots * p * (1 - p)) ** 0.5
+    x = one ^ other
+    return ((x & 15) == 0).sum(axis=-1) + ((x & 240) == 0).sum(axis=-1) >= least
 
-    ``side``: only rows of different sides are compared, but for side -1, which is compared with itself.
-    """
 
-    def pairs_of(t: pa.Table) -> pa.RecordBatch | None:
-        key, side = t["key"].to_numpy(), t["side"].to_numpy()
-        size, comp = t["n_shingles"].to_numpy(), pc.dictionary_encode(t["component_key"]).combine_chunks().indices.to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(key), method.slots)
-        left, right, d = [], [], 1
-        while d < len(key):
-            same = key[:-d] == key[d:]
-            if not same.any():
-                break
-            i = np.flatnonzero(same & (comp[:-d] != comp[d:]) & ((side[:-d] < 0) | (side[:-d] != side[d:])))
-            lo, hi = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
-            i = i[method.whole * lo >= method.part * hi]
-            i = i[(sig[i] == sig[i + d]).sum(axis=1) >= method.least_equal]
-            left.append(i)
-            right.append(i + d)
-            d += 1
-        if not left or not sum(map(len, left)):
+def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], kind: T.DataType) -> DataFrame:
+    """Streams sorted rows (key, ...) group by group; ``found`` gives positions of pairs in a table of whole groups."""
+
+    def cut_out(t: pa.Table) -> pa.RecordBatch | None:
+        key = t["key"].to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([head, [len(key)]]))
+        many = size > 1
+        if not many.any():
+            return None
+        left, right = found(t, head[many], size[many])
+        if not len(left):
             return None
         uid = t["uid"].combine_chunks()
-        cut = [uid.take(pa.array(np.concatenate(x))) for x in (left, right)]
-        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cut], ["u", "v"])
+        uid = uid if isinstance(uid, pa.Array) else uid.chunk(0)
+        u, v = uid.take(pa.array(left)), uid.take(pa.array(right))
+        pairs = pa.table({"u": u, "v": v}).group_by(["u", "v"]).aggregate([])
+        return pa.RecordBatch.from_arrays([pairs[c].combine_chunks() if isinstance(pairs[c], pa.ChunkedArray) else pairs[c] for c in ("u", "v")], ["u", "v"]) if pairs.num_rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -183,52 +192,102 @@ def _open_pairs(members: DataFrame, method: Method) -> DataFrame:
             key = t["key"].to_numpy()
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # sorted: the last group may go on
             held = t.slice(cut)
-            if cut and (out := pairs_of(t.slice(0, cut))) is not None:
+            if cut and (out := cut_out(t.slice(0, cut))) is not None:
                 yield out
-        if held is not None and held.num_rows and (out := pairs_of(held)) is not None:
+        if held is not None and held.num_rows and (out := cut_out(held)) is not None:
             yield out
 
-    kind = members.schema["uid"].dataType
-    dealt = members.repartition("key").sortWithinPartitions("key")
-    found = dealt.select("key", "side", "uid", "component_key", "n_shingles", "sig").mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
-    return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    out = rows.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+    return out.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    column = t["sketch"].combine_chunks()
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    data, offsets = K.flat(column.cast(pa.large_binary()))
+    return data.reshape(len(offsets) - 1, -1)
 
 
-def links(scratch: Scratch, units: DataFrame, texts: DataFrame, method: Method) -> DataFrame:
-    """(uid, component) of all units that link. ``units``: (uid, n_shingles, sig), one row for each distinct set."""
-    buckets = units.select("uid", F.explode(band_keys(method)).alias("key"))
-    shared = scratch.keep(buckets.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub", "n"))
-    inside = scratch.keep(buckets.join(shared, "key"))
-    first = scratch.keep(inside.where("uid != hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct())
-    linked = scratch.keep(verified(scratch, first, texts, method))
+def _leaders(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Each unit of a bucket is paired with the first one whose sketch is near, and leads those after it if there is none."""
+
+    def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sketch = _sketches(t)
+        two = head[size == 2]
+        near = two[_near(method, sketch[two], sketch[two + 1])]
+        left, right = [near], [near + 1]
+        for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            rest = np.arange(h, h + n)
+            while len(rest) > 1:
+                with_first = _near(method, sketch[rest[0]], sketch[rest[1:]])
+                right.append(rest[1:][with_first])
+                left.append(np.full(len(right[-1]), rest[0]))
+                rest = rest[1:][~with_first]
+        return np.concatenate(left), np.concatenate(right)
+
+    return found
+
+
+def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket from two components whose sketches are near and whose sizes allow the threshold.
+
+    ``side``: only rows of different sides are compared, but for side -1, which is compared with itself.
+    """
+
+    def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sketch, sets, side = _sketches(t), t["n_shingles"].to_numpy(), t["side"].to_numpy()
+        component = t["component"].to_numpy()
+        left, right = [], []
+        for d in range(1, int(size.max())):
+            at = head[size > d]
+            n = size[size > d] - d
+            i = K.ragged(at, n)
+            i = i[(component[i] != component[i + d]) & ((side[i] < 0) | (side[i] != side[i + d]))]
+            low, high = np.minimum(sets[i], sets[i + d]), np.maximum(sets[i], sets[i + d])
+            i = i[method.whole * low >= method.part * high]
+            i = i[_near(method, sketch[i], sketch[i + d])]
+            left.append(i)
+            right.append(i + d)
+        return np.concatenate(left), np.concatenate(right)
+
+    return found
+
+
+def _dealt(rows: DataFrame, counts: DataFrame, second: bool) -> DataFrame:
+    """Rows (key, uid, ...) sorted by key, those of a bucket of more than GROUP units dealt over several groups.
+
+    First pass: by a hash of the unit. Second pass: by pairs of such parts, so that each pair meets once.
+    """
+    parts = rows.join(counts, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1).cast("long"))).drop("n")
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("uid"), "parts"))
+    if second:
+        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        parts = parts.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long"))
+        key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        parts = parts.withColumn("key", key).drop("other")
+    else:
+        parts = parts.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "own")))
+    return parts.drop("parts", "own").repartition("key").sortWithinPartitions("key", "uid")
+
+
+def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
+    """(uid, component) of all units that link. ``units``: (uid, n_shingles, sig, sketch), one row for each distinct set."""
+    kind = units.schema["uid"].dataType
+    bands = lambda df, *more: df.select("uid", *more, "sketch", F.explode(band_keys(method)).alias("key"))
+    large = lambda df: scratch.keep(df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    counts = large(units.select(F.explode(band_keys(method)).alias("key")))
+    first = scratch.keep(_groups(_dealt(bands(units), counts, second=False), _leaders(method), kind))
+    linked = scratch.keep(verified(scratch, first, fetch, method))
     component = scratch.keep(connected(scratch, linked))
 
-    placed = inside.select("key", "uid").join(component, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
-    placed = scratch.keep(placed)
-    mixed = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(key, "n")
-    open_ = scratch.keep(mixed(placed, "key"))
-    members = placed.join(open_, "key").join(units.select("uid", "n_shingles", "sig"), "uid")
-    ready, depth = [], 0
-    while True:
-        members = scratch.keep(members)
-        ready.append(members.where(F.col("n") <= GROUP))
-        large = members.where(F.col("n") > GROUP)
-        if depth == DEPTH or large.isEmpty():
-            break
-        finer = large.select("uid", "component", "n_shingles", "sig", F.col("key").alias("old"), F.explode(band_keys(method)).alias("band")).withColumn("key", F.xxhash64("old", "band")).drop("old", "band")
-        counts = scratch.keep(mixed(finer, "key"))
-        members, depth = finer.join(counts, "key"), depth + 1
-    blocks = F.ceil(F.col("n") / GROUP)
-    own = F.pmod(F.xxhash64("uid"), blocks)
-    over = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    over = over.select("uid", "component", "n_shingles", "sig", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"))
-    columns = ["key", "side", "uid", "component", "n_shingles", "sig"]
-    groups = over.select(columns)
-    for part in ready:
-        groups = groups.unionByName(part.withColumn("side", F.lit(-1).cast("long")).select(columns))
-    groups = groups.withColumn("component_key", F.xxhash64("component")).drop("component")
-    more = _open_pairs(groups, method).join(first, ["a", "b"], "left_anti")
-    linked_more = scratch.keep(verified(scratch, scratch.keep(more), texts, method))
+    # The second pass has the components as numbers; a unit without links is its own.
+    named = units.join(component, "uid", "left").select("uid", "n_shingles", "sig", "sketch", F.xxhash64(F.coalesce("component", "uid")).alias("component"))
+    rows = bands(named, "n_shingles", "component")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    many = scratch.keep(groups.where((F.col("n") > GROUP) & (F.col("low") != F.col("high"))).select("key", "n"))
+    found = _groups(_dealt(rows, many, second=True), _across(method), kind)
+    more = scratch.keep(found.join(first, ["a", "b"], "left_anti"))
+    linked_more = scratch.keep(verified(scratch, more, fetch, method))
     if linked_more.isEmpty():
         return component
     # Components are stars already: their edges stand for all links found before.
@@ -241,9 +300,10 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
     texts = documents.select(id_column, "text")
     features = scratch.keep(signatures(texts, [id_column], method))
     same = ["n_shingles", "set_hi", "set_lo"]
-    sets = scratch.keep(features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("uid"), F.first("sig").alias("sig")))
-    component = links(scratch, sets.select("uid", "n_shingles", "sig"), texts.select(F.col(id_column).alias("uid"), "text"), method)
-    labelled = scratch.keep(sets.drop("sig").join(component, "uid", "left").select(*same, F.coalesce("component", "uid").alias("component_id")))
+    sets = scratch.keep(features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("uid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
+    by_uid = texts.select(F.col(id_column).alias("uid"), "text")
+    component = links(scratch, sets.select("uid", "n_shingles", "sig", "sketch"), lambda wanted: wanted.hint("merge").join(by_uid, "uid"), method)
+    labelled = scratch.keep(sets.drop("sig", "sketch").join(component, "uid", "left").select(*same, F.coalesce("component", "uid").alias("component_id")))
     # A set that very many documents share is split over tasks by the adaptive skew join.
     out = features.select(id_column, *same).join(labelled, same, "left")
     own = F.coalesce(F.col("component_id"), F.col(id_column))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, mixing, neardup, passages, quality, sharding
+from . import bpe, embeddings, lines, mixing, neardup, pages, passages, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_token_counts": tokencount.op4_token_counts,
         "op5_sharding": sharding.op5_sharding,
         "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_substring_dedup": passages.op9_substring_dedup,
+        "op10_html_extraction": pages.op10_html_extraction,
     }
 
 
