@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .neardup import Method, binary, links, sketches
+from .neardup import Method, binary, links, parities, sketches
 from .runtime import Scratch, table, tune
 
 SHINGLE = 8
-_WHITE = np.zeros(33, bool)
+_WHITE = np.zeros(34, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
@@ -42,14 +42,14 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.cumsum((data & 0xC0) != 0x80)
     at = np.concatenate([[0], lead])[offsets]  # row bounds in characters
-    white = (points <= 32) & _WHITE[np.minimum(points, 32)]
+    white = _WHITE[np.minimum(points, 33)]
     after_word = np.concatenate([[False], ~white[:-1]])
     after_word[at[:-1][at[:-1] < len(points)]] = False
     keep = ~white | after_word  # one space for each run between words, and at an end
-    points = np.where(white, np.uint32(32), points)
-    points = points + 32 * ((points >= 65) & (points <= 90)).astype(np.uint32)
     kept = np.concatenate([[0], np.cumsum(keep)])
     bounds, points, white = kept[at], points[keep], white[keep]
+    points[white] = 32
+    points += 32 * ((points - 65) <= 25).astype(np.uint32)  # unsigned: below 65 it wraps
     sizes = np.diff(bounds)
     last = bounds[1:] - 1
     trailing = (sizes > 0) & white[np.maximum(last, 0)]
@@ -58,22 +58,21 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     out = np.zeros(n_rows + 1, np.int64)
     np.cumsum(made, out=out[1:])
     with np.errstate(over="ignore"):
-        h = K.mix(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        h = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
         tails = [K.mix(np.uint64(7) + K.row_sums(h * (np.arange(len(h), dtype=np.uint64) - np.uint64(bounds[k]) + np.uint64(3)), np.array([bounds[k], bounds[k] + sizes[k]]))) for k in short.tolist()]
-        step = 1
-        while step < SHINGLE:
-            h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:] if len(h) > step else h[:0]
-            h = h ^ (h >> np.uint64(29))
-            step *= 2
+        step, factor = 1, 0xD6E8FEB86659FD93
+        while step < SHINGLE:  # a polynomial of the characters, by doubling
+            h = h[:-step] * np.uint64(factor) + h[step:] if len(h) > step else h[:0]
+            step, factor = 2 * step, factor * factor & 0xFFFFFFFFFFFFFFFF
     h = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
     values = h[K.ragged(bounds[:-1], made)]
     for k, v in zip(short.tolist(), tails, strict=True):
         values[out[k]] = v[0]
-    return K.distinct_by_row(values, out)
+    return K.distinct_short(values, out)
 
 
-METHOD = Method(sets=line_sets, part=80, bands=10, rows=4)
+METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, parity_bits=256)
 
 
 def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,10 +105,10 @@ def _lines(documents: DataFrame, id_column: str) -> DataFrame:
                 values, bounds = line_sets(data[K.ragged(starts, ends - starts)], cut)
                 sig = K.super_minhash(values, bounds, METHOD.slots)
                 digests = line_digests(data, offsets, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), pa.array(np.diff(bounds)), binary(sig.astype("<u2")), binary(sketches(sig))], ["id", "line", "hi", "lo", "n_shingles", "sig", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), pa.array(np.diff(bounds)), binary(sig.astype("<u2")), binary(sketches(sig)), binary(parities(values, bounds, METHOD.parity_bits))], ["id", "line", "hi", "lo", "n_shingles", "sig", "sketch", "parity"])
 
     kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, n_shingles long, sig binary, sketch binary")
+    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, n_shingles long, sig binary, sketch binary, parity binary")
 
 
 def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN202
@@ -138,9 +137,9 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN
 def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """(id, lines array<int>): numbers of the lines to remove, by document that has any."""
     found = _lines(documents, id_column)
-    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     units = scratch.keep(units.withColumn("uid", F.monotonically_increasing_id()))
-    component = links(scratch, units.select("uid", "n_shingles", "sig", "sketch"), _fetch(units, documents, id_column), METHOD)
+    component = links(scratch, units.select("uid", "n_shingles", "sig", "sketch", "parity"), _fetch(units, documents, id_column), METHOD)
     placed = units.select("uid", "hi", "lo", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = scratch.keep(placed.groupBy("component").agg(F.min("first").alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))

@@ -9,7 +9,8 @@ Units (documents, lines) are sets of shingles. Equal sets are one unit. The rest
    by this sketch, or leads those after it; so a bucket of n units gives n - 1 pairs at most.
 3. Pairs are verified on the full sets, from the texts. Links give components (``components``).
 4. What step 2 leaves open are pairs of a bucket from different components. The buckets are gone through again, now with
-   the components, and all such pairs that are near by sketch and size are verified; further links join the components.
+   the components, and all such pairs that sketch and size allow are verified; further links join the components. Here
+   rows carry a parity sketch too, which proves most pairs of dissimilar sets to be below the threshold.
 
 A bucket of more than GROUP units is dealt over several groups by a hash in step 2, and by pairs of parts in step 4, so
 that no task holds more than a fixed number of units and no pair is lost.
@@ -46,13 +47,15 @@ def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Method:
-    """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ``rows`` slots."""
+    """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ``rows`` slots;
+    ``parity_bits``: length of the parity sketch."""
 
     sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_sets
     part: int = 75
     whole: int = 100
     bands: int = 32
     rows: int = 4
+    parity_bits: int = 512
 
     @property
     def slots(self) -> int:
@@ -69,6 +72,14 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return low[:, ::2] | (low[:, 1::2] << 4)
 
 
+def parities(values: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """For each set, a bit by hash: is the number of elements there odd? Two sketches differ in no more bits than the sets
+    differ in elements, so many differing bits prove a pair to be below the threshold."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * bits + (K.mix(values) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1)
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """One binary value for each row of a matrix."""
     rows = np.ascontiguousarray(rows)
@@ -89,11 +100,11 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(sketches(sig))],
-                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "sketch"],
+                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(sketches(sig)), binary(parities(values, bounds, method.parity_bits))],
+                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "sketch", "parity"],
                 )
 
-    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], *[T.StructField(k, T.BinaryType()) for k in ("sig", "sketch", "parity")]])
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
@@ -165,24 +176,147 @@ def _near(method: Method, one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return ((x & 15) == 0).sum(axis=-1) + ((x & 240) == 0).sum(axis=-1) >= least
 
 
-def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], kind: T.DataType) -> DataFrame:
-    """Streams sorted rows (key, ...) group by group; ``found`` gives positions of pairs in a table of whole groups."""
+def _entry(method: Method) -> np.dtype:
+    """What a unit leaves in each of its buckets."""
+    return np.dtype([("key", "<u8"), ("uid", "<i8"), ("sketch", "u1", min(method.slots, 64) // 2)])
+
+
+_PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
+
+
+def _leaders(method: Method, entries: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In each group (a run of entries), an entry is paired with the first one whose sketch is near; if there is none, it
+    leads those after it. Returns positions of pairs, and of the leaders."""
+    sketch = entries["sketch"]
+    two = head[size == 2]
+    near = _near(method, sketch[two], sketch[two + 1])
+    left, right, lead = [two[near]], [two[near] + 1], [two, two[~near] + 1]
+    for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        rest = np.arange(h, h + n)
+        while len(rest):
+            lead.append(rest[:1])
+            rest, first = rest[1:], rest[0]
+            if len(rest):
+                with_first = _near(method, sketch[first], sketch[rest])
+                right.append(rest[with_first])
+                left.append(np.full(len(right[-1]), first))
+                rest = rest[~with_first]
+    return np.concatenate(left), np.concatenate(right), np.concatenate(lead)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return head, np.diff(np.concatenate([head, [len(key)]]))
+
+
+#: Entries of one bucket in one batch from which they are paired on the map side, and only their leaders are sent on.
+LOCAL = 16
+
+
+def candidates(units: DataFrame, method: Method) -> DataFrame:
+    """(a, b): in each bucket, each unit with its leader; and (a, a) for a unit that shares a bucket without being near.
+
+    Entries are packed by bucket range before the shuffle: a row holds all entries that a batch has for a range. Where a
+    batch has many entries of one bucket, it pairs them itself, so a bucket with a third of all units is shuffled as a few
+    leaders of each batch.
+    """
+    entry = _entry(method)
+    ranges = 8 * max(8, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seeds = K.mix(np.arange(1, method.bands + 1, dtype=np.uint64))
+
+    def packed(kind: int, part: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        order = np.argsort(part, kind="stable")
+        head, size = _runs(part[order])
+        for h, n in zip(head.tolist(), size.tolist(), strict=True):
+            yield int(part[order[h]]), kind, rows[order[h : h + n]].tobytes()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.ascontiguousarray(_matrix(batch.column(1))).view(np.uint64).reshape(n, -1)
+            per = 2 * method.rows // 8
+            entries = np.empty((n, method.bands), entry)
+            with np.errstate(over="ignore"):
+                key = np.broadcast_to(seeds, (n, method.bands)).copy()
+                for k in range(per):
+                    key = K.mix(key + K.mix(sig[:, k::per]))
+            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], _matrix(batch.column(2))[:, None, :]
+            entries = entries.ravel()
+            order = np.argsort(entries["key"], kind="stable")
+            entries = entries[order]
+            head, size = _runs(entries["key"])
+            out = []
+            if (size >= LOCAL).any():
+                left, right, _ = _leaders(method, entries, head[size >= LOCAL], size[size >= LOCAL])
+                pairs = np.empty(len(left), _PAIR)
+                pairs["u"], pairs["v"] = entries["uid"][left], entries["uid"][right]
+                out += packed(1, (pairs["u"] % ranges).astype(np.int32), pairs)
+                stays = np.ones(len(entries), bool)
+                stays[right] = False
+                entries = entries[stays]
+            part = (((entries["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+            out += packed(0, part, entries)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "kind", "rows"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            entries = np.frombuffer(b"".join(held.pop(0, [])), entry)
+            given = np.frombuffer(b"".join(held.pop(1, [])), _PAIR)
+            entries = entries[np.argsort(entries["key"], kind="stable")]
+            head, size = _runs(entries["key"])
+            many = size > 1
+            left, right, _ = _leaders(method, entries, head[many], size[many]) if many.any() else (np.zeros(0, np.int64),) * 3
+            alone = np.zeros(len(entries), bool)
+            alone[K.ragged(head[many], size[many])] = True
+            alone[left] = alone[right] = False
+            own = np.unique(entries["uid"][alone])
+            u = np.concatenate([given["u"], entries["uid"][left], own])
+            v = np.concatenate([given["v"], entries["uid"][right], own])
+            if len(u):
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        now = None
+        for batch in batches:
+            for part, kind, rows in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if part != now and now is not None:
+                    yield from close()
+                now = part
+                held.setdefault(kind, []).append(rows)
+        if held:
+            yield from close()
+
+    sent = units.select("uid", "sig", "sketch").mapInArrow(pack, "part int, kind int, rows binary")
+    met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(pair, "a long, b long")
+    return met.distinct()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Bytes of a column of equally long binary values, one row each."""
+    column = column if isinstance(column, pa.Array) else column.combine_chunks()
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    data, offsets = K.flat(column)
+    return data.reshape(len(offsets) - 1, -1)
+
+
+def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Streams sorted rows (key, uid, ...) group by group; ``found`` gives positions of pairs in a table of whole groups."""
 
     def cut_out(t: pa.Table) -> pa.RecordBatch | None:
-        key = t["key"].to_numpy()
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([head, [len(key)]]))
-        many = size > 1
-        if not many.any():
+        head, size = _runs(t["key"].to_numpy())
+        if not (size > 1).any():
             return None
-        left, right = found(t, head[many], size[many])
+        left, right = found(t, head[size > 1], size[size > 1])
         if not len(left):
             return None
-        uid = t["uid"].combine_chunks()
-        uid = uid if isinstance(uid, pa.Array) else uid.chunk(0)
-        u, v = uid.take(pa.array(left)), uid.take(pa.array(right))
-        pairs = pa.table({"u": u, "v": v}).group_by(["u", "v"]).aggregate([])
-        return pa.RecordBatch.from_arrays([pairs[c].combine_chunks() if isinstance(pairs[c], pa.ChunkedArray) else pairs[c] for c in ("u", "v")], ["u", "v"]) if pairs.num_rows else None
+        uid = t["uid"].to_numpy()
+        both = np.unique(np.stack([np.minimum(uid[left], uid[right]), np.maximum(uid[left], uid[right])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -197,45 +331,18 @@ def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray],
         if held is not None and held.num_rows and (out := cut_out(held)) is not None:
             yield out
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
-    return out.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-
-
-def _sketches(t: pa.Table) -> np.ndarray:
-    column = t["sketch"].combine_chunks()
-    column = column if isinstance(column, pa.Array) else column.chunk(0)
-    data, offsets = K.flat(column.cast(pa.large_binary()))
-    return data.reshape(len(offsets) - 1, -1)
-
-
-def _leaders(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Each unit of a bucket is paired with the first one whose sketch is near, and leads those after it if there is none."""
-
-    def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sketch = _sketches(t)
-        two = head[size == 2]
-        near = two[_near(method, sketch[two], sketch[two + 1])]
-        left, right = [near], [near + 1]
-        for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            rest = np.arange(h, h + n)
-            while len(rest) > 1:
-                with_first = _near(method, sketch[rest[0]], sketch[rest[1:]])
-                right.append(rest[1:][with_first])
-                left.append(np.full(len(right[-1]), rest[0]))
-                rest = rest[1:][~with_first]
-        return np.concatenate(left), np.concatenate(right)
-
-    return found
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket from two components whose sketches are near and whose sizes allow the threshold.
+    """All pairs of a bucket from two components that sketches, parities and sizes allow to reach the threshold.
 
     ``side``: only rows of different sides are compared, but for side -1, which is compared with itself.
     """
 
     def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sketch, sets, side = _sketches(t), t["n_shingles"].to_numpy(), t["side"].to_numpy()
+        sketch, sets, side = _matrix(t["sketch"]), t["n_shingles"].to_numpy(), t["side"].to_numpy()
+        parity = np.ascontiguousarray(_matrix(t["parity"])).view(np.uint64)
         component = t["component"].to_numpy()
         left, right = [], []
         for d in range(1, int(size.max())):
@@ -245,6 +352,8 @@ def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tupl
             i = i[(component[i] != component[i + d]) & ((side[i] < 0) | (side[i] != side[i + d]))]
             low, high = np.minimum(sets[i], sets[i + d]), np.maximum(sets[i], sets[i + d])
             i = i[method.whole * low >= method.part * high]
+            differing = np.bitwise_count(parity[i] ^ parity[i + d]).sum(axis=1, dtype=np.int64)
+            i = i[differing * (method.whole + method.part) <= (sets[i] + sets[i + d]) * (method.whole - method.part)]
             i = i[_near(method, sketch[i], sketch[i + d])]
             left.append(i)
             right.append(i + d)
@@ -253,40 +362,33 @@ def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tupl
     return found
 
 
-def _dealt(rows: DataFrame, counts: DataFrame, second: bool) -> DataFrame:
-    """Rows (key, uid, ...) sorted by key, those of a bucket of more than GROUP units dealt over several groups.
-
-    First pass: by a hash of the unit. Second pass: by pairs of such parts, so that each pair meets once.
-    """
+def _dealt(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (key, uid, ...) sorted by key. A bucket of more than GROUP units is dealt by pairs of its parts, so that each
+    pair meets once and no task holds the bucket."""
     parts = rows.join(counts, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1).cast("long"))).drop("n")
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("uid"), "parts"))
-    if second:
-        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        parts = parts.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long"))
-        key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        parts = parts.withColumn("key", key).drop("other")
-    else:
-        parts = parts.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "own")))
-    return parts.drop("parts", "own").repartition("key").sortWithinPartitions("key", "uid")
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("uid"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    parts = parts.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long"))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return parts.withColumn("key", key).drop("other", "parts", "own").repartition("key").sortWithinPartitions("key")
 
 
 def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
-    """(uid, component) of all units that link. ``units``: (uid, n_shingles, sig, sketch), one row for each distinct set."""
-    kind = units.schema["uid"].dataType
-    bands = lambda df, *more: df.select("uid", *more, "sketch", F.explode(band_keys(method)).alias("key"))
-    large = lambda df: scratch.keep(df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
-    counts = large(units.select(F.explode(band_keys(method)).alias("key")))
-    first = scratch.keep(_groups(_dealt(bands(units), counts, second=False), _leaders(method), kind))
+    """(uid, component) of all units that link. ``units``: (uid long, n_shingles, sig, sketch, parity), a row for each distinct set."""
+    met = scratch.keep(candidates(units, method))
+    first = met.where("a <> b")
     linked = scratch.keep(verified(scratch, first, fetch, method))
     component = scratch.keep(connected(scratch, linked))
 
-    # The second pass has the components as numbers; a unit without links is its own.
-    named = units.join(component, "uid", "left").select("uid", "n_shingles", "sig", "sketch", F.xxhash64(F.coalesce("component", "uid")).alias("component"))
-    rows = bands(named, "n_shingles", "component")
+    # The second pass: units that share a bucket, with their components (a unit without links is its own).
+    shared = met.select(F.col("a").alias("uid")).unionByName(met.select(F.col("b").alias("uid"))).distinct()
+    named = units.select("uid", "n_shingles", "sig", "sketch", "parity").join(shared, "uid", "left_semi").join(component, "uid", "left")
+    named = scratch.keep(named.withColumn("component", F.coalesce("component", "uid")))
+    rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(band_keys(method)).alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     many = scratch.keep(groups.where((F.col("n") > GROUP) & (F.col("low") != F.col("high"))).select("key", "n"))
-    found = _groups(_dealt(rows, many, second=True), _across(method), kind)
-    more = scratch.keep(found.join(first, ["a", "b"], "left_anti"))
+    more = scratch.keep(_groups(_dealt(rows, many), _across(method)).join(first, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return component
     linked_more = scratch.keep(verified(scratch, more, fetch, method))
     if linked_more.isEmpty():
         return component
@@ -295,15 +397,28 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
     return scratch.keep(connected(scratch, stars.unionByName(linked_more)))
 
 
+def least_of(placed: DataFrame, value: str) -> DataFrame:
+    """(component, least): the least value of each component."""
+    return placed.groupBy("component").agg(F.min(value).alias("least"))
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Method(), id_column: str = "doc_id") -> DataFrame:  # noqa: B008
     """(id, n_shingles, component_id, kept) of each row of documents."""
     texts = documents.select(id_column, "text")
     features = scratch.keep(signatures(texts, [id_column], method))
     same = ["n_shingles", "set_hi", "set_lo"]
-    sets = scratch.keep(features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("uid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    by_uid = texts.select(F.col(id_column).alias("uid"), "text")
-    component = links(scratch, sets.select("uid", "n_shingles", "sig", "sketch"), lambda wanted: wanted.hint("merge").join(by_uid, "uid"), method)
-    labelled = scratch.keep(sets.drop("sig", "sketch").join(component, "uid", "left").select(*same, F.coalesce("component", "uid").alias("component_id")))
+    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("sig", "sketch", "parity")])
+    sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()))
+    ids = sets.select("uid", "first")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        # A merge join at any size: whether one side could be broadcast would change with the data.
+        return wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).drop("first", id_column)
+
+    component = links(scratch, sets.select("uid", "n_shingles", "sig", "sketch", "parity"), fetch, method)
+    placed = sets.select(*same, "uid", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    least = scratch.keep(least_of(placed, "first"))
+    labelled = scratch.keep(placed.join(least, "component").select(*same, F.col("least").alias("component_id")))
     # A set that very many documents share is split over tasks by the adaptive skew join.
     out = features.select(id_column, *same).join(labelled, same, "left")
     own = F.coalesce(F.col("component_id"), F.col(id_column))
