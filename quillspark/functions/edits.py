@@ -37,7 +37,11 @@ def _distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("long")
-def word_edits_any(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The same for pairs of more distinct words than the recoding has code points for."""
-    return pd.Series([_distance((a or "").split(), (b or "").split()) for a, b in zip(ref, hyp, strict=True)], index=ref.index)
+def word_edits_any(ref: Column, hyp: Column) -> Column:
+    """The same for pairs of more distinct words than the recoding has code points for (Arrow UDF)."""
+
+    @F.pandas_udf("long")
+    def run(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        return pd.Series([_distance((a or "").split(), (b or "").split()) for a, b in zip(refs, hyps, strict=True)], index=refs.index)
+
+    return run(ref, hyp)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus_queries, scoring_queries, text_queries  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "cer_by_role"
 
-FLAGSHIP = "lang_splits"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
