@@ -133,7 +133,7 @@ def trans_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def text_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(utt_id, text): one file an utterance, named by its stem."""
-    rows = spark.read.option("wholetext", True).text(require(spark, pattern)).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.text(require(spark, pattern), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
     return rows.select(stem.alias("utt_id"), collapse(F.col("value")).alias("text")).where("text <> ''")
 
@@ -228,7 +228,7 @@ def json_lines(spark: SparkSession, path: str, text: str = "text", file: str = "
 def release(spark: SparkSession, path: str) -> DataFrame:
     """(locale, train, dev, test, avg_secs, valid_hours) of release statistics; a missing bucket is 0."""
     schema = "locales map<string,struct<buckets:map<string,bigint>,avgDurationSecs:double,validHrs:double>>"
-    one = spark.read.option("wholetext", True).text(require(spark, path)).select(F.explode(F.from_json("value", schema)["locales"]).alias("locale", "x"))
+    one = spark.read.text(require(spark, path), wholetext=True).select(F.explode(F.from_json("value", schema)["locales"]).alias("locale", "x"))
     bucket = lambda name: F.coalesce(F.try_element_at("x.buckets", F.lit(name)), F.lit(0)).cast("long").alias(name)
     return one.select("locale", bucket("train"), bucket("dev"), bucket("test"), F.coalesce("x.avgDurationSecs", F.lit(0.0)).alias("avg_secs"), F.coalesce("x.validHrs", F.lit(0.0)).alias("valid_hours"))
 
@@ -243,12 +243,12 @@ def run_results(spark: SparkSession, root: str, arm: str, scale: str) -> DataFra
     """(arm, scale, seed, section, lang, word_boundary, policy, wer, cer, n, n_empty_refs) of all seeds of a run."""
     base = f"{root}/{arm}/{scale}/seed*"
     seed = F.regexp_extract(F.col("_metadata.file_path"), r"/seed(\d+)/", 1).cast("int")
-    doc = spark.read.option("wholetext", True).text(require(spark, f"{base}/results.json")).select(seed.alias("seed"), F.from_json("value", RUN).alias("r"))
+    doc = spark.read.text(require(spark, f"{base}/results.json"), wholetext=True).select(seed.alias("seed"), F.from_json("value", RUN).alias("r"))
     section = lambda name: doc.select("seed", F.lit(name).alias("section"), F.explode(f"r.{name}").alias("lang", "m"))
     rows = section("in_distribution").unionByName(section("transfer")).select(F.lit(arm).alias("arm"), F.lit(scale).alias("scale"), "seed", "section", "lang", "m.*")
     if not exists(spark, f"{base}/text_stats.json"):
         return rows.withColumns({"word_boundary": F.lit(True), "policy": F.lit(None).cast("string")})
-    stats = spark.read.option("wholetext", True).text(f"{base}/text_stats.json").select(seed.alias("seed"), F.explode(F.from_json("value", "languages map<string,struct<word_boundary:boolean,policy:string>>")["languages"]).alias("lang", "s"))
+    stats = spark.read.text(f"{base}/text_stats.json", wholetext=True).select(seed.alias("seed"), F.explode(F.from_json("value", "languages map<string,struct<word_boundary:boolean,policy:string>>")["languages"]).alias("lang", "s"))
     named = stats.select("seed", "lang", F.col("s.word_boundary").alias("word_boundary"), F.col("s.policy").alias("policy"))
     return rows.join(named, ["seed", "lang"], "left").withColumn("word_boundary", F.coalesce("word_boundary", F.lit(True)))
 
@@ -261,7 +261,7 @@ def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
     parts = []
     for section, pattern, lang in (("in_distribution", "predictions/*.json", r"/predictions/([^/]+)\.json$"), ("transfer", "transfer/*/predictions.json", r"/transfer/([^/]+)/predictions\.json$")):
         if exists(spark, f"{run_dir}/{pattern}"):
-            doc = spark.read.option("wholetext", True).text(f"{run_dir}/{pattern}")
+            doc = spark.read.text(f"{run_dir}/{pattern}", wholetext=True)
             named = doc.select(F.lit(section).alias("section"), F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), lang, 1)).alias("lang"), F.posexplode(F.from_json("value", SIDECAR)["pairs"]).alias("pos", "p"))
             parts.append(named.select("section", "lang", "pos", F.get("p", F.lit(0)).alias("ref"), F.get("p", F.lit(1)).alias("hyp")))
     if not parts:

@@ -1,0 +1,291 @@
+from __future__ import annotations
+
+import hashlib
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillspark.functions import edits, text
+from quillspark.functions import policies as P
+from quillspark.operators import comparing, durations, frames, leakguard, merging, scoring, seeds, selection, splits, textstats, vocabulary
+
+from .conftest import rows
+
+# --- scoring ---
+
+
+def test_scoring_strings(spark):
+    pairs = spark.createDataFrame([("the quick brown fox", "the quick brown box"), ("hello world", "hello"), ("a b c d e", "a x c d")], "ref string, hyp string")
+    got = scoring.error_rates(scoring.edit_counts(pairs).withColumn("g", F.lit(1)), ["g"]).first()
+    assert got.wer == pytest.approx(100 * 4 / 11) and got.n == 3
+    ja = spark.createDataFrame([("コーヒーを飲む", "コーヒーを飲んだ"), ("今日はいい天気", "今日はいい天気")], "ref string, hyp string")
+    got = scoring.error_rates(scoring.edit_counts(ja).withColumn("g", F.lit(1)), ["g"]).first()
+    assert got.wer == 50 and got.cer < 20
+
+
+def test_blank_references(spark):
+    pairs = spark.createDataFrame([("a", " \t", "x"), ("a", "y", "x"), ("b", "", "z"), ("b", None, "z")], "g string, ref string, hyp string")
+    assert rows(scoring.scoreable_counts(pairs, ["g"])) == [("a", 1, 1, False), ("b", 0, 2, True)]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from("abcé"), max_size=8), st.lists(st.sampled_from("abcé"), max_size=8))
+def test_word_edits_both_ways(spark, a, b):
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "r string, h string")
+    got = df.select(edits.word_edits(F.col("r"), F.col("h")).alias("n"), edits.word_edits_any(F.col("r"), F.col("h")).alias("m")).first()
+    assert got.n == got.m == edits._distance(a, b)
+
+
+# --- seeds ---
+
+
+def results(spark, data):
+    return spark.createDataFrame(data, "section string, lang string, seed int, word_boundary boolean, wer double, cer double")
+
+
+def test_macro_across_seeds(spark):
+    data = [("in", "en", s, True, 10.0 + b, 4.0 + b) for s, b in ((0, 0.0), (1, 2.0))] + [("in", "de", s, True, 40.0 + b, 9.0) for s, b in ((0, 0.0), (1, 2.0))]
+    got = seeds.macro(seeds.primary_values(results(spark, data))).first()
+    assert got["mean"] == 26.0 and got["std"] == pytest.approx(math.sqrt(2)) and got["per_seed"] == [25.0, 27.0]
+    assert got["spread_across_languages"] == pytest.approx(21.213203435596427) and got["label"] == "WER"
+
+
+def test_macro_names_what_it_leaves_out(spark):
+    data = [("in", "en", 0, True, 10.0, 1.0), ("in", "en", 1, True, 12.0, 1.0), ("in", "de", 0, True, 40.0, 1.0), ("in", "ja", 0, False, 90.0, 20.0), ("in", "ja", 1, False, 92.0, 22.0)]
+    got = seeds.macro(seeds.primary_values(results(spark, data))).first()
+    assert got.excluded == ["de"] and got.n_languages == 2 and got.label == "mixed (WER×1, CER×1)" and got["mean"] == 16.0
+
+
+def test_one_seed_has_no_deviation(spark):
+    got = seeds.by_language(results(spark, [("in", "en", 0, None, 10.0, 4.0)])).first()
+    assert got.kind == "wer" and got.wer_std is None and got.wer_n == 1
+
+
+# --- splits ---
+
+
+def derived(spark, data):
+    df = spark.createDataFrame(data, "c string, utt string, spk string")
+    return splits.derive(df, ["c"], F.col("spk"), F.col("utt")).collect()
+
+
+def test_speakers_stay_apart(spark):
+    data = [("x", f"u{k}", f"s{k % 20}") for k in range(100)]
+    got = derived(spark, data)
+    assert {r.split_policy for r in got} == {"speaker"} and len(got) == 100
+    by = {}
+    for r in got:
+        by.setdefault(r.spk, set()).add(r.split)
+    assert all(len(v) == 1 for v in by.values()) and {r.split for r in got} == set(splits.PARTS)
+    assert sorted(map(tuple, derived(spark, data[::-1]))) == sorted(map(tuple, got))
+
+
+def test_fallback_to_rows(spark):
+    assert {r.split_policy for r in derived(spark, [("x", "a", "s"), ("x", "b", "t")])} == {"utterance"}
+    assert {r.split_policy for r in derived(spark, [("x", str(k), None if k == 3 else f"s{k}") for k in range(9)])} == {"utterance"}
+
+
+def test_no_part_stays_empty():
+    order = sorted(["big", "a", "b"], key=lambda k: hashlib.sha1(k.encode()).hexdigest())
+    got = splits.assign(order, [200 if k == "big" else 1 for k in order])
+    assert set(got) == set(splits.PARTS)
+    assert splits.assign(["a", "b"], [1, 1]).count("train") >= 1
+
+
+def test_shares():
+    got = splits.assign([str(k) for k in range(200)], [10] * 200)
+    assert [got.count(p) for p in splits.PARTS] == [160, 20, 20]
+
+
+def test_manifest_partition(spark):
+    schema = "corpus string, utt_id string, speaker string, split string"
+    shipped = spark.createDataFrame([("c", f"u{k}", "", ["train", "validation", "test"][k % 3]) for k in range(6)], schema)
+    assert {r.split_policy for r in splits.partition_manifest(shipped, ["corpus"]).collect()} == {"shipped"}
+    free = spark.createDataFrame([("c", f"u{k}", f"s{k % 5}", "") for k in range(20)], schema)
+    assert {r.split_policy for r in splits.partition_manifest(free, ["corpus"]).collect()} == {"speaker"}
+    partly = spark.createDataFrame([("c", "u", "s", ""), ("c", "v", "s", "test")], schema)
+    with pytest.raises(ValueError, match="some rows only"):
+        splits.partition_manifest(partly, ["corpus"])
+
+
+def test_partition_beside_a_test_side(spark):
+    schema = "corpus string, utt_id string, speaker string, side string"
+    df = spark.createDataFrame([("c", f"u{k}", f"s{k % 8}", "train") for k in range(40)] + [("c", "t1", "x", "test")], schema)
+    got = {r.utt_id: r.split for r in splits.partition_with_test(df, ["corpus"]).collect()}
+    assert got["t1"] == "test" and set(got.values()) == set(splits.PARTS) and len(got) == 41
+    with pytest.raises(ValueError, match="both sides"):
+        splits.partition_with_test(df.unionByName(spark.createDataFrame([("c", "z", "s1", "test")], schema)), ["corpus"])
+
+
+def test_digest_of_test_ids(spark):
+    df = spark.createDataFrame([("c", "b", "test"), ("c", "a", "test"), ("c", "z", "train")], "c string, id string, split string")
+    assert splits.test_digests(df, ["c"], "id").first().test_sha1 == hashlib.sha1(b"a\nb").hexdigest()
+
+
+# --- leak guard and durations ---
+
+
+def test_leak_guard(spark):
+    schema = "path string, client_id string"
+    validated = spark.createDataFrame([("v1", "a"), ("v2", "b"), ("v3", "a"), ("v4", "dev"), ("v5", "dev"), ("v6", "test"), ("v7", "test")], schema)
+    evaluation = spark.createDataFrame([("v4", "dev"), ("v6", "test"), ("v4", "dev")], schema)
+    marked = leakguard.dispositions(validated, evaluation)
+    got = dict(marked.select("path", "disposition").collect())
+    assert [got[f"v{k}"] for k in range(1, 8)] == ["kept"] * 3 + ["in_eval_splits", "eval_speaker_clips", "in_eval_splits", "eval_speaker_clips"]
+    counts = leakguard.accounting(marked).first()
+    assert (counts.n_validated, counts.n_kept, counts.n_in_eval_splits, counts.n_eval_speaker_clips, counts.n_leaked_speakers) == (7, 3, 2, 2, 2)
+    with pytest.raises(ValueError, match="no client_id"):
+        leakguard.require_speakers(spark.createDataFrame([("x", "")], schema))
+    leakguard.require_empty(leakguard.not_covered(validated.where("path < 'v4'"), marked.where("disposition = 'kept'")), "lost")
+
+
+def test_durations(spark):
+    clips = spark.createDataFrame([("train", "1"), ("train", "2"), ("validation", "3"), ("test", "4"), ("test", "9")], "split string, clip string")
+    known = spark.createDataFrame([("1", 1.0), ("2", 2.5), ("3", 0.5), ("4", 3.0)], "clip string, seconds double")
+    parts = durations.split_durations(clips, known, ["split"], "clip")
+    assert rows(parts) == [("test", 2, 3.0, 1), ("train", 2, 3.5, 0), ("validation", 1, 0.5, 0)]
+    total = durations.hours(parts.withColumn("lang", F.lit("x")), ["lang"]).first()
+    assert total.total_hours == 7.0 / 3600 and total.train_hours == 3.5 / 3600
+    assert spark.range(1).select(durations.below(F.lit(0.5), 1.0).alias("a"), durations.below(F.lit(0.5), 0.0).alias("b")).first() == (True, False)
+
+
+def test_sweep_goes_on(spark):
+    def measure(code):
+        if code == "bad":
+            raise FileNotFoundError("gone")
+        return spark.createDataFrame([("train", 1, 2.0, 0)], "split string, n_utts long, seconds double, n_missing long")
+
+    got = {r.lang: r for r in durations.sweep(spark, ["bad", "ok"], measure).collect()}
+    assert got["ok"].error is None and got["ok"].seconds == 2.0 and "gone" in got["bad"].error
+
+
+# --- selection ---
+
+
+def test_selection(spark):
+    schema = "locale string, source string, corpus string, trainable_hours double, dev_hours double, test_hours double"
+    data = [("en", "commonvoice", "", 90.0, 5.0, 5.0), ("pt-BR", "commonvoice", "", 60.0, 5.0, 5.0), ("pt", "commonvoice", "", 70.0, 5.0, 5.0), ("bn", "commonvoice", "", 31.5, 3.0, 3.0), ("bn", "manifest", "slr", 229.0, 28.0, 28.0), ("te", "commonvoice", "", 99.0, 9.0, 9.0), ("hi", "commonvoice", "", 7.0, 3.0, 3.0), ("fi", "commonvoice", "", 11.1, 3.0, 3.0), ("xx", "commonvoice", "", 55.0, 1.94, 3.0)]
+    got = {(r.locale, r.source): (r.included, r.reason) for r in selection.decide(spark.createDataFrame(data, schema), selection.Thresholds(), {"te": "Telugu"}, {"hi": "the only one of its script"}, ["fi"]).collect()}
+    assert got[("en", "commonvoice")] == (True, "meets the rule (trainable >= 50.0 h, dev >= 2.0 h, test >= 2.0 h)")
+    assert got[("pt-BR", "commonvoice")] == (False, "same language as pt, which has more trainable audio")
+    assert got[("bn", "commonvoice")] == (False, "read from slr instead, which has more trainable audio") and got[("bn", "manifest")][0]
+    assert got[("te", "commonvoice")] == (False, "held-out transfer language (Telugu); never trained on")
+    assert got[("hi", "commonvoice")] == (True, "below the rule (trainable 7.0 h < 50.0 h); the only one of its script")
+    assert got[("fi", "commonvoice")][0] and got[("xx", "commonvoice")] == (False, "dev 1.9 h < 2.0 h")
+    with pytest.raises(ValueError, match="both trained on and held out"):
+        selection.decide(spark.createDataFrame(data, schema), selection.Thresholds(), {"fi": "x"}, {}, ["fi"])
+
+
+def test_hours(spark):
+    buckets = spark.createDataFrame([("xx", 720, 72, 36, 10.0, None)], "locale string, train long, dev long, test long, avg_secs double, valid_hours double")
+    got = durations.bucket_hours(buckets).first()
+    assert (got.train_hours, got.dev_hours, got.test_hours, got.trainable_hours) == (2.0, 0.2, 0.1, 0.0)
+    corpora = spark.createDataFrame([("a", ["x"], 100.0, None, None, None), ("b", ["y"], 100.0, 80.0, 9.0, 8.0)], "id string, languages array<string>, total_hours double, train_hours double, dev_hours double, test_hours double")
+    assert rows(durations.corpus_hours(corpora)) == [("x", "a", 10.0, 10.0, 80.0), ("y", "b", 9.0, 8.0, 80.0)]
+
+
+# --- vocabularies ---
+
+
+def test_vocabulary(spark):
+    texts = spark.createDataFrame([("abc",), ("cab",)], "normalized string")
+    vocab = vocabulary.build(spark, vocabulary.character_counts(texts))
+    assert rows(vocab.orderBy("id"), 1) == [("<blank>", 0), ("<unk>", 1), ("a", 2), ("b", 3), ("c", 4)]
+    more = vocabulary.expand(vocab, vocabulary.character_counts(spark.createDataFrame([("abcde",)], "normalized string")))
+    assert rows(more.where("id > 4").orderBy("id"), 1) == [("d", 5), ("e", 6)]
+    ids = vocabulary.encode(spark.createDataFrame([("cabz",), ("",)], "normalized string"), vocab)
+    assert [r.ids for r in ids.collect()] == [[4, 2, 3, 1], []]
+    with pytest.raises(ValueError, match="evicts every"):
+        vocabulary.build_checked(spark, vocabulary.character_counts(texts), 9)
+    with pytest.raises(ValueError, match="no usable space"):
+        vocabulary.require_space(vocab)
+    with pytest.raises(ValueError, match="was built under"):
+        vocabulary.require_same_policy(P.policy("norm-1"), P.policy("ja-cer"), "ja")
+
+
+def test_ctc(spark):
+    vocab = spark.createDataFrame([("<blank>", 0), ("<unk>", 1), ("a", 2), ("b", 3)], "char string, id int")
+    got = vocabulary.decode(spark.createDataFrame([([2, 2, 0, 2, 3, 3],), ([1, 2, 9, 3],), ([],)], "ids array<int>"), vocab)
+    assert [r.text for r in got.collect()] == ["aab", "ab", ""]
+    scores = spark.createDataFrame([([[0.1, 0.9], [0.5, 0.5], [0.0, 1.0]], 2)], "s array<array<double>>, n int")
+    assert scores.select(vocabulary.greedy(F.col("s"), F.col("n")).alias("x")).first().x == [1, 0]
+
+
+def test_text_statistics(spark):
+    df = textstats.prepared(spark.createDataFrame([("Hi, you", "a"), ("…", "a"), ("x 1", "a"), (None, "a")], "text string, lang string"), "whisper-basic")
+    got = textstats.text_stats(df, ["lang"], counts="counts").first()
+    assert (got.n_utts, got.n_utts_with_digits, got.n_utts_empty_after_norm, got.median_tokens_per_utt, got.removed_P, got.looks_unspaced) == (4, 1, 2, 2.0, 4, False)
+
+
+# --- merging, frames ---
+
+
+def test_merging(spark):
+    schema = "expert int, key string, idx int, value double"
+    experts = spark.createDataFrame([(1, "k", 0, 3.0), (1, "k", 1, 1.0), (2, "k", 0, 1.0), (2, "k", 1, -3.0), (1, "only", 0, 5.0), (1, "ctc_proj.w", 0, 8.0), (2, "ctc_proj.w", 0, 10.0)], schema)
+    base = spark.createDataFrame([("k", 0, 1.0), ("k", 1, 0.0), ("ctc_proj.w", 0, 7.0)], "key string, idx int, value double")
+    assert rows(merging.merge("average", experts)) == [("ctc_proj.w", 0, 9.0), ("k", 0, 2.0), ("k", 1, -1.0)]
+    assert rows(merging.merge("ties", experts, base, merge_head=False, density=1.0)) == [("ctc_proj.w", 0, 7.0), ("k", 0, 3.0), ("k", 1, -3.0)]
+    assert rows(merging.merge("ties", experts, base, density=0.5).where("key = 'k'")) == [("k", 0, 3.0), ("k", 1, -3.0)]
+    kept = merging.merge("dare_ties", experts, base, density=1.0, drop=0.0)
+    assert rows(kept) == rows(merging.merge("ties", experts, base, density=1.0))
+    tied = spark.createDataFrame([(1, "k", i, 1.0) for i in range(10)], schema)
+    assert merging.trim(tied, 0.2).count() == 2 and merging.trim(tied, 0.01).count() == 1
+    with pytest.raises(ValueError, match="needs a base"):
+        merging.merge("ties", experts)
+    with pytest.raises(KeyError):
+        merging.merge("other", experts)
+
+
+def budget(n):
+    for k, s in zip(text.KERNELS, text.STRIDES, strict=True):
+        n = max(0, (n - k) // s + 1)
+    return n
+
+
+def test_frame_budget(spark):
+    sizes = [0, 5, 9, 10, 399, 400, 16000, 200000]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select(text.frame_budget(F.col("n")).alias("f")).collect()
+    assert [r.f for r in got] == [budget(n) for n in sizes]
+
+
+def test_alignment(spark):
+    df = spark.createDataFrame([("", 16000), ("ab", 16000), ("x" * 99, 16000), ("a", 200000)], "t string, n long")
+    marked = frames.alignment(df, "t", "n")
+    assert [r.disposition for r in marked.collect()] == ["blank", "usable", "unalignable", "usable"]
+    assert rows(frames.training_record(marked.withColumn("g", F.lit(1)), ["g"])) == [(1, 1, 1, 1, 2)]
+
+
+def test_checkpoints(spark):
+    losses = [5.0, float("nan"), 4.0, 4.0, 4.5, 4.2, 1.0]
+    got = frames.best_checkpoints(spark.createDataFrame([("r", k, x) for k, x in enumerate(losses)], "r string, e int, l double"), ["r"], ["e"], "l", 3).first()
+    assert (got.best_step, got.best_loss, got.stop_step) == (3, 4.0, 6)
+
+
+# --- comparing, scalars ---
+
+
+def test_comparison(spark):
+    schema = "lang string, pos int, ref string, hyp string"
+    a = spark.createDataFrame([("en", 0, "a b", "a b"), ("en", 1, "c d", "c x"), ("fr", 0, "q", "q")], schema)
+    b = spark.createDataFrame([("en", 0, "a b", "z b"), ("en", 1, "c d", "z z")], schema)
+    paired = comparing.paired_edits(a, b, ["lang"])
+    got = comparing.deltas(paired.where("metric = 'wer'"), ["lang"]).first()
+    assert (got.point_a, got.point_b, got.delta, got.n) == (25.0, 75.0, -50.0, 2)
+    with pytest.raises(ValueError, match="different references"):
+        comparing.paired_edits(a, b.withColumn("ref", F.lit("?")), ["lang"])
+    policies = spark.createDataFrame([("en", "x")], "lang string, policy string")
+    with pytest.raises(ValueError, match="policies differ"):
+        comparing.require_same_policies(policies, policies.withColumn("policy", F.lit("y")))
+
+
+def test_names(spark):
+    long = "é" * 150
+    got = spark.createDataFrame([("a",), (long,)], "n string").select(text.safe_component(F.col("n")).alias("s")).collect()
+    assert got[0].s == "a" and got[1].s == "é" * 92 + "-" + hashlib.sha1(long.encode()).hexdigest()[:8]
+    ids = spark.createDataFrame([("mlf_02879_1",), ("utt1",), ("a__b",), ("x_UTT_1",)], "i string")
+    assert [r[0] for r in ids.select(text.openslr_speaker(F.col("i"))).collect()] == ["mlf_02879", None, None, "x_UTT"]
+    assert [r[0] for r in ids.select(text.speaker_before(F.col("i"), "_UTT_")).collect()] == [None, None, None, "x"]
