@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected
+from .components import connected, local_roots
 from .runtime import Scratch, table, tune
 
 COSINE = 0.95
@@ -102,22 +102,6 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return vectors.select(id_column, column).where(F.col(id_column).isNotNull()).mapInArrow(run, f"id {kind}, dim int, vec binary").distinct()
 
 
-def _local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches by pairs, by minima and pointer jumping."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(dealt: DataFrame, signs: int, tables: int, kind: T.DataType) -> DataFrame:
     """(id, links, root) from rows (key, side, tab, id, dim, vec), sorted by key."""
 
@@ -151,7 +135,7 @@ def _compare(dealt: DataFrame, signs: int, tables: int, kind: T.DataType) -> Dat
                 d += 1
         if not lefts or not links.any():
             return None
-        root = _local_roots(n, np.concatenate(lefts), np.concatenate(rights))
+        root = local_roots(n, np.concatenate(lefts), np.concatenate(rights))
         out = pa.array(np.flatnonzero(links))
         return pa.RecordBatch.from_arrays([ids.take(out), pa.array(links[links > 0]), ids.take(pa.array(root[links > 0]))], ["id", "links", "root"])
 

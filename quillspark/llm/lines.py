@@ -11,8 +11,9 @@ The sets are shingles of characters, so the threshold for word shingles doesn't
 at 0.8 meets with a probability of 0.995, at 0.9 of 0.9999.
 
 Defined results: a null text stays null; an empty one has one blank line; rows that share an id are one document, and
-equal lines at the same place of them stay or go together; lines are taken whole; an empty table gives an empty result;
-other columns are kept by ``dedup_lines``.
+equal lines at the same place of them stay or go together; a row without an id keeps all its lines, and they rank first;
+lines are taken whole; an empty table gives an empty result; other columns are kept by ``dedup_lines``, but for one named
+``removed_lines``, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .neardup import Method, binary, links, parities, sketches
+from .neardup import Method, binary, links, parities
 from .runtime import Scratch, table, tune
 
 SHINGLE = 8
@@ -72,7 +73,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return K.distinct_short(values, out)
 
 
-METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, parity_bits=256)
+METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, parity_bits=512)
 
 
 def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _lines(documents: DataFrame, id_column: str) -> DataFrame:
-    """(id, line, hi, lo, n_shingles, sig, sketch) of all lines that aren't blank."""
+    """(id, line, hi, lo, n_shingles, sig, parity) of all lines that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +106,10 @@ def _lines(documents: DataFrame, id_column: str) -> DataFrame:
                 values, bounds = line_sets(data[K.ragged(starts, ends - starts)], cut)
                 sig = K.super_minhash(values, bounds, METHOD.slots)
                 digests = line_digests(data, offsets, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), pa.array(np.diff(bounds)), binary(sig.astype("<u2")), binary(sketches(sig)), binary(parities(values, bounds, METHOD.parity_bits))], ["id", "line", "hi", "lo", "n_shingles", "sig", "sketch", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), pa.array(np.diff(bounds)), binary(sig.astype("<u2")), binary(parities(values, bounds, METHOD.parity_bits))], ["id", "line", "hi", "lo", "n_shingles", "sig", "parity"])
 
     kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, n_shingles long, sig binary, sketch binary, parity binary")
+    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, n_shingles long, sig binary, parity binary")
 
 
 def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN202
@@ -126,10 +127,10 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(texts, pa.string())], ["uid", "text"])
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        places = wanted.select("uid").distinct().join(units.select("uid", "first"), "uid")
+        places = wanted.join(units.select("uid", "first"), "uid")
         by_document = places.groupBy(F.col("first.id").alias("__id")).agg(F.collect_list(F.struct("uid", F.col("first.line").alias("line"))).alias("wanted"))
         whole = documents.select(F.col(id_column).alias("__id"), "text").join(by_document.hint("merge"), "__id")
-        return wanted.join(whole.select("wanted", "text").mapInArrow(run, "uid long, text string"), "uid")
+        return whole.select("wanted", "text").mapInArrow(run, "uid long, text string")
 
     return fetch
 
@@ -137,14 +138,15 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN
 def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """(id, lines array<int>): numbers of the lines to remove, by document that has any."""
     found = _lines(documents, id_column)
-    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
+    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
     units = scratch.keep(units.withColumn("uid", F.monotonically_increasing_id()))
-    component = links(scratch, units.select("uid", "n_shingles", "sig", "sketch", "parity"), _fetch(units, documents, id_column), METHOD)
+    component = links(scratch, units.select("uid", "n_shingles", "sig", "parity"), _fetch(units, documents, id_column), METHOD)
     placed = units.select("uid", "hi", "lo", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = scratch.keep(placed.groupBy("component").agg(F.min("first").alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))
-    places = documents_lines(documents, id_column).join(keeper, ["hi", "lo"]).where((F.col("id") != F.col("keeper.id")) | (F.col("line") != F.col("keeper.line")))
-    return places.groupBy("id").agg(F.collect_list("line").alias("lines")).withColumnRenamed("id", "lines_id")
+    first = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("line") == F.col("keeper.line"))
+    places = documents_lines(documents, id_column).join(keeper, ["hi", "lo"]).where(~first)
+    return places.groupBy(F.col("id").alias("__lines_id")).agg(F.collect_list("line").alias("__lines"))
 
 
 def documents_lines(documents: DataFrame, id_column: str) -> DataFrame:
@@ -180,20 +182,21 @@ def line_digests(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> l
 def dedup_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", report: bool = True) -> DataFrame:
     """documents without the removed lines; with ``report`` also ``removed_lines``: their numbers in the original text, from 0."""
     removed = removed_lines(documents, scratch, id_column)
-    joined = documents.join(removed, F.col(id_column) == F.col("lines_id"), "left").drop("lines_id")
+    documents = documents.drop("removed_lines") if report else documents
+    joined = documents.join(removed, F.col(id_column) == F.col("__lines_id"), "left").drop("__lines_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             column = batch.column(at)
             texts, gone = column.to_pylist(), []
-            for k, numbers in enumerate(batch.column("lines").to_pylist()):
+            for k, numbers in enumerate(batch.column("__lines").to_pylist()):
                 out = sorted(set(numbers)) if numbers and texts[k] else []
                 if out:
                     lines, drop = texts[k].split("\n"), set(out)
                     texts[k] = "\n".join([x for j, x in enumerate(lines) if j not in drop])
                 gone.append(out)
-            names = [x for x in batch.schema.names if x != "lines"]
+            names = [x for x in batch.schema.names if x != "__lines"]
             arrays = [pa.array(texts, column.type) if x == "text" else batch.column(x) for x in names]
             if report:
                 names, arrays = [*names, "removed_lines"], [*arrays, pa.array(gone, pa.list_(pa.int32()))]

@@ -18,8 +18,9 @@ that no task holds more than a fixed number of units and no pair is lost.
 With 32 bands of 4 slots a pair at a similarity of 0.75 shares no bucket with a probability of 5e-6.
 
 Defined results: a text that is null, empty or without words has the empty set and no links; fewer than five words are
-one shingle; rows that share an id are one document; very long texts are taken whole; an empty table gives an empty
-result; other columns are ignored.
+one shingle; rows that share an id are one document; a row without an id takes the group of its set, is never the one
+that stays for others, and is never removed; very long texts are taken whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
-    """(keys, n_shingles, set_hi, set_lo, sig): size, 128-bit digest and signature of each text's set."""
+    """(keys, n_shingles, set_hi, set_lo, sig, parity): size, 128-bit digest, signature and parities of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +101,11 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(sketches(sig)), binary(parities(values, bounds, method.parity_bits))],
-                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "sketch", "parity"],
+                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(parities(values, bounds, method.parity_bits))],
+                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "parity"],
                 )
 
-    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], *[T.StructField(k, T.BinaryType()) for k in ("sig", "sketch", "parity")]])
+    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], *[T.StructField(k, T.BinaryType()) for k in ("sig", "parity")]])
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
@@ -113,12 +114,12 @@ def band_keys(method: Method) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * size + 1, size)) for k in range(method.bands)])
 
 
-#: Adds the column ``text`` to a table with the column ``uid``.
+#: From a table (uid) of distinct units, (uid, text).
 Fetch = Callable[[DataFrame], DataFrame]
 
 
-def verified(scratch: Scratch, pairs: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold.
+def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Method) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the threshold. ``texts``: (uid, text) of all units in pairs.
 
     Each pair's texts meet at its first unit. A unit with many partners is dealt over several groups.
     """
@@ -128,7 +129,8 @@ def verified(scratch: Scratch, pairs: DataFrame, fetch: Fetch, method: Method) -
     wanted = dealt.select("a", "salt", F.col("b").alias("uid"), F.lit(1).alias("member")).unionByName(
         dealt.select("a", "salt", F.col("a").alias("uid"), F.lit(0).alias("member")).distinct()
     )
-    with_text = fetch(wanted).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    # A merge join at any size: whether one side could be broadcast would change with the data.
+    with_text = wanted.hint("merge").join(texts, "uid").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs = None, []
@@ -236,14 +238,15 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.ascontiguousarray(_matrix(batch.column(1))).view(np.uint64).reshape(n, -1)
+            slots = np.ascontiguousarray(_matrix(batch.column(1)))
+            sig = slots.view(np.uint64).reshape(n, -1)
             per = 2 * method.rows // 8
             entries = np.empty((n, method.bands), entry)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(seeds, (n, method.bands)).copy()
                 for k in range(per):
                     key = K.mix(key + K.mix(sig[:, k::per]))
-            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], _matrix(batch.column(2))[:, None, :]
+            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], sketches(slots.view("<u2"))[:, None, :]
             entries = entries.ravel()
             order = np.argsort(entries["key"], kind="stable")
             entries = entries[order]
@@ -291,7 +294,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
         if held:
             yield from close()
 
-    sent = units.select("uid", "sig", "sketch").mapInArrow(pack, "part int, kind int, rows binary")
+    sent = units.select("uid", "sig").mapInArrow(pack, "part int, kind int, rows binary")
     met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(pair, "a long, b long")
     return met.distinct()
 
@@ -334,8 +337,13 @@ def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray],
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket from two components that sketches, parities and sizes allow to reach the threshold.
+#: Partners of each unit in the first of the two rounds of step 4.
+BEST = 4
+
+
+def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket from two components that sketches, parities and sizes allow to reach the threshold: all, or
+    for each unit the ``best`` by sketch.
 
     ``side``: only rows of different sides are compared, but for side -1, which is compared with itself.
     """
@@ -357,7 +365,16 @@ def _across(method: Method) -> Callable[[pa.Table, np.ndarray, np.ndarray], tupl
             i = i[_near(method, sketch[i], sketch[i + d])]
             left.append(i)
             right.append(i + d)
-        return np.concatenate(left), np.concatenate(right)
+        left, right = np.concatenate(left), np.concatenate(right)
+        if best is None or not len(left):
+            return left, right
+        differing = np.bitwise_count(parity[left] ^ parity[right]).sum(axis=1, dtype=np.int64)
+        chosen = np.zeros(len(left), bool)
+        for unit in (left, right):
+            order = np.lexsort((differing, unit))
+            head, size = _runs(unit[order])
+            chosen[order[(np.arange(len(order)) - np.repeat(head, size)) < best]] = True
+        return left[chosen], right[chosen]
 
     return found
 
@@ -373,28 +390,43 @@ def _dealt(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
-    """(uid, component) of all units that link. ``units``: (uid long, n_shingles, sig, sketch, parity), a row for each distinct set."""
+    """(uid, component) of all units that link. ``units``: (uid long, n_shingles, sig, parity), a row for each distinct set."""
     met = scratch.keep(candidates(units, method))
     first = met.where("a <> b")
-    linked = scratch.keep(verified(scratch, first, fetch, method))
+    shared = met.select(F.col("a").alias("uid")).unionByName(met.select(F.col("b").alias("uid"))).distinct()
+    texts = scratch.keep(fetch(shared))
+    linked = scratch.keep(verified(scratch, first, texts, method))
     component = scratch.keep(connected(scratch, linked))
 
-    # The second pass: units that share a bucket, with their components (a unit without links is its own).
-    shared = met.select(F.col("a").alias("uid")).unionByName(met.select(F.col("b").alias("uid"))).distinct()
-    named = units.select("uid", "n_shingles", "sig", "sketch", "parity").join(shared, "uid", "left_semi").join(component, "uid", "left")
-    named = scratch.keep(named.withColumn("component", F.coalesce("component", "uid")))
-    rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(band_keys(method)).alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    many = scratch.keep(groups.where((F.col("n") > GROUP) & (F.col("low") != F.col("high"))).select("key", "n"))
-    more = scratch.keep(_groups(_dealt(rows, many), _across(method)).join(first, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return component
-    linked_more = scratch.keep(verified(scratch, more, fetch, method))
-    if linked_more.isEmpty():
-        return component
-    # Components are stars already: their edges stand for all links found before.
-    stars = component.select(F.col("component").alias("a"), F.col("uid").alias("b"))
-    return scratch.keep(connected(scratch, stars.unionByName(linked_more)))
+    # Units that share a bucket, with their components (a unit without links is its own): first the best pairs across
+    # components, which join most of what is still apart, then all pairs that are left.
+    tried = first
+    for best in (BEST, None):
+        named = units.select("uid", "n_shingles", "sig", "parity").join(shared, "uid", "left_semi").join(component, "uid", "left")
+        named = scratch.keep(with_sketches(named.withColumn("component", F.coalesce("component", "uid"))))
+        rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(band_keys(method)).alias("key"))
+        groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        many = scratch.keep(groups.where((F.col("n") > GROUP) & (F.col("low") != F.col("high"))).select("key", "n"))
+        more = scratch.keep(_groups(_dealt(rows, many), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        linked = scratch.keep(verified(scratch, more, texts, method))
+        tried = tried.unionByName(more)
+        if not linked.isEmpty():
+            # Components are stars already: their edges stand for all links found before.
+            stars = component.select(F.col("component").alias("a"), F.col("uid").alias("b"))
+            component = scratch.keep(connected(scratch, stars.unionByName(linked)))
+    return component
+
+
+def with_sketches(named: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column("sig")).view("<u2")
+                yield pa.RecordBatch.from_arrays([*batch.columns, binary(sketches(sig))], [*batch.schema.names, "sketch"])
+
+    return named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("sketch", T.BinaryType())]))
 
 
 def least_of(placed: DataFrame, value: str) -> DataFrame:
@@ -407,15 +439,14 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
     texts = documents.select(id_column, "text")
     features = scratch.keep(signatures(texts, [id_column], method))
     same = ["n_shingles", "set_hi", "set_lo"]
-    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("sig", "sketch", "parity")])
+    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("sig", "parity")])
     sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()))
     ids = sets.select("uid", "first")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        # A merge join at any size: whether one side could be broadcast would change with the data.
-        return wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).drop("first", id_column)
+        return wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).select("uid", "text")
 
-    component = links(scratch, sets.select("uid", "n_shingles", "sig", "sketch", "parity"), fetch, method)
+    component = links(scratch, sets.select("uid", "n_shingles", "sig", "parity"), fetch, method)
     placed = sets.select(*same, "uid", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = scratch.keep(least_of(placed, "first"))
     labelled = scratch.keep(placed.join(least, "component").select(*same, F.col("least").alias("component_id")))
@@ -426,9 +457,9 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
 
 
 def keep_one(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
-    """The rows of documents whose id is the least of its group; of rows that share an id, all or none stay apart from equal sets.
+    """The rows of documents whose id is the least of its group, all columns unchanged.
 
-    All columns come back unchanged. Rows without a set are their own groups.
+    Rows without a set are their own groups.
     """
     found = near_duplicates(documents, scratch, id_column=id_column)
     gone = scratch.keep(found.where(~F.col("kept")).select(id_column).distinct())

@@ -14,8 +14,9 @@ Occurrences of a digest are counted before the shuffle, only digests of more tha
 join back is split over tasks where one digest has very many occurrences.
 
 Defined results: a null text gives a null text and nothing removed; an empty one is unchanged; rows that share an id are
-one document, and no later one of another; repeats inside a document go as well; texts are taken whole; an empty table
-gives an empty result; other columns are ignored by ``repeats`` and kept by ``remove_repeats``.
+one document, and no later one of another; a row without an id is left as it is; repeats inside a document go as well;
+texts are taken whole; an empty table gives an empty result; other columns are kept by ``remove_repeats``, but for one
+named ``removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -133,12 +134,12 @@ def _units(documents: DataFrame, id_column: str) -> DataFrame:
 
 
 def repeated_ranges(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
-    """(id, ranges array<struct<start,end>>): byte ranges of units that occur before, by document."""
+    """(__ranges_id, __ranges array<struct<start,end>>): byte ranges of units that occur before, by document."""
     found = _units(documents, id_column)
     shared = scratch.keep(found.groupBy("hi", "lo").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "keeper"))
     later = found.join(shared, ["hi", "lo"]).where("id > keeper or again")
     # The ranges of one document are no more than its text.
-    return later.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).withColumnRenamed("id", "ranges_id")
+    return later.groupBy(F.col("id").alias("__ranges_id")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
 
 
 def _joined(ranges: list[dict] | None, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -161,13 +162,14 @@ _REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 def remove_repeats(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """documents with the repeats cut out of ``text``, and ``removed``: the byte ranges of the original text that went."""
     ranges = repeated_ranges(documents, scratch, id_column)
-    joined = documents.join(ranges, F.col(id_column) == F.col("ranges_id"), "left").drop("ranges_id")
+    documents = documents.drop("removed")
+    joined = documents.join(ranges, F.col(id_column) == F.col("__ranges_id"), "left").drop("__ranges_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             texts, removed = column.to_pylist(), []
-            for k, ranges in enumerate(batch.column("ranges").to_pylist()):
+            for k, ranges in enumerate(batch.column("__ranges").to_pylist()):
                 gone: list[tuple[int, int]] = []
                 if ranges and texts[k]:
                     raw = texts[k].encode()
@@ -179,7 +181,7 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, id_column: str = "doc
                             at = j
                         texts[k] = b"".join([*parts, raw[at:]]).decode()
                 removed.append([{"start": i, "end": j} for i, j in gone])
-            names = [x for x in batch.schema.names if x != "ranges"]
+            names = [x for x in batch.schema.names if x != "__ranges"]
             arrays = [pa.array(texts, column.type) if x == "text" else batch.column(x) for x in names]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind)], [*names, "removed"])

@@ -48,7 +48,8 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def assign(df: DataFrame, key: str, shards: int, name: str = "shard", grown: str | None = None) -> DataFrame:
-    """df with the shard of its integer key (and with the shard if there were one more)."""
+    """df with the shard of its integer key (and with the shard if there were one more); columns of these names are replaced."""
+    df = df.drop(name, *[grown] * bool(grown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
