@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .neardup import Method, binary, links, parities
+from .neardup import Method, binary, links
 from .runtime import Scratch, table, tune
 
 SHINGLE = 8
@@ -95,7 +95,7 @@ def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _lines(documents: DataFrame, id_column: str) -> DataFrame:
-    """(id, line, hi, lo, n_shingles, sig, parity) of all lines that aren't blank."""
+    """(id, line, hi, lo, sig) of all lines that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +106,10 @@ def _lines(documents: DataFrame, id_column: str) -> DataFrame:
                 values, bounds = line_sets(data[K.ragged(starts, ends - starts)], cut)
                 sig = K.super_minhash(values, bounds, METHOD.slots)
                 digests = line_digests(data, offsets, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), pa.array(np.diff(bounds)), binary(sig.astype("<u2")), binary(parities(values, bounds, METHOD.parity_bits))], ["id", "line", "hi", "lo", "n_shingles", "sig", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), binary(sig.astype("<u2"))], ["id", "line", "hi", "lo", "sig"])
 
     kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, n_shingles long, sig binary, parity binary")
+    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, sig binary")
 
 
 def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN202
@@ -138,10 +138,12 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN
 def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """(id, lines array<int>): numbers of the lines to remove, by document that has any."""
     found = _lines(documents, id_column)
-    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
+    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     units = scratch.keep(units.withColumn("uid", F.monotonically_increasing_id()))
-    component = links(scratch, units.select("uid", "n_shingles", "sig", "parity"), _fetch(units, documents, id_column), METHOD)
-    placed = units.select("uid", "hi", "lo", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    component = links(scratch, units.select("uid", "sig"), _fetch(units, documents, id_column), METHOD)
+    # A line that occurs once and links with nothing has nothing to remove.
+    placed = units.select("uid", "hi", "lo", "first", "n").join(component, "uid", "left").where("n > 1 or component is not null")
+    placed = scratch.keep(placed.withColumn("component", F.coalesce("component", "uid")))
     least = scratch.keep(placed.groupBy("component").agg(F.min("first").alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))
     first = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("line") == F.col("keeper.line"))
@@ -169,13 +171,11 @@ def line_digests(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> l
     first = np.concatenate([np.searchsorted(w_start, starts), [len(w_start)]]).astype(np.int64)
     count = np.diff(first)
     place = (np.arange(len(w_start)) - np.repeat(first[:-1], count)).astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
-    table_b = K.BYTE_TABLE_2.copy()
-    table_b[65:91] = K.BYTE_TABLE_2[97:123]
+    words = K.hash_spans(data, w_start, w_end, K.LOWER_TABLE)
     out = []
     with np.errstate(over="ignore"):
-        for t, c in ((K.LOWER_TABLE, 0x9E3779B97F4A7C15), (table_b, 0xC2B2AE3D27D4EB4F)):
-            words = K.hash_spans(data, w_start, w_end, t)
-            out.append(K.mix(K.row_sums(K.mix(words + place * np.uint64(c)), first) + count.astype(np.uint64)).view(np.int64))
+        for factor, c in ((1, 0x9E3779B97F4A7C15), (0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F)):
+            out.append(K.mix(K.row_sums(K.mix(words * np.uint64(factor) + place * np.uint64(c)), first) + count.astype(np.uint64)).view(np.int64))
     return out
 
 

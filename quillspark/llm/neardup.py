@@ -63,8 +63,8 @@ class Method:
         return self.bands * self.rows
 
 
-#: Units that one group may have; larger buckets are dealt over several groups.
-GROUP = 2048
+#: Units that one group of step 4 may have; larger buckets are dealt over several groups.
+GROUP = 512
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
-    """(keys, n_shingles, set_hi, set_lo, sig, parity): size, 128-bit digest, signature and parities of each text's set."""
+    """(keys, n_shingles, set_hi, set_lo, sig): size, 128-bit digest and signature of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +101,11 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2")), binary(parities(values, bounds, method.parity_bits))],
-                    [*keys, "n_shingles", "set_hi", "set_lo", "sig", "parity"],
+                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2"))],
+                    [*keys, "n_shingles", "set_hi", "set_lo", "sig"],
                 )
 
-    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], *[T.StructField(k, T.BinaryType()) for k in ("sig", "parity")]])
+    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], T.StructField("sig", T.BinaryType())])
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
@@ -352,7 +352,17 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
         sketch, sets, side = _matrix(t["sketch"]), t["n_shingles"].to_numpy(), t["side"].to_numpy()
         parity = np.ascontiguousarray(_matrix(t["parity"])).view(np.uint64)
         component = t["component"].to_numpy()
-        left, right = [], []
+        left, right, gap = [], [], []
+
+        def pruned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u, v, g = (np.concatenate(x) for x in (left, right, gap))
+            chosen = np.zeros(len(u), bool)
+            for unit in (u, v):
+                order = np.lexsort((g, unit))
+                first, length = _runs(unit[order])
+                chosen[order[(np.arange(len(order)) - np.repeat(first, length)) < best]] = True
+            return u[chosen], v[chosen], g[chosen]
+
         for d in range(1, int(size.max())):
             at = head[size > d]
             n = size[size > d] - d
@@ -361,20 +371,17 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
             low, high = np.minimum(sets[i], sets[i + d]), np.maximum(sets[i], sets[i + d])
             i = i[method.whole * low >= method.part * high]
             differing = np.bitwise_count(parity[i] ^ parity[i + d]).sum(axis=1, dtype=np.int64)
-            i = i[differing * (method.whole + method.part) <= (sets[i] + sets[i + d]) * (method.whole - method.part)]
-            i = i[_near(method, sketch[i], sketch[i + d])]
-            left.append(i)
-            right.append(i + d)
-        left, right = np.concatenate(left), np.concatenate(right)
-        if best is None or not len(left):
-            return left, right
-        differing = np.bitwise_count(parity[left] ^ parity[right]).sum(axis=1, dtype=np.int64)
-        chosen = np.zeros(len(left), bool)
-        for unit in (left, right):
-            order = np.lexsort((differing, unit))
-            head, size = _runs(unit[order])
-            chosen[order[(np.arange(len(order)) - np.repeat(head, size)) < best]] = True
-        return left[chosen], right[chosen]
+            allowed = differing * (method.whole + method.part) <= (sets[i] + sets[i + d]) * (method.whole - method.part)
+            i, differing = i[allowed], differing[allowed]
+            near = _near(method, sketch[i], sketch[i + d])
+            left.append(i[near])
+            right.append(i[near] + d)
+            gap.append(differing[near])
+            if best is not None and sum(map(len, left)) > 1 << 19:
+                left, right, gap = ([x] for x in pruned())
+        if best is not None and left:
+            return pruned()[:2]
+        return np.concatenate(left), np.concatenate(right)
 
     return found
 
@@ -390,7 +397,7 @@ def _dealt(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
-    """(uid, component) of all units that link. ``units``: (uid long, n_shingles, sig, parity), a row for each distinct set."""
+    """(uid, component) of all units that link. ``units``: (uid long, sig), a row for each distinct set."""
     met = scratch.keep(candidates(units, method))
     first = met.where("a <> b")
     shared = met.select(F.col("a").alias("uid")).unionByName(met.select(F.col("b").alias("uid"))).distinct()
@@ -400,14 +407,14 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
 
     # Units that share a bucket, with their components (a unit without links is its own): first the best pairs across
     # components, which join most of what is still apart, then all pairs that are left.
+    facts = scratch.keep(described(texts, method))
+    bands = lambda df: df.select("uid", F.explode(band_keys(method)).alias("key"))
+    large = scratch.keep(bands(facts).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
     tried = first
     for best in (BEST, None):
-        named = units.select("uid", "n_shingles", "sig", "parity").join(shared, "uid", "left_semi").join(component, "uid", "left")
-        named = scratch.keep(with_sketches(named.withColumn("component", F.coalesce("component", "uid"))))
+        named = facts.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
         rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(band_keys(method)).alias("key"))
-        groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        many = scratch.keep(groups.where((F.col("n") > GROUP) & (F.col("low") != F.col("high"))).select("key", "n"))
-        more = scratch.keep(_groups(_dealt(rows, many), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
+        more = scratch.keep(_groups(_dealt(rows, large), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         linked = scratch.keep(verified(scratch, more, texts, method))
@@ -419,14 +426,19 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
     return component
 
 
-def with_sketches(named: DataFrame) -> DataFrame:
+def described(texts: DataFrame, method: Method) -> DataFrame:
+    """(uid, n_shingles, sig, sketch, parity) of (uid, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sig = _matrix(batch.column("sig")).view("<u2")
-                yield pa.RecordBatch.from_arrays([*batch.columns, binary(sketches(sig))], [*batch.schema.names, "sketch"])
+            for a, b, data, offsets in K.chunks(batch.column(1)):
+                values, bounds = method.sets(data, offsets)
+                sig = K.super_minhash(values, bounds, method.slots)
+                made = [binary(sig.astype("<u2")), binary(sketches(sig)), binary(parities(values, bounds, method.parity_bits))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made], ["uid", "n_shingles", "sig", "sketch", "parity"])
 
-    return named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("sketch", T.BinaryType())]))
+    # Rows that share an id may have several texts here; one of them stands for the unit in this search.
+    return texts.select("uid", "text").mapInArrow(run, "uid long, n_shingles long, sig binary, sketch binary, parity binary").dropDuplicates(["uid"])
 
 
 def least_of(placed: DataFrame, value: str) -> DataFrame:
@@ -439,14 +451,14 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
     texts = documents.select(id_column, "text")
     features = scratch.keep(signatures(texts, [id_column], method))
     same = ["n_shingles", "set_hi", "set_lo"]
-    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), *[F.first(c).alias(c) for c in ("sig", "parity")])
+    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), F.first("sig").alias("sig"))
     sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()))
     ids = sets.select("uid", "first")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).select("uid", "text")
 
-    component = links(scratch, sets.select("uid", "n_shingles", "sig", "parity"), fetch, method)
+    component = links(scratch, sets.select("uid", "sig"), fetch, method)
     placed = sets.select(*same, "uid", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = scratch.keep(least_of(placed, "first"))
     labelled = scratch.keep(placed.join(least, "component").select(*same, F.col("least").alias("component_id")))

@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .bpe import vocabulary_path
@@ -90,25 +89,38 @@ _counters: dict[str, Counter] = {}
 
 
 def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, ...]:
-    """The sample's most frequent short pre-tokens: two key words, length and count of each."""
+    """The sample's most frequent short pre-tokens: two key words, length and count of each.
+
+    The sample is what the first tasks with rows read first, at most SAMPLE_ROWS rows a task; no more tasks run than it
+    takes to fill the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = library(path)
+        count, seen, parts = library(path), 0, []
         for batch in batches:
-            for _, _, data, offsets in K.chunks(batch.column(0)):
+            for _, _, data, offsets in K.chunks(batch.column(0).slice(0, SAMPLE_ROWS - seen)):
+                seen += len(offsets) - 1
                 starts, ends, _ = pretokens(data, offsets)
                 n = ends - starts
                 at = np.flatnonzero((n > 0) & (n <= 16))
                 triple = np.empty(len(at), [("a", "u8"), ("b", "u8"), ("n", "i8")])
                 triple["a"], triple["b"] = keys(data, starts[at], n[at])
                 triple["n"] = n[at]
-                found, head, seen = np.unique(triple, return_index=True, return_counts=True)
+                found, head, times = np.unique(triple, return_index=True, return_counts=True)
                 tokens = [count(data[i:j].tobytes()) for i, j in zip(starts[at][head].tolist(), ends[at][head].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"a": found["a"].view(np.int64), "b": found["b"].view(np.int64), "n": found["n"], "tokens": pa.array(tokens, pa.int64()), "seen": seen.astype(np.int64)})
-
-    got = documents.select("text").limit(SAMPLE_ROWS).mapInArrow(run, "a long, b long, n long, tokens long, seen long")
-    top = got.groupBy("a", "b", "n", "tokens").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "a", "b", "n").limit(FREQUENT).toPandas()
-    return top["a"].to_numpy(np.int64).view(np.uint64), top["b"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["tokens"].to_numpy(np.int64)
+                parts += zip(found.tolist(), tokens, times.tolist(), strict=True)
+            if seen >= SAMPLE_ROWS:
+                break
+        total: dict[tuple[int, int, int], list[int]] = {}
+        for key, tokens, times in parts:
+            total.setdefault(key, [tokens, 0])[1] += times
+        top = sorted(total.items(), key=lambda x: (-x[1][1], x[0]))[:FREQUENT]
+        a, b, n = (np.array([k[j] for k, _ in top], np.uint64) for j in range(3))
+        yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64), "n": n.astype(np.int64), "tokens": pa.array([v[0] for _, v in top], pa.int64())})
+
+    got = {(r.a, r.b, r.n): r.tokens for r in documents.select("text").mapInArrow(run, "a long, b long, n long, tokens long").take(FREQUENT)}
+    columns = [np.array([k[j] for k in got], np.int64) for j in range(3)]
+    return columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2], np.array(list(got.values()), np.int64)
 
 
 def count_tokens(documents: DataFrame, path: str | None = None, id_column: str = "doc_id", limit: int = LIMIT) -> DataFrame:

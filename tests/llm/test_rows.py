@@ -133,11 +133,11 @@ def test_sql(docs, duck, module, name):
     if name == "judge":
         got = module.judge(keyed)
         duck.register("documents", keyed.toArrow())
-    want = duck.sql(module.SQL).df()
-    got = got.toPandas()[list(want.columns)]
-    clean = lambda df: sorted([tuple(None if v != v else v for v in r) for r in df.itertuples(index=False)], key=repr)
-    flat = lambda df: [float(x or 0) for r in clean(df) for x in r]
-    assert len(got) == len(want) and flat(got) == pytest.approx(flat(want))
+    found = duck.sql(module.SQL)
+    columns, want = found.columns, found.fetchall()
+    flat = lambda rows: [-1.0 if x is None else float(x) for r in sorted(rows, key=repr) for x in r]
+    own = [tuple(r) for r in got.select(*columns).collect()]
+    assert len(own) == len(want) and flat(own) == pytest.approx(flat(want))
     duck.register("documents", docs.toArrow())
 
 
