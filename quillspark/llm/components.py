@@ -4,7 +4,7 @@ Each node's neighbours are hooked to the least of them, first the larger neighbo
 (small star). Repeated, this turns every component into a star around its least node, in a number of rounds that grows
 with the logarithm of its size. Minima are partial sums before the shuffle; they are written and joined back, so that a
 node with very many edges is split over tasks by adaptive skew joins. Before the first round each task contracts its own
-edges, which leaves little to do where few tasks hold the edges. It ends when all edges are stars.
+edges, at most TASK_EDGES, which leaves little to do where few tasks hold them. It ends when all edges are stars.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .runtime import Scratch
 
 
+#: Edges that a task contracts by itself; up to so many edges, one task gives the components.
+TASK_EDGES = 500_000
+
+
 def _least_neighbour(scratch: Scratch, edges: DataFrame, node: str, other: str) -> DataFrame:
     return scratch.keep(edges.groupBy(node).agg(F.min(other).alias("least")))
 
@@ -63,9 +67,10 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def connected(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(uid, component): the least node that each node with a link reaches. Nodes may be of any type that has an order."""
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct()
-    edges = scratch.keep(contracted(edges))
-    while not _are_stars(edges):
+    edges = scratch.keep(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct())
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    edges = scratch.keep(contracted(edges.coalesce(tasks)))
+    while tasks > 1 and not _are_stars(edges):
         both = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(edges.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = _least_neighbour(scratch, both, "u", "v")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("x"), F.least("u", "least").alias("y")).distinct()

@@ -191,4 +191,5 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, id_column: str = "doc
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op9"))
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op9"))
+    return out.withColumn("changed", F.size("removed") > 0)

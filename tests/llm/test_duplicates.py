@@ -102,13 +102,16 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(frame(spark, rows).limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 5001 + k) for k in range(100)]
     nodes = {x for e in edges for x in e}
     want = {n: c for n, c in groups(nodes, edges).items()}
     got = dict(map(tuple, components.connected(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {n: got.get(n, n) for n in nodes} == want
+    monkeypatch.setattr(components, "TASK_EDGES", 50)
+    got = dict(map(tuple, components.connected(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {n: got.get(n, n) for n in nodes} == want
 
 
 def test_signatures_estimate():
