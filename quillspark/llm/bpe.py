@@ -21,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -212,7 +213,7 @@ class Codec:
 
     def restart(self) -> None:
         self.ids, self.fill = np.zeros(1 << 16, np.uint32), 0
-        self.bounds: list[int] = [0]
+        self.bounds = array("q", [0])
         self.table = PieceTable(self._make)
 
     def _make(self, piece: bytes) -> int:
@@ -230,7 +231,7 @@ class Codec:
             self.restart()
         starts, first = pretokens(data, offsets)
         rows = self.table.rows(data, starts, np.concatenate([starts[1:], [len(data)]]).astype(np.int64)[: len(starts)])
-        bounds = np.asarray(self.bounds, np.int64)
+        bounds = np.array(self.bounds)
         low, length = bounds[rows], bounds[rows + 1] - bounds[rows]
         total = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(length, out=total[1:])

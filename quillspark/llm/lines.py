@@ -144,6 +144,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_
     # A line that occurs once and links with nothing has nothing to remove.
     placed = units.select("uid", "hi", "lo", "first", "n").join(component, "uid", "left").where("n > 1 or component is not null")
     placed = scratch.keep(placed.withColumn("component", F.coalesce("component", "uid")))
+    scratch.free(units)
     least = scratch.keep(placed.groupBy("component").agg(F.min("first").alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))
     first = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("line") == F.col("keeper.line"))

@@ -4,9 +4,9 @@ Units (documents, lines) are sets of shingles. Equal sets are one unit. The rest
 
 1. SuperMinHash signatures: each element's ranks come from one random permutation of the slots, which lowers the
    variance, and a row stops as soon as every slot is taken by an earlier round (``textkernel.super_minhash``).
-2. Banding: units that agree on all slots of a band share a bucket. Rows carry half a byte of up to 64 slots, with which
-   a pair far below the threshold is told at sight. Within a bucket, a unit is paired with the first unit that is near
-   by this sketch, or leads those after it; so a bucket of n units gives n - 1 pairs at most.
+2. Banding: units that agree on all slots of a band share a bucket. Rows carry half a byte of up to 64 slots, by which a
+   pair is likely, possible or neither. Within a bucket, a unit is paired with the first unit that is likely, or leads
+   those after it; so a bucket of n units gives n - 1 pairs at most. Units with possible partners only are noted.
 3. Pairs are verified on the full sets, from the texts. Links give components (``components``).
 4. What step 2 leaves open are pairs of a bucket from different components. The buckets are gone through again, now with
    the components, and all such pairs that sketch and size allow are verified; further links join the components. Here
@@ -168,12 +168,16 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     return with_text.select("a", "salt", "uid", "member", "text").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _near(method: Method, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which rows of sketches could reach the threshold: at it, a pair is missed at 4.5 standard deviations."""
+#: Standard deviations below the expected sketch of a pair at the threshold: for pairs worth a try, and for possible pairs.
+LIKELY, POSSIBLE = 1.5, 4.5
+
+
+def _near(method: Method, one: np.ndarray, other: np.ndarray, deviations: float) -> np.ndarray:
+    """Which rows of sketches are near enough."""
     slots = 2 * one.shape[-1]
     p = method.part / method.whole
     p += (1 - p) / 16
-    least = slots * p - 4.5 * (slots * p * (1 - p)) ** 0.5
+    least = slots * p - deviations * (slots * p * (1 - p)) ** 0.5
     x = one ^ other
     return ((x & 15) == 0).sum(axis=-1) + ((x & 240) == 0).sum(axis=-1) >= least
 
@@ -191,7 +195,7 @@ def _leaders(method: Method, entries: np.ndarray, head: np.ndarray, size: np.nda
     leads those after it. Returns positions of pairs, and of the leaders."""
     sketch = entries["sketch"]
     two = head[size == 2]
-    near = _near(method, sketch[two], sketch[two + 1])
+    near = _near(method, sketch[two], sketch[two + 1], LIKELY)
     left, right, lead = [two[near]], [two[near] + 1], [two, two[~near] + 1]
     for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         rest = np.arange(h, h + n)
@@ -199,7 +203,7 @@ def _leaders(method: Method, entries: np.ndarray, head: np.ndarray, size: np.nda
             lead.append(rest[:1])
             rest, first = rest[1:], rest[0]
             if len(rest):
-                with_first = _near(method, sketch[first], sketch[rest])
+                with_first = _near(method, sketch[first], sketch[rest], LIKELY)
                 right.append(rest[with_first])
                 left.append(np.full(len(right[-1]), first))
                 rest = rest[~with_first]
@@ -216,8 +220,24 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LOCAL = 16
 
 
+def _possible(method: Method, sketch: np.ndarray, alone: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the entries ``alone`` have a possible partner in their group (in a large group: all of them)."""
+    out = np.zeros(len(alone), bool)
+    large = size > GROUP
+    at = K.ragged(head[large], size[large])
+    out[at] = alone[at]
+    head, size = head[~large], size[~large]
+    for d in range(1, int(size.max(initial=1))):
+        i = K.ragged(head[size > d], size[size > d] - d)
+        i = i[(alone[i] & ~out[i]) | (alone[i + d] & ~out[i + d])]
+        i = i[_near(method, sketch[i], sketch[i + d], POSSIBLE)]
+        out[i] |= alone[i]
+        out[i + d] |= alone[i + d]
+    return out
+
+
 def candidates(units: DataFrame, method: Method) -> DataFrame:
-    """(a, b): in each bucket, each unit with its leader; and (a, a) for a unit that shares a bucket without being near.
+    """(a, b): in each bucket, each unit with its leader; and (a, a) for a unit that has only less likely partners there.
 
     Entries are packed by bucket range before the shuffle: a row holds all entries that a batch has for a range. Where a
     batch has many entries of one bucket, it pairs them itself, so a bucket with a third of all units is shuffled as a few
@@ -277,7 +297,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
             alone = np.zeros(len(entries), bool)
             alone[K.ragged(head[many], size[many])] = True
             alone[left] = alone[right] = False
-            own = np.unique(entries["uid"][alone])
+            own = np.unique(entries["uid"][_possible(method, entries["sketch"], alone, head[many], size[many])])
             u = np.concatenate([given["u"], entries["uid"][left], own])
             v = np.concatenate([given["v"], entries["uid"][right], own])
             if len(u):
@@ -337,8 +357,9 @@ def _groups(rows: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray],
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-#: Partners of each unit in the first of the two rounds of step 4.
-BEST = 4
+#: Partners of each unit in a bucket, and the share of the bands, in the first of the two rounds of step 4. It needs to
+#: find only enough to join most of what is still apart; the second round goes through all pairs of all bands.
+BEST, FIRST_BANDS = 2, 2
 
 
 def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -373,7 +394,7 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
             differing = np.bitwise_count(parity[i] ^ parity[i + d]).sum(axis=1, dtype=np.int64)
             allowed = differing * (method.whole + method.part) <= (sets[i] + sets[i + d]) * (method.whole - method.part)
             i, differing = i[allowed], differing[allowed]
-            near = _near(method, sketch[i], sketch[i + d])
+            near = _near(method, sketch[i], sketch[i + d], POSSIBLE)
             left.append(i[near])
             right.append(i[near] + d)
             gap.append(differing[near])
@@ -413,7 +434,8 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
     tried = first
     for best in (BEST, None):
         named = facts.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(band_keys(method)).alias("key"))
+        keys = band_keys(method) if best is None else F.slice(band_keys(method), 1, max(1, method.bands // FIRST_BANDS))
+        rows = named.select("uid", "n_shingles", "component", "sketch", "parity", F.explode(keys).alias("key"))
         more = scratch.keep(_groups(_dealt(rows, large), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
@@ -423,6 +445,7 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
             # Components are stars already: their edges stand for all links found before.
             stars = component.select(F.col("component").alias("a"), F.col("uid").alias("b"))
             component = scratch.keep(connected(scratch, stars.unionByName(linked)))
+    scratch.free(met, texts, facts, large)
     return component
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the rows as Parquet and read them again."""
@@ -50,14 +50,17 @@ class Scratch:
         # Shuffle files of finished steps go when the driver's references to them do.
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
 
-    def drop(self, upto: Iterable[int]) -> None:
-        """Delete tables that nothing reads any more."""
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that no plan reads any more."""
         jvm = self.spark.sparkContext._jvm
-        for k in upto:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for t in tables:
+            if (held := self.paths.pop(id(t), None)) is not None:
+                path = jvm.org.apache.hadoop.fs.Path(held[1])
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_column(df: DataFrame, name: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ of an odd multiplier, summed by prefix sums modulo 2**64 and finished with a 64-
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled by one round of array arithmetic; bounds temporaries to a few dozen times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULT = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
@@ -73,6 +74,19 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _malloc_trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside others in its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets): runs of whole rows of about ``limit`` bytes; a longer row alone."""
     data, offsets = flat(column)
@@ -82,6 +96,8 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    if len(data) > 4 * limit:
+        give_back()
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
