@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import Scratch, table
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -55,25 +55,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return found.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0).alias("rate"))
 
 
-def plan(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def plan(documents: DataFrame, scratch: Scratch, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each document with its size, its source's size and target, and how many copies the mix takes."""
     sized = documents.select(*carry, "source", n_words(F.col("text")).alias("size"))
-    # A few columns of one row a source: broadcast when Spark has measured it to be small, else joined by shuffle.
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "goal_source")
+    totals = documents.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    # One row a source, written: so Spark knows its size before it plans the join, and broadcasts it if that is small;
+    # else a shuffle joins, split where one source has very many rows.
+    goal = scratch.keep(targets(totals).withColumnRenamed("source", "goal_source"))
     whole = F.floor("rate")
     copies = F.least(whole + (draw(F.col("doc_id")) < F.col("rate") - whole).cast("long"), F.lit(CAP))
     return sized.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("copies", copies.cast("long"))
 
 
-def mix(documents: DataFrame) -> DataFrame:
+def mix(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it, all columns unchanged."""
     kept = documents.columns
-    sized = plan(documents.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in kept])), ("doc_id", "__row"))
+    sized = plan(documents.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in kept])), scratch, ("doc_id", "__row"))
     return sized.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan(table(spark, sf_dir, "documents"))
+    p = plan(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

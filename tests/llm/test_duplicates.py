@@ -281,7 +281,7 @@ def test_pipeline(spark, tmp_path):
     sets = {i: word_set(t) for i, t in left}
     same = groups(sets, linked(sets, 75))
     left = [(i, t) for i, t in left if same[i] == i]
-    plan = mixing.plan(spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in left], "doc_id long, text string, source string"))
+    plan = mixing.plan(spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in left], "doc_id long, text string, source string"), Scratch(spark, "t"))
     copies = {r.doc_id: r.copies for r in plan.collect()}
     want = []
     for i, t in left:

@@ -102,7 +102,7 @@ def shares(sizes):
 
 
 def test_mixing(spark, docs):
-    got = mixing.plan(docs).collect()
+    got = mixing.plan(docs, Scratch(spark, "t")).collect()
     sizes = Counter()
     for _, text, _, source, *_ in ROWS:
         sizes[source] += len(words(text or ""))
@@ -111,22 +111,22 @@ def test_mixing(spark, docs):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         assert 0 <= r.copies <= 3
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
-    taken = {r.source: (r.taken, r.target) for r in mixing.plan(many).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
+    taken = {r.source: (r.taken, r.target) for r in mixing.plan(many, Scratch(spark, "t")).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
     assert all(abs(a - b) < 0.15 * b for a, b in taken.values())
-    assert sorted(map(tuple, mixing.plan(many).select("doc_id", "copies").collect())) == sorted(map(tuple, mixing.plan(many).select("doc_id", "copies").collect()))
-    mixed = mixing.mix(docs)
+    assert sorted(map(tuple, mixing.plan(many, Scratch(spark, "t")).select("doc_id", "copies").collect())) == sorted(map(tuple, mixing.plan(many, Scratch(spark, "t")).select("doc_id", "copies").collect()))
+    mixed = mixing.mix(docs, Scratch(spark, "t"))
     assert mixed.columns == docs.columns
     counts = Counter(r.doc_id for r in mixed.collect())
     expected = Counter()
     for r in got:
         expected[r.doc_id] += r.copies
     assert counts == +expected
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
 @pytest.mark.parametrize(("module", "name"), [(quality, "judge"), (mixing, "plan")])
-def test_sql(docs, duck, module, name):
-    got = getattr(module, name)(docs)
+def test_sql(spark, docs, duck, module, name):
+    got = module.plan(docs, Scratch(spark, "t")) if name == "plan" else None
     if name == "plan":
         got = got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
     keyed = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if name == "judge" else docs
