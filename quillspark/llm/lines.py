@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,11 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sets of the normalised lines, one line a row: sorted hashes of shingles of SHINGLE characters, and their bounds."""
+    return K.distinct_short(*line_shingles(data, offsets))
+
+
+def line_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as they stand in the lines, repeats included; a hash has 48 bits."""
     n_rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
@@ -70,10 +76,10 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     values = h[K.ragged(bounds[:-1], made)]
     for k, v in zip(short.tolist(), tails, strict=True):
         values[out[k]] = v[0]
-    return K.distinct_short(values, out)
+    return values & ~np.uint64(0xFFFF), out
 
 
-METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, parity_bits=512)
+METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, sketch_slots=32)
 
 
 def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +109,8 @@ def _lines(documents: DataFrame, id_column: str) -> DataFrame:
                 starts, ends, row, number = spans_of_lines(data, offsets)
                 cut = np.zeros(len(starts) + 1, np.int64)
                 np.cumsum(ends - starts, out=cut[1:])
-                values, bounds = line_sets(data[K.ragged(starts, ends - starts)], cut)
+                # A signature is the same with repeats.
+                values, bounds = line_shingles(data[K.ragged(starts, ends - starts)], cut)
                 sig = K.super_minhash(values, bounds, METHOD.slots)
                 digests = line_digests(data, offsets, starts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), binary(sig.astype("<u2"))], ["id", "line", "hi", "lo", "sig"])
@@ -190,15 +197,19 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id
         for batch in batches:
             at = batch.schema.get_field_index("text")
             column = batch.column(at)
-            texts, gone = column.to_pylist(), []
-            for k, numbers in enumerate(batch.column("__lines").to_pylist()):
-                out = sorted(set(numbers)) if numbers and texts[k] else []
-                if out:
-                    lines, drop = texts[k].split("\n"), set(out)
-                    texts[k] = "\n".join([x for j, x in enumerate(lines) if j not in drop])
-                gone.append(out)
+            gone = [sorted(set(numbers)) if numbers else [] for numbers in batch.column("__lines").to_pylist()]
+            changed = [k for k, out in enumerate(gone) if out]
+            texts = column
+            if changed:
+                new = []
+                for k, text in zip(changed, column.take(pa.array(changed)).to_pylist(), strict=True):
+                    drop = set(gone[k])
+                    new.append("\n".join([x for j, x in enumerate((text or "").split("\n")) if j not in drop]))
+                mask = np.zeros(len(gone), bool)
+                mask[changed] = True
+                texts = pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
             names = [x for x in batch.schema.names if x != "__lines"]
-            arrays = [pa.array(texts, column.type) if x == "text" else batch.column(x) for x in names]
+            arrays = [texts if x == "text" else batch.column(x) for x in names]
             if report:
                 names, arrays = [*names, "removed_lines"], [*arrays, pa.array(gone, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names)

@@ -4,7 +4,7 @@ Units (documents, lines) are sets of shingles. Equal sets are one unit. The rest
 
 1. SuperMinHash signatures: each element's ranks come from one random permutation of the slots, which lowers the
    variance, and a row stops as soon as every slot is taken by an earlier round (``textkernel.super_minhash``).
-2. Banding: units that agree on all slots of a band share a bucket. Rows carry half a byte of up to 64 slots, by which a
+2. Banding: units that agree on all slots of a band share a bucket. Rows carry half a byte of some slots, by which a
    pair is likely, possible or neither. Within a bucket, a unit is paired with the first unit that is likely, or leads
    those after it; so a bucket of n units gives n - 1 pairs at most. Units with possible partners only are noted.
 3. Pairs are verified on the full sets, from the texts. Links give components (``components``).
@@ -50,7 +50,7 @@ def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 @dataclass(frozen=True)
 class Method:
     """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ``rows`` slots;
-    ``parity_bits``: length of the parity sketch."""
+    ``parity_bits`` and ``sketch_slots``: lengths of the sketches."""
 
     sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_sets
     part: int = 75
@@ -58,6 +58,7 @@ class Method:
     bands: int = 32
     rows: int = 4
     parity_bits: int = 512
+    sketch_slots: int = 64
 
     @property
     def slots(self) -> int:
@@ -68,9 +69,9 @@ class Method:
 GROUP = 512
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Half a byte of up to 64 slots of each signature, two to a byte."""
-    low = (sig[:, :64] & 15).astype(np.uint8)
+def sketches(sig: np.ndarray, slots: int) -> np.ndarray:
+    """Half a byte of the first slots of each signature, two to a byte."""
+    low = (sig[:, :slots] & 15).astype(np.uint8)
     return low[:, ::2] | (low[:, 1::2] << 4)
 
 
@@ -185,7 +186,7 @@ def _near(method: Method, one: np.ndarray, other: np.ndarray, deviations: float)
 
 def _entry(method: Method) -> np.dtype:
     """What a unit leaves in each of its buckets."""
-    return np.dtype([("key", "<u8"), ("uid", "<i8"), ("sketch", "u1", min(method.slots, 64) // 2)])
+    return np.dtype([("key", "<u8"), ("uid", "<i8"), ("sketch", "u1", method.sketch_slots // 2)])
 
 
 _PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
@@ -267,7 +268,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
                 key = np.broadcast_to(seeds, (n, method.bands)).copy()
                 for k in range(per):
                     key = K.mix(key + K.mix(sig[:, k::per]))
-            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], sketches(slots.view("<u2"))[:, None, :]
+            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], sketches(slots.view("<u2"), method.sketch_slots)[:, None, :]
             entries = entries.ravel()
             order = np.argsort(entries["key"], kind="stable")
             entries = entries[order]
@@ -465,7 +466,7 @@ def described(texts: DataFrame, method: Method) -> DataFrame:
                 slots = sig.astype("<u2")
                 bands = np.ascontiguousarray(slots).view(np.uint64).reshape(b - a, method.bands, -1)
                 marks = K.mix(np.bitwise_xor.reduce(K.mix(bands + np.arange(bands.shape[2], dtype=np.uint64)), axis=2)).astype("<u2")
-                made = [binary(slots), binary(sketches(sig)), binary(parities(values, bounds, method.parity_bits)), binary(marks)]
+                made = [binary(slots), binary(sketches(sig, method.sketch_slots)), binary(parities(values, bounds, method.parity_bits)), binary(marks)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made], ["uid", "n_shingles", "sig", "sketch", "parity", "marks"])
 
     # Rows that share an id may have several texts here; one of them stands for the unit in this search.
