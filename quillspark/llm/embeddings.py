@@ -9,8 +9,8 @@ passes is verified by its cosine in double precision.
 Windows over one sorted projection alone would meet a fixed share of all pairs, in quadratic time. So rows first meet in
 cells: for each of several tables, the signs of some further projections. The number of signs grows with the logarithm
 of the rows, and the number of tables is chosen so that a pair at the threshold shares no cell with a probability of
-0.002 at most (higher cosines far less). Inside a cell rows are sorted, and collisions are counted for the pairs of
-the cell; a pair that meets in several tables is counted in the first of them only, which both rows can tell by
+0.002 at most (higher cosines far less). Collisions are counted for the pairs of a cell, not by sorting whole
+projections; a pair that meets in several tables is counted in the first of them only, which both rows can tell by
 themselves, so no table of pairs is built: a task gives each row's number of links and a spanning forest of the links it
 found. A cell of many rows is dealt by pairs of blocks.
 
