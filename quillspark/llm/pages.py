@@ -3,18 +3,19 @@
 Each page is read once into tokens: an opening tag at its place (the path of open elements, with class and id), and a
 block of text at its place. A token's occurrence vector says how often each page of a host holds it. Tokens of a host
 with equal vectors form an equivalence class; a class that most pages of the host share, and that has tokens enough not
-to be chance, belongs to the host's template. Vectors are never gathered: the sum over pages of a random number of the
-page times the occurrences is a fingerprint of the vector, so classes come from sums that start before the shuffle, and
-a host with a third of all pages costs no more than another.
+to be chance, belongs to the host's template. Pages of a host that say the same are one page here, and a class needs
+three pages that differ, or a copied text would look like template. Vectors are never gathered: the sum over pages of a
+random number of the page times the occurrences is a fingerprint of the vector, so classes come from sums that start
+before the shuffle, and a host with a third of all pages costs no more than another.
 
 Classes nest by their paths: a template place lies within the places that its path begins with. What a page holds
 between template places are its slots. Slots inside a place that names its role (menu, header, footer, sidebar, notice,
 advert, form, comments) are dropped; if the page marks its main part (article, main), the slots inside are the text,
 otherwise what is left after blocks of the template, the same text at the same place of most pages, are removed.
 
-Defined results: a null or empty page, and one with no text, gives the empty text; a null URL is a host of its own;
+Defined results: a null or empty page, and one with no text, gives the empty text; a page whose URL is null or names no host has no template;
 unclosed, misnested and cut-off markup is read as far as it goes; pages are read whole; equal pages give equal texts; a
-host of one page has no template and is read by its own structure; other columns are ignored.
+host of fewer than three distinct contents has no template and is read by its own structure; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ OUT_WORDS = frozenset("ad ads advert advertisement advertising adverts banner br
 MAIN = frozenset(("article", "main"))
 
 MIN_SHARE = 0.5
-MIN_PAGES = 2
+#: Distinct contents of a host that hold a class of its template: two pages alone don't tell a template from a text that both carry.
+MIN_PAGES = 3
 MIN_CLASS = 2
 
 
@@ -187,8 +189,7 @@ def token(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def tokens_of(page: str) -> list[int]:
-    blocks, places = read(page)
+def tokens_of(blocks: list[Block], places: list[str]) -> list[int]:
     return [token("tag", p) for p in places] + [token("text", b.path, b.text) for b in blocks]
 
 
@@ -207,25 +208,35 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
 
 
+def content_of(blocks: list[Block]) -> int:
+    """A fingerprint of what a page says: copies of a text are one content, whatever stands around it."""
+    said = {b.text for b in blocks if not b.out} or {b.text for b in blocks}
+    return token("content", *sorted(said))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): the tokens of the valid classes of each host with two pages or more."""
+    """(host, template array<long>): the tokens of the valid classes of each host with ``MIN_PAGES`` contents or more.
+
+    Copies of a page count once a host, or a text that is copied often would be its host's template. Pages whose URL
+    names no host have nothing in common that a template could be taken from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found, counts, vectors_a, vectors_b = [], [], [], [], []
-            for name, number, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                values, n = np.unique(np.array([token("page"), *tokens_of(page or "")], np.int64), return_counts=True)
-                random = xxhash.xxh3_64_intdigest(str(number))
-                hosts += [name] * len(values)
-                found.append(values)
-                counts.append(n)
-                vectors_a.append(n * (random >> 34))
-                vectors_b.append(n * (random & 0x3FFFFFFF))
-            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "token": cat(found), "n": cat(counts), "va": cat(vectors_a), "vb": cat(vectors_b)})
-
-    seen = pages.select("host", "page_id", "html").mapInArrow(run, "host string, token long, n long, va long, vb long")
-    by_token = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(F.col("va").cast("decimal(38,0)")).alias("va"), F.sum(F.col("vb").cast("decimal(38,0)")).alias("vb"))
+            contents, found, counts = [], [], []
+            for page in batch.column(1).to_pylist():
+                blocks, places = read(page or "")
+                values, n = np.unique(np.array([token("page"), *tokens_of(blocks, places)], np.int64), return_counts=True)
+                contents.append(content_of(blocks))
+                found.append(values.tolist())
+                counts.append(n.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["host", "content", "found", "counts"])
+
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, content long, found array<long>, counts array<long>")
+    distinct = seen.groupBy("host", "content").agg(F.min(F.struct("found", "counts")).alias("page"))
+    random = F.xxhash64(F.lit("page"), "content")
+    each = distinct.select("host", random.alias("random"), F.explode(F.arrays_zip("page.found", "page.counts")).alias("t")).select("host", F.col("t.found").alias("token"), F.col("t.counts").alias("n"), "random")
+    va, vb = F.col("n") * F.shiftrightunsigned("random", 34), F.col("n") * F.col("random").bitwiseAND(F.lit(0x3FFFFFFF))
+    by_token = each.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(va.cast("decimal(38,0)")).alias("va"), F.sum(vb.cast("decimal(38,0)")).alias("vb"))
     classes = by_token.where(F.col("pages") >= MIN_PAGES).groupBy("host", "pages", "va", "vb").agg(F.collect_list("token").alias("tokens"))
     # Tokens that most pages of a host hold are no more than twice those of its mean page.
     total = by_token.where(F.col("token") == token("page")).select(F.col("host").alias("of_host"), F.col("pages").alias("all_pages"))
