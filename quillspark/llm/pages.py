@@ -8,10 +8,11 @@ three pages that differ, or a copied text would look like template. Vectors are
 random number of the page times the occurrences is a fingerprint of the vector, so classes come from sums that start
 before the shuffle, and a host with a third of all pages costs no more than another.
 
-Classes nest by their paths: a template place lies within the places that its path begins with. What a page holds
-between template places are its slots. Slots inside a place that names its role (menu, header, footer, sidebar, notice,
-advert, form, comments) are dropped; if the page marks its main part (article, main), the slots inside are the text,
-otherwise what is left after blocks of the template, the same text at the same place of most pages, are removed.
+Classes are not nested: what a page holds besides blocks of its host's template, the same text at the same place of most
+pages, is its slots. Which slots are the main text is told by tags and names: slots inside a place that names its role
+(menu, header, footer, sidebar, notice, advert, form, comments) are dropped, and if the page marks its main part
+(article, main), the slots inside are the text. A marked main part that is template for the most part is left whole, as
+edited copies of one article share more than they differ in.
 
 Defined results: a null or empty page, and one with no text, gives the empty text; a page whose URL is null or names no host has no template;
 unclosed, misnested and cut-off markup is read as far as it goes; pages are read whole; equal pages give equal texts; a
@@ -196,11 +197,14 @@ def tokens_of(blocks: list[Block], places: list[str]) -> list[int]:
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     blocks, _ = read(page)
     slots = [b for b in blocks if not b.out]
-    if any(b.main for b in slots):
+    marked = any(b.main for b in slots)
+    if marked:
         slots = [b for b in slots if b.main]
-    elif template:
+    if template:
         left = [b for b in slots if token("text", b.path, b.text) not in template]
-        slots = left
+        # A main part that is template for the most part is one of many edited copies, not a frame with little in it.
+        if not marked or 2 * sum(len(b.text) for b in left) > sum(len(b.text) for b in slots):
+            slots = left
     return "\n\n".join(b.text for b in slots)
 
 

@@ -29,3 +29,12 @@ def test_pages_without_host_share_no_template(spark):
     assert all(text.startswith("Our site") and f"story {k} goes on" in text for k, text in texts(spark, rows).items())
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", pages.host(F.col("url")))
     assert pages.templates(df).count() == 0
+
+
+def test_template_within_the_main_part(spark):
+    page = "<html><body><article><h1>Story {0}</h1><p>What happened in story {0} is told at some length here.</p><div><p>Prices include taxes.</p></div></article></body></html>"
+    got = texts(spark, [(k, f"http://h.example/{k}", page.format(k)) for k in range(6)])
+    assert got == {k: f"Story {k}\n\nWhat happened in story {k} is told at some length here." for k in range(6)}
+    edited = "<html><body><article><h1>The story</h1><p>What happened is told at some length here.</p><p>Edit {0}</p></article></body></html>"
+    got = texts(spark, [(k, f"http://h.example/{k}", edited.format(k)) for k in range(6)])
+    assert got == {k: f"The story\n\nWhat happened is told at some length here.\n\nEdit {k}" for k in range(6)}
