@@ -11,7 +11,9 @@ before the shuffle, and a host with a third of all pages costs no more than anot
 Classes are not nested: what a page holds besides blocks of its host's template, the same text at the same place of most
 pages, is its slots. Which slots are the main text is told by tags and names: slots inside a place that names its role
 (menu, header, footer, sidebar, notice, advert, form, comments) are dropped, and if the page marks its main part
-(article, main), the slots inside are the text. A marked main part that is template for the most part is left whole, as
+(article, main), the slots inside are the text. A name such as no-comments or has-sidebar names no role, and a place that
+holds the marked main part, or more than half of the page's text that is not template, is text whatever its name, but for
+comments beside other text. A marked main part that is template for the most part is left whole, as
 edited copies of one article share more than they differ in.
 
 Defined results: a null or empty page, and one with no text, gives the empty text; a page whose URL is null or names no host has no template;
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,12 @@ SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 #: Elements and words in class, id or role that name a role other than the main text.
 OUT = frozenset("nav header footer aside form script style noscript template iframe button select option textarea title head svg canvas object audio video dialog menu input label fieldset".split())
 OUT_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo".split())
+#: Words beside one of these that take its role from a name: what a place is without, or stands beside.
+NOT_WORDS = frozenset("has have no non not with without is hide hides show shows free".split())
+#: Words of a text whose parts may be named so: an entry's header is its heading.
+TEXT_WORDS = frozenset("article content entry main post story text".split())
+#: Roles that may well outweigh the text.
+REPLIES = frozenset("comment comments disqus replies reply".split())
 MAIN = frozenset(("article", "main"))
 
 MIN_SHARE = 0.5
@@ -60,43 +69,57 @@ MIN_CLASS = 2
 
 
 class Block:
-    __slots__ = ("main", "out", "path", "text")
+    """A block of text; ``roles`` are the named places around it from the outermost, ``above`` how many of them are around
+    the outermost marked main part (-1 without one), ``out`` whether an element's kind rules it out."""
 
-    def __init__(self, path: str, text: str, main: bool, out: bool) -> None:
-        self.path, self.text, self.main, self.out = path, text, main, out
+    __slots__ = ("above", "out", "path", "roles", "text")
 
+    def __init__(self, path: str, text: str, above: int, out: bool, roles: tuple[tuple[int, bool], ...]) -> None:
+        self.path, self.text, self.above, self.out, self.roles = path, text, above, out, roles
 
-def _names(attributes: str) -> tuple[str, bool, bool]:
-    """A place's name from class and id; does it name another role; does it name the main part?"""
+
+def role_of(value: str) -> str:
+    """The word of a class, id or role that names another role than the main text, else the empty text."""
+    for whole in value.split():
+        words = _ROLE_PART.findall(whole)
+        named = next((w for w in words if w in OUT_WORDS), "")
+        if named and not any(w in NOT_WORDS for w in words) and not (named == "header" and any(w in TEXT_WORDS for w in words)):
+            return named
+    return ""
+
+
+@lru_cache(maxsize=4096)
+def _names(attributes: str) -> tuple[str, str, bool]:
+    """A place's name from class and id; the word that names another role; does it name the main part?"""
     if "=" not in attributes:
-        return "", False, False
-    name, out, main = "", False, False
+        return "", "", False
+    name, role, main = "", "", False
     for key, value in _NAMES.findall(attributes):
         value = html.unescape(value.strip("\"'")).strip().lower()
-        words = _ROLE_PART.findall(value)
-        out = out or any(w in OUT_WORDS for w in words)
+        role = role or role_of(value)
         main = main or (key.lower() == "role" and value == "main")
         if key.lower() != "role" and not any(c.isdigit() for c in value):
             name += f".{value}"
-    return name, out, main
+    return name, role, main
 
 
 def read(page: str) -> tuple[list[Block], list[str]]:
     """Blocks of text in order, and the places of opening tags."""
     blocks: list[Block] = []
     places: list[str] = []
-    # (element, path, in the main part?, in another role?)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # (element, path, named places above the main part, ruled out?, named places)
+    stack: list[tuple[str, str, int, bool, tuple[tuple[int, bool], ...]]] = [("", "", -1, False, ())]
     held: list[str] = []
     raw: str | None = None
+    named = 0
 
     def flush() -> None:
         if held:
             text = _WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                _, path, main, out = stack[-1]
-                blocks.append(Block(path, text, main, out))
+                _, path, above, out, roles = stack[-1]
+                blocks.append(Block(path, text, above, out, roles))
 
     def close_to(depth: int) -> None:
         flush()
@@ -139,13 +162,14 @@ def read(page: str) -> tuple[list[Block], list[str]]:
                 flush()
             continue
         if name in INLINE:
-            _, path, main, out = stack[-1]
-            _, other, _ = _names(attributes)
-            if other and not out:
+            _, path, above, out, roles = stack[-1]
+            _, role, _ = _names(attributes)
+            if role and not out and not roles:
                 flush()
-                stack.append((name, path, main, True))
-            elif out or name == "label":
-                stack.append((name, path, main, out or name == "label"))
+                named += 1
+                stack.append((name, path, above, out, (*roles, (named, role in REPLIES))))
+            elif out or roles or name == "label":
+                stack.append((name, path, above, out or name == "label", roles))
             continue
         if name in SKIPPED:  # no boundary of a block: what stands before and after it reads on
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -170,16 +194,18 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
             if depth:
                 close_to(depth)
-        label, other, marked = _names(attributes)
-        _, path, main, out = stack[-1]
+        label, role, marked = _names(attributes)
+        _, path, above, out, roles = stack[-1]
         place = f"{path}>{name}{label}"
         places.append(place)
-        if attributes.rstrip().endswith("/") and name not in RAW:
-            place_out = out
-        else:
-            is_main = name in MAIN or marked
-            place_out = out or name in OUT or (other and name not in ("html", "body", "main"))
-            stack.append((name, place, main or (is_main and not place_out), place_out))
+        if not attributes.rstrip().endswith("/") or name in RAW:
+            if role and name not in ("html", "body", "main"):
+                named += 1
+                roles = (*roles, (named, role in REPLIES))
+            out = out or name in OUT
+            if above < 0 and not out and (name in MAIN or marked):
+                above = len(roles)
+            stack.append((name, place, above, out, roles))
             if name in RAW:
                 raw = name
     flush()
@@ -194,12 +220,32 @@ def tokens_of(blocks: list[Block], places: list[str]) -> list[int]:
     return [token("tag", p) for p in places] + [token("text", b.path, b.text) for b in blocks]
 
 
+def _whole(live: list[Block]) -> set[int]:
+    """Named places that are not what their names say: they hold the marked main part, or most of what the page says."""
+    clear = [b for b in live if not b.roles]
+    kept: set[int] = set()
+    if not any(b.above == 0 for b in clear):
+        kept = {n for b in live if b.above > 0 for n, replies in b.roles[: b.above] if not (replies and clear)}
+    scope = live
+    if any(b.above >= 0 and all(n in kept for n, _ in b.roles) for b in live):
+        scope = [b for b in live if b.above >= 0 and all(n in kept for n, _ in b.roles[: b.above])]
+    total, sizes = 0, dict[int, int]()
+    for b in scope:
+        total += len(b.text)
+        for n, replies in b.roles:
+            sizes[n] = sizes.get(n, 0) + (0 if replies and clear else len(b.text))
+    return kept | {n for n, size in sizes.items() if 2 * size > total}
+
+
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     blocks, _ = read(page)
     slots = [b for b in blocks if not b.out]
-    marked = any(b.main for b in slots)
+    if any(b.roles for b in slots):
+        kept = _whole([b for b in slots if token("text", b.path, b.text) not in template])
+        slots = [b for b in slots if all(n in kept for n, _ in b.roles)]
+    marked = any(b.above >= 0 for b in slots)
     if marked:
-        slots = [b for b in slots if b.main]
+        slots = [b for b in slots if b.above >= 0]
     if template:
         left = [b for b in slots if token("text", b.path, b.text) not in template]
         # A main part that is template for the most part is one of many edited copies, not a frame with little in it.
@@ -214,7 +260,7 @@ def host(url: Column) -> Column:
 
 def content_of(blocks: list[Block]) -> int:
     """A fingerprint of what a page says: copies of a text are one content, whatever stands around it."""
-    said = {b.text for b in blocks if not b.out} or {b.text for b in blocks}
+    said = {b.text for b in blocks if not b.out and not b.roles} or {b.text for b in blocks if not b.out} or {b.text for b in blocks}
     return token("content", *sorted(said))
 
 

@@ -38,3 +38,28 @@ def test_template_within_the_main_part(spark):
     edited = "<html><body><article><h1>The story</h1><p>What happened is told at some length here.</p><p>Edit {0}</p></article></body></html>"
     got = texts(spark, [(k, f"http://h.example/{k}", edited.format(k)) for k in range(6)])
     assert got == {k: f"The story\n\nWhat happened is told at some length here.\n\nEdit {k}" for k in range(6)}
+
+
+def test_names_of_wrappers():
+    body = "<h1>Head</h1><p>What the page says.</p>"
+    none = frozenset()
+    for wrapped in (
+        f"<article class='post no-comments'>{body}</article>",
+        f"<div class='content has-sidebar'><article>{body}</article></div>",
+        f"<div class='page-with-header'>{body}</div>",
+        f"<div class='search'><main>{body}</main></div>",
+        f"<div class='alert'><article class='related'>{body}</article></div>",
+        "<article><div class='entry-header'><h1>Head</h1></div><p>What the page says.</p></article>",
+        f"<article><div class='share'>{body}</div></article>",
+        f"<div class='widget'>{body}</div><div class='ad'>buy</div>",
+    ):
+        assert pages.main_text(f"<html><body><nav>menu</nav>{wrapped}<footer>foot</footer></body></html>", none) == "Head\n\nWhat the page says.", wrapped
+
+
+def test_names_that_still_decide():
+    none = frozenset()
+    replies = "<div class='comments'><article class='comment'>one says this at length, at length</article><article class='comment'>two says that at length, at length</article></div>"
+    assert pages.main_text(f"<p>Story</p>{replies}", none) == "Story"
+    assert pages.main_text(f"<article><p>Story</p>{replies}</article>", none) == "Story"
+    assert pages.main_text("<article><p>Story of some length</p></article><div class='related'><article>teaser</article></div><span class='ad'>buy <span>now</span></span>", none) == "Story of some length"
+    assert pages.main_text("<p>Story of some length</p><div class='ad-slot'>buy</div><div class='site-header'>Site</div><div id='cookie-notice'>Take</div>", none) == "Story of some length"
