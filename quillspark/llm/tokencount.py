@@ -2,9 +2,9 @@
 
 A text is cut into pre-tokens, runs of spaces with what follows up to the next space; no piece of the vocabulary spans
 such a cut, so the count of a text is the sum over its pre-tokens. Each pre-token's count is looked up on the map side
-in two tiers: a broadcast table of the frequent pre-tokens of a bounded sample (``SAMPLE_ROWS`` rows, at most
+in two tiers: a broadcast table of the frequent pre-tokens of a sample of every part (``SAMPLE_ROWS`` rows a task, at most
 ``FREQUENT`` entries of 32 bytes, so the broadcast has a fixed size), and a cache in each worker that the tokenizer
-library fills at a miss. No pre-token is shuffled. Both tiers hold exact keys and exact counts: they decide the cost of
+library fills at a miss. Only the sample's distinct pre-tokens are shuffled. Both tiers hold exact keys and exact counts: they decide the cost of
 a lookup, never its result.
 
 Defined results: null is the empty text with no tokens; white space and special strings are ordinary text, as the
@@ -19,15 +19,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .bpe import vocabulary_path
 from .pieces import PieceTable, keys
-from .runtime import table, tune
+from .runtime import Scratch, table, tune
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 SAMPLE_ROWS = 1000
+#: Counts from here on rank alike.
+TOP = 100_000
 FREQUENT = 1 << 16
 #: The vocabulary's own sign for a space, should a text hold it.
 SIGN = "▁".encode()
@@ -91,12 +94,12 @@ _counters: dict[str, Counter] = {}
 def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, ...]:
     """The sample's most frequent short pre-tokens: two key words, length and count of each.
 
-    The sample is what the first tasks with rows read first, at most SAMPLE_ROWS rows a task; no more tasks run than it
-    takes to fill the table.
+    The sample is what every task reads first, at most SAMPLE_ROWS rows a task, so that each part of a corpus in some order
+    is in it. Counts are summed over all tasks; the table is filled from the top by a bound on the count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen, parts = library(path), 0, []
+        seen, parts = 0, []
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column(0).slice(0, SAMPLE_ROWS - seen)):
                 seen += len(offsets) - 1
@@ -106,21 +109,31 @@ def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, ...]:
                 triple = np.empty(len(at), [("a", "u8"), ("b", "u8"), ("n", "i8")])
                 triple["a"], triple["b"] = keys(data, starts[at], n[at])
                 triple["n"] = n[at]
-                found, head, times = np.unique(triple, return_index=True, return_counts=True)
-                tokens = [count(data[i:j].tobytes()) for i, j in zip(starts[at][head].tolist(), ends[at][head].tolist(), strict=True)]
-                parts += zip(found.tolist(), tokens, times.tolist(), strict=True)
+                parts.append(np.unique(triple, return_counts=True))
             if seen >= SAMPLE_ROWS:
                 break
-        total: dict[tuple[int, int, int], list[int]] = {}
-        for key, tokens, times in parts:
-            total.setdefault(key, [tokens, 0])[1] += times
-        top = sorted(total.items(), key=lambda x: (-x[1][1], x[0]))[:FREQUENT]
-        a, b, n = (np.array([k[j] for k, _ in top], np.uint64) for j in range(3))
-        yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64), "n": n.astype(np.int64), "tokens": pa.array([v[0] for _, v in top], pa.int64())})
-
-    got = {(r.a, r.b, r.n): r.tokens for r in documents.select("text").mapInArrow(run, "a long, b long, n long, tokens long").take(FREQUENT)}
-    columns = [np.array([k[j] for k in got], np.int64) for j in range(3)]
-    return columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2], np.array(list(got.values()), np.int64)
+        for found, times in parts:
+            yield pa.RecordBatch.from_pydict({"a": found["a"].copy().view(np.int64), "b": found["b"].copy().view(np.int64), "n": found["n"].copy(), "times": times.astype(np.int64)})
+
+    scratch = Scratch(documents.sparkSession, "op4")
+    seen = documents.select("text").mapInArrow(run, "a long, b long, n long, times long")
+    summed = scratch.keep(seen.groupBy("a", "b", "n").agg(F.sum("times").alias("times")))
+    # The least count that no more entries reach than the table holds; counts from TOP on rank alike.
+    bound, held = TOP + 1, 0
+    for r in sorted(summed.groupBy(F.least("times", F.lit(TOP)).alias("level")).agg(F.count("*").alias("entries")).collect(), key=lambda r: -r.level):
+        rest, held = FREQUENT - held, held + r.entries
+        if held > FREQUENT:
+            break
+        bound = r.level
+    level = F.least("times", F.lit(TOP))
+    most = summed.where(level >= bound).collect()
+    if held > FREQUENT:
+        most += summed.where(level == r.level).take(rest)
+    scratch.free(summed)
+    columns = [np.array([r[j] for r in most], np.int64) for j in range(3)]
+    count = library(path)
+    tokens = [count(x.tobytes()[:n] if n <= 8 else x.tobytes() + y.tobytes()[16 - n :]) for x, y, n in zip(columns[0], columns[1], columns[2].tolist(), strict=True)]
+    return columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2], np.array(tokens, np.int64)
 
 
 def count_tokens(documents: DataFrame, path: str | None = None, id_column: str = "doc_id", limit: int = LIMIT) -> DataFrame:
