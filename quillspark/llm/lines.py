@@ -11,121 +11,207 @@ The sets are shingles of characters, so the threshold for word shingles doesn't
 at 0.8 meets with a probability of 0.995, at 0.9 of 0.9999.
 
 Defined results: a null text stays null; an empty one has one blank line; rows that share an id are one document, and
-equal lines at the same place of them stay or go together; a row without an id keeps all its lines, and they rank first;
-lines are taken whole; an empty table gives an empty result; other columns are kept by ``dedup_lines``, but for one named
+equal lines at the same place of them stay or go together; a row without an id keeps all its lines, and they rank first,
+so that no other line of their groups stays; lines are taken whole; what is no UTF-8 reads as U+FFFD and stays as it is; an empty table gives an empty result; other columns are kept by ``dedup_lines``, but for one named
 ``removed_lines``, which is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .neardup import Method, binary, links
+from .neardup import Fetch, Method, band_names, bands_of, links
 from .runtime import Scratch, table, tune
 
 SHINGLE = 8
-_WHITE = np.zeros(34, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Normalised characters: white space is one, A-Z are a-z. Characters beyond 255 are kept beside the bytes.
+_NORMAL = np.arange(256, dtype=np.uint8)
+_NORMAL[[0x20, *range(0x09, 0x0E)]] = 32
+_NORMAL[65:91] += 32
+#: Bytes of text handled at once: the arrays of 64-bit values made from them fit into a core's cache.
+CHUNK = 1 << 17
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+@dataclass(frozen=True)
+class Lines:
+    """Normalised lines of some rows, those without words left out. ``text``: one byte a character, with eight more at the
+    end; ``start`` and ``size`` in characters; ``row``; ``number`` in the row, from 0. Characters beyond 255 are 255 in
+    ``text``; ``wide`` has their lines, places in the line, and code points."""
+
+    text: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    row: np.ndarray
+    number: np.ndarray
+    wide: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+
+    @property
+    def eights(self) -> np.ndarray:
+        """The eight characters from each place on as one number."""
+        return np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,))
+
+
+def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
+    data, offsets, text = K.valid_text(data, offsets)
+    points = None
+    if text.isascii():
+        chars = data
+    else:
+        before = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+        offsets = before[offsets]
+        try:
+            chars = np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            chars = np.minimum(points, 255).astype(np.uint8)
+    n = len(chars)
+    white = K.IS_SPACE[chars]
+    keep = ~white
+    keep[1:] |= ~white[:-1]  # one space for each run between words, and at an end
+    heads = offsets[:-1][offsets[:-1] < n]
+    keep[heads] = ~white[heads]
+    at = np.zeros(n + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    feeds = np.flatnonzero(chars == 10)
+    starts = np.union1d(offsets[:-1], feeds + 1)
+    starts = starts[starts < n]
+    ends = np.concatenate([starts[1:], [n]]) if len(starts) else starts
+    out = np.zeros(int(at[-1]) + SHINGLE, np.uint8)
+    np.compress(keep, _NORMAL[chars], out=out[:-SHINGLE])
+    start, size = at[starts], at[ends] - at[starts]
+    size -= (size > 0) & (out[at[ends] - 1] == 32)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[row])
+    full = size > 0
+    start, size, row, number = start[full], size[full], row[full], number[full]
+    wide = None
+    if points is not None:
+        places = np.flatnonzero(points > 255)
+        line = np.searchsorted(start, at[places], "right") - 1
+        wide = line, at[places] - start[line], points[places].astype(np.uint64)
+    return Lines(out, start, size, row, number, wide)
+
+
+def line_shingles(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of SHINGLE characters as they stand in the lines, repeats included, and their bounds by line.
+
+    Eight characters up to 255 are their own hash; one beyond adds a random number for its code point and place."""
+    made = np.maximum(lines.size - SHINGLE + 1, 1)
+    bounds = np.zeros(len(made) + 1, np.int64)
+    np.cumsum(made, out=bounds[1:])
+    values = lines.eights[K.ragged(lines.start, made)]
+    short = np.flatnonzero(lines.size < SHINGLE)
+    values[bounds[short]] &= _ALL >> (np.uint64(64) - np.uint64(8) * lines.size[short].astype(np.uint64))
+    with np.errstate(over="ignore"):
+        if lines.wide is not None:
+            line, place, point = lines.wide
+            for k in range(SHINGLE):  # the character is the k-th of its window
+                inside = (place >= k) & (place - k < made[line])
+                values[bounds[line[inside]] + place[inside] - k] += K.mix(point[inside] * np.uint64(SHINGLE) + np.uint64(k))
+        values[bounds[short]] = K.mix(values[bounds[short]] + lines.size[short].astype(np.uint64))
+    return values, bounds
+
+
+def line_digests(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line, as two columns: sums over its blocks of eight characters, with their places."""
+    blocks = (lines.size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    values = lines.eights[np.repeat(lines.start, blocks) + 8 * place]
+    values[first + blocks - 1] &= _ALL >> ((8 * blocks - lines.size) * 8).astype(np.uint64)
+    place, size, out = place.astype(np.uint64), lines.size.astype(np.uint64), []
+    with np.errstate(over="ignore"):
+        for factor, c in ((1, 0x9E3779B97F4A7C15), (0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F)):
+            sums = np.add.reduceat(K.mix(values * np.uint64(factor) + place * np.uint64(c)), first) if len(first) else np.zeros(0, np.uint64)
+            if lines.wide is not None:
+                line, at, point = lines.wide
+                np.add.at(sums, line, K.mix(point * np.uint64(factor) + K.mix((at + 1).astype(np.uint64) * np.uint64(c))))
+            out.append(K.mix(sums + size).view(np.int64))
+    return out[0], out[1]
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of the normalised lines, one line a row: sorted hashes of shingles of SHINGLE characters, and their bounds."""
-    return K.distinct_short(*line_shingles(data, offsets))
-
-
-def line_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same as they stand in the lines, repeats included; a hash has 48 bits."""
-    n_rows = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    lead = np.cumsum((data & 0xC0) != 0x80)
-    at = np.concatenate([[0], lead])[offsets]  # row bounds in characters
-    white = _WHITE[np.minimum(points, 33)]
-    after_word = np.concatenate([[False], ~white[:-1]])
-    after_word[at[:-1][at[:-1] < len(points)]] = False
-    keep = ~white | after_word  # one space for each run between words, and at an end
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    bounds, points, white = kept[at], points[keep], white[keep]
-    points[white] = 32
-    points += 32 * ((points - 65) <= 25).astype(np.uint32)  # unsigned: below 65 it wraps
-    sizes = np.diff(bounds)
-    last = bounds[1:] - 1
-    trailing = (sizes > 0) & white[np.maximum(last, 0)]
-    sizes = sizes - trailing
-    made = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, (sizes > 0).astype(np.int64))
-    out = np.zeros(n_rows + 1, np.int64)
-    np.cumsum(made, out=out[1:])
-    with np.errstate(over="ignore"):
-        h = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
-        tails = [K.mix(np.uint64(7) + K.row_sums(h * (np.arange(len(h), dtype=np.uint64) - np.uint64(bounds[k]) + np.uint64(3)), np.array([bounds[k], bounds[k] + sizes[k]]))) for k in short.tolist()]
-        step, factor = 1, 0xD6E8FEB86659FD93
-        while step < SHINGLE:  # a polynomial of the characters, by doubling
-            h = h[:-step] * np.uint64(factor) + h[step:] if len(h) > step else h[:0]
-            step, factor = 2 * step, factor * factor & 0xFFFFFFFFFFFFFFFF
-    h = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
-    values = h[K.ragged(bounds[:-1], made)]
-    for k, v in zip(short.tolist(), tails, strict=True):
-        values[out[k]] = v[0]
-    return values & ~np.uint64(0xFFFF), out
-
-
-METHOD = Method(sets=line_sets, part=80, bands=10, rows=4, sketch_slots=32)
-
-
-def spans_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the lines that hold a word, their rows and their numbers in the row, from 0."""
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    feeds = np.flatnonzero(data == 10)
-    starts = np.union1d(offsets[:-1], feeds + 1)
-    starts = starts[starts < len(data)]
-    ends = np.concatenate([starts[1:], [len(data)]])
-    ends = ends - (data[ends - 1] == 10)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    before = np.searchsorted(feeds, starts, "left")
-    number = before - np.searchsorted(feeds, offsets[row], "left")
-    words = np.concatenate([[0], np.cumsum(~K.IS_SPACE[data])])
-    full = words[ends] > words[starts]
-    return starts[full], ends[full], row[full], number[full]
+    """Sets of rows that hold one line each: sorted hashes of 48 bits, and their bounds."""
+    lines = read_lines(data, offsets)
+    values, bounds = line_shingles(lines)
+    return K.distinct_short(K.mix(values), _by_row(lines, bounds, len(offsets) - 1))
 
 
-def _lines(documents: DataFrame, id_column: str) -> DataFrame:
-    """(id, line, hi, lo, sig) of all lines that aren't blank."""
+def signed_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What signatures of rows of one line each are made from: the shingles with repeats."""
+    lines = read_lines(data, offsets)
+    values, bounds = line_shingles(lines)
+    return values, _by_row(lines, bounds, len(offsets) - 1)
+
+
+def _by_row(lines: Lines, bounds: np.ndarray, rows: int) -> np.ndarray:
+    return bounds[np.searchsorted(lines.row, np.arange(rows + 1))]
+
+
+METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, signed=signed_shingles)
+
+
+def _lines(documents: DataFrame, id_column: str, signed: bool) -> DataFrame:
+    """(id, line, hi, lo) of all lines that aren't blank; with ``signed`` also the bands, null for lines that a batch has before."""
+    names = ["id", "line", "hi", "lo", *(band_names(METHOD) if signed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, offsets in K.chunks(batch.column(1)):
-                starts, ends, row, number = spans_of_lines(data, offsets)
-                cut = np.zeros(len(starts) + 1, np.int64)
-                np.cumsum(ends - starts, out=cut[1:])
-                # A signature is the same with repeats.
-                values, bounds = line_shingles(data[K.ragged(starts, ends - starts)], cut)
-                sig = K.super_minhash(values, bounds, METHOD.slots)
-                digests = line_digests(data, offsets, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests), binary(sig.astype("<u2"))], ["id", "line", "hi", "lo", "sig"])
+            seen: set[tuple[int, int]] = set()
+            for a, _, data, offsets in K.chunks(batch.column(1), CHUNK):
+                lines = read_lines(data, offsets)
+                hi, lo = line_digests(lines)
+                columns = [batch.column(0).take(pa.array(lines.row + a)), pa.array(lines.number.astype(np.int32)), pa.array(hi), pa.array(lo)]
+                if signed:
+                    own = list(zip(hi.tolist(), lo.tolist(), strict=True))
+                    new = np.array([not (k in seen or seen.add(k)) for k in own], bool)
+                    place = np.where(new, np.cumsum(new) - 1, 0)
+                    fresh = Lines(lines.text, lines.start[new], lines.size[new], lines.row[new], lines.number[new], _of(lines.wide, new))
+                    bands = bands_of(K.super_minhash(*line_shingles(fresh), METHOD.slots), METHOD)
+                    columns += [pa.array(b[place] if len(b) else np.zeros(len(new), np.int64), mask=~new) for b in bands]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long, sig binary")
+    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, " + ", ".join(f"{k} long" for k in names[2:]))
+
+
+def _of(wide: tuple[np.ndarray, np.ndarray, np.ndarray] | None, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The characters beyond 255 of the chosen lines."""
+    if wide is None:
+        return None
+    inside = chosen[wide[0]]
+    return (np.cumsum(chosen) - 1)[wide[0][inside]], wide[1][inside], wide[2][inside]
 
 
-def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN202
+def _place(kind: T.DataType) -> tuple[Column, Callable[[str], tuple[Column, Column]]]:
+    """A value that orders places by id and line (null without id), and how to get both back from it.
+
+    For integers it is one number, which Spark aggregates by hash."""
+    if not isinstance(kind, T.IntegralType):
+        return F.when(F.col("id").isNotNull(), F.struct("id", "line")), lambda c: (F.col(f"{c}.id"), F.col(f"{c}.line"))
+    size = F.lit(1 << 32).cast("decimal(10,0)")
+    line = lambda c: F.pmod(F.col(c), size)
+    return F.col("id").cast("decimal(20,0)") * size + F.col("line"), lambda c: (((F.col(c) - line(c)) / size).cast(kind), line(c).cast("int"))
+
+
+def _fetch(units: DataFrame, documents: DataFrame, id_column: str) -> Fetch:
     """Texts of lines, cut from the documents of their first occurrences; a document is read once for all its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids, texts = [], []
-            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for wanted, text in zip(batch.column(0).to_pylist(), K.strings(batch.column(1)), strict=True):
                 lines = (text or "").split("\n")
                 for x in wanted:
                     if x["line"] < len(lines):
@@ -133,60 +219,52 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str):  # noqa: ANN
                         texts.append(lines[x["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(texts, pa.string())], ["uid", "text"])
 
+    def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in K.chunks(batch.column(0), CHUNK):
+                lines = read_lines(data, offsets)
+                whole = [(x or "").split("\n") for x in K.strings(batch.column(0).slice(a, b - a))]
+                texts = [whole[r][k] for r, k in zip(lines.row.tolist(), lines.number.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, line_digests(lines)), pa.array(texts, pa.string())], ["hi", "lo", "text"])
+
     def fetch(wanted: DataFrame) -> DataFrame:
-        places = wanted.join(units.select("uid", "first"), "uid")
-        by_document = places.groupBy(F.col("first.id").alias("__id")).agg(F.collect_list(F.struct("uid", F.col("first.line").alias("line"))).alias("wanted"))
+        places = wanted.join(units.where("place is not null").select("uid", "place"), "uid")
+        of_place = _place(documents.schema[id_column].dataType)[1]
+        by_document = places.select("uid", of_place("place")[0].alias("__id"), of_place("place")[1].alias("line")).groupBy("__id").agg(F.collect_list(F.struct("uid", "line")).alias("wanted"))
         whole = documents.select(F.col(id_column).alias("__id"), "text").join(by_document.hint("merge"), "__id")
-        return whole.select("wanted", "text").mapInArrow(run, "uid long, text string")
+        out = whole.select("wanted", "text").mapInArrow(run, "uid long, text string")
+        lost = units.where("place is null")
+        if lost.isEmpty():
+            return out
+        # Lines of rows without id only: those rows are read again and told by their digests.
+        found = documents.where(F.col(id_column).isNull()).select("text").mapInArrow(nameless, "hi long, lo long, text string")
+        found = found.join(lost.join(wanted, "uid", "left_semi").select("hi", "lo", "uid"), ["hi", "lo"])
+        return out.unionByName(found.select("uid", "text").dropDuplicates(["uid"]))
 
     return fetch
 
 
 def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """(id, lines array<int>): numbers of the lines to remove, by document that has any."""
-    found = _lines(documents, id_column)
-    units = found.groupBy("hi", "lo").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    place, _ = _place(documents.schema[id_column].dataType)
+    found, bands = _lines(documents, id_column, signed=True), band_names(METHOD)
+    units = found.groupBy("hi", "lo").agg(
+        F.min(place).alias("place"), F.max(F.col("id").isNull()).alias("nameless"), F.count("*").alias("n"), *[F.first(k, ignorenulls=True).alias(k) for k in bands]
+    )
     units = scratch.keep(units.withColumn("uid", F.monotonically_increasing_id()))
-    component = links(scratch, units.select("uid", "sig"), _fetch(units, documents, id_column), METHOD)
+    component = links(scratch, units.select("uid", *bands), _fetch(units, documents, id_column), METHOD)
     # A line that occurs once and links with nothing has nothing to remove.
-    placed = units.select("uid", "hi", "lo", "first", "n").join(component, "uid", "left").where("n > 1 or component is not null")
+    placed = units.select("uid", "hi", "lo", "place", "nameless", "n").join(component, "uid", "left").where("n > 1 or component is not null")
     placed = scratch.keep(placed.withColumn("component", F.coalesce("component", "uid")))
     scratch.free(units)
-    least = scratch.keep(placed.groupBy("component").agg(F.min("first").alias("keeper")))
+    # Rows without id rank first: beside a line of theirs, no other stays.
+    keeper = F.when(~F.max("nameless"), F.min("place"))
+    least = scratch.keep(placed.groupBy("component").agg(keeper.alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))
-    first = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("line") == F.col("keeper.line"))
-    places = documents_lines(documents, id_column).join(keeper, ["hi", "lo"]).where(~first)
+    places = _lines(documents, id_column, signed=False).where("id is not null").join(keeper, ["hi", "lo"]).where(~place.eqNullSafe(F.col("keeper")))
     return places.groupBy(F.col("id").alias("__lines_id")).agg(F.collect_list("line").alias("__lines"))
 
 
-def documents_lines(documents: DataFrame, id_column: str) -> DataFrame:
-    """(id, line, hi, lo) of all lines that aren't blank, without signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, _, data, offsets in K.chunks(batch.column(1)):
-                starts, _, row, number = spans_of_lines(data, offsets)
-                digests = line_digests(data, offsets, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32)), *map(pa.array, digests)], ["id", "line", "hi", "lo"])
-
-    kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, hi long, lo long")
-
-
-def line_digests(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """128 bits of each line's lower-cased words, as two columns."""
-    w_start, w_end = K.spans_of_words(data, offsets)
-    first = np.concatenate([np.searchsorted(w_start, starts), [len(w_start)]]).astype(np.int64)
-    count = np.diff(first)
-    place = (np.arange(len(w_start)) - np.repeat(first[:-1], count)).astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
-    words = K.hash_spans(data, w_start, w_end, K.LOWER_TABLE)
-    out = []
-    with np.errstate(over="ignore"):
-        for factor, c in ((1, 0x9E3779B97F4A7C15), (0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F)):
-            out.append(K.mix(K.row_sums(K.mix(words * np.uint64(factor) + place * np.uint64(c)), first) + count.astype(np.uint64)).view(np.int64))
-    return out
-
-
 def dedup_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", report: bool = True) -> DataFrame:
     """documents without the removed lines; with ``report`` also ``removed_lines``: their numbers in the original text, from 0."""
     removed = removed_lines(documents, scratch, id_column)
@@ -202,12 +280,14 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id
             texts = column
             if changed:
                 new = []
-                for k, text in zip(changed, column.take(pa.array(changed)).to_pylist(), strict=True):
+                # As bytes: what is no UTF-8 stays as it is.
+                for k, text in zip(changed, column.take(pa.array(changed)).cast(pa.binary()).to_pylist(), strict=True):
                     drop = set(gone[k])
-                    new.append("\n".join([x for j, x in enumerate((text or "").split("\n")) if j not in drop]))
+                    new.append(b"\n".join([x for j, x in enumerate((text or b"").split(b"\n")) if j not in drop]))
                 mask = np.zeros(len(gone), bool)
                 mask[changed] = True
-                texts = pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
+                new = pa.Array.from_buffers(column.type, len(new), pa.array(new, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).buffers())
+                texts = pc.replace_with_mask(column, pa.array(mask), new)
             names = [x for x in batch.schema.names if x != "__lines"]
             arrays = [texts if x == "text" else batch.column(x) for x in names]
             if report:

@@ -12,11 +12,13 @@ Units (documents, lines) are sets of shingles. Equal sets are one unit. The rest
    the components, and all such pairs that sketch and size allow are verified; further links join the components. Here
    rows carry a parity sketch too, which proves most pairs of dissimilar sets to be below the threshold.
 
-A bucket of more than GROUP units is dealt over several groups by a hash in step 2, and by pairs of parts in step 4, so
-that no task holds more than a fixed number of units and no pair is lost.
+In step 2 a batch with many units of one bucket pairs them itself and sends their leaders only, and a bucket has at most
+LEADERS of them; units that none of these takes are left to step 4. There a bucket of one component has nothing to
+compare and goes first; one of more than GROUP units is dealt by parts: those of its largest component against those of
+all others, and these among each other. So no task holds more than a fixed number of units, and no pair is lost.
 
-With 32 bands of 4 slots a pair at a similarity of 0.75 shares no bucket with a probability of 5e-6. In step 4 a pair is
-given by the first bucket that it shares, told by 16 bits a band, which overlooks a pair with a probability below 5e-4.
+With 32 bands of 4 slots a pair at a similarity of 0.75 shares no bucket with a probability of 5e-6; sketches rule out a
+pair at the threshold with a probability of 3e-6.
 
 Defined results: a text that is null, empty or without words has the empty set and no links; fewer than five words are
 one shingle; rows that share an id are one document; a row without an id takes the group of its set, is never the one
@@ -47,22 +49,26 @@ def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return K.distinct_by_row(*K.shingles(words, K.rows_of(starts, offsets), 5))
 
 
+#: Slots of a band: four of 16 bits are one long.
+ROWS = 4
+
+
 @dataclass(frozen=True)
 class Method:
-    """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ``rows`` slots;
-    ``parity_bits`` and ``sketch_slots``: lengths of the sketches."""
+    """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ROWS slots; ``parity_bits``
+    and ``sketch_slots``: lengths of the sketches; ``signed``: what signatures are made from, if not the sets."""
 
     sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_sets
     part: int = 75
     whole: int = 100
     bands: int = 32
-    rows: int = 4
     parity_bits: int = 512
     sketch_slots: int = 64
+    signed: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
 
     @property
     def slots(self) -> int:
-        return self.bands * self.rows
+        return self.bands * ROWS
 
 
 #: Units that one group of step 4 may have; larger buckets are dealt over several groups.
@@ -90,8 +96,19 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(rows)])
 
 
+def band_names(method: Method) -> list[str]:
+    """Columns of a signature: the slots of each band as one long."""
+    return [f"band{k}" for k in range(method.bands)]
+
+
+def bands_of(sig: np.ndarray, method: Method) -> np.ndarray:
+    """For each band, the slots of all rows as 64-bit values."""
+    return np.ascontiguousarray(np.ascontiguousarray(sig, "<u2").reshape(len(sig), -1).view("<i8").reshape(len(sig), method.bands).T)
+
+
 def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
-    """(keys, n_shingles, set_hi, set_lo, sig): size, 128-bit digest and signature of each text's set."""
+    """(keys, n_shingles, set_hi, set_lo, bands): size, 128-bit digest and signature of each text's set."""
+    names = [*keys, "n_shingles", "set_hi", "set_lo", *band_names(method)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,30 +119,30 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                     hi = K.row_sums(K.mix(values + np.uint64(0xA24BAED4963EE407)), bounds)
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary(sig.astype("<u2"))],
-                    [*keys, "n_shingles", "set_hi", "set_lo", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *map(pa.array, bands_of(sig, method))], names)
 
-    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in ("n_shingles", "set_hi", "set_lo")], T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in names[len(keys) :]]])
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
-def band_keys(method: Method) -> Column:
-    size = 2 * method.rows
-    return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * size + 1, size)) for k in range(method.bands)])
+def band_keys(method: Method, bands: int | None = None) -> Column:
+    return F.array(*[F.xxhash64(F.lit(k), name) for k, name in enumerate(band_names(method)[:bands])])
 
 
 #: From a table (uid) of distinct units, (uid, text).
 Fetch = Callable[[DataFrame], DataFrame]
 
 
+#: Partners of a unit that one group of pairs to verify has; the unit's text is sent once for each group.
+PARTNERS = 64
+
+
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Method) -> DataFrame:
     """Those pairs (a, b) whose sets reach the threshold. ``texts``: (uid, text) of all units in pairs.
 
     Each pair's texts meet at its first unit. A unit with many partners is dealt over several groups.
     """
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(256)).alias("fan"))
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("fan"))
     dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).alias("salt"))
     dealt = scratch.keep(dealt)
     wanted = dealt.select("a", "salt", F.col("b").alias("uid"), F.lit(1).alias("member")).unionByName(
@@ -194,14 +211,17 @@ _PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
 
 def _leaders(method: Method, entries: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In each group (a run of entries), an entry is paired with the first one whose sketch is near; if there is none, it
-    leads those after it. Returns positions of pairs, and of the leaders."""
+    leads those after it. What LEADERS have not taken stays without a partner here. Returns positions of pairs, and of
+    the leaders."""
     sketch = entries["sketch"]
     two = head[size == 2]
     near = _near(method, sketch[two], sketch[two + 1], LIKELY)
     left, right, lead = [two[near]], [two[near] + 1], [two, two[~near] + 1]
     for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         rest = np.arange(h, h + n)
-        while len(rest):
+        for _ in range(LEADERS):
+            if not len(rest):
+                break
             lead.append(rest[:1])
             rest, first = rest[1:], rest[0]
             if len(rest):
@@ -218,10 +238,17 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.diff(np.concatenate([head, [len(key)]]))
 
 
+#: Entries of a group that others are compared with in step 2, which bounds its time; step 4 goes through what is left.
+LEADERS = 64
+
 #: Entries of one bucket in one batch from which they are paired on the map side, and only their leaders are sent on.
 LOCAL = 16
 
 
+#: Marks a leader that took others of its bucket on the map side: who has no partner among the leaders may have one there.
+FOLLOWED = np.int64(-(1 << 63))
+
+
 def _possible(method: Method, sketch: np.ndarray, alone: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which of the entries ``alone`` have a possible partner in their group (in a large group: all of them)."""
     out = np.zeros(len(alone), bool)
@@ -260,18 +287,13 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            slots = np.ascontiguousarray(_matrix(batch.column(1)))
-            sig = slots.view(np.uint64).reshape(n, -1)
-            per = 2 * method.rows // 8
+            sig = np.stack([batch.column(k + 1).to_numpy() for k in range(method.bands)], axis=1).view(np.uint64)
             entries = np.empty((n, method.bands), entry)
             with np.errstate(over="ignore"):
-                key = np.broadcast_to(seeds, (n, method.bands)).copy()
-                for k in range(per):
-                    key = K.mix(key + K.mix(sig[:, k::per]))
-            entries["key"], entries["uid"], entries["sketch"] = key, batch.column(0).to_numpy()[:, None], sketches(slots.view("<u2"), method.sketch_slots)[:, None, :]
+                entries["key"] = K.mix(seeds + K.mix(sig))
+            entries["uid"], entries["sketch"] = batch.column(0).to_numpy()[:, None], sketches(sig.view("<u2"), method.sketch_slots)[:, None, :]
             entries = entries.ravel()
-            order = np.argsort(entries["key"], kind="stable")
-            entries = entries[order]
+            entries = entries[np.argsort(entries["key"])]
             head, size = _runs(entries["key"])
             out = []
             if (size >= LOCAL).any():
@@ -279,6 +301,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
                 pairs = np.empty(len(left), _PAIR)
                 pairs["u"], pairs["v"] = entries["uid"][left], entries["uid"][right]
                 out += packed(1, (pairs["u"] % ranges).astype(np.int32), pairs)
+                entries["uid"][left] |= FOLLOWED
                 stays = np.ones(len(entries), bool)
                 stays[right] = False
                 entries = entries[stays]
@@ -293,13 +316,18 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
             entries = np.frombuffer(b"".join(held.pop(0, [])), entry)
             given = np.frombuffer(b"".join(held.pop(1, [])), _PAIR)
             entries = entries[np.argsort(entries["key"], kind="stable")]
+            followed = entries["uid"] < 0
+            entries["uid"] &= ~FOLLOWED
             head, size = _runs(entries["key"])
             many = size > 1
             left, right, _ = _leaders(method, entries, head[many], size[many]) if many.any() else (np.zeros(0, np.int64),) * 3
             alone = np.zeros(len(entries), bool)
             alone[K.ragged(head[many], size[many])] = True
             alone[left] = alone[right] = False
-            own = np.unique(entries["uid"][_possible(method, entries["sketch"], alone, head[many], size[many])])
+            noted = _possible(method, entries["sketch"], alone, head[many], size[many])
+            if followed.any():
+                noted |= alone & np.repeat(np.logical_or.reduceat(followed, head), size)
+            own = np.unique(entries["uid"][noted])
             u = np.concatenate([given["u"], entries["uid"][left], own])
             v = np.concatenate([given["v"], entries["uid"][right], own])
             if len(u):
@@ -316,7 +344,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
         if held:
             yield from close()
 
-    sent = units.select("uid", "sig").mapInArrow(pack, "part int, kind int, rows binary")
+    sent = units.select("uid", *band_names(method)).mapInArrow(pack, "part int, kind int, rows binary")
     met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(pair, "a long, b long")
     return met.distinct()
 
@@ -373,7 +401,6 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
 
     def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sketch, sets, side = _matrix(t["sketch"]), t["n_shingles"].to_numpy(), t["side"].to_numpy()
-        marks, band = _matrix(t["marks"]).view("<u2"), t["band"].to_numpy()
         parity = np.ascontiguousarray(_matrix(t["parity"])).view(np.uint64)
         component = t["component"].to_numpy()
         left, right, gap = [], [], []
@@ -399,11 +426,9 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
             i, differing = i[allowed], differing[allowed]
             near = _near(method, sketch[i], sketch[i + d], POSSIBLE)
             i, differing = i[near], differing[near]
-            # A pair that shares several buckets is given by the first of them.
-            later = ((marks[i] == marks[i + d]) & (np.arange(method.bands)[None, :] < band[i][:, None])).any(axis=1)
-            left.append(i[~later])
-            right.append(i[~later] + d)
-            gap.append(differing[~later])
+            left.append(i)
+            right.append(i + d)
+            gap.append(differing)
             if best is not None and sum(map(len, left)) > 1 << 19:
                 left, right, gap = ([x] for x in pruned())
         if best is not None and left:
@@ -413,18 +438,46 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
     return found
 
 
-def _dealt(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (key, uid, ...) sorted by key. A bucket of more than GROUP units is dealt by pairs of its parts, so that each
-    pair meets once and no task holds the bucket."""
-    parts = rows.join(counts, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1).cast("long"))).drop("n")
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("uid"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    parts = parts.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long"))
-    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return parts.withColumn("key", key).drop("other", "parts", "own").repartition("key").sortWithinPartitions("key")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, uid, ...) sorted by key, so that each pair of a bucket from two components meets once and no task holds
+    a large bucket. ``main`` and ``rest``: numbers of parts of the bucket's largest component and of all its others.
+
+    The largest component's rows are not compared with each other: each of its parts meets each part of the others, so a
+    bucket that is one component but for a few rows is dealt in as many rows as it has, and those few by part.
+    """
+    zero, some = F.lit(0).cast("long"), lambda n: F.greatest(F.col(n), F.lit(1).cast("long"))
+    parts = lambda n: F.sequence(zero, some(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("long").alias("side"))
+    inside = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("uid"), F.when(inside, some("main")).otherwise(some("rest")))
+    whole = F.array(place(0, zero, zero, F.lit(-1)))
+    with_rest = F.transform(parts("rest"), lambda x: place(1, own, x, F.lit(0)))
+    with_main = F.transform(parts("main"), lambda x: place(1, x, own, F.lit(1)))
+    each_other = F.transform(parts("rest"), lambda x: place(2, F.least(own, x), F.greatest(own, x), F.when(own == x, -1).otherwise(own)))
+    places = F.when(F.col("main") == 0, whole).when(inside, with_rest).otherwise(F.concat(with_main, each_other))
+    dealt = rows.withColumn("place", F.explode(places))
+    key = F.when(F.col("main") == 0, F.col("key")).otherwise(F.xxhash64("key", "place.kind", "place.i", "place.j"))
+    dealt = dealt.select(key.alias("key"), "uid", "n_shingles", "component", "sketch", "parity", F.col("place.side").alias("side"))
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def _open(scratch: Scratch, facts: DataFrame, component: DataFrame, method: Method, bands: int) -> DataFrame:
+    """(key, uid, facts, component, largest, main, rest) of the units in buckets that hold more than one component."""
+    named = facts.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    keyed = named.select("uid", "component", F.explode(band_keys(method, bands)).alias("key"))
+    several = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+    several = several.where("least <> most").select("key", "n")
+    some = scratch.keep(keyed.join(several, "key"))
+    # Only buckets of more than GROUP units are dealt; their largest components are told by sums before the shuffle.
+    large = some.where(F.col("n") > GROUP).groupBy("key", "component").agg(F.count("*").alias("n"))
+    large = large.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("main"), F.sum("n").alias("n"))
+    large = large.select("key", "largest", F.ceil(F.col("main") / GROUP).alias("main"), F.ceil((F.col("n") - F.col("main")) / GROUP).alias("rest"))
+    some = some.drop("n").join(scratch.keep(large), "key", "left").fillna(0, ["main", "rest"])
+    return some.join(facts.select("uid", "n_shingles", "sketch", "parity"), "uid")
 
 
 def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
-    """(uid, component) of all units that link. ``units``: (uid long, sig), a row for each distinct set."""
+    """(uid, component) of all units that link. ``units``: (uid long, bands), a row for each distinct set."""
     met = scratch.keep(candidates(units, method))
     first = met.where("a <> b")
     shared = met.select(F.col("a").alias("uid")).unionByName(met.select(F.col("b").alias("uid"))).distinct()
@@ -435,14 +488,10 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
     # Units that share a bucket, with their components (a unit without links is its own): first the best pairs across
     # components, which join most of what is still apart, then all pairs that are left.
     facts = scratch.keep(described(texts, method))
-    bands = lambda df: df.select("uid", F.explode(band_keys(method)).alias("key"))
-    large = scratch.keep(bands(facts).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
     tried = first
     for best in (BEST, None):
-        named = facts.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        keys = band_keys(method) if best is None else F.slice(band_keys(method), 1, max(1, method.bands // FIRST_BANDS))
-        rows = named.select("uid", "n_shingles", "component", "sketch", "parity", "marks", F.posexplode(keys).alias("band", "key"))
-        more = scratch.keep(_groups(_dealt(rows, large), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
+        rows = _open(scratch, facts, component, method, method.bands if best is None else max(1, method.bands // FIRST_BANDS))
+        more = scratch.keep(_groups(_dealt(rows), _across(method, best)).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         linked = scratch.keep(verified(scratch, more, texts, method))
@@ -451,26 +500,24 @@ def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> D
             # Components are stars already: their edges stand for all links found before.
             stars = component.select(F.col("component").alias("a"), F.col("uid").alias("b"))
             component = scratch.keep(connected(scratch, stars.unionByName(linked)))
-    scratch.free(met, texts, facts, large)
+    scratch.free(met, texts, facts)
     return component
 
 
 def described(texts: DataFrame, method: Method) -> DataFrame:
-    """(uid, n_shingles, sig, sketch, parity, marks) of (uid, text). ``marks``: 16 bits of each band."""
+    """(uid, n_shingles, sketch, parity, bands) of (uid, text)."""
+    names = ["uid", "n_shingles", "sketch", "parity", *band_names(method)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column(1)):
                 values, bounds = method.sets(data, offsets)
-                sig = K.super_minhash(values, bounds, method.slots)
-                slots = sig.astype("<u2")
-                bands = np.ascontiguousarray(slots).view(np.uint64).reshape(b - a, method.bands, -1)
-                marks = K.mix(np.bitwise_xor.reduce(K.mix(bands + np.arange(bands.shape[2], dtype=np.uint64)), axis=2)).astype("<u2")
-                made = [binary(slots), binary(sketches(sig, method.sketch_slots)), binary(parities(values, bounds, method.parity_bits)), binary(marks)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made], ["uid", "n_shingles", "sig", "sketch", "parity", "marks"])
+                sig = K.super_minhash(*(method.signed(data, offsets) if method.signed else (values, bounds)), method.slots)
+                made = [binary(sketches(sig, method.sketch_slots)), binary(parities(values, bounds, method.parity_bits))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made, *map(pa.array, bands_of(sig, method))], names)
 
     # Rows that share an id may have several texts here; one of them stands for the unit in this search.
-    return texts.select("uid", "text").mapInArrow(run, "uid long, n_shingles long, sig binary, sketch binary, parity binary, marks binary").dropDuplicates(["uid"])
+    return texts.select("uid", "text").mapInArrow(run, "uid long, n_shingles long, sketch binary, parity binary, " + ", ".join(f"{k} long" for k in band_names(method))).dropDuplicates(["uid"])
 
 
 def least_of(placed: DataFrame, value: str) -> DataFrame:
@@ -483,14 +530,22 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
     texts = documents.select(id_column, "text")
     features = scratch.keep(signatures(texts, [id_column], method))
     same = ["n_shingles", "set_hi", "set_lo"]
-    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), F.first("sig").alias("sig"))
+    bands = band_names(method)
+    sets = features.where("n_shingles > 0").groupBy(*same).agg(F.min(id_column).alias("first"), *[F.first(k).alias(k) for k in bands])
     sets = scratch.keep(sets.withColumn("uid", F.monotonically_increasing_id()))
     ids = sets.select("uid", "first")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        return wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).select("uid", "text")
-
-    component = links(scratch, sets.select("uid", "sig"), fetch, method)
+        named = wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).select("uid", "text")
+        lost = sets.where("first is null")
+        if lost.isEmpty():
+            return named
+        # Sets of rows without id only: those rows are read again and told by their digests.
+        nameless = signatures(texts.where(F.col(id_column).isNull()).withColumn("whole", F.col("text")), ["whole"], method)
+        nameless = nameless.join(lost.select("uid", *same), same).select("uid", F.col("whole").alias("text")).dropDuplicates(["uid"])
+        return named.unionByName(nameless.join(wanted, "uid", "left_semi"))
+
+    component = links(scratch, sets.select("uid", *bands), fetch, method)
     placed = sets.select(*same, "uid", "first").join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = scratch.keep(least_of(placed, "first"))
     labelled = scratch.keep(placed.join(least, "component").select(*same, F.col("least").alias("component_id")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Workers get this package, and Arrow batches are bounded by bytes as well, so that long texts don't meet in one."""
+    """Workers get this package; Arrow batches are bounded by bytes as well, so that long texts don't meet in one; shuffle
+    files of a finished step are deleted. The settings are the session's, as results are lazy and need them when they run."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,13 +44,10 @@ class Scratch:
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write the rows as Parquet and read them again."""
+        """Write the rows as Parquet and read them again. Most columns are hashes, for which dictionaries are no use."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        # Shuffle files of finished steps go when the driver's references to them do.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out

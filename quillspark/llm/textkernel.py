@@ -55,6 +55,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """The same written over x, which is at its place afterwards; returns an array of its size to use again."""
+    held = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, U64(shift), out=held)
+        x ^= held
+        if factor > 1:
+            with np.errstate(over="ignore"):
+                x *= U64(factor)
+    return held
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; a null row has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,6 +112,29 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         give_back()
 
 
+def valid_text(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+    """The rows and their text as one string; what is no UTF-8 in a row is replaced by U+FFFD."""
+    raw = data.tobytes()
+    try:
+        inner = offsets[:-1][offsets[:-1] < len(data)]
+        if ((data[inner] & 0xC0) == 0x80).any():  # a character across two rows is none
+            raise UnicodeDecodeError("utf-8", b"", 0, 0, "row")
+        return data, offsets, raw.decode()
+    except UnicodeDecodeError:
+        rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        sizes = [len(x.encode()) for x in rows]
+        text = "".join(rows)
+        return np.frombuffer(text.encode(), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), text
+
+
+def strings(column: pa.Array) -> list[str | None]:
+    """Values of a string column; what is no UTF-8 is replaced by U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes outside 0x20 and 0x09-0x0D, none across two rows."""
     n = len(data)
@@ -217,43 +252,43 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     sig = np.full(n * m, full, U64)
     counts = np.diff(bounds)
     row = np.repeat(np.arange(n), counts)
-    active, perm, first_slot = values, None, None
+    active, perm, first, second = values, None, None, None
     for j in range(m):
         if not len(active):
             break
         with np.errstate(over="ignore"):
-            h = mix(active + U64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        k = j + (((h >> U64(32)) * U64(m - j)) >> U64(32)).astype(np.int64)
+            h = active + U64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        held = mix_in_place(h)
+        np.right_shift(h, U64(32), out=held)
+        held *= U64(m - j)
+        held >>= U64(32)
+        draw = held.view(np.int64)
+        draw += j
         if j == 0:
-            slot = first_slot = k
-        elif j == 1:  # after the first swap only positions 0 and first_slot have moved
-            slot = np.where(k == first_slot, 0, k)
+            slot = first = draw
+        elif j == 1:  # after the first swap only positions 0 and first have moved
+            slot, second = np.where(draw == first, 0, draw), draw
         else:
+            at = np.arange(len(active))
             if perm is None:
                 perm = np.tile(np.arange(m, dtype=np.int16), (len(active), 1))
-                at = np.arange(len(active))
-                for step, draw in ((0, first_slot), (1, second)):
-                    held = perm[at, draw]
-                    perm[at, draw] = perm[at, step]
-                    perm[at, step] = held
-            at = np.arange(len(active))
-            slot = perm[at, k].astype(np.int64)
-            perm[at, k] = perm[at, j]
+                for step, drawn in ((0, first), (1, second)):
+                    moved = perm[at, drawn]
+                    perm[at, drawn] = perm[at, step]
+                    perm[at, step] = moved
+            slot = perm[at, draw].astype(np.int64)
+            perm[at, draw] = perm[at, j]
             perm[at, j] = slot
-        rank = (U64(j) << U64(32)) | (h & U64(0xFFFFFFFF))
-        np.minimum.at(sig, row * m + slot, rank)
+        h &= U64(0xFFFFFFFF)
+        h |= U64(j << 32)
+        np.minimum.at(sig, row * m + slot, h)
         going = (sig.reshape(n, m).max(axis=1) >= (U64(j + 1) << U64(32))) & (counts > 0)
-        if j + 1 < m:
-            stay = going[row]
-            if not stay.all():
-                active, row = active[stay], row[stay]
-                first_slot = first_slot[stay]
-                if j >= 1:
-                    second = k[stay] if j == 1 else second[stay]
-                if perm is not None:
-                    perm = perm[stay]
-            elif j == 1:
-                second = k
+        if not going.any():
+            break
+        stay = np.repeat(going, counts) if j == 0 else going[row]
+        if not stay.all():
+            active, row, first = active[stay], row[stay], first[stay]
+            second = None if second is None else second[stay]
+            perm = None if perm is None else perm[stay]
     sig[sig == full] = 0
-    with np.errstate(over="ignore"):
-        return (mix(sig) >> U64(48)).astype(np.uint16).reshape(n, m)
+    return (mix(sig) >> U64(48)).astype(np.uint16).reshape(n, m)
