@@ -160,11 +160,11 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return starts | (white & ahead)
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts of the pre-tokens of rows of UTF-8 text, and for each row the index of its first."""
+def pretokens(data: np.ndarray, offsets: np.ndarray, text: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts of the pre-tokens of rows of UTF-8 text, and for each row the index of its first. ``text``: the same as a string."""
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)  # byte of each character
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    points = np.frombuffer((text if text is not None else data.tobytes().decode()).encode("utf-32-le"), np.uint32)
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     starts = at[boundaries(points, first[at])]
@@ -225,11 +225,11 @@ class Codec:
         self.bounds.append(self.fill)
         return len(self.bounds) - 2
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, text: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, their bounds by row, byte starts of the pre-tokens, and the number of ids of each."""
         if self.fill > 1 << 23:
             self.restart()
-        starts, first = pretokens(data, offsets)
+        starts, first = pretokens(data, offsets, text)
         rows = self.table.rows(data, starts, np.concatenate([starts[1:], [len(data)]]).astype(np.int64)[: len(starts)])
         bounds = np.array(self.bounds)
         low, length = bounds[rows], bounds[rows + 1] - bounds[rows]
@@ -265,7 +265,8 @@ def encode(documents: DataFrame, path: str | None = None, id_column: str = "doc_
         c = codec(path or vocabulary_path())
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column(1)):
-                ids, bounds, starts, length = c.encode(data, offsets)
+                data, offsets, text = K.valid_text(data, offsets)
+                ids, bounds, starts, length = c.encode(data, offsets, text)
                 where = np.repeat(starts, length)
                 where = where - np.repeat(offsets[:-1], np.diff(bounds))
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, where)]
@@ -298,7 +299,8 @@ def digest(documents: DataFrame, path: str | None = None, id_column: str = "doc_
         c = codec(path or vocabulary_path())
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column(1)):
-                ids, bounds, _, _ = c.encode(data, offsets)
+                data, offsets, whole = K.valid_text(data, offsets)
+                ids, bounds, _, _ = c.encode(data, offsets, whole)
                 back, at = c.decode(ids, bounds)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 text = memoryview(back)

@@ -110,7 +110,10 @@ def line_shingles(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     made = np.maximum(lines.size - SHINGLE + 1, 1)
     bounds = np.zeros(len(made) + 1, np.int64)
     np.cumsum(made, out=bounds[1:])
-    values = lines.eights[K.ragged(lines.start, made)]
+    inside = np.zeros(len(lines.text) - SHINGLE + 1, np.int8)  # the ends of lines are no starts of shingles
+    inside[lines.start] += 1
+    inside[lines.start + made] -= 1
+    values = lines.eights[np.cumsum(inside, dtype=np.int8).view(bool)]
     short = np.flatnonzero(lines.size < SHINGLE)
     values[bounds[short]] &= _ALL >> (np.uint64(64) - np.uint64(8) * lines.size[short].astype(np.uint64))
     with np.errstate(over="ignore"):
@@ -162,9 +165,9 @@ def _by_row(lines: Lines, bounds: np.ndarray, rows: int) -> np.ndarray:
 METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, signed=signed_shingles)
 
 
-def _lines(documents: DataFrame, id_column: str, signed: bool) -> DataFrame:
-    """(id, line, hi, lo) of all lines that aren't blank; with ``signed`` also the bands, null for lines that a batch has before."""
-    names = ["id", "line", "hi", "lo", *(band_names(METHOD) if signed else [])]
+def _lines(documents: DataFrame, id_column: str) -> DataFrame:
+    """(id, line, hi, lo, bands) of all lines that aren't blank; the bands are null for lines that a batch has before."""
+    names = ["id", "line", "hi", "lo", *band_names(METHOD)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,13 +176,12 @@ def _lines(documents: DataFrame, id_column: str, signed: bool) -> DataFrame:
                 lines = read_lines(data, offsets)
                 hi, lo = line_digests(lines)
                 columns = [batch.column(0).take(pa.array(lines.row + a)), pa.array(lines.number.astype(np.int32)), pa.array(hi), pa.array(lo)]
-                if signed:
-                    own = list(zip(hi.tolist(), lo.tolist(), strict=True))
-                    new = np.array([not (k in seen or seen.add(k)) for k in own], bool)
-                    place = np.where(new, np.cumsum(new) - 1, 0)
-                    fresh = Lines(lines.text, lines.start[new], lines.size[new], lines.row[new], lines.number[new], _of(lines.wide, new))
-                    bands = bands_of(K.super_minhash(*line_shingles(fresh), METHOD.slots), METHOD)
-                    columns += [pa.array(b[place] if len(b) else np.zeros(len(new), np.int64), mask=~new) for b in bands]
+                own = list(zip(hi.tolist(), lo.tolist(), strict=True))
+                new = np.array([not (k in seen or seen.add(k)) for k in own], bool)
+                place = np.where(new, np.cumsum(new) - 1, 0)
+                fresh = Lines(lines.text, lines.start[new], lines.size[new], lines.row[new], lines.number[new], _of(lines.wide, new))
+                bands = bands_of(K.super_minhash(*line_shingles(fresh), METHOD.slots))
+                columns += [pa.array(b[place] if len(b) else np.zeros(len(new), np.int64), mask=~new) for b in bands]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(documents.dtypes)[id_column]
@@ -247,7 +249,7 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str) -> Fetch:
 def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id") -> DataFrame:
     """(id, lines array<int>): numbers of the lines to remove, by document that has any."""
     place, _ = _place(documents.schema[id_column].dataType)
-    found, bands = _lines(documents, id_column, signed=True), band_names(METHOD)
+    found, bands = scratch.keep(_lines(documents, id_column)), band_names(METHOD)
     units = found.groupBy("hi", "lo").agg(
         F.min(place).alias("place"), F.max(F.col("id").isNull()).alias("nameless"), F.count("*").alias("n"), *[F.first(k, ignorenulls=True).alias(k) for k in bands]
     )
@@ -261,7 +263,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_
     keeper = F.when(~F.max("nameless"), F.min("place"))
     least = scratch.keep(placed.groupBy("component").agg(keeper.alias("keeper")))
     keeper = scratch.keep(placed.join(least, "component").select("hi", "lo", "keeper"))
-    places = _lines(documents, id_column, signed=False).where("id is not null").join(keeper, ["hi", "lo"]).where(~place.eqNullSafe(F.col("keeper")))
+    places = found.select("id", "line", "hi", "lo").where("id is not null").join(keeper, ["hi", "lo"]).where(~place.eqNullSafe(F.col("keeper")))
     return places.groupBy(F.col("id").alias("__lines_id")).agg(F.collect_list("line").alias("__lines"))
 
 

@@ -101,9 +101,9 @@ def band_names(method: Method) -> list[str]:
     return [f"band{k}" for k in range(method.bands)]
 
 
-def bands_of(sig: np.ndarray, method: Method) -> np.ndarray:
+def bands_of(sig: np.ndarray) -> np.ndarray:
     """For each band, the slots of all rows as 64-bit values."""
-    return np.ascontiguousarray(np.ascontiguousarray(sig, "<u2").reshape(len(sig), -1).view("<i8").reshape(len(sig), method.bands).T)
+    return np.ascontiguousarray(np.ascontiguousarray(sig, "<u2").view("<i8").T)
 
 
 def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
@@ -119,7 +119,7 @@ def signatures(texts: DataFrame, keys: list[str], method: Method) -> DataFrame:
                     hi = K.row_sums(K.mix(values + np.uint64(0xA24BAED4963EE407)), bounds)
                     lo = K.row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), bounds)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *map(pa.array, bands_of(sig, method))], names)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(np.diff(bounds)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *map(pa.array, bands_of(sig))], names)
 
     schema = T.StructType([*[texts.schema[k] for k in keys], *[T.StructField(k, T.LongType()) for k in names[len(keys) :]]])
     return texts.select(*keys, "text").mapInArrow(run, schema)
@@ -402,7 +402,8 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
     def found(t: pa.Table, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sketch, sets, side = _matrix(t["sketch"]), t["n_shingles"].to_numpy(), t["side"].to_numpy()
         parity = np.ascontiguousarray(_matrix(t["parity"])).view(np.uint64)
-        component = t["component"].to_numpy()
+        component, band = t["component"].to_numpy(), t["band"].to_numpy()
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(band), -1)
         left, right, gap = [], [], []
 
         def pruned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -426,9 +427,11 @@ def _across(method: Method, best: int | None) -> Callable[[pa.Table, np.ndarray,
             i, differing = i[allowed], differing[allowed]
             near = _near(method, sketch[i], sketch[i + d], POSSIBLE)
             i, differing = i[near], differing[near]
-            left.append(i)
-            right.append(i + d)
-            gap.append(differing)
+            # A pair that shares several buckets is given by the first of them.
+            later = ((bands[i] == bands[i + d]) & (np.arange(method.bands)[None, :] < band[i][:, None])).any(axis=1)
+            left.append(i[~later])
+            right.append(i[~later] + d)
+            gap.append(differing[~later])
             if best is not None and sum(map(len, left)) > 1 << 19:
                 left, right, gap = ([x] for x in pruned())
         if best is not None and left:
@@ -457,14 +460,14 @@ def _dealt(rows: DataFrame) -> DataFrame:
     places = F.when(F.col("main") == 0, whole).when(inside, with_rest).otherwise(F.concat(with_main, each_other))
     dealt = rows.withColumn("place", F.explode(places))
     key = F.when(F.col("main") == 0, F.col("key")).otherwise(F.xxhash64("key", "place.kind", "place.i", "place.j"))
-    dealt = dealt.select(key.alias("key"), "uid", "n_shingles", "component", "sketch", "parity", F.col("place.side").alias("side"))
+    dealt = dealt.select(key.alias("key"), "uid", "n_shingles", "component", "sketch", "parity", "band", "bands", F.col("place.side").alias("side"))
     return dealt.repartition("key").sortWithinPartitions("key")
 
 
 def _open(scratch: Scratch, facts: DataFrame, component: DataFrame, method: Method, bands: int) -> DataFrame:
     """(key, uid, facts, component, largest, main, rest) of the units in buckets that hold more than one component."""
     named = facts.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    keyed = named.select("uid", "component", F.explode(band_keys(method, bands)).alias("key"))
+    keyed = named.select("uid", "component", F.posexplode(band_keys(method, bands)).alias("band", "key"))
     several = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
     several = several.where("least <> most").select("key", "n")
     some = scratch.keep(keyed.join(several, "key"))
@@ -473,7 +476,7 @@ def _open(scratch: Scratch, facts: DataFrame, component: DataFrame, method: Meth
     large = large.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("main"), F.sum("n").alias("n"))
     large = large.select("key", "largest", F.ceil(F.col("main") / GROUP).alias("main"), F.ceil((F.col("n") - F.col("main")) / GROUP).alias("rest"))
     some = some.drop("n").join(scratch.keep(large), "key", "left").fillna(0, ["main", "rest"])
-    return some.join(facts.select("uid", "n_shingles", "sketch", "parity"), "uid")
+    return some.join(facts.select("uid", "n_shingles", "sketch", "parity", F.array(*band_names(method)).alias("bands")), "uid")
 
 
 def links(scratch: Scratch, units: DataFrame, fetch: Fetch, method: Method) -> DataFrame:
@@ -514,10 +517,10 @@ def described(texts: DataFrame, method: Method) -> DataFrame:
                 values, bounds = method.sets(data, offsets)
                 sig = K.super_minhash(*(method.signed(data, offsets) if method.signed else (values, bounds)), method.slots)
                 made = [binary(sketches(sig, method.sketch_slots)), binary(parities(values, bounds, method.parity_bits))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made, *map(pa.array, bands_of(sig, method))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made, *map(pa.array, bands_of(sig))], names)
 
-    # Rows that share an id may have several texts here; one of them stands for the unit in this search.
-    return texts.select("uid", "text").mapInArrow(run, "uid long, n_shingles long, sketch binary, parity binary, " + ", ".join(f"{k} long" for k in band_names(method))).dropDuplicates(["uid"])
+    # Rows that share an id may have several texts here, which are one unit all the same.
+    return texts.select("uid", "text").mapInArrow(run, "uid long, n_shingles long, sketch binary, parity binary, " + ", ".join(f"{k} long" for k in band_names(method)))
 
 
 def least_of(placed: DataFrame, value: str) -> DataFrame:

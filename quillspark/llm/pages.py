@@ -8,7 +8,8 @@ three pages that differ, or a copied text would look like template. Vectors are
 random number of the page times the occurrences is a fingerprint of the vector, so classes come from sums that start
 before the shuffle, and a host with a third of all pages costs no more than another.
 
-Classes are not nested: what a page holds besides blocks of its host's template, the same text at the same place of most
+A class is part of the template only if the places that its tokens stand in are: places are hashes of the place around
+them and their own name, so classes nest as elements do. What a page holds besides blocks of its host's template, the same text at the same place of most
 pages, is its slots. Which slots are the main text is told by tags and names: slots inside a place that names its role
 (menu, header, footer, sidebar, notice, advert, form, comments) are dropped, and if the page marks its main part
 (article, main), the slots inside are the text. A name such as no-comments or has-sidebar names no role, and a place that
@@ -17,7 +18,7 @@ comments beside other text. A marked main part that is template for the most par
 edited copies of one article share more than they differ in.
 
 Defined results: a null or empty page, and one with no text, gives the empty text; a page whose URL is null or names no host has no template;
-unclosed, misnested and cut-off markup is read as far as it goes; pages are read whole; equal pages give equal texts; a
+unclosed, misnested and cut-off markup is read as far as it goes, whatever its depth; what is no UTF-8 reads as U+FFFD; pages are read whole; equal pages give equal texts; a
 host of fewer than three distinct contents has no template and is read by its own structure; other columns are ignored.
 """
 
@@ -28,12 +29,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .runtime import Scratch, table, tune
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -68,14 +69,27 @@ MIN_PAGES = 3
 MIN_CLASS = 2
 
 
+class Role:
+    """A place whose name says that it is not the main text; ``parent`` is the named place around it. Places are numbered as they open."""
+
+    __slots__ = ("number", "parent", "replies")
+
+    def __init__(self, number: int, replies: bool, parent: Role | None) -> None:
+        self.number, self.replies, self.parent = number, replies, parent
+
+
+#: Where no named place is around.
+NOWHERE = Role(0, False, None)
+
+
 class Block:
-    """A block of text; ``roles`` are the named places around it from the outermost, ``above`` how many of them are around
-    the outermost marked main part (-1 without one), ``out`` whether an element's kind rules it out."""
+    """A block of text; ``role`` is the innermost named place around it, ``above`` the one around its outermost marked main
+    part (None without one), ``out`` whether an element's kind rules it out."""
 
-    __slots__ = ("above", "out", "path", "roles", "text")
+    __slots__ = ("above", "out", "path", "role", "text")
 
-    def __init__(self, path: str, text: str, above: int, out: bool, roles: tuple[tuple[int, bool], ...]) -> None:
-        self.path, self.text, self.above, self.out, self.roles = path, text, above, out, roles
+    def __init__(self, path: int, text: str, above: Role | None, out: bool, role: Role) -> None:
+        self.path, self.text, self.above, self.out, self.role = path, text, above, out, role
 
 
 def role_of(value: str) -> str:
@@ -103,12 +117,15 @@ def _names(attributes: str) -> tuple[str, str, bool]:
     return name, role, main
 
 
-def read(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text in order, and the places of opening tags."""
+def read(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Blocks of text in order, and the places of opening tags, each with the place around it.
+
+    A place is a hash of the one around it and of its own name, so depth costs nothing."""
     blocks: list[Block] = []
-    places: list[str] = []
-    # (element, path, named places above the main part, ruled out?, named places)
-    stack: list[tuple[str, str, int, bool, tuple[tuple[int, bool], ...]]] = [("", "", -1, False, ())]
+    places: list[tuple[int, int]] = []
+    # (element, place, named place around the main part, ruled out?, named place)
+    stack: list[tuple[str, int, Role | None, bool, Role]] = [("", 0, None, False, NOWHERE)]
+    opened: dict[str, int] = {}  # how many of an element are on the stack
     held: list[str] = []
     raw: str | None = None
     named = 0
@@ -118,12 +135,17 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             text = _WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                _, path, above, out, roles = stack[-1]
-                blocks.append(Block(path, text, above, out, roles))
+                _, path, above, out, role = stack[-1]
+                blocks.append(Block(path, text, above, out, role))
 
     def close_to(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+
+    def push(name: str, place: int, above: Role | None, out: bool, role: Role) -> None:
+        opened[name] = opened.get(name, 0) + 1
+        stack.append((name, place, above, out, role))
 
     at, size = 0, len(page)
     while at < size:
@@ -145,14 +167,18 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             if name == "br":
                 held.append(" ")
                 continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if not depth:
+            if not opened.get(name):
                 if name not in INLINE:
                     flush()
-            elif name in INLINE and all(x[0] in INLINE for x in stack[depth:]):
-                del stack[depth:]
-            elif name not in INLINE:
-                close_to(depth)
+            elif name in INLINE:
+                depth = len(stack) - 1
+                while stack[depth][0] != name and stack[depth][0] in INLINE:
+                    depth -= 1
+                if stack[depth][0] == name:
+                    while len(stack) > depth:
+                        opened[stack.pop()[0]] -= 1
+            else:
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             continue
         if name == "br":
             held.append(" ")
@@ -162,14 +188,14 @@ def read(page: str) -> tuple[list[Block], list[str]]:
                 flush()
             continue
         if name in INLINE:
-            _, path, above, out, roles = stack[-1]
-            _, role, _ = _names(attributes)
-            if role and not out and not roles:
+            _, path, above, out, role = stack[-1]
+            _, word, _ = _names(attributes)
+            if word and not out and role is NOWHERE:
                 flush()
                 named += 1
-                stack.append((name, path, above, out, (*roles, (named, role in REPLIES))))
-            elif out or roles or name == "label":
-                stack.append((name, path, above, out or name == "label", roles))
+                push(name, path, above, out, Role(named, word in REPLIES, role))
+            elif out or role is not NOWHERE or name == "label":
+                push(name, path, above, out or name == "label", role)
             continue
         if name in SKIPPED:  # no boundary of a block: what stands before and after it reads on
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -183,7 +209,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
         elif name in SIBLINGS:
             ends, bounds = SIBLINGS[name]
             lowest = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ([ends] if isinstance(ends, str) else ends)) else ():
                 if stack[k][0] in bounds:
                     break
                 if stack[k][0] in ends:
@@ -191,21 +217,20 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             if lowest < len(stack):
                 close_to(lowest)
         if name == "body":
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
-            if depth:
-                close_to(depth)
-        label, role, marked = _names(attributes)
-        _, path, above, out, roles = stack[-1]
-        place = f"{path}>{name}{label}"
-        places.append(place)
+            if opened.get("head"):
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"))
+        label, word, marked = _names(attributes)
+        _, path, above, out, role = stack[-1]
+        place = token(str(path), name + label)
+        places.append((place, path))
         if not attributes.rstrip().endswith("/") or name in RAW:
-            if role and name not in ("html", "body", "main"):
+            if word and name not in ("html", "body", "main"):
                 named += 1
-                roles = (*roles, (named, role in REPLIES))
+                role = Role(named, word in REPLIES, role)
             out = out or name in OUT
-            if above < 0 and not out and (name in MAIN or marked):
-                above = len(roles)
-            stack.append((name, place, above, out, roles))
+            if above is None and not out and (name in MAIN or marked):
+                above = role
+            push(name, place, above, out, role)
             if name in RAW:
                 raw = name
     flush()
@@ -216,38 +241,64 @@ def token(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def tokens_of(blocks: list[Block], places: list[str]) -> list[int]:
-    return [token("tag", p) for p in places] + [token("text", b.path, b.text) for b in blocks]
+def text_token(block: Block) -> int:
+    return token("text", str(block.path), block.text)
+
+
+def tokens_of(blocks: list[Block], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tokens with the places that they stand in: opening tags and blocks of text."""
+    return places + [(text_token(b), b.path) for b in blocks]
+
+
+def _around(roles: list[Role]) -> list[Role]:
+    """The named places and all those around them, outer ones first."""
+    found: dict[int, Role] = {}
+    for role in roles:
+        while role is not NOWHERE and role.number not in found:
+            found[role.number] = role
+            role = role.parent
+    return [found[k] for k in sorted(found)]
+
+
+def _within(blocks: list[Block], kept: set[int]) -> set[int]:
+    """Numbers of the named places of blocks that are kept with all those around them; 0 for no place."""
+    fine = {0}
+    for role in _around([b.role for b in blocks] + [b.above for b in blocks if b.above is not None]):
+        if role.number in kept and role.parent.number in fine:
+            fine.add(role.number)
+    return fine
 
 
 def _whole(live: list[Block]) -> set[int]:
     """Named places that are not what their names say: they hold the marked main part, or most of what the page says."""
-    clear = [b for b in live if not b.roles]
+    clear = [b for b in live if b.role is NOWHERE]
     kept: set[int] = set()
-    if not any(b.above == 0 for b in clear):
-        kept = {n for b in live if b.above > 0 for n, replies in b.roles[: b.above] if not (replies and clear)}
-    scope = live
-    if any(b.above >= 0 and all(n in kept for n, _ in b.roles) for b in live):
-        scope = [b for b in live if b.above >= 0 and all(n in kept for n, _ in b.roles[: b.above])]
-    total, sizes = 0, dict[int, int]()
+    if not any(b.above is not None for b in clear):
+        kept = {r.number for r in _around([b.above for b in live if b.above is not None]) if not (r.replies and clear)}
+    scope, fine = live, _within(live, kept)
+    if any(b.above is not None and b.role.number in fine for b in live):
+        scope = [b for b in live if b.above is not None and b.above.number in fine]
+    sizes: dict[int, int] = {}
     for b in scope:
-        total += len(b.text)
-        for n, replies in b.roles:
-            sizes[n] = sizes.get(n, 0) + (0 if replies and clear else len(b.text))
-    return kept | {n for n, size in sizes.items() if 2 * size > total}
+        sizes[b.role.number] = sizes.get(b.role.number, 0) + len(b.text)
+    total = sum(sizes.values())
+    around = _around([b.role for b in scope])
+    for role in reversed(around):  # inner ones first
+        sizes[role.parent.number] = sizes.get(role.parent.number, 0) + sizes.get(role.number, 0)
+    return kept | {r.number for r in around if 2 * sizes.get(r.number, 0) > total and not (r.replies and clear)}
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     blocks, _ = read(page)
     slots = [b for b in blocks if not b.out]
-    if any(b.roles for b in slots):
-        kept = _whole([b for b in slots if token("text", b.path, b.text) not in template])
-        slots = [b for b in slots if all(n in kept for n, _ in b.roles)]
-    marked = any(b.above >= 0 for b in slots)
+    if any(b.role is not NOWHERE for b in slots):
+        fine = _within(slots, _whole([b for b in slots if text_token(b) not in template]))
+        slots = [b for b in slots if b.role.number in fine]
+    marked = any(b.above is not None for b in slots)
     if marked:
-        slots = [b for b in slots if b.above >= 0]
+        slots = [b for b in slots if b.above is not None]
     if template:
-        left = [b for b in slots if token("text", b.path, b.text) not in template]
+        left = [b for b in slots if text_token(b) not in template]
         # A main part that is template for the most part is one of many edited copies, not a frame with little in it.
         if not marked or 2 * sum(len(b.text) for b in left) > sum(len(b.text) for b in slots):
             slots = left
@@ -260,51 +311,74 @@ def host(url: Column) -> Column:
 
 def content_of(blocks: list[Block]) -> int:
     """A fingerprint of what a page says: copies of a text are one content, whatever stands around it."""
-    said = {b.text for b in blocks if not b.out and not b.roles} or {b.text for b in blocks if not b.out} or {b.text for b in blocks}
+    said = {b.text for b in blocks if not b.out and b.role is NOWHERE} or {b.text for b in blocks if not b.out} or {b.text for b in blocks}
     return token("content", *sorted(said))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): the tokens of the valid classes of each host with ``MIN_PAGES`` contents or more.
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(host, content, token, place, n): how often each content of a host holds each token, and the place it stands in.
 
     Copies of a page count once a host, or a text that is copied often would be its host's template. Pages whose URL
     names no host have nothing in common that a template could be taken from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, found, counts = [], [], []
-            for page in batch.column(1).to_pylist():
-                blocks, places = read(page or "")
-                values, n = np.unique(np.array([token("page"), *tokens_of(blocks, places)], np.int64), return_counts=True)
+            contents, found, places, counts = [], [], [], []
+            for page in K.strings(batch.column(1)):
+                blocks, tags = read(page or "")
+                n: dict[tuple[int, int], int] = {(token("page"), 0): 1}
+                for t in tokens_of(blocks, tags):
+                    n[t] = n.get(t, 0) + 1
+                own = sorted(n)
                 contents.append(content_of(blocks))
-                found.append(values.tolist())
-                counts.append(n.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["host", "content", "found", "counts"])
+                found.append([t for t, _ in own])
+                places.append([p for _, p in own])
+                counts.append([n[t] for t in own])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, places, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), *lists], ["host", "content", "found", "places", "counts"])
+
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, content long, found array<long>, places array<long>, counts array<long>")
+    distinct = seen.groupBy("host", "content").agg(F.min(F.struct("found", "places", "counts")).alias("page"))
+    each = distinct.select("host", "content", F.explode(F.arrays_zip("page.found", "page.places", "page.counts")).alias("t"))
+    return each.select("host", "content", F.col("t.found").alias("token"), F.col("t.places").alias("place"), F.col("t.counts").alias("n"))
+
 
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, content long, found array<long>, counts array<long>")
-    distinct = seen.groupBy("host", "content").agg(F.min(F.struct("found", "counts")).alias("page"))
+def classes_of(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, tokens, places, pages, all_pages): the equivalence classes of tokens that MIN_PAGES contents or more hold.
+
+    The sum over contents of a random number times the occurrences is a fingerprint of a token's occurrence vector."""
     random = F.xxhash64(F.lit("page"), "content")
-    each = distinct.select("host", random.alias("random"), F.explode(F.arrays_zip("page.found", "page.counts")).alias("t")).select("host", F.col("t.found").alias("token"), F.col("t.counts").alias("n"), "random")
-    va, vb = F.col("n") * F.shiftrightunsigned("random", 34), F.col("n") * F.col("random").bitwiseAND(F.lit(0x3FFFFFFF))
-    by_token = each.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(va.cast("decimal(38,0)")).alias("va"), F.sum(vb.cast("decimal(38,0)")).alias("vb"))
-    classes = by_token.where(F.col("pages") >= MIN_PAGES).groupBy("host", "pages", "va", "vb").agg(F.collect_list("token").alias("tokens"))
-    # Tokens that most pages of a host hold are no more than twice those of its mean page.
+    va, vb = F.col("n") * F.shiftrightunsigned(random, 34), F.col("n") * random.bitwiseAND(F.lit(0x3FFFFFFF))
+    by_token = found.groupBy("host", "token", "place").agg(F.count("*").alias("pages"), F.sum(va.cast("decimal(38,0)")).alias("va"), F.sum(vb.cast("decimal(38,0)")).alias("vb"))
+    by_token = scratch.keep(by_token.where(F.col("pages") >= MIN_PAGES))
+    classes = by_token.where(F.col("token") != token("page")).groupBy("host", "pages", "va", "vb").agg(F.collect_list(F.struct("token", "place")).alias("tokens"))
     total = by_token.where(F.col("token") == token("page")).select(F.col("host").alias("of_host"), F.col("pages").alias("all_pages"))
-    valid = classes.join(total, F.col("host") == F.col("of_host")).where((F.col("pages") >= MIN_SHARE * F.col("all_pages")) & (F.size("tokens") >= MIN_CLASS))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    return classes.join(total, F.col("host") == F.col("of_host")).select("host", F.col("tokens.token").alias("tokens"), F.col("tokens.place").alias("places"), "pages", "all_pages")
+
+
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, template array<long>): the tokens of the valid classes of each host, nested.
+
+    A class is valid if half of the host's contents hold it, if it has MIN_CLASS tokens (the place that a text stands in
+    counts), and if each place that its tokens stand in is held by the host's template too, or is one of its own."""
+    # Tokens that most pages of a host hold are no more than twice those of its mean page.
+    shared = classes_of(occurrences(pages), scratch).where(F.col("pages") >= MIN_SHARE * F.col("all_pages"))
+    held = shared.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("held"), F.collect_list(F.struct("tokens", "places")).alias("classes"))
+    nested = F.filter("classes", lambda c: (F.size(c["tokens"]) >= MIN_CLASS) & (F.size(F.array_except(F.filter(c["places"], lambda p: p != 0), F.col("held"))) == 0))
+    return held.select("host", F.flatten(F.transform(nested, lambda c: c["tokens"])).alias("template")).where(F.size("template") > 0)
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages."""
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    found = scratch.keep(templates(rows)).withColumnRenamed("host", "of_host")
+    found = scratch.keep(templates(rows, scratch)).withColumnRenamed("host", "of_host")
     joined = rows.join(found, F.col("host") == F.col("of_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, frozenset[int]] = (None, frozenset())
         for batch in batches:
             texts = []
-            for name, page, template in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("template"), strict=True):
+            for name, page, template in zip(batch.column("host").to_pylist(), K.strings(batch.column("html")), batch.column("template"), strict=True):
                 if last[0] != name:
                     last = (name, frozenset(template.as_py() or ()))
                 texts.append(main_text(page or "", last[1]))

@@ -35,7 +35,6 @@ from .runtime import Scratch, table, tune
 WINDOW = 16
 WINNOW = 16
 MIN_WORDS = 20
-_INDEX_BITS = 26
 
 
 def _digests(words_a: np.ndarray, words_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +51,30 @@ def _digests(words_a: np.ndarray, words_b: np.ndarray, width: int) -> tuple[np.n
 
 
 def winnowed(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Indices of the values that are least of WINNOW successive ones of their row (of all, where a row has fewer)."""
+    """Indices of the values that are least of WINNOW successive ones of their row (of all, where a row has fewer); the
+    first one of equals."""
     if not len(values):
         return np.zeros(0, np.int64)
-    index = np.arange(len(values), dtype=np.uint64)
-    low = np.uint64((1 << _INDEX_BITS) - 1)
-    packed = (values & ~low) | index
-    least, step = packed, 1
+    least, index, step = values, np.arange(len(values)), 1
     while step < WINNOW:
-        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+        if len(least) <= step:
+            least = index = index[:0]
+            break
+        earlier = least[:-step] <= least[step:]
+        index = np.where(earlier, index[:-step], index[step:])
+        least = np.minimum(least[:-step], least[step:])
         step *= 2
     chosen = np.zeros(len(values), bool)
     row = np.repeat(np.arange(len(first)), count)
     if len(least):
         inside = row[: len(least)] == row[WINNOW - 1 :]
-        chosen[(least[inside] & low).astype(np.int64)] = True
+        chosen[index[inside]] = True
     few = np.flatnonzero((count > 0) & (count < WINNOW))
     if len(few):
         at = K.ragged(first[few], count[few])
         bounds = np.cumsum(count[few]) - count[few]
-        chosen[(np.minimum.reduceat(packed[at], bounds) & low).astype(np.int64)] = True
+        is_least = np.flatnonzero(values[at] == np.repeat(np.minimum.reduceat(values[at], bounds), count[few]))
+        chosen[at[is_least[np.unique(np.searchsorted(bounds, is_least, "right"), return_index=True)[1]]]] = True
     return np.flatnonzero(chosen)
 
 
@@ -168,21 +171,23 @@ def remove_repeats(documents: DataFrame, scratch: Scratch, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            texts, removed = column.to_pylist(), []
+            texts, removed = column.cast(pa.binary()).to_pylist(), []  # bytes: what is no UTF-8 stays as it is
             for k, ranges in enumerate(batch.column("__ranges").to_pylist()):
                 gone: list[tuple[int, int]] = []
                 if ranges and texts[k]:
-                    raw = texts[k].encode()
+                    raw = texts[k]
                     gone = _joined(ranges, *K.spans_of_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
                     if gone:
                         at, parts = 0, []
                         for i, j in gone:
                             parts.append(raw[at:i])
                             at = j
-                        texts[k] = b"".join([*parts, raw[at:]]).decode()
+                        texts[k] = b"".join([*parts, raw[at:]])
                 removed.append([{"start": i, "end": j} for i, j in gone])
             names = [x for x in batch.schema.names if x != "__ranges"]
-            arrays = [pa.array(texts, column.type) if x == "text" else batch.column(x) for x in names]
+            made = pa.array(texts, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            made = pa.Array.from_buffers(column.type, len(made), made.buffers(), made.null_count)
+            arrays = [made if x == "text" else batch.column(x) for x in names]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind)], [*names, "removed"])
 

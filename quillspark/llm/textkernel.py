@@ -87,7 +87,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 try:
-    _malloc_trim = ctypes.CDLL(None).malloc_trim
+    _libc = ctypes.CDLL(None)
+    _malloc_trim = _libc.malloc_trim
+    # Arrays of a few megabytes come from memory that was used before: fresh pages for each cost more than the arithmetic.
+    _M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+    _libc.mallopt(_M_TRIM_THRESHOLD, 64 << 20)
+    _libc.mallopt(_M_MMAP_THRESHOLD, 16 << 20)
 except (OSError, AttributeError):  # not glibc
     _malloc_trim = None
 
@@ -251,7 +256,7 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     full = np.iinfo(np.uint64).max
     sig = np.full(n * m, full, U64)
     counts = np.diff(bounds)
-    row = np.repeat(np.arange(n), counts)
+    row = np.repeat(np.arange(n, dtype=np.int32), counts)
     active, perm, first, second = values, None, None, None
     for j in range(m):
         if not len(active):
@@ -263,12 +268,13 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
         held *= U64(m - j)
         held >>= U64(32)
         draw = held.view(np.int64)
-        draw += j
         if j == 0:
             slot = first = draw
         elif j == 1:  # after the first swap only positions 0 and first have moved
+            draw += 1
             slot, second = np.where(draw == first, 0, draw), draw
         else:
+            draw += j
             at = np.arange(len(active))
             if perm is None:
                 perm = np.tile(np.arange(m, dtype=np.int16), (len(active), 1))
@@ -280,13 +286,14 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
             perm[at, draw] = perm[at, j]
             perm[at, j] = slot
         h &= U64(0xFFFFFFFF)
-        h |= U64(j << 32)
+        if j:
+            h |= U64(j << 32)
         np.minimum.at(sig, row * m + slot, h)
         going = (sig.reshape(n, m).max(axis=1) >= (U64(j + 1) << U64(32))) & (counts > 0)
         if not going.any():
             break
-        stay = np.repeat(going, counts) if j == 0 else going[row]
-        if not stay.all():
+        stay = np.flatnonzero(np.repeat(going, counts) if j == 0 else going[row])
+        if len(stay) < len(active):
             active, row, first = active[stay], row[stay], first[stay]
             second = None if second is None else second[stay]
             perm = None if perm is None else perm[stay]

@@ -28,7 +28,7 @@ def test_pages_without_host_share_no_template(spark):
     rows = [(k, url, PLAIN.format(f"story {k}", k)) for k, url in enumerate([None, "x", "/a/b", "a.html", None])]
     assert all(text.startswith("Our site") and f"story {k} goes on" in text for k, text in texts(spark, rows).items())
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", pages.host(F.col("url")))
-    assert pages.templates(df).count() == 0
+    assert pages.templates(df, Scratch(spark, "t")).count() == 0
 
 
 def test_template_within_the_main_part(spark):
