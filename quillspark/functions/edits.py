@@ -5,11 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from .text import words
-
-#: Distinct words of a pair that the recoding has code points for.
-MOST_WORDS = 20_000
+from pyspark.sql import types as T
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
@@ -17,31 +13,41 @@ def char_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))).cast("long")
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between words: each distinct word of the pair becomes one code point, and the built-in distance does the rest."""
-    r, h = words(ref), words(hyp)
-    known = F.array_distinct(F.concat(r, h))
-    code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(19967) + F.array_position(known, t)), 4, "0")), "UTF-16BE")
-    as_text = lambda tokens: F.array_join(F.transform(tokens, code), "")
-    return F.levenshtein(as_text(r), as_text(h)).cast("long")
-
-
-def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, diagonal = i, i - 1
-        for j, y in enumerate(b, 1):
-            best = min(row[j] + 1, left + 1, diagonal + (x != y))
-            diagonal, row[j], left = row[j], best, best
-        row[0] = i
-    return row[-1]
-
+def distance(a: list[str], b: list[str]) -> int:
+    """Edits between token lists, bit-parallel: a column of the table is two integers of one bit a token of ``a``, which say
+    where it rises and where it falls; a token of ``b`` moves to the next column in a few operations on whole integers."""
+    if len(a) > len(b):
+        a, b = b, a
+    head = 0
+    while head < len(a) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < len(a) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a:
+        return len(b)
+    places: dict[str, list[int]] = {}
+    for k, token in enumerate(a):
+        places.setdefault(token, []).append(k)
+    shared = {token: sum(1 << k for k in places[token]) for token in set(b) & places.keys()}
+    all_bits, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, score = all_bits, 0, len(a)
+    for token in b:
+        equal = shared.get(token, 0)
+        diagonal = (((equal & rises) + rises) ^ rises) | equal | falls
+        up, down = (falls | ~(diagonal | rises)) & all_bits, rises & diagonal
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & all_bits, down << 1 & all_bits
+        rises, falls = (down | ~(diagonal | up)) & all_bits, up & diagonal
+    return score
+
+
+@F.pandas_udf(T.LongType())
+def _word_edits(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+    return pd.Series([distance((a or "").split(), (b or "").split()) for a, b in zip(refs, hyps, strict=True)], index=refs.index, dtype="int64")
 
-def word_edits_any(ref: Column, hyp: Column) -> Column:
-    """The same for pairs of more distinct words than the recoding has code points for (Arrow UDF)."""
 
-    @F.pandas_udf("long")
-    def run(refs: pd.Series, hyps: pd.Series) -> pd.Series:
-        return pd.Series([_distance((a or "").split(), (b or "").split()) for a, b in zip(refs, hyps, strict=True)], index=refs.index)
-
-    return run(ref, hyp)
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """Edits between words, for texts of any length (Arrow UDF: the built-in distance knows characters only)."""
+    return _word_edits(ref, hyp)

@@ -1,15 +1,17 @@
 """Bootstrap intervals and paired permutation tests on edit counts.
 
 Two modes. ``exact`` runs NumPy's generator on the (edits, len) of one group, in the order of its rows, and gives the
-published sequence of draws; the text is left behind, so a group is 16 bytes a row. ``native`` draws by a hash of seed,
-draw and position, inside Spark, and can be checked by any SQL engine.
+published sequence of draws; the text is left behind, so a group is 16 bytes a row. ``native`` draws by arithmetic on seed,
+draw and position, which any SQL engine can check, and deals the draws of a group over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,31 +75,65 @@ def permutation_exact(rows: DataFrame, by: list[str], position: str, draws: int
     return rows.select(*by, position, "edits_a", "edits_b").groupBy(*by).applyInPandas(run, T.StructType([*[rows.schema[c] for c in by], T.StructField("p", T.DoubleType())]))
 
 
-def _hash(seed: int, *parts: Column) -> Column:
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("long")
+#: Draws of the native mode: numbers of draw, row and seed, weighted, to the fifth power twice modulo a prime.
+PRIME, WEIGHTS, SHIFTS = 2147483647, (1103515245, 1664525, 69069), (12345, 362437)
+#: Draws that one task makes of a group.
+DRAWS_A_TASK = 1000
+
 
+def drawn(draw: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
+    """A number below PRIME for each draw and row; plain 64-bit arithmetic, so any SQL engine can check it."""
+    x = (draw * WEIGHTS[0] + row * WEIGHTS[1] + seed * WEIGHTS[2]) % PRIME
+    for shift in SHIFTS:
+        y = (x + shift) % PRIME
+        square = y * y % PRIME
+        x = square * square % PRIME * y % PRIME
+    return x
 
-def _numbered(rows: DataFrame, by: list[str], position: str) -> DataFrame:
-    own = Window.partitionBy(*by)
-    return rows.withColumn("k", F.row_number().over(own.orderBy(position)) - 1).withColumn("m", F.count("*").over(own))
 
+def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str], draws: int, out: str, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(by, out): a value of each draw. A task has the columns of a group, some bytes a row, and makes DRAWS_A_TASK draws;
+    what is shuffled is the group once for each such block, not once for each draw. ``of``: from columns, draws, rows."""
+    blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_A_TASK))
 
-def intervals_native(rows: DataFrame, by: list[str], position: str, draws: int, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """(by, point, low, high). How often a draw takes each row is counted before rows are joined."""
-    numbered = _numbered(rows, by, position).select(*by, "k", "m", "edits", "len")
-    taken = numbered.select(*by, "m", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(*by, "draw", (_hash(seed, F.col("draw"), F.col("k")) % F.col("m")).cast("int").alias("k"))
-    weights = taken.groupBy(*by, "draw", "k").agg(F.count("*").alias("w"))
-    rates = weights.join(numbered, [*by, "k"]).groupBy(*by, "draw").agg((100.0 * F.sum(F.col("w") * F.col("edits")) / F.greatest(F.lit(1.0), F.sum(F.col("w") * F.col("len")).cast("double"))).alias("rate"))
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(position)
+        block, values = int(group["__block"].iloc[0]), group[columns].to_numpy(np.int64).T
+        first, made = block * DRAWS_A_TASK, []
+        last, row = min(draws, first + DRAWS_A_TASK), np.arange(len(group), dtype=np.int64)
+        for size in _blocks(len(group), last - first):
+            made.append(of(values, np.arange(first, first + size, dtype=np.int64)[:, None], row[None, :]))
+            first += size
+        found = pd.DataFrame({out: np.concatenate(made)})
+        for k, c in enumerate(by):
+            found.insert(k, c, group[c].iloc[0])
+        return found
+
+    dealt = rows.select(*by, position, *columns, F.explode(blocks).alias("__block"))
+    return dealt.groupBy(*by, "__block").applyInPandas(run, T.StructType([*[rows.schema[c] for c in by], T.StructField(out, T.DoubleType())]))
+
+
+def intervals_native(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """(by, point, low, high)."""
+
+    def of(values: np.ndarray, draw: np.ndarray, row: np.ndarray) -> np.ndarray:
+        edits, lengths = values
+        taken = drawn(draw, row, seed) % row.size
+        return 100.0 * edits[taken].sum(axis=1) / np.maximum(1.0, lengths[taken].sum(axis=1))
+
+    rates = _of_draws(rows, by, position, ["edits", "len"], draws, "rate", of)
     bounds = rates.groupBy(*by).agg(*[F.percentile("rate", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
     point = rows.groupBy(*by).agg((100.0 * F.sum("edits") / F.greatest(F.lit(1.0), F.sum("len").cast("double"))).alias("point"))
     return point.join(bounds, by)
 
 
-def permutation_native(rows: DataFrame, by: list[str], position: str, draws: int, seed: int = SEED) -> DataFrame:
-    """(by, p): signs are the parities of hashes. Sums are integers, so the count is exact."""
-    numbered = _numbered(rows, by, position).select(*by, "k", (F.col("edits_a") - F.col("edits_b")).alias("d"))
-    observed = numbered.groupBy(*by).agg(F.sum("d").alias("observed"))
-    signed = numbered.select(*by, "k", "d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    sums = signed.groupBy(*by, "draw").agg(F.sum(F.when(_hash(seed, F.col("draw"), F.col("k")) % 2 == 0, F.col("d")).otherwise(-F.col("d"))).alias("s"))
+def permutation_native(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, p): signs are the parities of the draws. Sums are integers, so the count is exact."""
+
+    def of(values: np.ndarray, draw: np.ndarray, row: np.ndarray) -> np.ndarray:
+        difference = values[0] - values[1]
+        return ((1 - 2 * (drawn(draw, row, seed) % 2)) * difference).sum(axis=1).astype(float)
+
+    observed = rows.groupBy(*by).agg(F.sum(F.col("edits_a") - F.col("edits_b")).alias("observed"))
+    sums = _of_draws(rows, by, position, ["edits_a", "edits_b"], draws, "s", of)
     return sums.join(observed, by).groupBy(*by).agg(((F.count_if(F.col("s") <= F.col("observed")) + 1) / F.lit(float(draws + 1))).alias("p"))

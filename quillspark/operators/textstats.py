@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import TALLIED, normalized_with_counts
 from ..functions.policies import Policy
-from ..functions.text import characters, has_digits, is_blank, words
+from ..functions.text import has_digits, is_blank, words
 
 UNSPACED_MEDIAN = 1.0
 UNKNOWN_WARNING = 0.001
@@ -42,10 +42,12 @@ def text_stats(rows: DataFrame, by: list[str], raw: str = "text", normalized: st
 def unknown_characters(rows: DataFrame, vocabulary: DataFrame, text: str = "normalized", out: str = "unknown") -> DataFrame:
     """rows with the number of characters of ``text`` outside the vocabulary (char, id).
 
-    A character inventory is small by nature (the code points of a script); it travels as one array.
+    A character inventory is small by nature (the code points of a script); it travels as one string, and what is left of
+    a text without them is counted.
     """
-    inventory = vocabulary.agg(F.collect_set("char").alias("__known"))
-    return rows.crossJoin(F.broadcast(inventory)).withColumn(out, F.size(F.filter(characters(F.col(text)), lambda c: ~F.array_contains("__known", c))).cast("long")).drop("__known")
+    inventory = vocabulary.where(F.length("char") == 1).agg(F.array_join(F.collect_set("char"), "").alias("__known"))
+    left = F.call_function("translate", F.coalesce(F.col(text), F.lit("")), F.col("__known"), F.lit(""))
+    return rows.crossJoin(F.broadcast(inventory)).withColumn(out, F.length(left).cast("long")).drop("__known")
 
 
 def warn_unknown(stats: DataFrame, threshold: float = UNKNOWN_WARNING) -> DataFrame:

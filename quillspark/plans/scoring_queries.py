@@ -51,6 +51,7 @@ e AS (SELECT p_brand, len(r) AS wl, length(ref) AS cl, levenshtein(ref, hyp) AS
 SELECT p_brand AS brand, count(*) AS n, round(100.0 * sum(we) / greatest(1.0, sum(wl)), 9) AS wer, round(100.0 * sum(ce) / greatest(1.0, sum(cl)), 9) AS cer FROM e GROUP BY p_brand""")
 def error_rates_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and character error rates of successive part names."""
+    ship(spark)
     own = Window.partitionBy("p_brand").orderBy("p_partkey")
     pairs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("ref"), F.lead("p_name").over(own).alias("hyp")).where("hyp is not null")
     rates = scoring.error_rates(scoring.edit_counts(pairs), ["brand"])
@@ -159,16 +160,24 @@ def edit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_mktsegment").alias("lang"), F.col("c_custkey").alias("pos"), (F.col("c_custkey") % 5).alias("edits"), (5 + F.col("c_custkey") % 11).alias("len"), (F.col("c_custkey") % 5).alias("edits_a"), ((F.col("c_custkey") * 7) % 6).alias("edits_b"))
 
 
-_NUMBERED_SQL = "rows AS (SELECT c_mktsegment AS lang, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS m, c_custkey % 5 AS edits, 5 + c_custkey % 11 AS len, (c_custkey * 7) % 6 AS edits_b FROM customer)"
-_HASH_SQL = "CAST('0x' || substr(sha1('42:' || draw || ':' || k), 1, 8) AS BIGINT)"
+_NUMBERED_SQL = "rows AS MATERIALIZED (SELECT c_mktsegment AS lang, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS m, c_custkey % 5 AS edits, 5 + c_custkey % 11 AS len, (c_custkey * 7) % 6 AS edits_b FROM customer)"
+
+
+def _draws_sql() -> str:
+    """Steps of the draws, one after the other, so that each is computed once."""
+    p, w, (a, b) = resampling.PRIME, resampling.WEIGHTS, resampling.SHIFTS
+    fifth = lambda x: f"((({x} * {x} % {p}) * ({x} * {x} % {p}) % {p}) * {x}) % {p}"
+    return f"""x AS MATERIALIZED (SELECT lang, draw, k, m, edits, edits_b, ((draw * {w[0]} + k * {w[1]} + {resampling.SEED * w[2]}) % {p} + {a}) % {p} AS y FROM rows, range({resampling.DRAWS}) d(draw)),
+z AS MATERIALIZED (SELECT * EXCLUDE y, ({fifth("y")} + {b}) % {p} AS y FROM x), h AS (SELECT * EXCLUDE y, {fifth("y")} AS h FROM z)"""
 
 
-@query(f"""WITH {_NUMBERED_SQL}, t AS (SELECT lang, draw, {_HASH_SQL} % m AS k FROM rows, range(100) d(draw)),
+@query(f"""WITH {_NUMBERED_SQL}, {_draws_sql()}, t AS (SELECT lang, draw, h % m AS k FROM h),
 r AS (SELECT t.lang, draw, 100.0 * sum(edits) / greatest(1.0, sum(len)) AS rate FROM t JOIN rows USING (lang, k) GROUP BY t.lang, draw),
 p AS (SELECT lang, 100.0 * sum(edits) / greatest(1.0, sum(len)) AS point FROM rows GROUP BY lang)
 SELECT lang, round(point, 9) AS point, round(quantile_cont(CAST(rate AS DOUBLE), 0.025), 9) AS low, round(quantile_cont(CAST(rate AS DOUBLE), 0.975), 9) AS high FROM r JOIN p USING (lang) GROUP BY lang, point""")
 def bootstrap_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resampling.intervals_native(edit_rows(spark, sf_dir), ["lang"], "pos", 100)
+    ship(spark)
+    out = resampling.intervals_native(edit_rows(spark, sf_dir), ["lang"], "pos")
     return out.select("lang", *[r9(c).alias(c) for c in ("point", "low", "high")])
 
 
@@ -176,20 +185,21 @@ def bootstrap_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NumPy's generator can't be had in SQL; tests hold it against the same draws on the driver."""
     ship(spark)
-    return resampling.intervals_exact(edit_rows(spark, sf_dir), ["lang"], "pos", draws=1000)
+    return resampling.intervals_exact(edit_rows(spark, sf_dir), ["lang"], "pos")
 
 
-@query(f"""WITH {_NUMBERED_SQL}, o AS (SELECT lang, sum(edits - edits_b) AS o FROM rows GROUP BY lang),
-s AS (SELECT lang, draw, sum(CASE WHEN {_HASH_SQL} % 2 = 0 THEN edits - edits_b ELSE edits_b - edits END) AS s FROM rows, range(100) d(draw) GROUP BY lang, draw)
-SELECT lang, round((count(*) FILTER (WHERE s <= o) + 1) / 101.0, 9) AS p FROM s JOIN o USING (lang) GROUP BY lang""")
+@query(f"""WITH {_NUMBERED_SQL}, {_draws_sql()}, o AS (SELECT lang, sum(edits - edits_b) AS o FROM rows GROUP BY lang),
+s AS (SELECT lang, draw, sum(CASE WHEN h % 2 = 0 THEN edits - edits_b ELSE edits_b - edits END) AS s FROM h GROUP BY lang, draw)
+SELECT lang, round((count(*) FILTER (WHERE s <= o) + 1) / {resampling.DRAWS + 1}.0, 9) AS p FROM s JOIN o USING (lang) GROUP BY lang""")
 def permutation_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.permutation_native(edit_rows(spark, sf_dir), ["lang"], "pos", 100).select("lang", r9("p").alias("p"))
+    ship(spark)
+    return resampling.permutation_native(edit_rows(spark, sf_dir), ["lang"], "pos").select("lang", r9("p").alias("p"))
 
 
 @query()
 def permutation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return resampling.permutation_exact(edit_rows(spark, sf_dir), ["lang"], "pos", draws=1000)
+    return resampling.permutation_exact(edit_rows(spark, sf_dir), ["lang"], "pos")
 
 
 @query("""WITH a AS (SELECT conv_id, turn, role AS ref FROM conversations), b AS (SELECT conv_id, turn, CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN 'x' ELSE role END AS ref FROM conversations)

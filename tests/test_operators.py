@@ -33,10 +33,21 @@ def test_blank_references(spark):
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.sampled_from("abcé"), max_size=8), st.lists(st.sampled_from("abcé"), max_size=8))
-def test_word_edits_both_ways(spark, a, b):
-    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "r string, h string")
-    got = df.select(edits.word_edits(F.col("r"), F.col("h")).alias("n"), edits.word_edits_any(F.col("r"), F.col("h")).alias("m")).first()
-    assert got.n == got.m == edits._distance(a, b)
+def test_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    assert edits.distance(a, b) == edits.distance(b, a) == row[-1]
+
+
+def test_word_edits(spark):
+    many = [str(k) for k in range(40_000)]  # more distinct words than there are code points below the surrogates
+    pairs = [("a  b\tc", "a c d"), (None, "x y"), ("", None), (" ".join(many), " ".join(["x", *many[:9], *many[12:]]))]
+    got = spark.createDataFrame(pairs, "r string, h string").select(edits.word_edits(F.col("r"), F.col("h")).alias("n")).collect()
+    assert [r.n for r in got] == [2, 2, 0, 4]
 
 
 # --- seeds ---

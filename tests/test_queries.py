@@ -66,12 +66,12 @@ def test_exact_resampling(spark):
     assert set(found) == set(rows["lang"])
     for lang, own in rows.groupby("lang"):
         e, n = own["edits"].to_numpy(float), own["len"].to_numpy(float)
-        drawn = np.random.default_rng(42).integers(0, len(e), size=(1000, len(e)))
+        drawn = np.random.default_rng(42).integers(0, len(e), size=(resampling.DRAWS, len(e)))
         rates = 100 * e[drawn].sum(axis=1) / np.maximum(1, n[drawn].sum(axis=1))
         assert found[lang] == pytest.approx((100 * e.sum() / n.sum(), *np.percentile(rates, [2.5, 97.5])))
-        signs = np.random.default_rng(42).integers(0, 2, size=(1000, len(e))) * 2 - 1
+        signs = np.random.default_rng(42).integers(0, 2, size=(resampling.DRAWS, len(e))) * 2 - 1
         d = own["edits_a"].to_numpy() - own["edits_b"].to_numpy()
-        assert p[lang] == ((signs * d).sum(axis=1) <= d.sum()).sum().__add__(1) / 1001
+        assert p[lang] == ((signs * d).sum(axis=1) <= d.sum()).sum().__add__(1) / (resampling.DRAWS + 1)
 
 
 def test_intervals_of_nothing():
