@@ -6,7 +6,6 @@ none: a missing speaker is "". What can't be a row is refused by name, not skipp
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
@@ -169,12 +168,6 @@ def discovered_metadata(spark: SparkSession, paths: Iterable[str], ids: Iterable
     return rows.groupBy("utt_id").agg(F.min_by("text", "__at").alias("text"), F.min_by("speaker", "__at").alias("speaker"))
 
 
-def preferring(right: DataFrame, left: DataFrame, key: str = "utt_id", value: str = "text") -> DataFrame:
-    """(key, value) of either side; where both have a key, the first argument's value."""
-    r, other = right.select(key, F.col(value).alias("__r")), left.select(key, F.col(value).alias("__l"))
-    return r.join(other, key, "full_outer").select(key, F.coalesce("__r", "__l").alias(value))
-
-
 # --- trees and documents ---
 
 
@@ -201,7 +194,8 @@ def parliament(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("skipped", F.when(~F.col("split").isin("train", "dev", "test"), "unassigned").when(F.col("speaker") == "", "no_speaker").when(F.col("text") == "", "no_text"))
 
 
-STM = r"^(\S+)\s+(\S+)\s+(\S+)\s+([0-9.]+)\s+([0-9.]+)\s+(<[^>]*>)?\s*(.*)$"
+#: Recording, channel, speaker, start, end, label in angle brackets, text; a label may stand next to the time.
+STM = r"^(\S+)\s+(\S+)\s+(\S+)\s+([0-9]+(?:\.[0-9]+)?)\s+([0-9]+(?:\.[0-9]+)?)\s*(<[^>]*>)?\s*(.*)$"
 
 
 def stm(spark: SparkSession, pattern: str, split: str, subset: str) -> DataFrame:
@@ -272,14 +266,30 @@ def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
 # --- audio headers ---
 
 
-def _little_endian(content: Column, at: int, size: int) -> Column:
-    return F.conv(F.concat(*[F.lpad(F.hex(F.substring(content, at + k, 1)), 2, "0") for k in range(size - 1, -1, -1)]), 16, 10).cast("long")
+#: Chunks that a file's header may have before its samples.
+WAV_CHUNKS = 64
 
 
 def wav_seconds(content: Column) -> Column:
-    """Length of a plain PCM file from its header of 44 bytes; null for anything else."""
-    plain = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE")) & (F.substring(content, 37, 4) == F.lit(b"data"))
-    return F.when(plain, F.try_divide(_little_endian(content, 41, 4), _little_endian(content, 29, 4)).cast("double"))
+    """Length of a RIFF file from its format and data chunks, whatever stands before them; null for anything else."""
+    start = F.struct(F.lit(13).cast("long").alias("at"), F.lit(None).cast("long").alias("rate"), F.lit(None).cast("long").alias("bytes"))
+
+    def little(at: Column) -> Column:
+        digits = F.array_join(F.transform(F.array(*[F.lit(k) for k in (3, 2, 1, 0)]), lambda k: F.lpad(F.hex(F.substring(content, (at + k).cast("int"), F.lit(1))), 2, "0")), "")
+        return F.conv(digits, 16, 10).cast("long")
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        more = state["bytes"].isNull() & (at + 7 <= F.octet_length(content))
+        name, size = F.substring(content, at.cast("int"), F.lit(4)), little(at + 4)
+        rate = F.when(more & (name == F.lit(b"fmt ")), little(at + 16)).otherwise(state["rate"])
+        data = F.when(more & (name == F.lit(b"data")), size).otherwise(state["bytes"])
+        after = F.when(more, at + 8 + size + F.pmod(size, F.lit(2))).otherwise(at)
+        return F.struct(after.alias("at"), rate.alias("rate"), data.alias("bytes"))
+
+    riff = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(WAV_CHUNKS)), start, step)
+    return F.when(riff, F.try_divide(found["bytes"].cast("double"), found["rate"].cast("double")))
 
 
 def flac_stream(content: Column) -> Column:
@@ -298,6 +308,7 @@ def audio_headers(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, sha256, md5) of files."""
     files = spark.read.format("binaryFile").load(require(spark, pattern))
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
@@ -317,12 +328,7 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 
 
 def load_texts(spark: SparkSession, source: str, *args: object, **options: object) -> DataFrame:
+    """(text) of a source by its name, with the arguments of its reader."""
     if source not in READERS:
         raise KeyError(f"unknown source {source!r}; there are {', '.join(READERS)}")
     return READERS[source](spark, *args, **options).select("text")
-
-
-def dialect_of(path: str) -> str | None:
-    """The first part of a path whose name ends in "dialect", as a slug."""
-    part = next((p for p in path.split("/") if p.lower().endswith("dialect")), None)
-    return re.sub(r"[^a-z0-9]+", "-", part.lower()).strip("-") if part else None

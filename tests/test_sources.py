@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import corpora
 from quillspark.plans import report
 from quillspark.sources import readers, sinks
 from quillspark.streaming import textstats
@@ -81,10 +82,9 @@ def test_discovery(spark, tmp_path):
     c = write(tmp_path / "c.csv", "q,w\n1,2\n")
     assert rows(readers.discovered_metadata(spark, [a, b, c], ["id"], ["text", "sentence"])) == [("u1", "first", ""), ("u2", "two", "")]
     schema = "utt_id string, text string"
-    assert rows(readers.preferring(spark.createDataFrame([("a", "own")], schema), spark.createDataFrame([("a", "index"), ("b", "index")], schema))) == [("a", "own"), ("b", "index")]
+    assert rows(corpora.preferring(spark.createDataFrame([("a", "own")], schema), spark.createDataFrame([("a", "index"), ("b", "index")], schema))) == [("a", "own", False, False), ("b", "index", False, True)]
     write(tmp_path / "t/u7.txt", " hello\nyou ")
     assert rows(readers.text_files(spark, str(tmp_path / "t/*.txt"))) == [("u7", "hello you")]
-    assert readers.dialect_of("x/Amdo dialect/y") == "amdo-dialect"
     r = write(tmp_path / "r.json", json.dumps({"locales": {"xx": {"buckets": {"train": 720, "dev": 72}, "avgDurationSecs": 10, "validHrs": 3.5}}}))
     assert rows(readers.release(spark, r)) == [("xx", 720, 72, 0, 10.0, 3.5)]
 
