@@ -27,16 +27,16 @@ def below(train_hours: Column, least: Column | float) -> Column:
 
 
 def sweep(spark: SparkSession, languages: Iterable[str], measure: Callable[[str], DataFrame], schema: str = "split string, n_utts long, seconds double, n_missing long") -> DataFrame:
-    """(lang, split, ..., error): a language that can't be read gives a row with its error and doesn't stop the others."""
-    out, names = None, [x.split()[0] for x in schema.split(", ")]
+    """(lang, split, ..., error): a language that can't be read gives a row with its error and doesn't stop the others.
+
+    Each language is measured by itself, a few aggregated rows, so that a file which fails while it is read shows here."""
+    rows, names = [], [x.split()[0] for x in schema.split(", ")]
     for code in languages:
         try:
-            part = measure(code).select(F.lit(code).alias("lang"), *names, F.lit(None).cast("string").alias("error"))
-            part.schema  # noqa: B018  resolved here, so that a missing table shows here
+            rows += [(code, *[r[c] for c in names], None) for r in measure(code).select(*names).collect()]
         except Exception as e:
-            part = spark.createDataFrame([(code, *[None] * len(names), f"{type(e).__name__}: {e}"[:500])], f"lang string, {schema}, error string")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"lang string, {schema}, error string")
+            rows.append((code, *[None] * len(names), f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(rows, f"lang string, {schema}, error string")
 
 
 def bucket_hours(locales: DataFrame) -> DataFrame:

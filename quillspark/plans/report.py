@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -43,3 +43,29 @@ def macro_table(macro: DataFrame) -> str:
 def decision_table(decisions: DataFrame) -> str:
     rows = decisions.orderBy(decisions["trainable_hours"].desc(), "locale").collect()
     return table(["locale", "trainable h", "in", "why"], [(r.locale, number(r.trainable_hours, 1), "yes" if r.included else "no", r.reason) for r in rows])
+
+
+def preset_block(decisions: DataFrame, release: str, boundaries: Mapping[str, bool], normalizers: Mapping[str, str]) -> str:
+    """The languages that a selection includes, as the YAML block of a preset. One without a policy has no ``normalizer``
+    and is listed above, since a run would stop at it."""
+    lines, waiting = ["languages:"], []
+    for r in decisions.where("included").orderBy(decisions["trainable_hours"].desc(), "locale").collect():
+        own = ["source: manifest", f"corpus: {r.corpus}"] if r.source == "manifest" else ["source: commonvoice", f"hf_dataset: {release}"]
+        own = [f"code: {r.locale}", *own, f"hf_config: {r.locale}", *(["text_column: sentence"] if r.source == "commonvoice" else [])]
+        own += [] if boundaries.get(r.locale, True) else ["word_boundary: false"]
+        if r.locale in normalizers:
+            own.append(f"normalizer: {normalizers[r.locale]}")
+        else:
+            waiting.append(r.locale)
+        lines.append("  - { " + ", ".join(own) + " }")
+    head = ["# Without a policy so far:", *[f"#   {code}" for code in sorted(waiting)]] if waiting else []
+    return "\n".join([*head, *lines]) + "\n"
+
+
+def metric_tables(scale: str, metric: str, intervals: Sequence[Mapping[str, object]], comparisons: Sequence[Mapping[str, object]], resamples: int, seed: int) -> tuple[str, dict[str, object]]:
+    """A metric's intervals and comparisons as Markdown and as a document."""
+    text = [f"# {metric.upper()}, scale {scale}\n", f"{resamples} resamples, seed {seed}\n"]
+    text.append(table(["run", "section", "language", "rate", "interval", "primary"], [(r["run"], r["section"], r["lang"], number(r["point"]), f"[{number(r['low'])}, {number(r['high'])}]", "yes" if r["is_primary"] else "") for r in intervals]))
+    if comparisons:
+        text.append(table(["run", "against", "section", "language", "A", "B", "delta", "p", "n"], [(r["run"], r["against"], r["section"], r["lang"], number(r["point_a"]), number(r["point_b"]), number(r["delta"]), number(r["p"], 4), r["n"]) for r in comparisons]))
+    return "\n".join(text), {"scale": scale, "metric": metric, "n_resamples": resamples, "seed": seed, "intervals": list(intervals), "comparisons": list(comparisons)}

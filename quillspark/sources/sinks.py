@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import platform
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+from ..operators.scoring import edit_counts, rate
 from .readers import MANIFEST
 
 
@@ -26,9 +28,64 @@ def export_manifest(rows: DataFrame, path: str) -> None:
 
 
 def sidecar_documents(pairs: DataFrame, by: list[str], position: str = "pos") -> DataFrame:
-    """(by, document): predictions of a group as JSON, pairs in order. A test set fits one row."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(position, "ref", "hyp"))), lambda x: F.array(x["ref"], x["hyp"]))
-    return pairs.groupBy(*by).agg(F.count("*").alias("n"), ordered.alias("pairs")).select(*by, F.to_json(F.struct("n", "pairs")).alias("document"))
+    """(by, document): predictions of a group as JSON: rates, rows, blank references left out of them, pairs in order. A
+    test set fits one row."""
+    scored = edit_counts(pairs).withColumn("__blank", is_blank(F.col("ref")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(~F.col("__blank"), F.struct(position, "ref", "hyp")))), lambda x: F.array(x["ref"], x["hyp"]))
+    kept = lambda c: F.when(~F.col("__blank"), F.col(c)).otherwise(0)
+    columns = [rate(kept("word_edits"), kept("word_len")).alias("wer"), rate(kept("char_edits"), kept("char_len")).alias("cer"), F.count_if(~F.col("__blank")).alias("n"), F.count_if("__blank").alias("n_empty_refs"), ordered.alias("pairs")]
+    return scored.groupBy(*by).agg(*columns).select(*by, F.to_json(F.struct("wer", "cer", "n", "n_empty_refs", "pairs")).alias("document"))
+
+
+def results_document(arm: str, scale: str, seed: int, rates: DataFrame, languages: Iterable[str], heldout: Iterable[str] = ()) -> dict[str, Any]:
+    """results.json of a run from (section, lang, wer, cer, n, n_empty_refs), a row a language."""
+    out: dict[str, Any] = {"arm": arm, "scale": scale, "seed": seed, "languages": list(languages), "heldout_langs": list(heldout), "in_distribution": {}, "transfer": {}}
+    for r in rates.orderBy("section", "lang").collect():
+        out[r.section][r.lang] = {k: r[k] for k in ("wer", "cer", "n", "n_empty_refs")}
+    return out
+
+
+#: Columns of text statistics by language and split, as documents have them.
+_STATISTICS = ("n_utts", "n_chars_raw", "n_chars_normalized", "n_utts_with_digits", "n_utts_empty_after_norm", "median_tokens_per_utt", "unk_chars", "unk_rate", "looks_unspaced")
+
+
+def text_stats_document(stats: DataFrame, languages: Iterable[Mapping[str, Any]], evicted: Mapping[str, int], evicted_by_language: Mapping[str, Mapping[str, int]] | None = None, **settings: Any) -> dict[str, Any]:
+    """text_stats.json from (lang, split, statistics, removed_*): what each policy did to its language, split by split.
+
+    ``languages``: code, word_boundary, heldout, policy, policy_hash of each; held-out ones may have characters that the
+    floor left out of their own vocabularies."""
+    of: dict[str, dict[str, Any]] = {}
+    for r in stats.orderBy("lang", "split").collect():  # a row a language and split
+        row = r.asDict()
+        own = {k: row[k] for k in _STATISTICS if k in row}
+        own["removed"] = {k.removeprefix("removed_"): v for k, v in sorted(row.items()) if k.startswith("removed_") and v}
+        own["evicted_by_floor"] = dict((evicted_by_language or {}).get(r.lang, {})) if r.split == "train" else {}
+        of.setdefault(r.lang, {})[r.split] = own
+    named = {x["code"]: {k: x[k] for k in ("heldout", "word_boundary", "policy", "policy_hash")} | {"splits": of.get(x["code"], {})} for x in languages}
+    return {**settings, "training_vocab_evicted": dict(evicted), "languages": named}
+
+
+def fetch_document(corpus: str, licence: str, files: Iterable[Mapping[str, Any]], when: str) -> dict[str, Any]:
+    """fetch_manifest.json: what was fetched, from where, how large it is, and its digests."""
+    listed = [{k: f.get(k) for k in ("name", "url", "bytes", "sha256", "md5")} for f in files]
+    return {"corpus": corpus, "licence": licence, "downloaded_utc": when, "files": sorted(listed, key=lambda f: str(f["name"]))}
+
+
+def write_yaml(document: Mapping[str, Any], path: str) -> None:
+    """resolved_config.yaml and its like: names in the order they come in."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("writing YAML documents needs PyYAML") from e
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(dict(document), f, sort_keys=False, allow_unicode=True)
+
+
+def write_text(text: str, path: str) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
 
 
 def write_json(document: Mapping[str, Any], path: str) -> None:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.policies import POLICIES
+from ..functions.policies import POLICIES, policy_for
 
 REQUIRED = object()
 LANGUAGE = {"code": REQUIRED, "source": REQUIRED, "word_boundary": True, "normalizer": None, "corpus": "", "hf_dataset": "", "hf_config": "", "text_column": "sentence", "slr": None, "archives": (), "index_files": (), "license": ""}
@@ -106,3 +106,48 @@ def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
 def results_root(flag: str | None = None, variable: str = "RESULTS_ROOT") -> str:
     """Flag, else environment, else ./results."""
     return flag or os.environ.get(variable) or "results"
+
+
+#: Names that a written configuration holds for its readers, worked out from the rest.
+DERIVED = {"text": ("policies",)}
+
+
+def resolved(settings: Mapping[str, Any], specs: Iterable[Mapping[str, Any]], override: str | None = None) -> dict[str, Any]:
+    """Settings with the policy that each language runs under, by name and digest."""
+    policies = {}
+    for spec in sorted(specs, key=lambda x: x["code"]):
+        p = policy_for(spec["code"], override or spec.get("normalizer"))
+        policies[spec["code"]] = {"name": p.version, "hash": p.digest()}
+    return merged(settings, {"text": {"policies": policies}})
+
+
+def settings(defaults: Mapping[str, Any], path: str | None = None, over: Mapping[str, Any] | None = None, environment: Mapping[str, tuple[str, ...]] | None = None) -> dict[str, Any]:
+    """Defaults, then environment variables (name: where it goes), then a document, then overrides. Names that a written
+    configuration adds are taken off again; unknown ones and unknown policies are refused."""
+    out = dict(defaults)
+    for name, place in (environment or {}).items():
+        if name in os.environ:
+            value: Any = os.environ[name]
+            for key in reversed(place):
+                value = {key: value}
+            out = merged(out, value)
+    read = document(path) if path else {}
+    for section, names in DERIVED.items():
+        if isinstance(read.get(section), Mapping):
+            read[section] = {k: v for k, v in read[section].items() if k not in names}
+    for layer, what in ((read, path), (over or {}, "overrides")):
+        _known(layer, defaults, str(what))
+        out = merged(out, layer)
+    chosen = (out.get("text") or {}).get("override")
+    if chosen is not None and chosen not in POLICIES:
+        raise ValueError(f"unknown policy {chosen!r}")
+    return out
+
+
+def _known(layer: Mapping[str, Any], defaults: Mapping[str, Any], what: str) -> None:
+    unknown = sorted(set(layer) - set(defaults))
+    if unknown:
+        raise ValueError(f"{what}: unknown keys {unknown}")
+    for k, v in layer.items():
+        if isinstance(v, Mapping) and isinstance(defaults[k], Mapping) and defaults[k]:
+            _known(v, defaults[k], f"{what}: {k}")
