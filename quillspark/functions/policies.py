@@ -19,9 +19,9 @@ CLASSIC, BASIC, SCRIPT = "classic", "whisper", "script"
 
 # Which rules each pipeline reads (fixed values).
 READS = {
-    CLASSIC: "version form case malayalam_chillu strip_invisibles strip_arabic_marks turkish_dotted_i unify_apostrophes strip_punctuation strip_symbols apostrophe_is_letter digits",
-    BASIC: "version pipeline form case drop_bracketed_spans strip_marks strip_punctuation strip_symbols diacritics strip_whitespace",
-    SCRIPT: "version pipeline form case bracket_spans zero_width marks script_map locale_case cyrillic_yo delete_quotes fold_alef_maksura unify_apostrophes apostrophe_is_letter turkish_dotted_i punct_action strip_symbols arabic_digits",
+    CLASSIC: ("version", "form", "case", "malayalam_chillu", "strip_invisibles", "strip_arabic_marks", "turkish_dotted_i", "unify_apostrophes", "strip_punctuation", "strip_symbols", "apostrophe_is_letter", "digits"),
+    BASIC: ("version", "pipeline", "form", "case", "drop_bracketed_spans", "strip_marks", "strip_punctuation", "strip_symbols", "diacritics", "strip_whitespace"),
+    SCRIPT: ("version", "pipeline", "form", "case", "bracket_spans", "zero_width", "marks", "script_map", "locale_case", "cyrillic_yo", "delete_quotes", "fold_alef_maksura", "unify_apostrophes", "apostrophe_is_letter", "turkish_dotted_i", "punct_action", "strip_symbols", "arabic_digits"),
 }
 
 
@@ -56,13 +56,13 @@ class Policy:
     arabic_digits: str = "keep"
 
     def __post_init__(self) -> None:
-        read = READS[self.pipeline].split()
+        read = READS[self.pipeline]
         for f in fields(self):
             if f.name not in (*read, "pipeline") and getattr(self, f.name) != f.default:
                 raise ValueError(f"pipeline {self.pipeline!r} has no rule {f.name!r}: leave it at {f.default!r}")
 
     def rules(self) -> dict[str, Any]:
-        return {name: getattr(self, name) for name in READS[self.pipeline].split()}
+        return {name: getattr(self, name) for name in READS[self.pipeline]}
 
     def digest(self) -> str:
         return _digest(self.rules())
@@ -72,6 +72,7 @@ def _digest(what: Any) -> str:
     return hashlib.sha256(json.dumps(what, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12]
 
 
+# The named policies and what each sets (fixed values).
 _MARKS = Policy(version="whisper-marks", pipeline=SCRIPT, case="lower", bracket_spans="delete", turkish_dotted_i=True)
 _ARABIC = Policy(version="arabic-ouaal", pipeline=SCRIPT, case="lower", marks="arabic", script_map="arabic_msa", arabic_digits="to_ascii")
 _BASIC = Policy(version="whisper-basic", pipeline=BASIC, case="lower", drop_bracketed_spans=True, strip_marks=True, strip_whitespace=False)
@@ -98,7 +99,7 @@ PRESETS = (
 )
 POLICIES: dict[str, Policy] = {p.version: p for p in PRESETS}
 
-#: What vocabularies were built with before policies existed: the composed form and nothing else. Not in the registry.
+#: What vocabularies were built with before policies existed: the composed form and nothing else. Not in the registry (fixed values).
 LEGACY = Policy("norm-0", form="NFC", case="none", malayalam_chillu="keep", strip_invisibles=False, strip_arabic_marks=False, turkish_dotted_i=False, unify_apostrophes=False, strip_punctuation=False, strip_symbols=False)
 
 DEFAULT = "whisper-basic"
@@ -107,32 +108,32 @@ UNSPACED = frozenset({"ja-cer", "thai-cer", "han-mer", "tibetan-syllable"})
 
 # Script of each language (fixed values).
 SCRIPTS = {
-    "Latn": "en de fr es it nl pl fi ca eo eu hu gl pt cs sk ro sv-SE da et is hr lt lv cy fy-NL tr az uz sw rw lg kab kmr vi yo ig ha id ms jv su zu xh nso ts ve",
-    "Cyrl": "ru uk be ab ba mhr bg sr mn tt kk ky kbd ady",
-    "Geor": "ka",
-    "Grek": "el",
-    "Armn": "hy-AM hy",
-    "Deva": "hi mr ne-NP ne marathi",
-    "Beng": "bn",
-    "Guru": "pa-IN",
-    "Gujr": "gu gujarati",
-    "Orya": "or odia",
-    "Taml": "ta",
-    "Telu": "te telugu",
-    "Knda": "kn",
-    "Mlym": "ml malayalam",
-    "Sinh": "si",
-    "Arab": "ar fa ur ps ug ckb",
-    "Jpan": "ja",
-    "Hans": "zh-CN",
-    "Hant": "zh-TW yue",
-    "Thai": "th",
-    "Tibt": "bo",
-    "Kore": "ko",
+    "Latn": ("en", "de", "fr", "es", "it", "nl", "pl", "fi", "ca", "eo", "eu", "hu", "gl", "pt", "cs", "sk", "ro", "sv-SE", "da", "et", "is", "hr", "lt", "lv", "cy", "fy-NL", "tr", "az", "uz", "sw", "rw", "lg", "kab", "kmr", "vi", "yo", "ig", "ha", "id", "ms", "jv", "su", "zu", "xh", "nso", "ts", "ve"),
+    "Cyrl": ("ru", "uk", "be", "ab", "ba", "mhr", "bg", "sr", "mn", "tt", "kk", "ky", "kbd", "ady"),
+    "Geor": ("ka",),
+    "Grek": ("el",),
+    "Armn": ("hy-AM", "hy"),
+    "Deva": ("hi", "mr", "ne-NP", "ne", "marathi"),
+    "Beng": ("bn",),
+    "Guru": ("pa-IN",),
+    "Gujr": ("gu", "gujarati"),
+    "Orya": ("or", "odia"),
+    "Taml": ("ta",),
+    "Telu": ("te", "telugu"),
+    "Knda": ("kn",),
+    "Mlym": ("ml", "malayalam"),
+    "Sinh": ("si",),
+    "Arab": ("ar", "fa", "ur", "ps", "ug", "ckb"),
+    "Jpan": ("ja",),
+    "Hans": ("zh-CN",),
+    "Hant": ("zh-TW", "yue"),
+    "Thai": ("th",),
+    "Tibt": ("bo",),
+    "Kore": ("ko",),
 }
-SCRIPT_OF = {code: script for script, codes in SCRIPTS.items() for code in codes.split()}
+SCRIPT_OF = {code: script for script, codes in SCRIPTS.items() for code in codes}
 # Policies by script and by language, where they differ from the default (fixed values).
-BY_SCRIPT = dict.fromkeys("Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh".split(), "indic-vistaar") | {
+BY_SCRIPT = dict.fromkeys(("Deva", "Beng", "Guru", "Gujr", "Orya", "Taml", "Telu", "Knda", "Mlym", "Sinh"), "indic-vistaar") | {
     "Thai": "thai-cer",
     "Tibt": "tibetan-syllable",
     "Kore": "ko-kspon",
@@ -141,7 +142,7 @@ BY_SCRIPT = dict.fromkeys("Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh".sp
     "Hant": "han-mer",
     "Jpan": "ja-cer",
 }
-BY_LANGUAGE = {"tr": "turkic-tr", "az": "turkic-tr", "ar": "arabic-ouaal", "ug": "uyghur-ug"} | dict.fromkeys("fa ur ckb ps".split(), "perso-arabic") | dict.fromkeys("sw rw yo ig".split(), "latin-marks")
+BY_LANGUAGE = {"tr": "turkic-tr", "az": "turkic-tr", "ar": "arabic-ouaal", "ug": "uyghur-ug"} | dict.fromkeys(("fa", "ur", "ckb", "ps"), "perso-arabic") | dict.fromkeys(("sw", "rw", "yo", "ig"), "latin-marks")
 
 
 def policy(name: str) -> Policy:

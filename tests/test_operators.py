@@ -180,11 +180,11 @@ def test_selection(spark):
     schema = "locale string, source string, corpus string, trainable_hours double, dev_hours double, test_hours double"
     data = [("en", "commonvoice", "", 90.0, 5.0, 5.0), ("pt-BR", "commonvoice", "", 60.0, 5.0, 5.0), ("pt", "commonvoice", "", 70.0, 5.0, 5.0), ("bn", "commonvoice", "", 31.5, 3.0, 3.0), ("bn", "manifest", "slr", 229.0, 28.0, 28.0), ("te", "commonvoice", "", 99.0, 9.0, 9.0), ("hi", "commonvoice", "", 7.0, 3.0, 3.0), ("fi", "commonvoice", "", 11.1, 3.0, 3.0), ("xx", "commonvoice", "", 55.0, 1.94, 3.0)]
     got = {(r.locale, r.source): (r.included, r.reason) for r in selection.decide(spark.createDataFrame(data, schema), selection.Thresholds(), {"te": "Telugu"}, {"hi": "the only one of its script"}, ["fi"]).collect()}
-    assert got[("en", "commonvoice")] == (True, "meets the rule (trainable >= 50.0 h, dev >= 2.0 h, test >= 2.0 h)")
-    assert got[("pt-BR", "commonvoice")] == (False, "same language as pt, which has more trainable audio")
-    assert got[("bn", "commonvoice")] == (False, "read from slr instead, which has more trainable audio") and got[("bn", "manifest")][0]
-    assert got[("te", "commonvoice")] == (False, "held-out transfer language (Telugu); never trained on")
-    assert got[("hi", "commonvoice")] == (True, "below the rule (trainable 7.0 h < 50.0 h); the only one of its script")
+    assert got[("en", "commonvoice")] == (True, "long enough: at least 50.0 h to train on, 2.0 h of dev, 2.0 h of test")
+    assert got[("pt-BR", "commonvoice")] == (False, "a smaller variant of pt")
+    assert got[("bn", "commonvoice")] == (False, "served by the corpus slr") and got[("bn", "manifest")][0]
+    assert got[("te", "commonvoice")] == (False, "kept for transfer: Telugu")
+    assert got[("hi", "commonvoice")] == (True, "short (trainable 7.0 h of 50.0 h) but wanted: the only one of its script")
     assert got[("fi", "commonvoice")][0] and got[("xx", "commonvoice")] == (False, "dev 1.9 h < 2.0 h")
     with pytest.raises(ValueError, match="both trained on and held out"):
         selection.decide(spark.createDataFrame(data, schema), selection.Thresholds(), {"fi": "x"}, {}, ["fi"])
