@@ -185,7 +185,7 @@ def test_selection(spark):
     assert got[("bn", "commonvoice")] == (False, "served by the corpus slr") and got[("bn", "manifest")][0]
     assert got[("te", "commonvoice")] == (False, "kept for transfer: Telugu")
     assert got[("hi", "commonvoice")] == (True, "short (trainable 7.0 h of 50.0 h) but wanted: the only one of its script")
-    assert got[("fi", "commonvoice")][0] and got[("xx", "commonvoice")] == (False, "dev 1.9 h < 2.0 h")
+    assert got[("fi", "commonvoice")][0] and got[("xx", "commonvoice")] == (False, "dev 1.9 h of 2.0 h")
     with pytest.raises(ValueError, match="both trained on and held out"):
         selection.decide(spark.createDataFrame(data, schema), selection.Thresholds(), {"fi": "x"}, {}, ["fi"])
 
