@@ -67,9 +67,9 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     if text.isascii():
         chars = data
     else:
-        before = np.zeros(len(data) + 1, np.int64)
+        before = np.zeros(len(data) + 1, np.int32)  # a text has less than 2 GB
         np.cumsum((data & 0xC0) != 0x80, out=before[1:])
-        offsets = before[offsets]
+        offsets = before[offsets].astype(np.int64)
         try:
             chars = np.frombuffer(text.encode("latin-1"), np.uint8)
         except UnicodeEncodeError:
@@ -81,7 +81,7 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     keep[1:] |= ~white[:-1]  # one space for each run between words, and at an end
     heads = offsets[:-1][offsets[:-1] < n]
     keep[heads] = ~white[heads]
-    at = np.zeros(n + 1, np.int64)
+    at = np.zeros(n + 1, np.int32)
     np.cumsum(keep, out=at[1:])
     feeds = np.flatnonzero(chars == 10)
     starts = np.union1d(offsets[:-1], feeds + 1)
@@ -89,17 +89,19 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     ends = np.concatenate([starts[1:], [n]]) if len(starts) else starts
     out = np.zeros(int(at[-1]) + SHINGLE, np.uint8)
     np.compress(keep, _NORMAL[chars], out=out[:-SHINGLE])
-    start, size = at[starts], at[ends] - at[starts]
-    size -= (size > 0) & (out[at[ends] - 1] == 32)
+    start, end = at[starts].astype(np.int64), at[ends].astype(np.int64)
+    size = end - start
+    size -= (size > 0) & (out[end - 1] == 32)
     row = np.searchsorted(offsets, starts, "right") - 1
     number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[row])
     full = size > 0
     start, size, row, number = start[full], size[full], row[full], number[full]
     wide = None
     if points is not None:
-        places = np.flatnonzero(points > 255)
-        line = np.searchsorted(start, at[places], "right") - 1
-        wide = line, at[places] - start[line], points[places].astype(np.uint64)
+        found = np.flatnonzero(points > 255)
+        places = at[found].astype(np.int64)
+        line = np.searchsorted(start, places, "right") - 1
+        wide = line, places - start[line], points[found].astype(np.uint64)
     return Lines(out, start, size, row, number, wide)
 
 
@@ -233,7 +235,7 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str) -> Fetch:
         places = wanted.join(units.where("place is not null").select("uid", "place"), "uid")
         of_place = _place(documents.schema[id_column].dataType)[1]
         by_document = places.select("uid", of_place("place")[0].alias("__id"), of_place("place")[1].alias("line")).groupBy("__id").agg(F.collect_list(F.struct("uid", "line")).alias("wanted"))
-        whole = documents.select(F.col(id_column).alias("__id"), "text").join(by_document.hint("merge"), "__id")
+        whole = documents.select(F.col(id_column).alias("__id"), "text").join(by_document.hint("shuffle_hash"), "__id")  # one row a document: texts needn't be sorted
         out = whole.select("wanted", "text").mapInArrow(run, "uid long, text string")
         lost = units.where("place is null")
         if lost.isEmpty():
@@ -271,7 +273,7 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id
     """documents without the removed lines; with ``report`` also ``removed_lines``: their numbers in the original text, from 0."""
     removed = removed_lines(documents, scratch, id_column)
     documents = documents.drop("removed_lines") if report else documents
-    joined = documents.join(removed, F.col(id_column) == F.col("__lines_id"), "left").drop("__lines_id")
+    joined = documents.join(removed.hint("shuffle_hash"), F.col(id_column) == F.col("__lines_id"), "left").drop("__lines_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -315,7 +315,7 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             entries = np.frombuffer(b"".join(held.pop(0, [])), entry)
             given = np.frombuffer(b"".join(held.pop(1, [])), _PAIR)
-            entries = entries[np.argsort(entries["key"], kind="stable")]
+            entries = entries[np.argsort(entries["key"])]
             followed = entries["uid"] < 0
             entries["uid"] &= ~FOLLOWED
             head, size = _runs(entries["key"])
@@ -475,7 +475,7 @@ def _open(scratch: Scratch, facts: DataFrame, component: DataFrame, method: Meth
     large = some.where(F.col("n") > GROUP).groupBy("key", "component").agg(F.count("*").alias("n"))
     large = large.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("main"), F.sum("n").alias("n"))
     large = large.select("key", "largest", F.ceil(F.col("main") / GROUP).alias("main"), F.ceil((F.col("n") - F.col("main")) / GROUP).alias("rest"))
-    some = some.drop("n").join(scratch.keep(large), "key", "left").fillna(0, ["main", "rest"])
+    some = some.drop("n").join(large, "key", "left").fillna(0, ["main", "rest"])
     return some.join(facts.select("uid", "n_shingles", "sketch", "parity", F.array(*band_names(method)).alias("bands")), "uid")
 
 
@@ -539,7 +539,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, method: Method = Met
     ids = sets.select("uid", "first")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        named = wanted.join(ids, "uid").hint("merge").join(texts, F.col("first") == F.col(id_column)).select("uid", "text")
+        named = texts.join(wanted.join(ids, "uid").hint("shuffle_hash"), F.col("first") == F.col(id_column)).select("uid", "text")
         lost = sets.where("first is null")
         if lost.isEmpty():
             return named

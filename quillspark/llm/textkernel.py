@@ -257,34 +257,26 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     sig = np.full(n * m, full, U64)
     counts = np.diff(bounds)
     row = np.repeat(np.arange(n, dtype=np.int32), counts)
-    active, perm, first, second = values, None, None, None
+    active, draws = values, []
     for j in range(m):
         if not len(active):
             break
         with np.errstate(over="ignore"):
             h = active + U64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        held = mix_in_place(h)
-        np.right_shift(h, U64(32), out=held)
-        held *= U64(m - j)
-        held >>= U64(32)
-        draw = held.view(np.int64)
-        if j == 0:
-            slot = first = draw
-        elif j == 1:  # after the first swap only positions 0 and first have moved
-            draw += 1
-            slot, second = np.where(draw == first, 0, draw), draw
+        slot = mix_in_place(h)
+        np.right_shift(h, U64(32), out=slot)
+        slot *= U64(m - j)
+        slot >>= U64(32)
+        slot = slot.view(np.int64)
+        if j:
+            # The permutation is a swap of place j with a later one in each round. What stands there now is traced back
+            # through the swaps: it was where the swap that brought it took it from.
+            slot += j
+            own = slot
+            for k in range(j - 1, -1, -1):
+                slot = np.where(slot == draws[k], k, slot)
         else:
-            draw += j
-            at = np.arange(len(active))
-            if perm is None:
-                perm = np.tile(np.arange(m, dtype=np.int16), (len(active), 1))
-                for step, drawn in ((0, first), (1, second)):
-                    moved = perm[at, drawn]
-                    perm[at, drawn] = perm[at, step]
-                    perm[at, step] = moved
-            slot = perm[at, draw].astype(np.int64)
-            perm[at, draw] = perm[at, j]
-            perm[at, j] = slot
+            own = slot
         h &= U64(0xFFFFFFFF)
         if j:
             h |= U64(j << 32)
@@ -292,10 +284,9 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
         going = (sig.reshape(n, m).max(axis=1) >= (U64(j + 1) << U64(32))) & (counts > 0)
         if not going.any():
             break
+        draws.append(own)
         stay = np.flatnonzero(np.repeat(going, counts) if j == 0 else going[row])
         if len(stay) < len(active):
-            active, row, first = active[stay], row[stay], first[stay]
-            second = None if second is None else second[stay]
-            perm = None if perm is None else perm[stay]
+            active, row, draws = active[stay], row[stay], [d[stay] for d in draws]
     sig[sig == full] = 0
     return (mix(sig) >> U64(48)).astype(np.uint16).reshape(n, m)
