@@ -148,23 +148,22 @@ def line_digests(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sets of rows that hold one line each: sorted hashes of 48 bits, and their bounds."""
-    lines = read_lines(data, offsets)
-    values, bounds = line_shingles(lines)
-    return K.distinct_short(K.mix(values), _by_row(lines, bounds, len(offsets) - 1))
+    return described(data, offsets)[:2]
 
 
-def signed_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What signatures of rows of one line each are made from: the shingles with repeats."""
+def described(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and what their signatures are made from: the shingles with repeats, and their bounds."""
     lines = read_lines(data, offsets)
     values, bounds = line_shingles(lines)
-    return values, _by_row(lines, bounds, len(offsets) - 1)
+    by_row = _by_row(lines, bounds, len(offsets) - 1)
+    return *K.distinct_short(K.mix(values), by_row), values, by_row
 
 
 def _by_row(lines: Lines, bounds: np.ndarray, rows: int) -> np.ndarray:
     return bounds[np.searchsorted(lines.row, np.arange(rows + 1))]
 
 
-METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, signed=signed_shingles)
+METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, described=described)
 
 
 def _lines(documents: DataFrame, id_column: str) -> DataFrame:

@@ -56,7 +56,8 @@ ROWS = 4
 @dataclass(frozen=True)
 class Method:
     """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ROWS slots; ``parity_bits``
-    and ``sketch_slots``: lengths of the sketches; ``signed``: what signatures are made from, if not the sets."""
+    and ``sketch_slots``: lengths of the sketches; ``described``: from text to sets and to what signatures are made from,
+    if that isn't the sets."""
 
     sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_sets
     part: int = 75
@@ -64,7 +65,7 @@ class Method:
     bands: int = 32
     parity_bits: int = 512
     sketch_slots: int = 64
-    signed: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    described: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     @property
     def slots(self) -> int:
@@ -154,31 +155,23 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs = None, []
         for batch in batches:
-            a, salt, member = batch.column("a"), batch.column("salt").to_numpy(), batch.column("member").to_numpy()
+            a, salt, member = batch.column("a").to_numpy(zero_copy_only=False), batch.column("salt").to_numpy(), batch.column("member").to_numpy()
             n = batch.num_rows
             if not n:
                 continue
-            new = np.zeros(n, bool)
-            new[member == 0] = True
             keep = np.zeros(n, bool)
             for lo, hi, data, offsets in K.chunks(batch.column("text")):
                 values, bounds = method.sets(data, offsets)
-                for k in range(lo, hi):
-                    own = values[bounds[k - lo] : bounds[k - lo + 1]]
-                    key = (a[k], salt[k])
-                    if new[k]:
-                        # Rows that share an id are one unit: any of their sets may link.
-                        hubs = [*hubs, own] if hub == key else [own]
-                        hub = key
-                    elif hub == key and len(own):
-                        for other in hubs:
-                            if not len(other):
-                                continue
-                            at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                            both = int((other[at] == own).sum())
-                            if method.whole * both >= method.part * (len(other) + len(own) - both):
-                                keep[k] = True
-                                break
+                # Runs of rows with the same first unit: the sets of that unit (several if rows share its id), then its partners'.
+                own = np.flatnonzero(np.concatenate([[True], (a[lo + 1 : hi] != a[lo : hi - 1]) | (salt[lo + 1 : hi] != salt[lo : hi - 1])])) + lo
+                for first, last in zip(own.tolist(), [*own[1:].tolist(), hi], strict=True):
+                    key = (a[first], salt[first])
+                    heads = first + int((member[first:last] == 0).sum())
+                    mine = [values[bounds[k - lo] : bounds[k - lo + 1]] for k in range(first, heads)]
+                    hubs = [*hubs, *mine] if hub == key else mine
+                    hub = key
+                    if heads < last:
+                        keep[heads:last] = _reach(method, [x for x in hubs if len(x)], values, bounds[heads - lo : last - lo + 1])
             if keep.any():
                 kept = batch.select(["a", "uid"]).take(pa.array(np.flatnonzero(keep)))
                 yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
@@ -187,6 +180,17 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     return with_text.select("a", "salt", "uid", "member", "text").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _reach(method: Method, hubs: list[np.ndarray], values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the sets, values between successive bounds, reach the threshold with one of the hubs."""
+    own, sizes = values[bounds[0] : bounds[-1]], np.diff(bounds)
+    out = np.zeros(len(sizes), bool)
+    for hub in hubs:
+        at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+        both = K.row_sums((hub[at] == own).astype(np.int64), bounds - bounds[0])
+        out |= (sizes > 0) & (method.whole * both >= method.part * (len(hub) + sizes - both))
+    return out
+
+
 #: Standard deviations below the expected sketch of a pair at the threshold: for pairs worth a try, and for possible pairs.
 LIKELY, POSSIBLE = 1.5, 4.5
 
@@ -315,16 +319,18 @@ def candidates(units: DataFrame, method: Method) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             entries = np.frombuffer(b"".join(held.pop(0, [])), entry)
             given = np.frombuffer(b"".join(held.pop(1, [])), _PAIR)
-            entries = entries[np.argsort(entries["key"])]
+            key = np.ascontiguousarray(entries["key"])
+            order = np.argsort(key)
+            head, size = _runs(key[order])
+            # Most entries are alone in their buckets and go no further.
+            entries = entries[order[K.ragged(head[size > 1], size[size > 1])]]
             followed = entries["uid"] < 0
             entries["uid"] &= ~FOLLOWED
             head, size = _runs(entries["key"])
-            many = size > 1
-            left, right, _ = _leaders(method, entries, head[many], size[many]) if many.any() else (np.zeros(0, np.int64),) * 3
-            alone = np.zeros(len(entries), bool)
-            alone[K.ragged(head[many], size[many])] = True
+            left, right, _ = _leaders(method, entries, head, size) if len(entries) else (np.zeros(0, np.int64),) * 3
+            alone = np.ones(len(entries), bool)
             alone[left] = alone[right] = False
-            noted = _possible(method, entries["sketch"], alone, head[many], size[many])
+            noted = _possible(method, entries["sketch"], alone, head, size)
             if followed.any():
                 noted |= alone & np.repeat(np.logical_or.reduceat(followed, head), size)
             own = np.unique(entries["uid"][noted])
@@ -514,8 +520,8 @@ def described(texts: DataFrame, method: Method) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column(1)):
-                values, bounds = method.sets(data, offsets)
-                sig = K.super_minhash(*(method.signed(data, offsets) if method.signed else (values, bounds)), method.slots)
+                values, bounds, *signed = method.described(data, offsets) if method.described else method.sets(data, offsets)
+                sig = K.super_minhash(*(signed or (values, bounds)), method.slots)
                 made = [binary(sketches(sig, method.sketch_slots)), binary(parities(values, bounds, method.parity_bits))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), *made, *map(pa.array, bands_of(sig))], names)
 
