@@ -7,7 +7,7 @@ bytes of all others are removed. The removed ranges come back as byte offsets of
 Lines alone would miss a passage that was pasted into a line, so windows are units too. Of the windows of a text those
 are taken whose digest is the least of 16 successive ones (winnowing): two texts that share 31 words or more share a
 taken window, wherever the words stand, for two units in 17 words. Ranges that touch are joined, and only joined ranges
-of at least ``min_words`` words are removed, so that short common phrases and lines stay. A repeated passage of more
+of at least ``MIN_WORDS`` words are removed, so that short common phrases and lines stay (operator 7 is the one for those). A repeated passage of more
 than 50 words always has such a range; up to 15 words at either end of it may stay.
 
 Occurrences of a digest are counted before the shuffle, only digests of more than one occurrence are written, and the

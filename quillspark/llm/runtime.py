@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import file_system, new_folder
 from ..shipping import ship
 
 #: Bytes of one Arrow batch sent to a Python worker.
@@ -26,21 +24,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.gettempdir() + "/quillspark-shared"
-    return found.rstrip("/")
-
-
 class Scratch:
-    """Tables of one query, written under the shared folder; lineage ends there, so a lost executor costs one step."""
+    """Tables of one query, written under the shared folder; lineage ends there, so a lost executor costs one step. The
+    folder's store deletes it when the driver ends, since results are lazy and may read it until then."""
 
     def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.count = spark, new_folder(spark, what), 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -54,11 +43,10 @@ class Scratch:
 
     def free(self, *tables: DataFrame) -> None:
         """Delete tables that no plan reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
             if (held := self.paths.pop(id(t), None)) is not None:
-                path = jvm.org.apache.hadoop.fs.Path(held[1])
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                store, path = file_system(self.spark, held[1])
+                store.delete(path, True)
 
 
 def text_column(df: DataFrame, name: str = "text") -> DataFrame:

@@ -206,3 +206,90 @@ def test_leaders_are_bounded(monkeypatch, far):
     alone = np.ones(300, bool)
     alone[left] = alone[right] = False
     assert neardup._possible(method, entries["sketch"], alone, np.array([0]), np.array([300])).sum() == 0
+
+
+def test_rules_are_ordered_by_what_they_meet():
+    seen = []
+
+    def rule(name, feature, share):
+        def rejects(f):
+            seen.append((name, f.n, feature in f.have))
+            f.get(feature)
+            return np.arange(f.n) < share * f.n
+
+        return quality.Rule(name, rejects)
+
+    f = quality.Features(*K.flat(pa.array(["one two three, and more words here"] * 1000)))
+    rules = (rule("none", "n_words", 0), rule("most", "n_words", 0.9), rule("half", "n_symbols", 0.5))
+    order = quality.greedy_order(f, rules)
+    assert sorted(k for k, *_ in order) == [0, 1, 2] and rules[order[0][0]].name != "none"
+    assert [n for *_, n in order][0] == 1000 and [n for *_, n in order][1] == 1000 - order[0][2]
+    assert any(warm for _, _, warm in seen)
+    kept = quality.cascade(f, tuple(rules[k] for k, *_ in order))
+    assert len(kept) == [n for *_, n in order][-1] - order[-1][2]
+
+
+def test_ranges_against_plain_windows(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passages_known = [fresh(rng.choice([18, 30, 52, 90, 200])) for _ in range(12)]
+    lines_known = [fresh(rng.choice([6, 19, 20, 33])) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            text.append(" ".join(fresh(rng.randrange(40)) + rng.choice(passages_known) + fresh(rng.randrange(20))) if kind < 0.5 else " ".join(rng.choice(lines_known)) if kind < 0.8 else " ".join(fresh(60)))
+        rows.append((i, "\n".join(text)))
+    got = {r.doc_id: r for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    seen_windows, seen_lines, n_removed = set(), set(), 0
+    for i, text in rows:
+        words, starts, lines_of, at = [], [], [], 0
+        for line in text.split("\n"):
+            own = line.split(" ")
+            lines_of.append((len(words), own))
+            for w in own:
+                starts.append(at)
+                words.append(w)
+                at += len(w) + 1
+        removed = {k for k, s in enumerate(starts) if any(r.start <= s < r.end for r in got[i].removed)}
+        windows = [tuple(words[k : k + passages.WINDOW]) for k in range(len(words) - passages.WINDOW + 1)]
+        known, own_windows, own_lines = set(), set(), set()
+        for k, w in enumerate(windows):
+            if w in seen_windows or w in own_windows:
+                known |= set(range(k, k + passages.WINDOW))
+            own_windows.add(w)
+        for k, own in lines_of:
+            if len(own) >= passages.MIN_WORDS and (tuple(own) in seen_lines or tuple(own) in own_lines):
+                known |= set(range(k, k + len(own)))
+                assert set(range(k, k + len(own))) <= removed
+            own_lines.add(tuple(own))
+        assert removed <= known
+        run = []
+        for k in range(len(words) + 1):
+            if k < len(words) and k in known:
+                run.append(k)
+            else:
+                if len(run) > 50:
+                    assert set(run[15:-15]) <= removed
+                run = []
+        n_removed += len(removed)
+        seen_windows |= own_windows
+        seen_lines |= own_lines
+    assert n_removed > 1000
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed_lines string, component_id string, size string, copies string"
+    words = " ".join(f"w{k}" for k in range(70))
+    rows = [(1, None, None, None, None, "x", "y", "z", "c"), (2, "", "en", "a", 0, "x", "y", "z", "c"), (None, words, "en", "a", 5, "x", "y", "z", "c"), (3, words + " again", "en", None, 5, "x", "y", "z", "c"), (3, words + " again", "en", None, 5, "x", "y", "z", "c")]
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(got) > 0) == bool(some)
