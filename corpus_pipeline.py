@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept. The first four return the columns of documents; the last one returns
 one row for each document of the mix, with its token ids as digests.
+
+Defined results: a null or empty text fails the first stage, as it has too few words; rows without an id pass through (no
+stage removes a row for want of one) and rows that share an id are treated as one document; very long texts are taken
+whole; of equal texts the one of least id stays; an empty table gives an empty result; other columns are carried to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
