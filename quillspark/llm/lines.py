@@ -208,8 +208,9 @@ def _place(kind: T.DataType) -> tuple[Column, Callable[[str], tuple[Column, Colu
     return F.col("id").cast("decimal(20,0)") * size + F.col("line"), lambda c: (((F.col(c) - line(c)) / size).cast(kind), line(c).cast("int"))
 
 
-def _fetch(units: DataFrame, documents: DataFrame, id_column: str) -> Fetch:
-    """Texts of lines, cut from the documents of their first occurrences; a document is read once for all its lines."""
+def _fetch(scratch: Scratch, units: DataFrame, documents: DataFrame, id_column: str, named: list[DataFrame]) -> Fetch:
+    """Texts of lines, cut from the documents of their first occurrences; a document is read once for all its lines. What
+    units say of the wanted lines is left in ``named``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,17 +232,18 @@ def _fetch(units: DataFrame, documents: DataFrame, id_column: str) -> Fetch:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, line_digests(lines)), pa.array(texts, pa.string())], ["hi", "lo", "text"])
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        places = wanted.join(units.where("place is not null").select("uid", "place"), "uid")
+        named.append(scratch.keep(wanted.join(units.select("uid", "hi", "lo", "place", "nameless", "n"), "uid")))
+        places = named[0].where("place is not null")
         of_place = _place(documents.schema[id_column].dataType)[1]
         by_document = places.select("uid", of_place("place")[0].alias("__id"), of_place("place")[1].alias("line")).groupBy("__id").agg(F.collect_list(F.struct("uid", "line")).alias("wanted"))
         whole = documents.select(F.col(id_column).alias("__id"), "text").join(by_document.hint("shuffle_hash"), "__id")  # one row a document: texts needn't be sorted
         out = whole.select("wanted", "text").mapInArrow(run, "uid long, text string")
-        lost = units.where("place is null")
+        lost = named[0].where("place is null")
         if lost.isEmpty():
             return out
         # Lines of rows without id only: those rows are read again and told by their digests.
         found = documents.where(F.col(id_column).isNull()).select("text").mapInArrow(nameless, "hi long, lo long, text string")
-        found = found.join(lost.join(wanted, "uid", "left_semi").select("hi", "lo", "uid"), ["hi", "lo"])
+        found = found.join(lost.select("hi", "lo", "uid"), ["hi", "lo"])
         return out.unionByName(found.select("uid", "text").dropDuplicates(["uid"]))
 
     return fetch
@@ -255,9 +257,12 @@ def removed_lines(documents: DataFrame, scratch: Scratch, id_column: str = "doc_
         F.min(place).alias("place"), F.max(F.col("id").isNull()).alias("nameless"), F.count("*").alias("n"), *[F.first(k, ignorenulls=True).alias(k) for k in bands]
     )
     units = scratch.keep(units.withColumn("uid", F.monotonically_increasing_id()))
-    component = links(scratch, units.select("uid", *bands), _fetch(units, documents, id_column), METHOD)
-    # A line that occurs once and links with nothing has nothing to remove.
-    placed = units.select("uid", "hi", "lo", "place", "nameless", "n").join(component, "uid", "left").where("n > 1 or component is not null")
+    named: list[DataFrame] = []
+    component = links(scratch, units.select("uid", *bands), _fetch(scratch, units, documents, id_column, named), METHOD)
+    # A line that occurs once and links with nothing has nothing to remove; who links is among the wanted lines.
+    columns = ["uid", "hi", "lo", "place", "nameless", "n"]
+    several = units.where("n > 1").select(columns).unionByName(named[0].where("n = 1").select(columns))
+    placed = several.join(component, "uid", "left").where("n > 1 or component is not null")
     placed = scratch.keep(placed.withColumn("component", F.coalesce("component", "uid")))
     scratch.free(units)
     # Rows without id rank first: beside a line of theirs, no other stays.

@@ -134,6 +134,9 @@ def band_keys(method: Method, bands: int | None = None) -> Column:
 Fetch = Callable[[DataFrame], DataFrame]
 
 
+#: Pairs whose units may be broadcast: two rows of four numbers each.
+FEW_PAIRS = 10_000
+
 #: Partners of a unit that one group of pairs to verify has; the unit's text is sent once for each group.
 PARTNERS = 64
 
@@ -149,8 +152,9 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
     wanted = dealt.select("a", "salt", F.col("b").alias("uid"), F.lit(1).alias("member")).unionByName(
         dealt.select("a", "salt", F.col("a").alias("uid"), F.lit(0).alias("member")).distinct()
     )
-    # A merge join at any size: whether one side could be broadcast would change with the data.
-    with_text = wanted.hint("merge").join(texts, "uid").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    # A few pairs go to the texts; more of them, and the texts are dealt out to meet them.
+    few = len(dealt.select("a").limit(FEW_PAIRS + 1).collect()) <= FEW_PAIRS
+    with_text = (F.broadcast(wanted) if few else wanted.hint("merge")).join(texts, "uid").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hubs = None, []
