@@ -153,7 +153,7 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
         dealt.select("a", "salt", F.col("a").alias("uid"), F.lit(0).alias("member")).distinct()
     )
     # A few pairs go to the texts; more of them, and the texts are dealt out to meet them.
-    few = len(dealt.select("a").limit(FEW_PAIRS + 1).collect()) <= FEW_PAIRS
+    few = dealt.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
     with_text = (F.broadcast(wanted) if few else wanted.hint("merge")).join(texts, "uid").repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
