@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, mixing, neardup, pages, passages, quality, sharding, tokencount
+from . import alignment, bpe, embeddings, lines, mixing, neardup, pages, passages, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_html_extraction": pages.op10_html_extraction,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
