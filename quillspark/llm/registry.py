@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, embeddings, lines, mixing, neardup, pages, passages, quality, sharding, tokencount
+from . import alignment, bpe, credentials, embeddings, lines, mixing, neardup, pages, passages, quality, sharding, tokencount, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_html_extraction": pages.op10_html_extraction,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_secret_scan": credentials.op12_secret_scan,
         "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op8_quality_rules": quality.SQL}
+    return {"op3_mixing": mixing.SQL, "op8_quality_rules": quality.SQL, "op12_secret_scan": credentials.SQL}
