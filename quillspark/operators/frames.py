@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_budget, is_blank
+from .ranking import ranked
 
 GUARD_SAMPLES = 200_000
 
@@ -47,5 +48,4 @@ def best_checkpoints(losses: DataFrame, by: list[str], order: list[str], loss: s
 
 def by_length(rows: DataFrame, length: str, position: str, by: list[str] | None = None) -> DataFrame:
     """rows with ``rank``: longest first, ties by position. ``position`` restores the order."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc(length), F.asc(position))))
+    return ranked(rows, by or [], [F.desc(length), F.asc(position)])

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import keep
 
 HEAD = ("ctc_proj.", "ctc_norm.")
 
@@ -30,13 +37,77 @@ def task_vectors(experts: DataFrame, base: DataFrame) -> DataFrame:
     return experts.join(base.select("key", "idx", F.col("value").alias("__base")), ["key", "idx"]).select("expert", "key", "idx", (F.col("value") - F.col("__base")).alias("value"))
 
 
-def trim(vectors: DataFrame, density: float) -> DataFrame:
+#: Bits of a value that one pass of the selection decides, and entries among which a window may decide the rest.
+DIGIT, FEW = 16, 1 << 16
+_LARGEST = (1 << 63) - 1
+
+
+def magnitudes(vectors: DataFrame) -> DataFrame:
+    """vectors with ``__bits``, the bits of |value| as a whole number, which has the same order (not a number comes last)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(names.index("value")).to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.abs(values).view(np.int64))], [*names, "__bits"])
+
+    names = vectors.columns
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("__bits", T.LongType())]))
+
+
+def first_of_each(rows: DataFrame, by: list[str], high: str, low: str, wanted: Column, few: int = FEW) -> DataFrame:
+    """The ``wanted`` (of ``__n``, the group's rows) rows of each group that are largest by ``high``, then least by ``low``,
+    both whole numbers from 0 on.
+
+    A selection by radix passes: a pass counts, for each group, the next digit of the rows that agree with all digits found
+    so far (partial sums, 65,536 a group at most), and the digit at which the count reaches what is wanted is the next one
+    found. Rows above it are in, rows below it out. It ends when at most ``few`` rows of each group are undecided, which a
+    window orders. So no group is sorted, and no task holds one, however large it is or however many of its values are equal.
+    """
+    rows = keep(rows.withColumn("__low", F.lit(_LARGEST) - F.col(low)), "select")
+    zero = F.lit(0).cast("long")
+    cut = rows.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__need", wanted.cast("long")).withColumn("__left", F.col("__n"))
+    cut = keep(cut.withColumns({"__high_cut": zero, "__low_cut": zero}), "select")
+    keys = [(F.col(high), "__high_cut"), (F.col("__low"), "__low_cut")]
+    compared = [(key, cut_, shift) for key, cut_ in keys for shift in range(64 - DIGIT, -1, -DIGIT)]
+    done = 0
+    for key, found, shift in compared:
+        if cut.where((F.col("__left") > few) & (F.col("__left") > F.col("__need"))).isEmpty():
+            break
+        digit = F.shiftright(key, shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        counts = rows.join(cut, by).where(_prefix(compared[:done], "=")).groupBy(*by, digit.alias("__digit")).agg(F.count("*").alias("__count"))
+        above = F.sum("__count").over(Window.partitionBy(*by).orderBy(F.desc("__digit")).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("__above", F.coalesce(above, zero)).join(cut.drop("__left"), by)
+        here = counts.where((F.col("__above") < F.col("__need")) & (F.col("__need") <= F.col("__above") + F.col("__count")))
+        state = {"__need": F.col("__need") - F.col("__above"), "__left": F.col("__count"), found: F.col(found).bitwiseOR(F.shiftleft(F.col("__digit"), shift))}
+        cut = keep(here.withColumns(state).select(cut.columns), "select")
+        done += 1
+    joined = rows.join(cut, by)
+    kept = rows.columns
+    sure = joined.where(_prefix(compared[:done], ">")).select(kept)
+    edge = joined.where(_prefix(compared[:done], "="))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(high), F.desc("__low")))
+    whole = edge.where(F.col("__left") <= F.col("__need")).select(kept)
+    part = edge.where(F.col("__left") > F.col("__need")).withColumn("__place", place).where("__place <= __need").select(kept)
+    return sure.unionByName(whole).unionByName(part).drop("__low")
+
+
+def _prefix(passes: list[tuple[Column, str, int]], how: str) -> Column:
+    """Is a row, by the digits of these passes, equal to its group's cut, or above it?"""
+    equal, above = F.lit(True), F.lit(False)
+    last = {found: (key, shift) for key, found, shift in passes}  # the passes over one number refine each other
+    for found, (key, shift) in last.items():
+        own, edge = F.shiftright(key, shift), F.shiftright(F.col(found), shift)
+        above = above | (equal & (own > edge))
+        equal = equal & (own == edge)
+    return equal if how == "=" else above
+
+
+def trim(vectors: DataFrame, density: float, few: int = FEW) -> DataFrame:
     """The max(1, int(n * density)) entries of largest magnitude of each expert and key; ties by position, so never more."""
     if density >= 1.0:
         return vectors
-    own = Window.partitionBy("expert", "key")
-    ranked = vectors.withColumn("__rank", F.row_number().over(own.orderBy(F.desc(F.abs("value")), "idx"))).withColumn("__n", F.count("*").over(own))
-    return ranked.where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(density)))).drop("__rank", "__n")
+    wanted = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(density)))
+    return first_of_each(magnitudes(vectors), ["expert", "key"], "__bits", "idx", wanted, few).select(vectors.columns)
 
 
 def elect(vectors: DataFrame) -> DataFrame:

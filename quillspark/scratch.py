@@ -54,3 +54,10 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
     writer = writer.option("quote", '"').option("escape", '"') if quoted else writer.option("quote", "\u0000").option("escape", "\u0000")
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
+
+
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """The rows written under the shared folder and read again: lineage ends there, and what was drawn by place stays."""
+    path = new_folder(df.sparkSession, what) + "/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
