@@ -1,23 +1,35 @@
 """Bootstrap intervals and paired permutation tests on edit counts.
 
-Two modes. ``exact`` runs NumPy's generator on the (edits, len) of one group, in the order of its rows, and gives the
-published sequence of draws; the text is left behind, so a group is 16 bytes a row. ``native`` draws by arithmetic on seed,
-draw and position, which any SQL engine can check, and deals the draws of a group over tasks.
+Two modes. ``exact`` gives the published sequence of draws, that of NumPy's generator for one group in the order of its
+rows. ``native`` draws by arithmetic on seed, draw and position, which any SQL engine can check.
+
+Either way a group's draws are one long list of numbers, draw after draw, a number for each of its rows, and tasks take
+blocks of that list. For the published sequence a task moves the generator ahead to its block. The generator rejects some
+numbers (none where the group's size is a power of two), which shifts what follows, so the rejected ones of each block are
+counted first; that needs no data. What a task makes of a block are the sums of its draws, or of its part of them.
+
+The columns of a group go to its tasks packed, 8 bytes a number, in chunks of at most ``CHUNK`` rows; a group gets a task for
+each ``CELLS_A_TASK`` numbers, so what is sent is little against the work it is sent for, and no task holds more than a
+chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..scratch import keep
+from .ranking import ranked
 
 DRAWS, LEVEL, SEED = 10_000, 0.95, 42
 #: Index cells of one block of draws.
 CELLS = 4_000_000
+#: Numbers that one task draws, and rows of a group that it holds.
+CELLS_A_TASK, CHUNK = 1 << 28, 1 << 20
 
 
 def _blocks(rows: int, draws: int) -> list[int]:
@@ -53,32 +65,8 @@ def p_value(edits_a: np.ndarray, edits_b: np.ndarray, draws: int = DRAWS, seed:
     return (low + 1) / (draws + 1)
 
 
-def intervals_exact(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """(by, point, low, high) from (by, position, edits, len)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(position)
-        found = interval(group["edits"].to_numpy(float), group["len"].to_numpy(float), draws, level, seed)
-        return pd.DataFrame([[*group.iloc[0][by], *found]], columns=[*by, "point", "low", "high"])
-
-    fields = [rows.schema[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in ("point", "low", "high")]
-    return rows.select(*by, position, "edits", "len").groupBy(*by).applyInPandas(run, T.StructType(fields))
-
-
-def permutation_exact(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(by, p) from (by, position, edits_a, edits_b)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(position)
-        return pd.DataFrame([[*group.iloc[0][by], p_value(group["edits_a"].to_numpy(), group["edits_b"].to_numpy(), draws, seed)]], columns=[*by, "p"])
-
-    return rows.select(*by, position, "edits_a", "edits_b").groupBy(*by).applyInPandas(run, T.StructType([*[rows.schema[c] for c in by], T.StructField("p", T.DoubleType())]))
-
-
 #: Draws of the native mode: numbers of draw, row and seed, weighted, to the fifth power twice modulo a prime.
 PRIME, WEIGHTS, SHIFTS = 2147483647, (1103515245, 1664525, 69069), (12345, 362437)
-#: Draws that one task makes of a group.
-DRAWS_A_TASK = 1000
 
 
 def drawn(draw: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
@@ -91,49 +79,163 @@ def drawn(draw: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str], draws: int, out: str, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(by, out): a value of each draw. A task has the columns of a group, some bytes a row, and makes DRAWS_A_TASK draws;
-    what is shuffled is the group once for each such block, not once for each draw. ``of``: from columns, draws, rows."""
-    blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_A_TASK))
+def halves(seed: int, start: int, size: int) -> np.ndarray:
+    """The generator's 32-bit numbers from ``start`` on: it makes 64 bits at a time and gives the lower half first."""
+    source = np.random.PCG64(seed)
+    source.advance(start // 2)
+    return source.random_raw((start % 2 + size + 1) // 2).view("<u4")[start % 2 : start % 2 + size].astype(np.uint64)
+
+
+def taken(numbers: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the numbers the generator accepts for a draw below ``bound``, and what it gives for each."""
+    product = numbers * np.uint64(bound)
+    return (product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % bound), (product >> np.uint64(32)).astype(np.int64)
+
+
+def rejected(seed: int, bound: int, start: int, size: int) -> int:
+    """How many of these numbers the generator rejects."""
+    if (1 << 32) % bound == 0:
+        return 0
+    return sum(int((~taken(halves(seed, at, n := min(CELLS, start + size - at)), bound)[0]).sum()) for at in range(start, start + size, CELLS))
+
+
+def published(seed: int, bound: int, start: int, size: int | None, before: int, total: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, values): the accepted draws among ``size`` numbers from ``start``, of which ``before`` earlier ones were
+    rejected; all that are left of ``total`` if it is None."""
+    place, at, end = start - before, start, None if size is None else start + size
+    while place < total and (end is None or at < end):
+        n = min(CELLS, total - place if end is None else end - at)
+        fine, values = taken(halves(seed, at, n), bound)
+        values = values[fine][: total - place]
+        yield place, values
+        place, at = place + len(values), at + n
+
+
+def by_arithmetic(seed: int, bound: int, rows: int, start: int, size: int | None, total: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The same for the native mode, in which nothing is rejected."""
+    end = total if size is None else min(total, start + size)
+    for at in range(start, end, CELLS):
+        k = np.arange(at, min(end, at + CELLS), dtype=np.int64)
+        yield at, drawn(k // rows, k % rows, seed) % bound
+
+
+def _packed(rows: DataFrame, position: str, columns: list[str]) -> DataFrame:
+    """(__gid, __first, columns as bytes): each group's columns in order, in chunks of at most CHUNK rows."""
+    placed = ranked(rows.select("__gid", position, *[F.col(c).cast("long") for c in columns]), ["__gid"], [F.asc(position)])
+    placed = placed.withColumn("__first", F.expr(f"(rank - 1) div {CHUNK}") * CHUNK).select("__gid", "__first", "rank", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), *[pa.array([np.concatenate([h[k] for h in held]).astype("<i8").tobytes()]) for k in range(len(columns))]], names)
+        names = ["__gid", "__first", *columns]
+        for batch in batches:
+            gid, first, *_ = values = [batch.column(c).to_numpy() for c in (*names[:2], *columns)]
+            edges = np.flatnonzero((np.diff(gid) != 0) | (np.diff(first) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(gid)], strict=True):
+                if a == b:
+                    continue
+                own = int(gid[a]), int(first[a])
+                if own != key:
+                    if key is not None:
+                        yield out()
+                    key, held = own, []
+                held.append([v[a:b].copy() for v in values[2:]])
+        if key is not None:
+            yield out()
+
+    sorted_ = placed.repartition("__gid", "__first").sortWithinPartitions("__gid", "__first", "rank")
+    return sorted_.mapInArrow(run, "__gid long, __first long, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str], draws: int, seed: int, exact: bool, signs: bool) -> DataFrame:
+    """(by, draw, sums of the columns): over the rows that a draw takes, or over all rows with the signs that it gives."""
+    groups = keep(rows.groupBy(*by).agg(F.count("*").alias("__m")).withColumn("__gid", F.monotonically_increasing_id()), "resampling")
+    if exact and not signs and not groups.where(f"__m >= {1 << 32}").isEmpty():
+        raise ValueError("the published draws of a group of 2**32 rows or more are another sequence")
+    named = groups.select("__gid", *[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)])
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    packed = keep(_packed(rows.join(named, same), position, columns), "resampling")
+    last = F.expr(f"(__m * {draws} - 1) div {CELLS_A_TASK}")
+    blocks = groups.select("__gid", "__m", last.alias("__last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__block"))
+    zero = F.lit(0).cast("long")
+    if exact and not signs:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [rejected(seed, m, k * CELLS_A_TASK, CELLS_A_TASK) if k < end else 0 for m, end, k in zip(*[batch.column(c).to_pylist() for c in ("__m", "__last", "__block")], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "__rejected"])
+
+        counted = keep(blocks.repartition("__gid", "__block").mapInArrow(count, "__gid long, __m long, __last long, __block long, __rejected long"), "resampling")
+        earlier = Window.partitionBy("__gid").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = counted.withColumn("__before", F.coalesce(F.sum("__rejected").over(earlier), zero)).drop("__rejected")
+    else:
+        blocks = blocks.withColumn("__before", zero)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                m, first, total = row["__m"], row["__first"], row["__m"] * draws
+                values = [np.frombuffer(row[c], "<i8") for c in columns]
+                start, size, bound = row["__block"] * CELLS_A_TASK, CELLS_A_TASK if row["__block"] < row["__last"] else None, 2 if signs else m
+                source = published(seed, bound, start, size, row["__before"], total) if exact else by_arithmetic(seed, bound, m, start, size, total)
+                for place, got in source:
+                    if not len(got):
+                        continue
+                    number = np.arange(place, place + len(got), dtype=np.int64)
+                    at = (number % m if signs else got) - first
+                    inside = (at >= 0) & (at < len(values[0]))
+                    at = np.where(inside, at, 0)
+                    weight = inside * (2 * got - 1 if signs and exact else 1 - 2 * got) if signs else inside
+                    edges = np.concatenate([[0], np.arange(m - place % m, len(got), m)])
+                    sums = [np.add.reduceat(v[at] * weight, edges) for v in values]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), row["__gid"])), pa.array(place // m + np.arange(len(edges))), *map(pa.array, sums)], ["__gid", "draw", *columns])
+
+    dealt = packed.join(blocks, "__gid").repartition("__gid", "__first", "__block")
+    parts = dealt.mapInArrow(run, "__gid long, draw long, " + ", ".join(f"{c} long" for c in columns))
+    sums = parts.groupBy("__gid", "draw").agg(*[F.sum(c).alias(c) for c in columns])
+    return sums.join(groups.drop("__m"), "__gid").select(*by, "draw", *columns)
+
+
+def _intervals(rows: DataFrame, by: list[str], position: str, draws: int, level: float, seed: int, exact: bool) -> DataFrame:
+    rate = lambda e, n: 100.0 * e / F.greatest(F.lit(1.0), n.cast("double"))
+    rates = _of_draws(rows, by, position, ["edits", "len"], draws, seed, exact, False).select(*by, rate(F.col("edits"), F.col("len")).alias("__rate"))
+    bounds = rates.groupBy(*by).agg(*[F.percentile("__rate", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
+    return _beside(rows.groupBy(*by).agg(rate(F.sum("edits"), F.sum("len")).alias("point")), bounds, by).select(*by, "point", "low", "high")
+
+
+def _permutation(rows: DataFrame, by: list[str], position: str, draws: int, seed: int, exact: bool) -> DataFrame:
+    gaps = rows.select(*by, position, (F.col("edits_a") - F.col("edits_b")).cast("long").alias("gap"))
+    sums = _of_draws(gaps, by, position, ["gap"], draws, seed, exact, True)
+    observed = gaps.groupBy(*by).agg(F.sum("gap").alias("__observed"))
+    return _beside(sums, observed, by).groupBy(*by).agg(((F.count_if(F.col("gap") <= F.col("__observed")) + 1) / F.lit(float(draws + 1))).alias("p"))
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the same group side by side; nulls are a group too."""
+    other = right.select(*[F.col(c).alias(f"__of{k}") if c in by else F.col(c) for k, c in enumerate(right.columns)])
+    same: Column = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of{right.columns.index(c)}"))
+    return left.join(other, same).drop(*[c for c in other.columns if c.startswith("__of")])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(position)
-        block, values = int(group["__block"].iloc[0]), group[columns].to_numpy(np.int64).T
-        first, made = block * DRAWS_A_TASK, []
-        last, row = min(draws, first + DRAWS_A_TASK), np.arange(len(group), dtype=np.int64)
-        for size in _blocks(len(group), last - first):
-            made.append(of(values, np.arange(first, first + size, dtype=np.int64)[:, None], row[None, :]))
-            first += size
-        found = pd.DataFrame({out: np.concatenate(made)})
-        for k, c in enumerate(by):
-            found.insert(k, c, group[c].iloc[0])
-        return found
 
-    dealt = rows.select(*by, position, *columns, F.explode(blocks).alias("__block"))
-    return dealt.groupBy(*by, "__block").applyInPandas(run, T.StructType([*[rows.schema[c] for c in by], T.StructField(out, T.DoubleType())]))
+def intervals_exact(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """(by, point, low, high) from (by, position, edits, len); edits and len are whole numbers."""
+    return _intervals(rows, by, position, draws, level, seed, True)
 
 
-def intervals_native(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """(by, point, low, high)."""
+def permutation_exact(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, p) from (by, position, edits_a, edits_b)."""
+    return _permutation(rows, by, position, draws, seed, True)
 
-    def of(values: np.ndarray, draw: np.ndarray, row: np.ndarray) -> np.ndarray:
-        edits, lengths = values
-        taken = drawn(draw, row, seed) % row.size
-        return 100.0 * edits[taken].sum(axis=1) / np.maximum(1.0, lengths[taken].sum(axis=1))
 
-    rates = _of_draws(rows, by, position, ["edits", "len"], draws, "rate", of)
-    bounds = rates.groupBy(*by).agg(*[F.percentile("rate", F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
-    point = rows.groupBy(*by).agg((100.0 * F.sum("edits") / F.greatest(F.lit(1.0), F.sum("len").cast("double"))).alias("point"))
-    return point.join(bounds, by)
+def intervals_native(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """(by, point, low, high)."""
+    return _intervals(rows, by, position, draws, level, seed, False)
 
 
 def permutation_native(rows: DataFrame, by: list[str], position: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """(by, p): signs are the parities of the draws. Sums are integers, so the count is exact."""
-
-    def of(values: np.ndarray, draw: np.ndarray, row: np.ndarray) -> np.ndarray:
-        difference = values[0] - values[1]
-        return ((1 - 2 * (drawn(draw, row, seed) % 2)) * difference).sum(axis=1).astype(float)
-
-    observed = rows.groupBy(*by).agg(F.sum(F.col("edits_a") - F.col("edits_b")).alias("observed"))
-    sums = _of_draws(rows, by, position, ["edits_a", "edits_b"], draws, "s", of)
-    return sums.join(observed, by).groupBy(*by).agg(((F.count_if(F.col("s") <= F.col("observed")) + 1) / F.lit(float(draws + 1))).alias("p"))
+    return _permutation(rows, by, position, draws, seed, False)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import edits, text
 from quillspark.functions import policies as P
-from quillspark.operators import comparing, durations, frames, leakguard, merging, ranking, scoring, seeds, selection, splits, textstats, vocabulary
+from quillspark.operators import comparing, durations, frames, leakguard, merging, ranking, resampling, scoring, seeds, selection, splits, textstats, vocabulary
 
 from .conftest import rows
 
@@ -372,3 +373,38 @@ def test_names(spark):
     ids = spark.createDataFrame([("mlf_02879_1",), ("utt1",), ("a__b",), ("x_UTT_1",)], "i string")
     assert [r[0] for r in ids.select(text.openslr_speaker(F.col("i"))).collect()] == ["mlf_02879", None, None, "x_UTT"]
     assert [r[0] for r in ids.select(text.speaker_before(F.col("i"), "_UTT_")).collect()] == [None, None, None, "x"]
+
+
+# --- resampling ---
+
+
+@pytest.mark.parametrize("bound", [1, 2, 7, 1000, 3 * 2**30, 2**31 + 1, 2**32 - 5])
+def test_draws_of_any_block(bound):
+    """The published sequence from any place, rejected numbers and all."""
+    want = np.random.default_rng(42).integers(0, bound, size=1000)
+    for size in (64, 101, 5000):
+        got, before = [], 0
+        for k in range(0, 4000, size):
+            part = list(resampling.published(42, bound, k, size, before, 1000))
+            assert all(place == len(got) + sum(len(v) for _, v in part[:j]) for j, (place, _) in enumerate(part))
+            got += [x for _, v in part for x in v.tolist()]
+            before += resampling.rejected(42, bound, k, size)
+        assert got == want.tolist()
+    rest = resampling.published(42, bound, 64, None, resampling.rejected(42, bound, 0, 64), 1000)
+    assert [x for _, v in rest for x in v.tolist()] == want[64 - resampling.rejected(42, bound, 0, 64) :].tolist()
+
+
+@pytest.mark.parametrize(("cells", "chunk"), [(1 << 28, 1 << 20), (997, 1 << 20), (5000, 8)])
+def test_resampling_over_tasks(spark, monkeypatch, cells, chunk):
+    """However groups and draws are dealt, the result is that of one generator."""
+    monkeypatch.setattr(resampling, "CELLS_A_TASK", cells)
+    monkeypatch.setattr(resampling, "CHUNK", chunk)
+    data = [(g, k, (k * 7) % 5, 3 + k % 4, (k * 7) % 5, (k * 3) % 6) for g, n in (("a", 23), (None, 16), ("one", 1)) for k in range(n)]
+    df = spark.createDataFrame(data, "g string, pos int, edits long, len long, edits_a long, edits_b long").repartition(3)
+    got = {r.g: (r.point, r.low, r.high) for r in resampling.intervals_exact(df, ["g"], "pos", draws=200).collect()}
+    p = {r.g: r.p for r in resampling.permutation_exact(df, ["g"], "pos", draws=200).collect()}
+    assert len(got) == len(p) == 3
+    for g in got:
+        own = np.array([d[2:] for d in data if d[0] == g])
+        assert got[g] == pytest.approx(resampling.interval(own[:, 0].astype(float), own[:, 1].astype(float), draws=200))
+        assert p[g] == resampling.p_value(own[:, 2], own[:, 3], draws=200)
