@@ -46,6 +46,8 @@ FREQUENT = 1 << 19
 TOP = 100_000
 #: Segments and steps that a worker remembers before it starts anew.
 SEGMENTS, STEPS = 1 << 19, 1 << 20
+#: ASCII marks that end a run of letters on both sides; an apostrophe may belong to a contraction.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: No cut is after a byte up to this one: ASCII white space and control characters.
 _LOW = 0x20
 
@@ -71,8 +73,8 @@ class ByteSide:
         self.bytes = {k: bytes(alphabet[c] for c in name) for name, k in names.items() if all(c in alphabet for c in name)}
         self.size = self.library.get_vocab_size()
 
-    def encode(self, segment: str) -> list[int]:
-        return self.library.encode(segment, add_special_tokens=False).ids
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(segments, add_special_tokens=False)]
 
 
 class PieceSide:
@@ -86,11 +88,13 @@ class PieceSide:
         names = [self.library.id_to_piece(k) for k in range(self.size)]
         if any("▁" in name.lstrip("▁") or "\n" in name for name in names):
             raise ValueError("a piece spans a space or a line feed, so texts can't be aligned by segments")
+        if any(x.isalpha() and y in PUNCTUATION for name in names for x, y in zip(name, name[1:], strict=False) if not name.startswith("<")):
+            raise ValueError("a piece joins a letter with a punctuation mark, so texts can't be aligned by segments")
         self.bytes = {k: bytes([int(name[3:-1], 16)]) if self.library.is_byte(k) else name.replace("▁", " ").encode() for k, name in enumerate(names)}
 
-    def encode(self, segment: str) -> list[int]:
+    def encode(self, segments: list[str]) -> list[list[int]]:
         """Ids of what follows a place where a boundary is: the library's space and a line feed stand before it, and go."""
-        return self.library.encode("\n" + segment)[2:]
+        return [x[2:] for x in self.library.encode(["\n" + s for s in segments], num_threads=1)]
 
 
 class Transducer:
@@ -103,7 +107,8 @@ class Transducer:
     def restart(self) -> None:
         self.states: list[tuple[int, bytes]] = [(1, b"")]  # nothing left over: the first side is next
         self.known = {(1, b""): 0, (0, b""): 0}
-        self.steps: dict[tuple[int, int], int] = {}
+        self.first_next = [True]
+        self.steps: dict[int, int] = {}
 
     def _step(self, state: int, token: int) -> int:
         """The state after the lagging side's token; -1 if its bytes differ from those that are due."""
@@ -115,54 +120,69 @@ class Transducer:
         if to not in self.known:
             self.known[to] = len(self.states)
             self.states.append(to)
+            self.first_next.append(bool(to[0]))
         return self.known[to]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Tokens of both sides between places where nothing is left over; None if they aren't the same bytes."""
+    def ends(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+        """Where groups end in both sequences, places at which nothing is left over; None if they aren't the same bytes."""
         if len(self.steps) > STEPS:
             self.restart()
-        steps, states, out = self.steps, self.states, []
-        state, i, j, from_a, from_b, na, nb = 0, 0, 0, 0, 0, len(a), len(b)
+        steps, first_next, out = self.steps, self.first_next, []
+        state, i, j, na, nb = 0, 0, 0, len(a), len(b)
         while i < na or j < nb:
-            if states[state][0]:
+            if first_next[state]:
                 if i == na:
                     return None
-                token, i = a[i], i + 1
+                key = state << 24 | a[i]
+                i += 1
             else:
                 if j == nb:
                     return None
-                token, j = b[j], j + 1
-            to = steps.get((state, token))
+                key = state << 24 | b[j]
+                j += 1
+            to = steps.get(key)
             if to is None:
-                to = steps[state, token] = self._step(state, token)
+                to = steps[key] = self._step(state, key & 0xFFFFFF)
             if to < 0:
                 return None
             state = to
             if not state:
-                out.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
+                out.append((i, j))
         return None if state else out
 
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
+        """The tokens of both sides in each group."""
+        ends = self.ends(a, b)
+        return None if ends is None else [(a[i:m], b[j:n]) for (i, j), (m, n) in zip([(0, 0), *ends], ends, strict=False)]
+
 
-def linked(groups: list[tuple[list[int], list[int]]], size: int) -> Counter[int]:
-    """How often each pair of ids, as a * size + b, is linked. Repeated ids of a group are multiplied, not gone through."""
-    found: Counter[int] = Counter()
+def linked(groups: list[tuple[list[int], list[int]]], size: int) -> dict[int, int]:
+    """How often each pair of ids, as a * size + b, is linked. Repeated ids of a large group are multiplied, not gone through."""
+    found: dict[int, int] = {}
     for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            found[a[0] * size + b[0]] += 1
+        if len(a) * len(b) <= 64:
+            for x in a:
+                for y in b:
+                    pair = x * size + y
+                    found[pair] = found.get(pair, 0) + 1
         else:
             right = Counter(b).items()
             for (x, m), (y, n) in itertools.product(Counter(a).items(), right):
-                found[x * size + y] += m * n
+                found[x * size + y] = found.get(x * size + y, 0) + m * n
     return found
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(PUNCTUATION.encode())] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte starts of segments of rows that begin with a space each: rows' starts, and places at which both sides have a
     boundary that doesn't depend on more than the segment.
 
-    Spaces and line feeds after a character that is no white space, and what follows a single line feed. Where a byte alone
-    doesn't tell, there is no cut, which only makes a longer segment."""
+    Spaces and line feeds after a character that is no white space, what follows a single line feed, and punctuation after
+    an ASCII letter. Where a byte alone doesn't tell, there is no cut, which only makes a longer segment."""
     n = len(data)
     row = np.zeros(n + 1, bool)
     row[offsets] = True
@@ -183,8 +203,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = after[~row[after]]
     follows = data[after]
     after = after[(follows > _LOW) & (follows != 0xC2) & ((follows < 0xE1) | (follows > 0xE3))]
+    marks = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1  # a row begins with a space, so never a row's start
     row[at] = True
     row[after] = True
+    row[marks] = True
     return np.flatnonzero(row[:-1])
 
 
@@ -199,24 +221,27 @@ class Aligner:
     def restart(self) -> None:
         self.numbers, self.texts = array("q"), []  # by segment: tokens, groups, links, is it broken
         self.pairs, self.times, self.bounds = array("q", [0]), array("q", [0]), array("q", [1])
-        self.table = PieceTable(self._make)
-
-    def align(self, segment: str) -> list[tuple[list[int], list[int]]] | None:
-        return self.transducer.groups(self.a.encode(segment), self.b.encode(segment))
-
-    def _make(self, segment: bytes) -> int:
-        groups = self.align(segment.decode())
-        if groups is None:
-            self.numbers.extend((0, 0, 0, 0, 1))
-            self.texts.append("")
-        else:
-            found = linked(groups, self.b.size)
-            self.numbers.extend((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), found.total(), 0))
-            self.texts.append(";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups]))
-            self.pairs.extend(found.keys())
-            self.times.extend(found.values())
-        self.bounds.append(len(self.pairs))
-        return len(self.texts) - 1
+        self.table = PieceTable(lambda piece: self._make_all([piece])[0], limit=SEGMENTS, make_all=self._make_all)
+
+    def align(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple[list[int], list[int]]] | None]]:
+        """Numbers of tokens and groups of each text that begins with a space, or of a segment."""
+        for a, b in zip(self.a.encode(texts), self.b.encode(texts), strict=True):
+            yield len(a), len(b), self.transducer.groups(a, b)
+
+    def _make_all(self, segments: list[bytes]) -> list[int]:
+        size, at = self.b.size, len(self.texts)
+        for n_a, n_b, groups in self.align([s.decode() for s in segments]):
+            if groups is None:
+                self.numbers.extend((0, 0, 0, 0, 1))
+                self.texts.append("")
+            else:
+                found = linked(groups, size)
+                self.numbers.extend((n_a, n_b, len(groups), sum(found.values()), 0))
+                self.texts.append(";".join([f"{str(a)[1:-1]}|{str(b)[1:-1]}" for a, b in groups]).replace(" ", ""))
+                self.pairs.extend(found)
+                self.times.extend(found.values())
+            self.bounds.append(len(self.pairs))
+        return [*range(at, len(self.texts))]
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links) of each row, digests, and the distinct pairs with their times and bounds by row."""
@@ -268,7 +293,7 @@ def groups(documents: DataFrame, first: str | None = None, second: str | None =
         for batch in batches:
             out = []
             for text in K.strings(batch.column(1)):
-                whole = own.transducer.groups(own.a.encode(" " + text), own.b.encode(" " + text)) if text else None
+                ((_, _, whole),) = own.align([" " + text]) if text else ((0, 0, None),)
                 out.append([{"a": a, "b": b} for a, b in whole or []])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], [id_column, "groups"])
 

@@ -26,10 +26,12 @@ def keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
 
 
 class PieceTable:
-    """piece -> small integer row, filled by ``make`` (bytes -> row) at the first sight of a piece."""
+    """piece -> small integer row, filled by ``make`` (bytes -> row) at the first sight of a piece, or by ``make_all`` for
+    many pieces at once."""
 
-    def __init__(self, make: Callable[[bytes], int], bits: int = 20, limit: int = 1 << 19) -> None:
+    def __init__(self, make: Callable[[bytes], int], bits: int = 20, limit: int = 1 << 19, make_all: Callable[[list[bytes]], list[int]] | None = None) -> None:
         self.make, self.bits, self.limit = make, bits, limit
+        self.make_all = make_all or (lambda pieces: [make(piece) for piece in pieces])
         self.long: dict[bytes, int] = {}
         self.clear()
 
@@ -82,7 +84,7 @@ class PieceTable:
                 heads = order[new]
                 raw = data.tobytes() if len(heads) > 64 else None
                 s, e = starts[at][miss][heads], ends[at][miss][heads]
-                made = np.array([self.make(raw[i:j] if raw is not None else data[i:j].tobytes()) for i, j in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
+                made = np.array(self.make_all([raw[i:j] if raw is not None else data[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)]), np.int64)
                 value = np.empty(len(miss), np.int64)
                 value[order] = made[np.cumsum(new) - 1]
                 got[miss] = value

@@ -21,7 +21,7 @@ pytest.importorskip("sentencepiece")
 
 PARTS = [
     "a", "bc", "The", " ", "  ", "   ", "\n", "\n\n", "\r", "\t", "\x1c", "\x85", "\xa0", " ", " ", " ", "　", "é", "中文", "😀", "‍", "'s", "'", "12", "2024", "!", "...", "ß",
-    "<|endoftext|>", "<s>", "<0x0A>", "\x00", "\x7f", ";\r\n", "{\r\n", "word", " over", "aaaaaaa",
+    "<|endoftext|>", "<s>", "<0x0A>", "\x00", "\x7f", ";\r\n", "{\r\n", "word", " over", "aaaaaaa", "x.", "x,y", "e-f_g/h", "don't,", "é,", "a...", "#",
 ]
 texts = st.one_of(st.text(max_size=30), st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
 
@@ -95,11 +95,12 @@ def test_groups_equal_common_ends(libraries, batch):
 
 def test_transducer_keeps_the_rest():
     t = alignment.Transducer({1: b"ab", 2: b"c", 3: b"abc", 4: b"x"}, {1: b"a", 2: b"bc", 3: b"abcabc"})
-    assert t.groups([1, 2], [1, 2]) == [([1, 2], [1, 2])] and t.states[t.steps[0, 1]] == (0, b"ab")
+    assert t.groups([1, 2], [1, 2]) == [([1, 2], [1, 2])] and t.states[t.steps[1]] == (0, b"ab")
     assert t.groups([3, 1, 2], [3]) == [([3, 1, 2], [3])]
     assert t.groups([3, 3], [1, 2, 1, 2]) == [([3], [1, 2])] * 2
     assert t.groups([1], [1]) is None and t.groups([4], [1]) is None and t.groups([], []) == []
     assert alignment.linked([([1, 1, 2], [5, 5])], 10) == {15: 4, 25: 2}
+    assert alignment.linked([([1] * 50 + [2], [5] * 30)], 10) == {15: 1500, 25: 30}
 
 
 DOCUMENTS = [
