@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import io
 import json
 import struct
+import tarfile
+import zipfile
+from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import corpora
 from quillspark.plans import report
-from quillspark.sources import readers, sinks
+from quillspark.sources import archives, readers, sinks
 from quillspark.streaming import textstats
 
 from .conftest import rows
@@ -139,3 +143,59 @@ def test_stream_equals_batch(spark, tmp_path):
     textstats.to_folder(stats, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).where("lang = 'en'").first()
     assert (got.n_utts, got.n_words, got.n_blank, got.n_with_digits) == (2, 3, 1, 1)
+
+
+# --- archives ---
+
+
+def _tar(names, **options):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", **options) as t:
+        for name, size in names:
+            info = tarfile.TarInfo(name)
+            info.size = size
+            t.addfile(info, io.BytesIO(b"x" * size))
+        link = tarfile.TarInfo("link")
+        link.type, link.linkname = tarfile.SYMTYPE, "/etc/passwd"
+        t.addfile(link)
+    return out.getvalue()
+
+
+def test_archives_by_ranges(spark, tmp_path):
+    """Headers of large archives are read, their bodies aren't."""
+    names = [("a/b.wav", 300_000), ("é" * 90 + ".wav", 5), ("../up.wav", 1), ("a/./b.wav", 2)]
+    (tmp_path / "one.tar").write_bytes(_tar(names))
+    with zipfile.ZipFile(tmp_path / "two words.zip", "w") as z:
+        for name, size in names:
+            z.writestr(name, b"x" * size)
+    (tmp_path / "cut.tar").write_bytes(_tar(names)[:250_000])
+    (tmp_path / "no.zip").write_bytes(b"none")
+    (tmp_path / "notes.txt").write_text("x")
+    got = archives.scan(spark, str(tmp_path / "*"), verify=True).collect()
+    of = lambda end: sorted((r.name, r.size) for r in got if r.archive.endswith(end) and r.error is None)
+    assert of("one.tar") == sorted(names) and of("words.zip") == sorted(names)
+    assert {r.archive.rsplit("/", 1)[1] for r in got if r.error} == {"cut.tar", "no.zip", "notes.txt"}
+    whole = _tar([(f"f{k}", 1 << 20) for k in range(8)])
+    file = archives.Ranges(lambda offset, size: whole[offset : offset + size], len(whole))
+    assert len(list(archives.listed("tar", file))) == 8 and file.fetched < len(whole) / 8
+
+
+def test_where_members_land(spark):
+    names = ["a/b", "./a//b/", "a/./b", "/a", "//a", "a/../b", "..", ".", "", "a/..", "a/b..c"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: (r.deep, r.flat) for r in df.select("name", archives.landing(F.col("name")).alias("deep"), archives.landing(F.col("name"), True).alias("flat")).collect()}
+    for n in names:
+        pure = PurePosixPath(n)
+        deep = None if pure.is_absolute() or ".." in pure.parts else str(pure)
+        assert got[n] == (deep, None if pure.name in ("", "..") else pure.name), n
+
+
+def test_archives_are_refused(spark):
+    table = spark.createDataFrame([("a.tar", "tar", 0, "x/1", 1, None), ("b.tar", "tar", 0, "./x/1", 1, None), ("b.tar", "tar", 1, "y/1", 1, None)], archives.MEMBERS)
+    with pytest.raises(ValueError, match="one path"):
+        archives.require_safe(table, [])
+    archives.require_safe(table.where("archive = 'b.tar'"), [])
+    with pytest.raises(ValueError, match="one path"):
+        archives.require_safe(table.where("archive = 'b.tar'"), [], flat=True)
+    with pytest.raises(ValueError, match="unreadable"):
+        archives.require_safe(table.withColumn("error", F.lit("cut off")), [])
