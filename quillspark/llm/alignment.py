@@ -44,8 +44,8 @@ BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 1 << 19
 #: Counts from here on rank alike.
 TOP = 100_000
-#: Segments and steps that a worker remembers before it starts anew.
-SEGMENTS, STEPS = 1 << 19, 1 << 20
+#: Segments and steps that a worker remembers before it starts anew, and segments that the libraries get at once.
+SEGMENTS, STEPS, BATCH = 1 << 18, 1 << 18, 1 << 12
 #: ASCII marks that end a run of letters on both sides; an apostrophe may belong to a contraction.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: No cut is after a byte up to this one: ASCII white space and control characters.
@@ -230,7 +230,8 @@ class Aligner:
 
     def _make_all(self, segments: list[bytes]) -> list[int]:
         size, at = self.b.size, len(self.texts)
-        for n_a, n_b, groups in self.align([s.decode() for s in segments]):
+        some = [[s.decode() for s in segments[k : k + BATCH]] for k in range(0, len(segments), BATCH)]
+        for n_a, n_b, groups in itertools.chain.from_iterable(map(self.align, some)):
             if groups is None:
                 self.numbers.extend((0, 0, 0, 0, 1))
                 self.texts.append("")
