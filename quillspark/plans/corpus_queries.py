@@ -68,15 +68,19 @@ def below_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_sql(groups: str) -> str:
-    """Groups (lang, k, n) in, parts (lang, k, split) out. The pass that fills an empty part isn't needed on these tables."""
+    """Groups (lang, k, n) in, parts (lang, k, split) out. Empty parts get the least groups of the fullest part, where there
+    are three groups: if two are empty, all groups are in one; if one is, the fullest has two at least."""
     short = lambda a, b: f"({a} * total - {b})"
     t, v, s = short("0.8::DOUBLE", "a"), short("0.1::DOUBLE", "b"), short("0.1::DOUBLE", "c")
     best = f"CASE WHEN {t} >= {v} AND {t} >= {s} THEN 1 WHEN {v} >= {s} THEN 2 ELSE 3 END"
     return f"""g AS ({groups}), o AS (SELECT lang, k, n, row_number() OVER (PARTITION BY lang ORDER BY sha1(k)) AS i, sum(n) OVER (PARTITION BY lang) AS total FROM g),
-f AS (SELECT lang, 0::BIGINT AS i, NULL::VARCHAR AS k, 0 AS part, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c FROM (SELECT DISTINCT lang FROM o)
-  UNION ALL SELECT lang, i, k, best, (a + CASE WHEN best = 1 THEN n ELSE 0 END)::BIGINT, (b + CASE WHEN best = 2 THEN n ELSE 0 END)::BIGINT, (c + CASE WHEN best = 3 THEN n ELSE 0 END)::BIGINT
+f AS (SELECT lang, 0::BIGINT AS i, NULL::VARCHAR AS k, 0::BIGINT AS n, 0 AS part, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c FROM (SELECT DISTINCT lang FROM o)
+  UNION ALL SELECT lang, i, k, n, best, (a + CASE WHEN best = 1 THEN n ELSE 0 END)::BIGINT, (b + CASE WHEN best = 2 THEN n ELSE 0 END)::BIGINT, (c + CASE WHEN best = 3 THEN n ELSE 0 END)::BIGINT
   FROM (SELECT f.lang, o.i, o.k, o.n, a, b, c, {best} AS best FROM f JOIN o ON o.lang = f.lang AND o.i = f.i + 1)),
-parts AS (SELECT lang, k, ['train', 'validation', 'test'][part] AS split FROM f WHERE i > 0)"""
+held AS (SELECT lang, [count(*) FILTER (WHERE part = 1), count(*) FILTER (WHERE part = 2), count(*) FILTER (WHERE part = 3)] AS cs FROM f WHERE i > 0 GROUP BY lang),
+gaps AS (SELECT lang, list_position(cs, list_max(cs)) AS donor, CASE WHEN list_sum(cs) >= 3 THEN list_filter([1, 2, 3], lambda x: cs[x] = 0) ELSE [] END AS empty FROM held),
+placed AS (SELECT f.lang, k, part, empty, part = donor AND row_number() OVER (PARTITION BY f.lang, part ORDER BY n, k) <= len(empty) AS moved, row_number() OVER (PARTITION BY f.lang, part ORDER BY n, k) AS place FROM f JOIN gaps USING (lang) WHERE i > 0),
+parts AS (SELECT lang, k, moved, ['train', 'validation', 'test'][CASE WHEN moved THEN empty[place] ELSE part END] AS split FROM placed)"""
 
 
 _SPEAKERS_SQL = _split_sql("SELECT lang, source AS k, count(*) AS n FROM documents GROUP BY lang, source")
@@ -107,11 +111,40 @@ def test_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.test_digests(speaker_parts(spark, sf_dir), ["lang"], "doc_id")
 
 
-@query("SELECT 0::BIGINT AS shared")
+@query(f"""WITH RECURSIVE {_SPEAKERS_SQL}, s AS (SELECT lang, split, count(DISTINCT k) AS n_speakers FROM parts GROUP BY lang, split)
+SELECT lang, split, n_speakers, (SELECT count(DISTINCT source) FROM documents d WHERE d.lang = s.lang) AS n_all, 0::BIGINT AS shared FROM s""")
 def speaker_disjoint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers of a language that stand in two parts: none."""
-    parts = speaker_parts(spark, sf_dir).groupBy("lang", "source").agg(F.count_distinct("split").alias("parts"))
-    return parts.where("parts > 1").agg(F.count("*").alias("shared"))
+    """Speakers of each part beside those of the whole language; of a language's, how many stand in two parts: none."""
+    rows = speaker_parts(spark, sf_dir)
+    twice = rows.groupBy("lang", "source").agg(F.count_distinct("split").alias("parts")).groupBy("lang").agg(F.count_if(F.col("parts") > 1).alias("shared"), F.count("*").alias("n_all"))
+    return rows.groupBy("lang", "split").agg(F.count_distinct("source").alias("n_speakers")).join(twice, "lang")
+
+
+_FEW_SQL = _split_sql("SELECT CAST(o_custkey AS VARCHAR) AS lang, CAST(o_orderkey AS VARCHAR) AS k, 1 AS n FROM orders")
+
+
+@query(f"WITH RECURSIVE {_FEW_SQL} SELECT CAST(lang AS BIGINT) AS custkey, CAST(k AS BIGINT) AS orderkey, split FROM parts")
+def filled_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer, one to some dozens: in scopes of three to six rows validation and test get rows from train,
+    in those of one or two nothing is moved."""
+    ship(spark)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return splits.derive(rows, ["o_custkey"], F.lit(None).cast("string"), F.col("o_orderkey")).select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "split")
+
+
+_SPOKEN_SQL = """spoken AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS lang, o_orderkey, (o_custkey % 20) || CASE WHEN o_orderkey % 31 < 26 THEN '-most' WHEN o_orderkey % 31 < 29 THEN '-some' ELSE '-few' END AS speaker FROM orders),
+keyed AS (SELECT lang, o_orderkey, CASE WHEN (SELECT count(DISTINCT speaker) FROM spoken b WHERE b.lang = a.lang) >= 3 THEN speaker ELSE CAST(o_orderkey AS VARCHAR) END AS k FROM spoken a)"""
+_DOMINANT_SQL = f"{_SPOKEN_SQL}, {_split_sql('SELECT lang, k, count(*) AS n FROM keyed GROUP BY lang, k')}"
+
+
+@query(f"WITH RECURSIVE {_DOMINANT_SQL} SELECT lang, o_orderkey AS orderkey, split, CASE WHEN k LIKE '%-%' THEN 'speaker' ELSE 'utterance' END AS split_policy FROM keyed JOIN parts USING (lang, k)")
+def filled_speaker_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three speakers a scope, one of whom has most rows: where the shares alone leave a part empty, it gets the least."""
+    ship(spark)
+    lang = (F.col("o_custkey") % 20).cast("string")
+    speaker = F.concat(lang, F.when(F.col("o_orderkey") % 31 < 26, "-most").when(F.col("o_orderkey") % 31 < 29, "-some").otherwise("-few"))
+    rows = table(spark, sf_dir, "orders").select(lang.alias("lang"), F.col("o_orderkey").alias("orderkey"), speaker.alias("speaker"))
+    return splits.derive(rows, ["lang"], F.col("speaker"), F.col("orderkey")).select("lang", "orderkey", "split", "split_policy")
 
 
 _RULE = selection.Thresholds(30.0, 2.0, 2.0)

@@ -40,6 +40,14 @@ def test_against_sql(spark, duck, name):
     assert values(catalog.queries()[name](spark, SF).toPandas()) == values(duck.sql(catalog.oracle_sql()[name]).df())
 
 
+@pytest.mark.parametrize("groups", ["_FEW_SQL", "_DOMINANT_SQL"])
+def test_parts_are_really_filled(duck, groups):
+    from quillspark.plans import corpus_queries
+
+    moved = duck.sql(f"WITH RECURSIVE {getattr(corpus_queries, groups)} SELECT count(*) FILTER (WHERE moved), count(DISTINCT lang) FILTER (WHERE NOT moved), count(DISTINCT lang) FILTER (WHERE len = 0) FROM (SELECT parts.*, len(empty) AS len FROM parts JOIN gaps USING (lang))").fetchall()[0]
+    assert moved[0] >= 3 and moved[2] >= 1  # some scopes need it and some don't
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
