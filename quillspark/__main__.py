@@ -14,7 +14,7 @@ from .functions.text import openslr_speaker
 from .operators import comparing, durations, leakguard, resampling, scoring, seeds, splits
 from .plans import report
 from .shipping import ship
-from .sources import readers, sinks, specs
+from .sources import readers, sinks, specs, sweeps
 
 
 def aggregate(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -112,7 +112,13 @@ def data_stats(spark: SparkSession, a: argparse.Namespace) -> str:
             guards[code] = guard.first().asDict()
         return durations.split_durations(rows, seconds, ["split"], "path")
 
-    parts = durations.sweep(spark, languages, measure)
+    # All releases of the main source in one job; the others, which each have a shape of their own, one after the other.
+    voices = {code: f"{a.corpora_root}/{x.corpus or x.code}" for code, x in languages.items() if x.source == "commonvoice"}
+    parts = durations.sweep(spark, [code for code in languages if code not in voices], measure)
+    if voices:
+        swept, guarded = sweeps.voice(spark, voices, {code: languages[code].text_column for code in voices}, a.train_source)
+        parts = parts.unionByName(swept)
+        guards |= {r.lang: {k: v for k, v in r.asDict().items() if k != "lang"} for r in guarded.join(swept.where("error is not null"), "lang", "left_anti").collect()}
     total = durations.hours(parts, ["lang"]).withColumn("below", durations.below(F.col("train_hours"), a.min_train_hours))
     rows = parts.groupBy("lang").agg(F.sum("n_utts").alias("n"), F.sum("n_missing").alias("missing"), F.first("error", ignorenulls=True).alias("error")).join(total, "lang").orderBy("lang").collect()
     lines = [(r.lang, languages[r.lang].source, r.n or 0, r.missing or 0, report.number(r.total_hours, 1), report.number(r.train_hours, 1), "yes" if r.below else "", r.error or "") for r in rows]

@@ -72,7 +72,8 @@ def common_voice_evaluation(spark: SparkSession, root: str, text_column: str = "
 
 def clip_durations(spark: SparkSession, path: str) -> DataFrame:
     """(clip, seconds); rows without a number are left out, the last of repeated clips counts."""
-    rows = tsv(spark, path).withColumn("__at", F.monotonically_increasing_id())
+    # Blocks of a file may be read in any order: a row's place is its block's, then its own.
+    rows = tsv(spark, path).withColumn("__at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     require_columns(rows, ["clip", "duration[ms]"], path)
     named = rows.select(strip(F.coalesce("clip", F.lit(""))).alias("clip"), F.expr("try_cast(trim(`duration[ms]`) as double)").alias("ms"), "__at").where("ms is not null and clip <> ''")
     return named.groupBy("clip").agg((F.max_by("ms", "__at") / 1000.0).alias("seconds"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpora
 from quillspark.plans import report
-from quillspark.sources import archives, readers, sinks
+from quillspark.sources import archives, readers, sinks, sweeps
 from quillspark.streaming import textstats
 
 from .conftest import rows
@@ -199,3 +199,45 @@ def test_archives_are_refused(spark):
         archives.require_safe(table.where("archive = 'b.tar'"), [], flat=True)
     with pytest.raises(ValueError, match="unreadable"):
         archives.require_safe(table.withColumn("error", F.lit("cut off")), [])
+
+
+# --- sweeps ---
+
+
+def _release(root, rows, durations="clip\tduration[ms]\na\t1000\nb\t2000\na\t3000\nc\tx\n"):
+    for name, lines in rows.items():
+        write(root / f"{name}.tsv", lines)
+    if durations:
+        write(root / "clip_durations.tsv", durations)
+
+
+def test_sweep_over_releases(spark, tmp_path):
+    """One job over all languages; each broken one says why."""
+    head, good = "client_id\tpath\tsentence\n", {"train": "client_id\tpath\tsentence\ns\ta\tx\ns\tb\tx\ns\t\tx\n", "dev": "sentence\tpath\nx\tc\n", "test": "client_id\tpath\tsentence\tmore\nu\tz\t\"x\t\n\nu\ty\t \n"}
+    _release(tmp_path / "ok", good)
+    _release(tmp_path / "no header", good | {"dev": "client_id\tpath\ns\tc\n"})
+    _release(tmp_path / "gone", {"train": head})
+    _release(tmp_path / "bytes", good)
+    (tmp_path / "bytes/train.tsv").write_bytes(head.encode() + b"s\ta\t\xff\xfe\n")
+    _release(tmp_path / "empty", {"train": "", "dev": head, "test": head})
+    roots = {k: str(tmp_path / k) for k in ("ok", "no header", "gone", "bytes", "empty", "nothing")}
+    parts, guards = sweeps.voice(spark, roots)
+    got = parts.collect()
+    assert sorted((r.split, r.n_utts, r.seconds, r.n_missing) for r in got if r.lang == "ok") == [("test", 1, 0.0, 1), ("train", 2, 5.0, 0), ("validation", 1, 0.0, 1)]
+    errors = {r.lang: r.error for r in got if r.error}
+    assert set(errors) == set(roots) - {"ok"} and all(r.split is None for r in got if r.error) and guards.count() == 0
+    assert "lacks sentence" in errors["no header"] and "dev.tsv" in errors["gone"] and "UnicodeDecodeError: 1" in errors["bytes"] and "lacks" in errors["empty"] and "FileNotFoundError" in errors["nothing"]
+
+
+def test_sweep_with_guard(spark, tmp_path):
+    head = "client_id\tpath\tsentence\n"
+    files = {"train": head + "a\tv1\tx\n", "dev": head + "d\tv4\tx\n", "test": head + "t\tv6\tx\n", "validated": head + "a\tv1\tx\na\tv3\tx\nd\tv4\tx\nd\tv5\tx\nt\tv6\tx\n"}
+    seconds = "clip\tduration[ms]\n" + "".join(f"v{k}\t1000\n" for k in range(1, 7))
+    _release(tmp_path / "en", files, seconds)
+    _release(tmp_path / "de", files | {"validated": head + "d\tv9\tx\nt\tv1\tx\n"}, seconds)  # the same names in another language
+    _release(tmp_path / "fr", files | {"dev": head + "\tv4\tx\n"}, seconds)
+    parts, guards = sweeps.voice(spark, {k: str(tmp_path / k) for k in ("en", "de", "fr")}, train_source="validated_minus_eval")
+    assert sorted((r.split, r.n_utts, r.seconds) for r in parts.where("lang = 'en'").collect()) == [("test", 1, 1.0), ("train", 2, 2.0), ("validation", 1, 1.0)]
+    assert {r.lang: r.error.split(":")[1][:18] for r in parts.where("error is not null").collect()} == {"de": " the guard removes", "fr": " 1 rows have no cl"}
+    r = guards.where("lang = 'en'").first()
+    assert (r.n_validated, r.n_kept, r.n_in_eval_splits, r.n_eval_speaker_clips, r.n_leaked_speakers, r.seconds_removed_by_guard) == (5, 2, 2, 1, 1, 1.0)
