@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import TALLIED, normalized_with_counts
+from ..functions.normalize import TALLIED, is_ascii, normalize_text, normalized_ascii, normalized_with_counts
 from ..functions.policies import Policy
 from ..functions.text import has_digits, is_blank, words
+from .vocabulary import ANY_LANGUAGE
 
 UNSPACED_MEDIAN = 1.0
 UNKNOWN_WARNING = 0.001
@@ -19,6 +21,29 @@ def prepared(texts: DataFrame, policy: Policy | str, text: str = "text") -> Data
     return done.withColumn("normalized", F.col("__n.text")).withColumn("counts", F.col("__n.counts")).drop("__n")
 
 
+def normalized_by_language(rows: DataFrame, policies: dict[str, Policy], lang: str = "lang", text: str = "text", out: str = "normalized") -> DataFrame:
+    """rows with their text under the policy of their language, that of ``ANY_LANGUAGE`` for those without one; a language
+    that has neither is refused. One pass, whatever the number of policies; ASCII text doesn't leave the JVM."""
+    named, value = [c for c in policies if c != ANY_LANGUAGE], F.coalesce(F.col(text), F.lit(""))
+    fallback = policies.get(ANY_LANGUAGE)
+    if fallback is None:
+        unknown = rows.where(~F.coalesce(F.col(lang).isin(named), F.lit(False))).select(lang).distinct().take(3)
+        if unknown:
+            raise KeyError(f"no policy for {[r[0] for r in unknown]}")
+
+    @F.pandas_udf("string")
+    def beyond(texts: pd.Series, codes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else normalize_text(t, policies.get(c, fallback)) for t, c in zip(texts, codes, strict=True)], index=texts.index)
+
+    by_policy: dict[str, list[str]] = {}
+    for code in named:
+        by_policy.setdefault(policies[code].digest(), []).append(code)
+    plain = F.lit(None).cast("string") if fallback is None else normalized_ascii(value, fallback)
+    for codes in by_policy.values():
+        plain = F.when(F.col(lang).isin(codes), normalized_ascii(value, policies[codes[0]])).otherwise(plain)
+    return rows.withColumn(out, F.when(is_ascii(value), plain).otherwise(beyond(F.when(~is_ascii(value), value), F.col(lang).cast("string"))))
+
+
 def text_stats(rows: DataFrame, by: list[str], raw: str = "text", normalized: str = "normalized", unknown: str | None = None, counts: str | None = None) -> DataFrame:
     """One row for each group. ``unknown``: number of unknown characters of a row; ``counts``: its removal tally."""
     blank = is_blank(F.col(normalized))

@@ -318,8 +318,7 @@ def _names(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 def _sidecars(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     root = new_folder(spark, "sidecars")
-    for r in sinks.sidecar_documents(pairs, ["lang"]).collect():  # one document a language
-        write_file(spark, f"{root}/predictions/{r.lang}.json", r.document)
+    sinks.write_sidecars(spark, pairs, root)
     return readers.sidecars(spark, root)
 
 

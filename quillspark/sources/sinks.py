@@ -7,6 +7,7 @@ import os
 import platform
 from collections.abc import Iterable, Mapping
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,34 @@ def sidecar_documents(pairs: DataFrame, by: list[str], position: str = "pos") ->
     return scored.groupBy(*by).agg(*columns).select(*by, F.to_json(F.struct("wer", "cer", "n", "n_empty_refs", "pairs")).alias("document"))
 
 
+def write_sidecars(spark: SparkSession, pairs: DataFrame, run_dir: str, lang: str = "lang", position: str = "pos") -> None:
+    """The same documents as ``predictions/<language>.json``, written by the executors line after line: a row of a language is
+    never in memory with the others. Names are set when all are written."""
+    from ..scratch import file_system, new_folder
+
+    held = pairs.select(lang, position, "ref", "hyp")
+    scored = edit_counts(held).withColumn("__blank", is_blank(F.col("ref")))
+    kept = lambda c: F.when(~F.col("__blank"), F.col(c)).otherwise(0)
+    head = scored.groupBy(lang).agg(rate(kept("word_edits"), kept("word_len")).alias("wer"), rate(kept("char_edits"), kept("char_len")).alias("cer"), F.count_if(~F.col("__blank")).alias("n"), F.count_if("__blank").alias("n_empty_refs"), F.min(F.when(~F.col("__blank"), F.col(position))).alias("__first"))
+    start = F.concat(F.regexp_replace(F.to_json(F.struct("wer", "cer", "n", "n_empty_refs")), r"\}$", ""), F.lit(',"pairs":['))
+    none = F.lit(None).cast(pairs.schema[position].dataType)
+    body = held.where(~is_blank(F.col("ref"))).join(head.select(lang, "__first"), lang)
+    line = F.concat(F.when(F.col(position) > F.col("__first"), ",").otherwise(""), F.to_json(F.array(F.coalesce("ref", F.lit("")), F.coalesce("hyp", F.lit("")))))
+    lines = head.select(lang, F.lit(0).alias("__part"), none.alias("__at"), start.alias("value")).unionByName(body.select(lang, F.lit(1).alias("__part"), F.col(position).alias("__at"), line.alias("value"))).unionByName(head.select(lang, F.lit(2).alias("__part"), none.alias("__at"), F.lit("]}").alias("value")))
+    folder = new_folder(spark, "sidecars") + "/lines"
+    ordered = lines.withColumn("__lang", F.col(lang)).repartition("__lang").sortWithinPartitions("__lang", "__part", "__at")
+    ordered.select("__lang", "value").write.partitionBy("__lang").text(folder)
+    store, where = file_system(spark, folder)
+    to, out = file_system(spark, f"{run_dir}/predictions")
+    to.mkdirs(out)
+    jvm = spark.sparkContext._jvm
+    for own in store.listStatus(where):  # one folder for each language
+        name = own.getPath().getName()
+        if name.startswith("__lang="):
+            (part,) = [f.getPath() for f in store.listStatus(own.getPath()) if f.getPath().getName().startswith("part-")]
+            to.rename(part, jvm.org.apache.hadoop.fs.Path(out, unquote(name.removeprefix("__lang=")) + ".json"))
+
+
 def results_document(arm: str, scale: str, seed: int, rates: DataFrame, languages: Iterable[str], heldout: Iterable[str] = ()) -> dict[str, Any]:
     """results.json of a run from (section, lang, wer, cer, n, n_empty_refs), a row a language."""
     out: dict[str, Any] = {"arm": arm, "scale": scale, "seed": seed, "languages": list(languages), "heldout_langs": list(heldout), "in_distribution": {}, "transfer": {}}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import edits, text
 from quillspark.functions import policies as P
-from quillspark.operators import comparing, durations, frames, leakguard, merging, ranking, resampling, scoring, seeds, selection, splits, textstats, vocabulary
+from quillspark.operators import batching, comparing, durations, evaluation, frames, leakguard, merging, ranking, resampling, scoring, seeds, selection, splits, textstats, vocabulary
 
 from .conftest import rows
 
@@ -408,3 +408,57 @@ def test_resampling_over_tasks(spark, monkeypatch, cells, chunk):
         own = np.array([d[2:] for d in data if d[0] == g])
         assert got[g] == pytest.approx(resampling.interval(own[:, 0].astype(float), own[:, 1].astype(float), draws=200))
         assert p[g] == resampling.p_value(own[:, 2], own[:, 3], draws=200)
+
+
+# --- batches and evaluation ---
+
+
+def _vocabulary(spark, chars):
+    return spark.createDataFrame([("<blank>", 0), ("<unk>", 1), *[(c, k + 2) for k, c in enumerate(chars)]], "char string, id int")
+
+
+def test_collate(spark):
+    """Labels under the policy of each row's language, what training drops, and what evaluation keeps."""
+    long = 400 * 30
+    data = [("en", 0, "Ab!", long), ("en", 1, "...", long), ("en", 2, "abab", 400), ("de", 3, "äß", long), ("xx", 4, None, 0), ("en", 5, "ab", 200_000)]
+    rows_ = spark.createDataFrame(data, "lang string, pos int, text string, samples int")
+    named = {"de": P.policy("norm-1"), "*": P.policy("whisper-basic")}
+    train = {r.pos: r for r in batching.collated(rows_, _vocabulary(spark, "abs"), named, drop_overlong=True, drop_empty=True).collect()}
+    assert {k: r.kept for k, r in train.items()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True}
+    assert [train[k].labels for k in (0, 3)] == [[2, 3, 1], [1, 4, 4]] and train[3].normalized == "äss" and train[5].at_guard and train[2].dropped and not train[1].dropped
+    kept = batching.collated(rows_, _vocabulary(spark, "abs"), named, guard=None)
+    assert all(r.kept and not r.at_guard for r in kept.collect())
+    found = batching.batch_summary(batching.batches(kept, 4, []), []).orderBy("batch").collect()
+    assert [(r.batch, r.n, r.padded_samples, r.padded_labels) for r in found] == [(0, 4, 200_000, 3), (1, 2, 400, 4)]
+    none = batching.batch_summary(batching.batches(batching.collated(rows_.where("pos = 1"), _vocabulary(spark, "ab"), named, drop_empty=True), 4, []), [])
+    assert [(r.n, r.n_empty_text, r.padded_samples, r.padded_labels) for r in none.collect()] == [(0, 1, 0, 1)]
+    assert kept.where("pos = 0").select(batching.padded(F.col("labels"), F.lit(5)).alias("p")).first().p == [2, 3, 1, -100, -100]
+    with pytest.raises(KeyError, match="no policy"):
+        batching.collated(rows_, _vocabulary(spark, "ab"), {"en": P.policy("whisper-basic")})
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=80), st.integers(1, 5000))
+def test_batches_under_a_budget(spark, lengths, budget):
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "pos int, frames int")
+    got = batching.budgeted(df, budget, []).collect()
+    assert sorted(r.pos for r in got) == list(range(len(lengths)))
+    held = {}
+    for r in got:
+        held.setdefault((r["class"], r.batch), []).append(r.frames)
+    for own in held.values():
+        assert len(own) == 1 or max(own) * len(own) <= budget
+        assert max(own) <= batching.RATIO * max(1, min(own)) * (1 + 1e-6)
+
+
+def test_evaluation(spark):
+    one = lambda *ids: [[1.0 if k == i else 0.0 for k in range(5)] for i in ids]
+    data = [("en", 0, "Ab a", one(2, 2, 0, 3, 4, 2, 3), 6), ("en", 1, "...", one(2), 1), ("ja", 2, "ab", one(3, 2), 2), ("ja", 3, "b", [], 0)]
+    frames_ = spark.createDataFrame(data, "lang string, pos int, text string, scores array<array<double>>, length int")
+    known = _vocabulary(spark, "ab ")
+    pairs, rates = evaluation.evaluate(frames_, known, {"*": P.policy("whisper-basic")}, ["lang"], spark.createDataFrame([("ja", False)], "lang string, word_boundary boolean"))
+    assert {r.pos: (r.ref, r.hyp) for r in pairs.collect()} == {0: ("ab a", "ab a"), 1: (" ", "a"), 2: ("ab", "ba"), 3: ("b", "")}
+    got = {r.lang: (r.n, r.n_empty_refs, r.wer, r.cer, r.primary_metric, r.primary) for r in rates.collect()}
+    assert got == {"en": (1, 1, 0.0, 0.0, "wer", 0.0), "ja": (2, 0, 100.0, 100.0, "cer", 100.0)}
+    with pytest.raises(ValueError, match="every reference is blank"):
+        evaluation.rates(pairs.where("pos = 1"), ["lang"])
