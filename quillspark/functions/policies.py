@@ -7,7 +7,9 @@ one pipeline leaves the digests of the others alone; a rule that a pipeline does
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
+import sys
 import warnings
 from dataclasses import dataclass, fields, replace
 from typing import Any
@@ -173,6 +175,16 @@ def registry_digest() -> str:
     return _digest({name: p.rules() for name, p in POLICIES.items()})
 
 
+def module_digest() -> str:
+    """Digest of the code that normalizes: with the registry's, all that a normalized text depends on."""
+    from . import normalize
+
+    digest = hashlib.sha256()
+    for module in (normalize, sys.modules[__name__]):
+        digest.update(inspect.getsource(module).encode())
+    return digest.hexdigest()
+
+
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from .scoring import primary, primary_kind
 
 
-def by_language(results: DataFrame, keys: tuple[str, ...] = ("section", "lang")) -> DataFrame:
+def by_language(results: DataFrame, keys: tuple[str, ...] = ("section", "lang"), carried: tuple[str, ...] = ()) -> DataFrame:
     """Mean and sample deviation of each metric over seeds (null for one seed), and the primary metric.
 
-    ``results``: (keys, seed, word_boundary, wer, cer). The first seed that has a language fixes its metric.
+    ``results``: (keys, seed, word_boundary, wer, cer). The first seed that has a language fixes its metric, and what else is
+    ``carried``, such as the policy that its texts were normalized under; a seed that doesn't name it isn't asked.
     """
     aggregates = []
     for m in ("wer", "cer"):
         aggregates += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.count(m).alias(f"{m}_n"), F.array_sort(F.collect_list(F.when(F.col(m).isNotNull(), F.struct("seed", F.col(m).alias("value"))))).alias(f"{m}_values")]
     kind = F.min_by(primary_kind(F.col("word_boundary")), "seed").alias("kind")
-    return results.groupBy(*keys).agg(kind, *aggregates)
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seed"))).alias(c) for c in carried]
+    return results.groupBy(*keys).agg(kind, *first, *aggregates)
 
 
 def primary_values(results: DataFrame, keys: tuple[str, ...] = ("section", "lang")) -> DataFrame:

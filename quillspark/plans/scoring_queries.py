@@ -90,6 +90,15 @@ def seed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("section", "lang", "kind", *[x for m in ("wer", "cer") for x in (r9(f"{m}_mean").alias(f"{m}_mean"), r9(f"{m}_std").alias(f"{m}_std"), F.col(f"{m}_n"))])
 
 
+@query(f"""WITH {RESULTS_SQL}, p AS (SELECT *, CASE WHEN seed = 1 THEN NULL WHEN seed % 2 = 0 THEN 'whisper-basic' ELSE 'norm-' || seed END AS policy FROM results)
+SELECT section, lang, count(*) AS n, arg_min(policy, seed) FILTER (WHERE policy IS NOT NULL) AS policy FROM p GROUP BY section, lang""")
+def seed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy of a language is that of the first seed that names one."""
+    named = F.when(F.col("seed") == 1, None).when(F.col("seed") % 2 == 0, "whisper-basic").otherwise(F.concat(F.lit("norm-"), F.col("seed").cast("string")))
+    out = seeds.by_language(results(spark, sf_dir).withColumn("policy", named), carried=("policy",))
+    return out.select("section", "lang", F.col("wer_n").alias("n"), "policy")
+
+
 def _macro_sql(kept: str) -> str:
     return f"""WITH {RESULTS_SQL},
 v AS (SELECT section, lang, seed, CASE WHEN word_boundary THEN 'wer' ELSE 'cer' END AS kind, CASE WHEN word_boundary THEN wer ELSE cer END AS value FROM results WHERE {kept}),
@@ -181,6 +190,21 @@ def bootstrap_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", *[r9(c).alias(c) for c in ("point", "low", "high")])
 
 
+@query(f"""WITH base AS (SELECT c_mktsegment AS lang, c_custkey, 'seed' || c_custkey % 2 AS run FROM customer), long AS (SELECT run, lang, 'wer' AS metric, c_custkey, c_custkey % 5 AS edits, 5 + c_custkey % 11 AS len FROM base UNION ALL SELECT run, lang, 'cer', c_custkey, c_custkey % 9, 20 + c_custkey % 13 FROM base),
+rows AS MATERIALIZED (SELECT run || '/' || lang || '/' || metric AS lang, row_number() OVER (PARTITION BY run, lang, metric ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY run, lang, metric) AS m, edits, len, edits AS edits_b FROM long), {_draws_sql()}, t AS (SELECT lang, draw, h % m AS k FROM h),
+r AS (SELECT t.lang, draw, 100.0 * sum(edits) / greatest(1.0, sum(len)) AS rate FROM t JOIN rows USING (lang, k) GROUP BY t.lang, draw),
+p AS (SELECT lang, 100.0 * sum(edits) / greatest(1.0, sum(len)) AS point FROM rows GROUP BY lang)
+SELECT split_part(lang, '/', 1) AS run, split_part(lang, '/', 2) AS lang, split_part(lang, '/', 3) AS metric, round(point, 9) AS point, round(quantile_cont(CAST(rate AS DOUBLE), 0.025), 9) AS low, round(quantile_cont(CAST(rate AS DOUBLE), 0.975), 9) AS high FROM r JOIN p USING (lang) GROUP BY lang, point""")
+def intervals_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each run, language and metric, as the command line's analysis gives them."""
+    ship(spark)
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("seed"), (key % 2).cast("string")).alias("run"), F.col("c_mktsegment").alias("lang"), key.alias("pos"), (key % 5).alias("word_edits"), (5 + key % 11).alias("word_len"), (key % 9).alias("char_edits"), (20 + key % 13).alias("char_len"))
+    by = ["run", "lang", "metric"]
+    out = resampling.intervals_native(scoring.long_form(c, ["run", "lang", "pos"]), by, "pos")
+    return out.select(*by, *[r9(x).alias(x) for x in ("point", "low", "high")])
+
+
 @query()
 def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NumPy's generator can't be had in SQL; tests hold it against the same draws on the driver."""

@@ -194,11 +194,15 @@ def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.checksums(spark, f"{root}/*.txt").select(P.part(F.col("path"), -1).alias("name"), "sha256", "md5")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS uttID, c_name AS transcription FROM customer")
+@query("SELECT ['tab', 'comma', 'space'][c_custkey % 3 + 1] AS file, CAST(c_custkey AS VARCHAR) AS uttID, CASE c_custkey % 3 WHEN 2 THEN replace(c_name, ' ', '_') ELSE c_name END AS transcription, 'n' || c_nationkey AS speaker FROM customer")
 def read_sniffed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table whose separator is found from its header."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("uttID"), F.col("c_name").alias("transcription"))
-    return readers.sniffed_table(spark, write_table(rows, f"{new_folder(spark, 'sniffed')}/meta.csv", sep=","))
+    """Tables cut by tabs, commas and spaces, which their headers tell."""
+    root, parts = new_folder(spark, "sniffed"), []
+    for k, (name, sep) in enumerate((("tab", "\t"), ("comma", ","), ("space", " "))):
+        text = F.replace("c_name", F.lit(" "), F.lit("_")) if name == "space" else F.col("c_name")
+        rows = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == k).select(F.col("c_custkey").cast("string").alias("uttID"), text.alias("transcription"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("speaker"))
+        parts.append(readers.sniffed_table(spark, write_table(rows, f"{root}/{name}.csv", sep=sep)).withColumn("file", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""WITH a AS (SELECT CAST(s_suppkey AS VARCHAR) AS utt_id, s_name AS text, 'n' || s_nationkey AS speaker FROM supplier), b AS (SELECT CAST(c_custkey AS VARCHAR) AS utt_id, c_name AS text, '' AS speaker FROM customer)
@@ -395,12 +399,16 @@ def safe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.safe_component(F.col("name")).alias("safe"))
 
 
-@query("""WITH s(code, script) AS (VALUES ('en', 'Latn'), ('ja', 'Jpan'), ('zh-CN', 'Hans'), ('ko', 'Kore'), ('bo', 'Tibt'), ('th', 'Thai'), ('ml', 'Mlym'))
-SELECT code, split_part(code, '-', 1) AS base, script NOT IN ('Hani', 'Hans', 'Hant', 'Jpan', 'Thai', 'Laoo', 'Khmr', 'Mymr', 'Tibt') AS word_boundary FROM s""")
+#: Scripts and whether words are delimited in them.
+_BOUNDARIES = (("en", "Latn", True), ("ja", "Jpan", False), ("zh-CN", "Hans", False), ("zh-TW", "Hant", False), ("ko", "Kore", True), ("bo", "Tibt", False), ("th", "Thai", False), ("ml", "Mlym", True), ("my-x-y", "Mymr", False))
+
+
+@query(f"SELECT c_custkey, split_part({[c for c, _, _ in _BOUNDARIES]}[c_custkey % {len(_BOUNDARIES)} + 1], '-', 1) AS base, {[b for _, _, b in _BOUNDARIES]}[c_custkey % {len(_BOUNDARIES)} + 1] AS word_boundary FROM customer")
 def word_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which scripts put spaces between words."""
-    rows = spark.createDataFrame([("en", "Latn"), ("ja", "Jpan"), ("zh-CN", "Hans"), ("ko", "Kore"), ("bo", "Tibt"), ("th", "Thai"), ("ml", "Mlym")], "code string, script string")
-    return rows.select("code", X.base_locale(F.col("code")).alias("base"), P.word_boundary(F.col("script")).alias("word_boundary"))
+    """Customers as languages: which scripts put spaces between words."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _BOUNDARIES]), (F.col("c_custkey") % len(_BOUNDARIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(0).alias("code"), pick(1).alias("script"))
+    return rows.select("c_custkey", X.base_locale(F.col("code")).alias("base"), P.word_boundary(F.col("script")).alias("word_boundary"))
 
 
 @query("SELECT c_custkey, s_name AS text, c_name AS name FROM customer JOIN supplier ON s_suppkey = c_custkey")

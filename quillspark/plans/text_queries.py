@@ -94,10 +94,15 @@ def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench_vocabulary(spark, sf_dir)
 
 
-@query(f"WITH {_CHARS_SQL} SELECT char, n FROM counts WHERE n < 5")
+#: A floor that leaves some letters of the benchmark out.
+FLOOR = 15
+
+
+@query(f"WITH {_CHARS_SQL} SELECT char, n, n < {FLOOR} AS evicted FROM counts")
 def vocab_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the floor evicts."""
-    return vocabulary.floored(vocabulary.character_counts(bench_text(spark, sf_dir)), 5)[1]
+    """What the floor keeps, and what it evicts."""
+    kept, evicted = vocabulary.floored(vocabulary.character_counts(bench_text(spark, sf_dir)), FLOOR)
+    return kept.withColumn("evicted", F.lit(False)).unionByName(evicted.withColumn("evicted", F.lit(True)))
 
 
 @query(f"""WITH {_VOCAB_SQL}, n AS (SELECT lang, {basic_sql("coalesce(text, '')")} AS x FROM documents), c AS (SELECT lang, x, unnest(string_split(x, '')) AS char FROM n WHERE trim(x) <> ''),
@@ -136,36 +141,74 @@ def boundary_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("lang", scoring.boundary_contradiction(F.col("lang") != "de", F.col("unspaced")).alias("warning"))
 
 
-def _registry_sql() -> str:
-    codes = [*P.SCRIPT_OF, "xx", "tlh"]
-    rows = ", ".join(f"('{c}')" for c in codes)
-    scripts = ", ".join(f"('{c}', '{s}')" for c, s in P.SCRIPT_OF.items())
-    by_script = ", ".join(f"('{s}', '{p}')" for s, p in P.BY_SCRIPT.items())
-    by_language = ", ".join(f"('{c}', '{p}')" for c, p in P.BY_LANGUAGE.items())
-    return f"""WITH codes(code) AS (VALUES {rows}), s(code, script) AS (VALUES {scripts}), ps(script, policy) AS (VALUES {by_script}), pl(code, policy) AS (VALUES {by_language})
-SELECT code, coalesce(CASE WHEN code = 'en' THEN 'latin-marks' END, pl.policy, ps.policy, 'whisper-basic') AS policy FROM codes LEFT JOIN s USING (code) LEFT JOIN ps USING (script) LEFT JOIN pl USING (code)"""
+#: Languages and the policy that each must get, one or more for every rule, written out apart from the tables under test.
+EXPECTED_POLICIES = (
+    ("de", "whisper-basic"), ("vi", "whisper-basic"), ("ru", "whisper-basic"), ("ka", "whisper-basic"), ("el", "whisper-basic"), ("zu", "whisper-basic"),
+    ("tr", "turkic-tr"), ("az", "turkic-tr"), ("ar", "arabic-ouaal"), ("fa", "perso-arabic"), ("ur", "perso-arabic"), ("ckb", "perso-arabic"), ("ps", "perso-arabic"), ("ug", "uyghur-ug"),
+    ("sw", "latin-marks"), ("rw", "latin-marks"), ("yo", "latin-marks"), ("ig", "latin-marks"),
+    ("hi", "indic-vistaar"), ("marathi", "indic-vistaar"), ("bn", "indic-vistaar"), ("pa-IN", "indic-vistaar"), ("gu", "indic-vistaar"), ("odia", "indic-vistaar"), ("ta", "indic-vistaar"), ("te", "indic-vistaar"), ("kn", "indic-vistaar"), ("ml", "indic-vistaar"), ("si", "indic-vistaar"),
+    ("th", "thai-cer"), ("bo", "tibetan-syllable"), ("ko", "ko-kspon"), ("hy-AM", "armenian-hy"), ("hy", "armenian-hy"), ("zh-CN", "han-mer"), ("yue", "han-mer"), ("ja", "ja-cer"),
+    ("xx", "whisper-basic"), ("tlh", "whisper-basic"),
+)
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries of a preset: each has a language, every eleventh names its policy itself."""
+    codes = F.array(*[F.lit(c) for c, _ in EXPECTED_POLICIES])
+    named = F.when(F.col("c_custkey") % 11 == 0, "cyrillic-yo")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.element_at(codes, (F.col("c_custkey") % len(EXPECTED_POLICIES) + 1).cast("int")).alias("code"), named.alias("normalizer"))
 
 
-@query(_registry_sql())
+_CODED_SQL = f"SELECT c_custkey, {[c for c, _ in EXPECTED_POLICIES]}[c_custkey % {len(EXPECTED_POLICIES)} + 1] AS code, {[p for _, p in EXPECTED_POLICIES]}[c_custkey % {len(EXPECTED_POLICIES)} + 1] AS policy FROM customer"
+
+
+@query(f"SELECT c_custkey, code, CASE WHEN c_custkey % 11 = 0 THEN 'cyrillic-yo' ELSE policy END AS policy FROM ({_CODED_SQL})")
 def policy_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit name over language over script over default."""
-    specs = spark.createDataFrame([(c, "latin-marks" if c == "en" else None) for c in [*P.SCRIPT_OF, "xx", "tlh"]], "code string, normalizer string")
-    return P.with_policy(specs).select("code", "policy")
+    return P.with_policy(_coded(spark, sf_dir)).select("c_custkey", "code", "policy")
+
 
+@query(f"SELECT policy, count(*) AS n, count(DISTINCT code) AS n_languages, 'latin-marks' AS overridden FROM ({_CODED_SQL}) WHERE c_custkey % 11 <> 0 GROUP BY policy")
+def policies_of_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and languages by policy; an override of the whole preset replaces every one of them."""
+    rows = _coded(spark, sf_dir).where("normalizer is null")
+    both = P.with_policy(rows).join(P.with_policy(rows, override="latin-marks").select("c_custkey", F.col("policy").alias("overridden")), "c_custkey")
+    return both.groupBy("policy").agg(F.count("*").alias("n"), F.count_distinct("code").alias("n_languages"), F.max("overridden").alias("overridden"))
 
-_LITERALS = ["كِتَابٌ", "a​b‌c‍d­e", "x‎y‏z؜w", "١٢٣ ۴۵۶", "it’s ‘ok’ ʼnʹ", "قـال", "  plain \t text\n", "½ cup", ""]
-_SQL_LITERALS = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_LITERALS))
 
+_LITERALS = ["كِتَابٌ", "a\u200bb\u200cc\u200dd\u00ade", "x\u200ey\u200fz\u061cw", "١٢٣ ۴۵۶", "it’s ‘ok’ ʼnʹ", "قـال", "  plain \t text\n", "½ cup", ""]
+_SQL_LITERALS = ", ".join("''" if not x else " || ".join(f"chr({ord(c)})" for c in x) for x in _LITERALS)
 
-@query(rf"""WITH v(k, x) AS (VALUES {_SQL_LITERALS})
+
+@query(rf"""WITH v AS (SELECT doc_id AS k, coalesce(text, '') || [{_SQL_LITERALS}][doc_id % {len(_LITERALS)} + 1] AS x FROM documents)
 SELECT k, length(x) - length(regexp_replace(x, '[\x{{0610}}-\x{{061A}}\x{{064B}}-\x{{065F}}\x{{0670}}\x{{06D6}}-\x{{06ED}}\x{{0640}}]', '', 'g')) AS arabic_marks,
-  regexp_replace(x, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{00AD}}\x{{FEFF}}\x{{200E}}\x{{200F}}\x{{061C}}]', '', 'g') AS visible, translate(x, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS digits,
-  translate(x, '’‘‛ʼʹ՚', '''''''''''''') AS apostrophes, trim(regexp_replace(x, '\s+', ' ', 'g')) AS collapsed FROM v""")
+  sha1(regexp_replace(x, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{00AD}}\x{{FEFF}}\x{{200E}}\x{{200F}}\x{{061C}}]', '', 'g')) AS visible, sha1(translate(x, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) AS digits,
+  sha1(translate(x, '’‘‛ʼʹ՚', '''''''''''''')) AS apostrophes, sha1(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS collapsed FROM v""")
 def character_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks, invisible characters, digits, apostrophes and white space on literals."""
-    x = F.col("x")
-    rows = spark.createDataFrame(list(enumerate(_LITERALS)), "k int, x string")
-    return rows.select("k", X.count_arabic_marks(x).cast("long").alias("arabic_marks"), X.zero_width(x).alias("visible"), X.eastern_digits_to_ascii(x).alias("digits"), X.unify_apostrophes(x).alias("apostrophes"), X.collapse(x).alias("collapsed"))
+    """Marks, invisible characters, digits, apostrophes and white space, in every document and what is put at its end."""
+    x, odd = F.col("x"), F.array(*[F.lit(t) for t in _LITERALS])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat(F.coalesce("text", F.lit("")), F.element_at(odd, (F.col("doc_id") % len(_LITERALS) + 1).cast("int"))).alias("x"))
+    sha = lambda c: F.sha1(c.cast("binary"))
+    return rows.select("k", X.count_arabic_marks(x).cast("long").alias("arabic_marks"), sha(X.zero_width(x)).alias("visible"), sha(X.eastern_digits_to_ascii(x)).alias("digits"), sha(X.unify_apostrophes(x)).alias("apostrophes"), sha(X.collapse(x)).alias("collapsed"))
+
+
+#: Put at the end of texts, so that every kind of character that a rule counts is there: format, control, private use,
+#: unassigned, Arabic vowel signs.
+_ODD = ["\u200b\u200e", "\x07\x01", "\ue000", "\u0378", "\u064b\u0640\u0650", "$+", "", "É!"]
+_SQL_ODD = ", ".join("''" if not x else " || ".join(f"chr({ord(c)})" for c in x) for x in _ODD)
+_COUNT_SQL = lambda sign: f"CAST(sum(length(x) - length(regexp_replace(x, '{sign}', '', 'g'))) AS BIGINT)"
+
+
+@query(rf"""WITH t AS (SELECT lang, coalesce(text, '') || [{_SQL_ODD}][doc_id % {len(_ODD)} + 1] AS x FROM documents)
+SELECT lang, 0::BIGINT AS m, {_COUNT_SQL(r'[\p{P}]')} AS p, {_COUNT_SQL(r'[\p{S}]')} AS s, {_COUNT_SQL(r'[\x{064B}-\x{0652}\x{0640}]')} AS arabic_marks, {_COUNT_SQL(r'[\x00-\x1f\x7f]')} AS cc, {_COUNT_SQL(r'\p{Cf}')} AS cf,
+  {_COUNT_SQL(r'\x{0378}')} AS cn, {_COUNT_SQL(r'\p{Co}')} AS co, 0::BIGINT AS cs, {_COUNT_SQL(r'[\p{Lu}\p{Lt}ß]')} AS case_changed FROM t GROUP BY lang""")
+def removal_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the default rules of one pipeline remove, by every kind that is counted; those that never occur are 0."""
+    ship(spark)
+    odd = F.array(*[F.lit(t) for t in _ODD])
+    rows = table(spark, sf_dir, "documents").select("lang", F.concat(F.coalesce("text", F.lit("")), F.element_at(odd, (F.col("doc_id") % len(_ODD) + 1).cast("int"))).alias("text"))
+    out = textstats.text_stats(textstats.prepared(rows, "norm-1"), ["lang"], counts="counts")
+    return out.select("lang", *[F.col(f"removed_{k}").alias(k.lower()) for k in ("M", "P", "S", "arabic_marks", "Cc", "Cf", "Cn", "Co", "Cs")], F.col("case_changed_chars").alias("case_changed"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS collapsed, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda t: t <> '')) AS n_words FROM documents")
