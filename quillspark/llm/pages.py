@@ -14,7 +14,9 @@ pages, is its slots. Which slots are the main text is told by tags and names: sl
 (menu, header, footer, sidebar, notice, advert, form, comments) are dropped, and if the page marks its main part
 (article, main), the slots inside are the text. A name such as no-comments or has-sidebar names no role, and a place that
 holds the marked main part, or more than half of the page's text that is not template, is text whatever its name, but for
-comments beside other text. A marked main part that is template for the most part is left whole, as
+comments beside other text. A form or a field set is such a place too, though text if it is wrapped around nearly all there
+is; the header of a marked main part is its heading; a marked part that holds less than a third of what isn't template is a
+teaser, and all slots are text. A marked main part that is template for the most part is left whole, as
 edited copies of one article share more than they differ in.
 
 Defined results: a null or empty page, and one with no text, gives the empty text; a page whose URL is null or names no host has no template;
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .runtime import Scratch, table, tune
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: An attribute: a quote opens a value only straight after the equals sign; anywhere else it is a character like others.
+_ATTRIBUTE = r"[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_EACH = re.compile(rf"[\s/]+|({_ATTRIBUTE})", re.S)
 _WHITE = re.compile(r"\s+")
 _ROLE_PART = re.compile(r"[a-z]+")
 
@@ -53,7 +57,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Elements and words in class, id or role that name a role other than the main text.
-OUT = frozenset("nav header footer aside form script style noscript template iframe button select option textarea title head svg canvas object audio video dialog menu input label fieldset".split())
+OUT = frozenset("nav header footer aside script style noscript template iframe button select option textarea title head svg canvas object audio video input".split())
+#: Elements that are another role too, unless they are wrapped around nearly all that the page says.
+WRAPPERS = frozenset("form fieldset label dialog menu".split())
 OUT_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo".split())
 #: Words beside one of these that take its role from a name: what a place is without, or stands beside.
 NOT_WORDS = frozenset("has have no non not with without is hide hides show shows free".split())
@@ -63,6 +69,10 @@ TEXT_WORDS = frozenset("article content entry main post story text".split())
 REPLIES = frozenset("comment comments disqus replies reply".split())
 MAIN = frozenset(("article", "main"))
 
+#: A form or the like is a wrapper of the text if it holds so many times what stands beside it in no named place.
+WRAPPED = 4
+#: A marked main part that holds less than one in so many characters of the text is one teaser of several, or beside the text.
+TEASER = 3
 MIN_SHARE = 0.5
 #: Distinct contents of a host that hold a class of its template: two pages alone don't tell a template from a text that both carry.
 MIN_PAGES = 3
@@ -72,10 +82,10 @@ MIN_CLASS = 2
 class Role:
     """A place whose name says that it is not the main text; ``parent`` is the named place around it. Places are numbered as they open."""
 
-    __slots__ = ("number", "parent", "replies")
+    __slots__ = ("number", "parent", "replies", "wrapper")
 
-    def __init__(self, number: int, replies: bool, parent: Role | None) -> None:
-        self.number, self.replies, self.parent = number, replies, parent
+    def __init__(self, number: int, replies: bool, parent: Role | None, wrapper: bool = False) -> None:
+        self.number, self.replies, self.parent, self.wrapper = number, replies, parent, wrapper
 
 
 #: Where no named place is around.
@@ -108,11 +118,16 @@ def _names(attributes: str) -> tuple[str, str, bool]:
     if "=" not in attributes:
         return "", "", False
     name, role, main = "", "", False
-    for key, value in _NAMES.findall(attributes):
-        value = html.unescape(value.strip("\"'")).strip().lower()
+    for key, _, value in (x.partition("=") for x in _EACH.findall(attributes)):
+        key, value = key.strip().lower(), value.strip()
+        if key not in ("class", "id", "role"):
+            continue
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
+        value = html.unescape(value).strip().lower()
         role = role or role_of(value)
-        main = main or (key.lower() == "role" and value == "main")
-        if key.lower() != "role" and not any(c.isdigit() for c in value):
+        main = main or (key == "role" and value == "main")
+        if key != "role" and not any(c.isdigit() for c in value):
             name += f".{value}"
     return name, role, main
 
@@ -194,8 +209,12 @@ def read(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 flush()
                 named += 1
                 push(name, path, above, out, Role(named, word in REPLIES, role))
-            elif out or role is not NOWHERE or name == "label":
-                push(name, path, above, out or name == "label", role)
+            elif name == "label" and not out:
+                flush()
+                named += 1
+                push(name, path, above, out, Role(named, False, role, True))
+            elif out or role is not NOWHERE:
+                push(name, path, above, out, role)
             continue
         if name in SKIPPED:  # no boundary of a block: what stands before and after it reads on
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -227,7 +246,11 @@ def read(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
             if word and name not in ("html", "body", "main"):
                 named += 1
                 role = Role(named, word in REPLIES, role)
-            out = out or name in OUT
+            elif name in WRAPPERS:
+                named += 1
+                role = Role(named, False, role, True)
+            # The header of a marked main part is its heading.
+            out = out or (name in OUT and not (name == "header" and above is not None))
             if above is None and not out and (name in MAIN or marked):
                 above = role
             push(name, place, above, out, role)
@@ -285,7 +308,8 @@ def _whole(live: list[Block]) -> set[int]:
     around = _around([b.role for b in scope])
     for role in reversed(around):  # inner ones first
         sizes[role.parent.number] = sizes.get(role.parent.number, 0) + sizes.get(role.number, 0)
-    return kept | {r.number for r in around if 2 * sizes.get(r.number, 0) > total and not (r.replies and clear)}
+    beside = WRAPPED * sum(len(b.text) for b in clear)
+    return kept | {r.number for r in around if 2 * sizes.get(r.number, 0) > total and not (r.replies and clear) and not (r.wrapper and sizes[r.number] < beside)}
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
@@ -294,7 +318,9 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     if any(b.role is not NOWHERE for b in slots):
         fine = _within(slots, _whole([b for b in slots if text_token(b) not in template]))
         slots = [b for b in slots if b.role.number in fine]
-    marked = any(b.above is not None for b in slots)
+    fresh = [b for b in slots if text_token(b) not in template] or slots
+    sizes = [sum(len(b.text) for b in fresh if (b.above is not None) == here) for here in (True, False)]
+    marked = any(b.above is not None for b in slots) and TEASER * sizes[0] >= sum(sizes)
     if marked:
         slots = [b for b in slots if b.above is not None]
     if template:

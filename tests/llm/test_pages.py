@@ -63,3 +63,28 @@ def test_names_that_still_decide():
     assert pages.main_text(f"<article><p>Story</p>{replies}</article>", none) == "Story"
     assert pages.main_text("<article><p>Story of some length</p></article><div class='related'><article>teaser</article></div><span class='ad'>buy <span>now</span></span>", none) == "Story of some length"
     assert pages.main_text("<p>Story of some length</p><div class='ad-slot'>buy</div><div class='site-header'>Site</div><div id='cookie-notice'>Take</div>", none) == "Story of some length"
+
+
+def test_quotes_open_values_only():
+    none = frozenset()
+    for tag in ("data-t=it's", "it's", "data-t='a>b'", 'title="a > b" x', "a=b=c'd", "'", '"', "a = 'x' b", "class=x/", "=''"):
+        page = f"<article><h1>Head</h1><p {tag}>Hello world</p><p>Two</p></article>"
+        assert pages.main_text(page, none) == "Head\n\nHello world\n\nTwo", tag
+    assert pages.main_text("<p>One</p><p title='never closed>Two</p>", none) == "One"
+    assert pages.main_text("<p>One</p><p it's", none) == "One" and pages.main_text("<p>One</p><p a=\"", none) == "One"
+    assert pages.main_text("<p title='class=ad'>One</p><p class=ad>Two</p><p CLASS = 'ad'>Three</p>", none) == "One"
+    long = "<article>" + "<p title=\"it's\" data-x=it's>said</p>" * 30_000 + "</article>"
+    assert pages.main_text(long, none).count("said") == 30_000
+    assert pages.main_text("<p " + "a='b' " * 100_000 + "c", none) == ""
+
+
+def test_wrappers_headers_and_teasers():
+    none = frozenset()
+    story = "<h1>Head</h1><p>The whole story is told here at some length.</p>"
+    whole = "Head\n\nThe whole story is told here at some length."
+    for wrapped in (f"<form id='aspnetForm'><div><article>{story}</article></div></form>", f"<form><div>{story}</div><input></form>", f"<form><fieldset>{story}</fieldset></form>", f"<dialog open>{story}</dialog>", f"<article><header><h1>Head</h1></header>{story[13:]}</article>"):
+        assert pages.main_text(f"<body><nav>menu</nav>{wrapped}<footer>foot</footer></body>", none) == whole, wrapped
+    assert pages.main_text(f"<div>{story}</div><form><label>Your name and address</label><input></form>", none) == whole
+    assert pages.main_text("<div>Short.</div><form><p>Subscribe here.</p></form>", none) == "Short."
+    assert pages.main_text(f"<header>Site</header><article>{story}</article>", none) == whole
+    assert "The whole story" in pages.main_text(f"<div>{story}</div><article><a>teaser</a></article>", none)
