@@ -241,14 +241,16 @@ def has_digits_py(text: str) -> bool:
 
 
 def normalized(text: Column, p: Policy | str) -> Column:
-    """The text under a policy, for any Unicode text (Arrow UDF)."""
+    """The text under a policy, for any Unicode text: ASCII by built-in functions, the rest by an Arrow UDF, which gets nothing
+    of the ASCII rows but a null."""
     p = policy(p) if isinstance(p, str) else p
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(normalize_batch(texts, p), index=texts.index)
+        return pd.Series([None if x is None else normalize_text(x, p) for x in texts], index=texts.index)
 
-    return run(text)
+    value = F.coalesce(text, F.lit(""))
+    return F.when(is_ascii(value), normalized_ascii(value, p)).otherwise(run(F.when(~is_ascii(value), value)))
 
 
 COUNTS = "struct<text:string,counts:struct<" + ",".join(f"{k}:bigint" for k in (*TALLIED, "case_changed")) + ">>"

@@ -69,14 +69,34 @@ def require_space(vocabulary: DataFrame) -> None:
         raise ValueError("the vocabulary has no usable space")
 
 
-def _ids(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("__ids"))
+#: Where ids stand as characters while a text is encoded: the last private-use plane, which takes 65,534 of them.
+_PLANE, _PLANE_SIZE = 0x100000, 0xFFFE
+
+
+def _as_character(number: Column) -> Column:
+    """The character of a code point from 0x10000 on."""
+    part = lambda shift, mask, mark: F.lpad(F.hex(F.shiftright(number, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(mark))), 2, "0")
+    return F.decode(F.unhex(F.concat(part(18, 0x07, 0xF0), part(12, 0x3F, 0x80), part(6, 0x3F, 0x80), part(0, 0x3F, 0x80))), "UTF-8")
+
+
+def _code(vocabulary: DataFrame) -> DataFrame:
+    """One row: the vocabulary's characters, and those that stand for their ids, in the same order."""
+    chars = vocabulary.where((F.length("char") == 1) & (F.col("id") < _PLANE_SIZE)).withColumn("__as", _as_character(F.col("id") + _PLANE))
+    both = F.array_sort(F.collect_list(F.struct("id", "char", "__as")))
+    join = lambda name: F.array_join(F.transform(both, lambda x: x[name]), "")
+    return chars.agg(join("char").alias("__known"), join("__as").alias("__coded"))
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame, text: str = "normalized", out: str = "ids") -> DataFrame:
-    """texts with the ids of their characters; an unknown one is 1. Nothing is normalized here."""
-    mapped = F.transform(characters(F.col(text)), lambda c: F.coalesce(F.try_element_at("__ids", c), F.lit(1)))
-    return texts.crossJoin(F.broadcast(_ids(vocabulary))).withColumn(out, mapped).drop("__ids")
+    """texts with the ids of their characters; an unknown one is 1. Nothing is normalized here.
+
+    The text is translated to characters that stand for ids, by a table that is built once a task, so a character costs the
+    same whatever the size of the vocabulary. Characters of the plane that is used for it are unknown ones."""
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x{100000}-\x{10FFFF}]", "\ufffe")
+    coded = F.call_function("translate", plain, F.col("__known"), F.col("__coded"))
+    number = lambda c: F.when(F.ascii(c) >= _PLANE, F.ascii(c) - _PLANE).otherwise(1)
+    mapped = F.transform(characters(coded), number)
+    return texts.crossJoin(F.broadcast(_code(vocabulary))).withColumn(out, mapped).drop("__known", "__coded")
 
 
 def collapse(ids: Column) -> Column:
@@ -88,8 +108,10 @@ def collapse(ids: Column) -> Column:
 
 def decode(frames: DataFrame, vocabulary: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
     """frames with the text of their collapsed ids; ids outside the vocabulary are dropped."""
-    chars = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("id", "char"))).alias("__chars"))
-    named = F.filter(F.transform(collapse(F.col(ids)), lambda k: F.try_element_at("__chars", k)), lambda c: c.isNotNull())
+    by_id = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("id", "char"))).alias("__by"), F.max("id").alias("__last"))
+    # The characters in the order of ids, so that a lookup is one step.
+    chars = by_id.select(F.transform(F.sequence(F.lit(0), F.coalesce("__last", F.lit(0))), lambda k: F.try_element_at("__by", k)).alias("__chars"))
+    named = F.filter(F.transform(collapse(F.col(ids)), lambda k: F.get("__chars", k)), lambda c: c.isNotNull())
     return frames.crossJoin(F.broadcast(chars)).withColumn(out, F.array_join(named, "")).drop("__chars")
 
 

@@ -462,3 +462,14 @@ def test_evaluation(spark):
     assert got == {"en": (1, 1, 0.0, 0.0, "wer", 0.0), "ja": (2, 0, 100.0, 100.0, "cer", 100.0)}
     with pytest.raises(ValueError, match="every reference is blank"):
         evaluation.rates(pairs.where("pos = 1"), ["lang"])
+
+
+def test_encode_by_translation(spark):
+    """Ids of characters of every plane, unknown ones, and a vocabulary without any."""
+    known = spark.createDataFrame([("<blank>", 0), ("<unk>", 1), ("é", 2), ("😀", 3), ("中", 4), (" ", 5), ("a", 300), ("b", 60_000)], "char string, id int")
+    df = spark.createDataFrame([(0, "é😀中 ab"), (1, ""), (2, None), (3, "zz\U00100003\U0010FFFDé"), (4, "\ufffe\U000F0002")], "k int, normalized string")
+    got = {r.k: r.ids for r in vocabulary.encode(df, known).collect()}
+    assert got == {0: [2, 3, 4, 5, 300, 60_000], 1: [], 2: [], 3: [1, 1, 1, 1, 2], 4: [1, 1]}
+    assert {r.k: r.ids for r in vocabulary.encode(df, known.where("id < 2")).collect()}[0] == [1] * 6
+    ids = spark.createDataFrame([(0, [0, 2, 2, 0, 2, 60_000, 1, 7, 99_999_999]), (1, []), (2, [0])], "k int, ids array<int>")
+    assert {r.k: r.text for r in vocabulary.decode(ids, known).collect()} == {0: "ééb", 1: "", 2: ""}
