@@ -51,6 +51,15 @@ def test_word_edits(spark):
     assert [r.n for r in got] == [2, 2, 0, 4]
 
 
+def test_char_edits_of_long_texts(spark, monkeypatch):
+    pairs = [("abcdé", "abdé😀"), (None, "xy"), ("", ""), ("same", "same"), ("a" * 3000 + "b" * 100, "a" * 2990 + "c" * 100), ("kitten", "sitting")]
+    want = [2, 2, 0, 0, 110, 3]
+    df = spark.createDataFrame(pairs, "r string, h string")
+    for cells in (edits.CELLS, 0):
+        monkeypatch.setattr(edits, "CELLS", cells)
+        assert [r.n for r in df.select(edits.char_edits(F.col("r"), F.col("h")).alias("n")).collect()] == want
+
+
 # --- seeds ---
 
 
