@@ -20,7 +20,7 @@ from .sources import readers, sinks, specs, sweeps
 def aggregate(spark: SparkSession, a: argparse.Namespace) -> str:
     """Mean and deviation over seeds, and the macro-averages."""
     results = readers.run_results(spark, specs.results_root(a.results_root), a.arm, a.scale)
-    languages, macro = seeds.by_language(results), seeds.macro(seeds.primary_values(results))
+    languages, macro = seeds.by_language(results, carried=("policy",)), seeds.macro(seeds.primary_values(results))
     if a.json:
         return json.dumps({"languages": [r.asDict(True) for r in languages.orderBy("section", "lang").collect()], "macro": [r.asDict(True) for r in macro.orderBy("section").collect()]}, ensure_ascii=False)
     return report.language_table(languages) + "\n" + report.macro_table(macro)

@@ -62,10 +62,13 @@ def policy_of(policies: dict[str, Policy], code: str) -> Policy:
     raise KeyError(f"the vocabulary has no policy for {code!r}")
 
 
+def spaces(vocabularies: DataFrame, by: list[str]) -> DataFrame:
+    """(by, usable): does each vocabulary hold the space, and not as the blank? A spaced script needs it."""
+    return vocabularies.groupBy(*by).agg(F.coalesce(F.bool_or((F.col("char") == " ") & (F.col("id") > 0)), F.lit(False)).alias("usable"))
+
+
 def require_space(vocabulary: DataFrame) -> None:
-    """A spaced script needs the space in the vocabulary, and not as the blank."""
-    found = vocabulary.where(F.col("char") == " ").select("id").take(1)
-    if not found or found[0].id == 0:
+    if not spaces(vocabulary, []).first().usable:
         raise ValueError("the vocabulary has no usable space")
 
 

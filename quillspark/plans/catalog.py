@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive_queries, corpus_queries, scoring_queries, shape_queries, text_queries, training_queries  # noqa: F401  they register their queries
+from . import archive_queries, corpus_queries, document_queries, scoring_queries, shape_queries, text_queries, training_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "cer_by_role"

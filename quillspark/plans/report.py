@@ -32,7 +32,9 @@ def table(header: Sequence[str], rows: Iterable[Sequence[object]]) -> str:
 def language_table(by_language: DataFrame) -> str:
     """One line a language. These are aggregates, a few hundred rows."""
     rows = by_language.orderBy("section", "lang").collect()
-    return table(["section", "language", "metric", "WER", "CER", "seeds"], [(r.section, r.lang, r.kind.upper(), mean_std(r.wer_mean, r.wer_std), mean_std(r.cer_mean, r.cer_std), max(r.wer_n, r.cer_n)) for r in rows])
+    named = "policy" in by_language.columns
+    cells = lambda r: (r.section, r.lang, r.kind.upper(), mean_std(r.wer_mean, r.wer_std), mean_std(r.cer_mean, r.cer_std), max(r.wer_n, r.cer_n), *([r.policy or NONE] if named else []))
+    return table(["section", "language", "metric", "WER", "CER", "seeds", *(["policy"] if named else [])], map(cells, rows))
 
 
 def macro_table(macro: DataFrame) -> str:

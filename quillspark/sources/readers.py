@@ -102,12 +102,17 @@ def crowdsourced_index(spark: SparkSession, path: str) -> DataFrame:
     return _cleaned(df).where("utt_id <> '' and speaker <> '' and text <> ''")
 
 
+def odd_splits(rows: DataFrame) -> DataFrame:
+    """Rows of a manifest whose split is none that there is."""
+    return rows.where(~F.col("split").isin(*SPLITS))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(utt_id, path, text, speaker, split), quoted; an unknown split is refused, more columns are dropped."""
     df = tsv(spark, path, quoted=True)
     require_columns(df, MANIFEST, path)
     rows = _cleaned(df.select(*MANIFEST)).where("utt_id <> '' and path <> '' and text <> ''")
-    odd = rows.where(~F.col("split").isin(*SPLITS)).select("split").distinct().take(5)
+    odd = odd_splits(rows).select("split").distinct().take(5)
     if odd:
         raise ValueError(f"unknown splits: {[r.split for r in odd]}")
     if rows.isEmpty():

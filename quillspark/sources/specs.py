@@ -23,13 +23,17 @@ CORPUS = dict.fromkeys("id name languages source_page licence_name licence_url d
 CORPUS_VALUES = {"ships_split": ("full", "partial", "none"), "speaker_ids": ("column", "file_id", "path", "per-recording", "unconfirmed", "absent")}
 
 
-def document(path: str) -> dict[str, Any]:
+def parsed(text: str) -> dict[str, Any]:
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML documents needs PyYAML") from e
+    return yaml.safe_load(text) or {}
+
+
+def document(path: str) -> dict[str, Any]:
     with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+        return parsed(f.read())
 
 
 def entry(raw: Mapping[str, Any], shape: Mapping[str, Any], what: str) -> dict[str, Any]:
@@ -61,15 +65,23 @@ CORPUS_SCHEMA = "ord int, id string, name string, languages array<string>, licen
 
 def preset(spark: SparkSession, path: str) -> DataFrame:
     """The languages of a preset in their order; an empty one is refused."""
-    specs = [language(x) for x in document(path).get("languages") or []]
+    return preset_of(spark, document(path), path)
+
+
+def preset_of(spark: SparkSession, found: Mapping[str, Any], what: str = "the preset") -> DataFrame:
+    specs = [language(x) for x in found.get("languages") or []]
     if not specs:
-        raise ValueError(f"{path} lists no languages")
+        raise ValueError(f"{what} lists no languages")
     return spark.createDataFrame([(k, *(s[c] for c in LANGUAGE)) for k, s in enumerate(specs)], LANGUAGE_SCHEMA)
 
 
 def corpora(spark: SparkSession, path: str) -> DataFrame:
+    return corpora_of(spark, document(path))
+
+
+def corpora_of(spark: SparkSession, found: Mapping[str, Any]) -> DataFrame:
     rows = []
-    for k, raw in enumerate(document(path).get("corpora") or []):
+    for k, raw in enumerate(found.get("corpora") or []):
         spec = entry(raw, CORPUS, f"corpus {raw.get('id', '?')!r}")
         for name, allowed in CORPUS_VALUES.items():
             if spec[name] not in allowed:
