@@ -94,9 +94,15 @@ def milliseconds_id(seconds: Column) -> Column:
 
 def safe_component(name: Column, most: int = 200, kept: int = 184) -> Column:
     """A file name of at most ``most`` bytes: a longer one is cut (at a whole character) and ends in a digest of the whole."""
-    points = F.sequence(F.lit(1), F.length(name))
-    prefix = F.aggregate(points, F.lit(0), lambda n, k: F.when(F.octet_length(F.substring(name, F.lit(1), k)) <= kept, k).otherwise(n))
-    cut = F.concat(F.substring(name, F.lit(1), prefix), F.lit("-"), F.substring(F.sha1(name.cast("binary")), 1, 8))
+    # No more characters than bytes are looked at, each once.
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("t"))
+
+    def step(x: Column, c: Column) -> Column:
+        n = x["n"] + F.octet_length(c)
+        return F.struct(n.alias("n"), F.when(n <= kept, F.concat(x["t"], c)).otherwise(x["t"]).alias("t"))
+
+    prefix = F.aggregate(F.split(F.substring(name, 1, kept), ""), start, step)["t"]
+    cut = F.concat(prefix, F.lit("-"), F.substring(F.sha1(name.cast("binary")), 1, 8))
     return F.when(F.octet_length(name) <= most, name).otherwise(cut)
 
 

@@ -390,13 +390,12 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH n AS (SELECT doc_id, coalesce(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 150 + doc_id % 200), '') AS name FROM documents)
+@query("""WITH n AS (SELECT doc_id, coalesce(regexp_replace(text, CASE WHEN doc_id % 2 = 0 THEN '[^A-Za-z]' ELSE '[^A-Z]' END, '', 'g'), '') AS name FROM documents)
 SELECT doc_id, CASE WHEN length(name) <= 200 THEN name ELSE substr(name, 1, 184) || '-' || substr(sha1(name), 1, 8) END AS safe FROM n""")
 def safe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names of at most 200 bytes."""
-    name = F.coalesce(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(name, F.lit(1), (150 + F.col("doc_id") % 200).cast("int")).alias("name"))
-    return d.select("doc_id", X.safe_component(F.col("name")).alias("safe"))
+    """File names of at most 200 bytes, from the letters or the capitals of whole texts."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[^A-Za-z]", "")).otherwise(F.regexp_replace("text", "[^A-Z]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", X.safe_component(F.coalesce(name, F.lit(""))).alias("safe"))
 
 
 #: Scripts and whether words are delimited in them.
@@ -429,11 +428,12 @@ def transcripts_by_either_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.by_either_key(files, known, "audio_id", "stem").select("c_custkey", "text")
 
 
-@query("SELECT lang, doc_id FROM documents WHERE lang IN ('en', 'de') AND doc_id % 10 > 1")
+@query("SELECT lang, doc_id FROM documents WHERE lang IS NOT NULL")
 def training_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training sets of two languages as one table."""
-    d = table(spark, sf_dir, "documents")
-    return corpora.concatenated({code: d.where((F.col("lang") == code) & (F.col("doc_id") % 10 > 1)).select("doc_id") for code in ("en", "de")}).select("lang", "doc_id")
+    """The training sets of all languages as one table."""
+    d = table(spark, sf_dir, "documents").where("lang is not null")
+    codes = [r.lang for r in d.select("lang").distinct().collect()]  # a handful
+    return corpora.concatenated({code: d.where(F.col("lang") == code).select("doc_id") for code in codes}).select("lang", "doc_id")
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -459,14 +459,10 @@ def merge_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_VOCAB_SQL} SELECT char, id FROM vocab""")
 def vocabulary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary saved and loaded. The file is the driver's own."""
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "vocab.json")
-        sinks.save_vocabulary(bench_vocabulary(spark, sf_dir), {"*": {"version": "whisper-basic"}}, path)
-        return sinks.load_vocabulary(spark, path)[0]
+    """A vocabulary saved and loaded."""
+    path = f"{new_folder(spark, 'vocabulary')}/vocab.json"
+    sinks.save_vocabulary(bench_vocabulary(spark, sf_dir), {"*": {"version": "whisper-basic"}}, path)
+    return sinks.load_vocabulary(spark, path)[0]
 
 
 @query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber AS i, [CAST(l_quantity % 3 AS DOUBLE), CAST(l_partkey % 4 AS DOUBLE), CAST(l_suppkey % 5 AS DOUBLE), CAST(l_linenumber % 3 AS DOUBLE)] AS s FROM lineitem),

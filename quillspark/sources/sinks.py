@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..operators.scoring import edit_counts, rate
+from ..scratch import file_system, new_folder, write_file
 from .readers import MANIFEST
 
 
@@ -41,8 +42,6 @@ def sidecar_documents(pairs: DataFrame, by: list[str], position: str = "pos") ->
 def write_sidecars(spark: SparkSession, pairs: DataFrame, run_dir: str, lang: str = "lang", position: str = "pos") -> None:
     """The same documents as ``predictions/<language>.json``, written by the executors line after line: a row of a language is
     never in memory with the others. Names are set when all are written."""
-    from ..scratch import file_system, new_folder
-
     held = pairs.select(lang, position, "ref", "hyp")
     scored = edit_counts(held).withColumn("__blank", is_blank(F.col("ref")))
     kept = lambda c: F.when(~F.col("__blank"), F.col(c)).otherwise(0)
@@ -125,14 +124,14 @@ def write_json(document: Mapping[str, Any], path: str) -> None:
 
 
 def save_vocabulary(vocabulary: DataFrame, policies: Mapping[str, Mapping[str, Any]], path: str) -> None:
+    """The vocabulary as one document, in whatever store the path names."""
     chars = [r.char for r in vocabulary.orderBy("id").collect()]  # code points of the scripts in use
-    write_json({"id_to_char": chars, "policies": dict(policies)}, path)
+    write_file(vocabulary.sparkSession, path, json.dumps({"id_to_char": chars, "policies": dict(policies)}, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
     """(char, id) and policies; older files are a bare list, or have one policy for all languages."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(spark.read.text(path, wholetext=True).first().value)
     chars = found if isinstance(found, list) else found["id_to_char"]
     policies = {} if isinstance(found, list) else found.get("policies") or ({"*": found["policy"]} if "policy" in found else {})
     return spark.createDataFrame(list(zip(chars, range(len(chars)), strict=True)), "char string, id int"), policies
