@@ -8,9 +8,9 @@ blocks of that list. For the published sequence a task moves the generator ahead
 numbers (none where the group's size is a power of two), which shifts what follows, so the rejected ones of each block are
 counted first; that needs no data. What a task makes of a block are the sums of its draws, or of its part of them.
 
-The columns of a group go to its tasks packed, 8 bytes a number, in chunks of at most ``CHUNK`` rows; a group gets a task for
-each ``CELLS_A_TASK`` numbers, so what is sent is little against the work it is sent for, and no task holds more than a
-chunk.
+The columns of a group go to its tasks packed, 8 bytes a number, in chunks of at most ``CHUNK`` rows. A task draws
+``DRAWS_A_ROW`` numbers for each row that it is sent, and ``CELLS_A_TASK`` at least, so what is sent is little against the
+work it is sent for, and no task holds more than a chunk.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .ranking import ranked
 DRAWS, LEVEL, SEED = 10_000, 0.95, 42
 #: Index cells of one block of draws.
 CELLS = 4_000_000
-#: Numbers that one task draws, and rows of a group that it holds.
-CELLS_A_TASK, CHUNK = 1 << 28, 1 << 20
+#: Numbers that one task draws at least, and for each row that it is sent; and rows of a group that it holds at most.
+CELLS_A_TASK, DRAWS_A_ROW, CHUNK = 1 << 22, 256, 1 << 20
 
 
 def _blocks(rows: int, draws: int) -> list[int]:
@@ -157,17 +157,18 @@ def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str],
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
     packed = keep(_packed(rows.join(named, same), position, columns), "resampling")
-    last = F.expr(f"(__m * {draws} - 1) div {CELLS_A_TASK}")
-    blocks = groups.select("__gid", "__m", last.alias("__last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__block"))
+    dealt = groups.select("__gid", "__m", F.greatest(F.lit(CELLS_A_TASK), F.least("__m", F.lit(CHUNK)) * DRAWS_A_ROW).cast("long").alias("__cells"))
+    dealt = dealt.withColumn("__last", F.expr(f"(__m * {draws} - 1) div __cells"))
+    blocks = dealt.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), "__last")))
     zero = F.lit(0).cast("long")
     if exact and not signs:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [rejected(seed, m, k * CELLS_A_TASK, CELLS_A_TASK) if k < end else 0 for m, end, k in zip(*[batch.column(c).to_pylist() for c in ("__m", "__last", "__block")], strict=True)]
+                found = [rejected(seed, m, k * cells, cells) if k < end else 0 for m, cells, end, k in zip(*[batch.column(c).to_pylist() for c in ("__m", "__cells", "__last", "__block")], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "__rejected"])
 
-        counted = keep(blocks.repartition("__gid", "__block").mapInArrow(count, "__gid long, __m long, __last long, __block long, __rejected long"), "resampling")
+        counted = keep(blocks.repartition("__gid", "__block").mapInArrow(count, "__gid long, __m long, __cells long, __last long, __block long, __rejected long"), "resampling")
         earlier = Window.partitionBy("__gid").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = counted.withColumn("__before", F.coalesce(F.sum("__rejected").over(earlier), zero)).drop("__rejected")
     else:
@@ -178,7 +179,7 @@ def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str],
             for row in batch.to_pylist():
                 m, first, total = row["__m"], row["__first"], row["__m"] * draws
                 values = [np.frombuffer(row[c], "<i8") for c in columns]
-                start, size, bound = row["__block"] * CELLS_A_TASK, CELLS_A_TASK if row["__block"] < row["__last"] else None, 2 if signs else m
+                start, size, bound = row["__block"] * row["__cells"], row["__cells"] if row["__block"] < row["__last"] else None, 2 if signs else m
                 source = published(seed, bound, start, size, row["__before"], total) if exact else by_arithmetic(seed, bound, m, start, size, total)
                 for place, got in source:
                     if not len(got):
@@ -192,8 +193,8 @@ def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str],
                     sums = [np.add.reduceat(v[at] * weight, edges) for v in values]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), row["__gid"])), pa.array(place // m + np.arange(len(edges))), *map(pa.array, sums)], ["__gid", "draw", *columns])
 
-    dealt = packed.join(blocks, "__gid").repartition("__gid", "__first", "__block")
-    parts = dealt.mapInArrow(run, "__gid long, draw long, " + ", ".join(f"{c} long" for c in columns))
+    work = packed.join(blocks, "__gid").repartition("__gid", "__first", "__block")
+    parts = work.mapInArrow(run, "__gid long, draw long, " + ", ".join(f"{c} long" for c in columns))
     sums = parts.groupBy("__gid", "draw").agg(*[F.sum(c).alias(c) for c in columns])
     return sums.join(groups.drop("__m"), "__gid").select(*by, "draw", *columns)
 

@@ -6,8 +6,12 @@ and an expansion appends.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.policies import Policy
 from ..functions.text import characters
@@ -72,34 +76,23 @@ def require_space(vocabulary: DataFrame) -> None:
         raise ValueError("the vocabulary has no usable space")
 
 
-#: Where ids stand as characters while a text is encoded: the last private-use plane, which takes 65,534 of them.
-_PLANE, _PLANE_SIZE = 0x100000, 0xFFFE
-
-
-def _as_character(number: Column) -> Column:
-    """The character of a code point from 0x10000 on."""
-    part = lambda shift, mask, mark: F.lpad(F.hex(F.shiftright(number, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(mark))), 2, "0")
-    return F.decode(F.unhex(F.concat(part(18, 0x07, 0xF0), part(12, 0x3F, 0x80), part(6, 0x3F, 0x80), part(0, 0x3F, 0x80))), "UTF-8")
-
-
-def _code(vocabulary: DataFrame) -> DataFrame:
-    """One row: the vocabulary's characters, and those that stand for their ids, in the same order."""
-    chars = vocabulary.where((F.length("char") == 1) & (F.col("id") < _PLANE_SIZE)).withColumn("__as", _as_character(F.col("id") + _PLANE))
-    both = F.array_sort(F.collect_list(F.struct("id", "char", "__as")))
-    join = lambda name: F.array_join(F.transform(both, lambda x: x[name]), "")
-    return chars.agg(join("char").alias("__known"), join("__as").alias("__coded"))
-
-
 def encode(texts: DataFrame, vocabulary: DataFrame, text: str = "normalized", out: str = "ids") -> DataFrame:
     """texts with the ids of their characters; an unknown one is 1. Nothing is normalized here.
 
-    The text is translated to characters that stand for ids, by a table that is built once a task, so a character costs the
-    same whatever the size of the vocabulary. Characters of the plane that is used for it are unknown ones."""
-    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x{100000}-\x{10FFFF}]", "\ufffe")
-    coded = F.call_function("translate", plain, F.col("__known"), F.col("__coded"))
-    number = lambda c: F.when(F.ascii(c) >= _PLANE, F.ascii(c) - _PLANE).otherwise(1)
-    mapped = F.transform(characters(coded), number)
-    return texts.crossJoin(F.broadcast(_code(vocabulary))).withColumn(out, mapped).drop("__known", "__coded")
+    A vocabulary has no more rows than there are code points; it goes to the workers as a table of them, by which a batch of texts is looked
+    up at once, so a character costs the same whatever the size of the vocabulary."""
+    known = [(ord(r.char), r.id) for r in vocabulary.where(F.length("char") == 1).select("char", "id").collect()]
+    by_point = np.ones(max([p for p, _ in known], default=0) + 2, np.int32)  # the last stands for all beyond
+    by_point[[p for p, _ in known]] = [k for _, k in known]
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(values: pa.Array) -> pa.Array:
+        filled = values.fill_null("")
+        points = np.frombuffer("".join(filled.to_pylist()).encode("utf-32-le"), np.uint32)
+        bounds = np.concatenate([[0], np.cumsum(pc.utf8_length(filled).to_numpy())]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(by_point[np.minimum(points, len(by_point) - 1)]))
+
+    return texts.withColumn(out, ids(F.col(text)))
 
 
 def collapse(ids: Column) -> Column:

@@ -407,6 +407,7 @@ def test_draws_of_any_block(bound):
 def test_resampling_over_tasks(spark, monkeypatch, cells, chunk):
     """However groups and draws are dealt, the result is that of one generator."""
     monkeypatch.setattr(resampling, "CELLS_A_TASK", cells)
+    monkeypatch.setattr(resampling, "DRAWS_A_ROW", 1)
     monkeypatch.setattr(resampling, "CHUNK", chunk)
     data = [(g, k, (k * 7) % 5, 3 + k % 4, (k * 7) % 5, (k * 3) % 6) for g, n in (("a", 23), (None, 16), ("one", 1)) for k in range(n)]
     df = spark.createDataFrame(data, "g string, pos int, edits long, len long, edits_a long, edits_b long").repartition(3)
@@ -473,7 +474,7 @@ def test_evaluation(spark):
         evaluation.rates(pairs.where("pos = 1"), ["lang"])
 
 
-def test_encode_by_translation(spark):
+def test_encode_by_code_points(spark):
     """Ids of characters of every plane, unknown ones, and a vocabulary without any."""
     known = spark.createDataFrame([("<blank>", 0), ("<unk>", 1), ("é", 2), ("😀", 3), ("中", 4), (" ", 5), ("a", 300), ("b", 60_000)], "char string, id int")
     df = spark.createDataFrame([(0, "é😀中 ab"), (1, ""), (2, None), (3, "zz\U00100003\U0010FFFDé"), (4, "\ufffe\U000F0002")], "k int, normalized string")
