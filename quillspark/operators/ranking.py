@@ -18,7 +18,8 @@ _ROW_BITS = 33
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """rows with their place from 1 in ``order`` among those of the same ``by`` (nulls are a group too). The order must tell
-    rows apart where it matters which comes first; rows that it doesn't are numbered in some order."""
+    rows apart where it matters which comes first; rows that it doesn't are numbered in some order. The rows are read twice,
+    as their ranges are sampled first: what is dear to make should be written before."""
     keys = [*[F.col(c).asc_nulls_first() for c in by], *order]
     placed = keep(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "rank")
     placed = placed.withColumn("__task", F.shiftright("__at", _ROW_BITS))

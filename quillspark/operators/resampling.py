@@ -65,6 +65,8 @@ def p_value(edits_a: np.ndarray, edits_b: np.ndarray, draws: int = DRAWS, seed:
     return (low + 1) / (draws + 1)
 
 
+#: Partitions that pieces of work are dealt to at most.
+PIECES = 20_000
 #: Draws of the native mode: numbers of draw, row and seed, weighted, to the fifth power twice modulo a prime.
 PRIME, WEIGHTS, SHIFTS = 2147483647, (1103515245, 1664525, 69069), (12345, 362437)
 
@@ -193,7 +195,9 @@ def _of_draws(rows: DataFrame, by: list[str], position: str, columns: list[str],
                     sums = [np.add.reduceat(v[at] * weight, edges) for v in values]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), row["__gid"])), pa.array(place // m + np.arange(len(edges))), *map(pa.array, sums)], ["__gid", "draw", *columns])
 
-    work = packed.join(blocks, "__gid").repartition("__gid", "__first", "__block")
+    # As many partitions as there are pieces of work: they are few bytes, which would be put together otherwise.
+    pieces = dealt.agg(F.sum((F.col("__last") + 1) * F.expr(f"(__m - 1) div {CHUNK} + 1"))).first()[0] or 1
+    work = packed.join(blocks, "__gid").repartition(int(min(pieces, PIECES)))
     parts = work.mapInArrow(run, "__gid long, draw long, " + ", ".join(f"{c} long" for c in columns))
     sums = parts.groupBy("__gid", "draw").agg(*[F.sum(c).alias(c) for c in columns])
     return sums.join(groups.drop("__m"), "__gid").select(*by, "draw", *columns)

@@ -41,7 +41,7 @@ SELECT lang, batch, count(*) FILTER (WHERE kept) AS n, count(*) FILTER (WHERE dr
 def _collated(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
     rows = batching.collated(utterances(spark, sf_dir), bench_vocabulary(spark, sf_dir), policies(), **how)
     rows = rows.withColumn("__sum", F.when(F.col("kept"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x))).drop("text", "normalized", "labels")
-    found = keep(batching.batches(rows, ROWS, ["lang"]), "batches")
+    found = keep(batching.batches(keep(rows, "collated"), ROWS, ["lang"]), "batches")
     sums = found.groupBy("lang", "batch").agg(F.coalesce(F.sum("__sum"), F.lit(0)).alias("label_sum"))
     return batching.batch_summary(found, ["lang"]).join(sums, ["lang", "batch"])
 
