@@ -37,8 +37,11 @@ SHINGLE = 8
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[[0x20, *range(0x09, 0x0E)]] = 32
 _NORMAL[65:91] += 32
-#: Bytes of text handled at once: the arrays of 64-bit values made from them fit into a core's cache.
-CHUNK = 1 << 17
+#: Bytes of text handled at once: few enough for a cache, enough to outweigh what an array operation costs by itself.
+CHUNK = 1 << 18
+#: Rounds of signatures that a chunk's lines get at once. Lines that need more (short ones as a rule) wait until they have
+#: HELD shingles or more, as a round costs some array operations however few lines are in it.
+ROUNDS, HELD = 2, 1 << 18
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -67,29 +70,27 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     if text.isascii():
         chars = data
     else:
-        before = np.zeros(len(data) + 1, np.int32)  # a text has less than 2 GB
-        np.cumsum((data & 0xC0) != 0x80, out=before[1:])
-        offsets = before[offsets].astype(np.int64)
+        offsets = offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
         try:
             chars = np.frombuffer(text.encode("latin-1"), np.uint8)
         except UnicodeEncodeError:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             chars = np.minimum(points, 255).astype(np.uint8)
     n = len(chars)
-    white = K.IS_SPACE[chars]
-    keep = ~white
-    keep[1:] |= ~white[:-1]  # one space for each run between words, and at an end
+    white = (chars == 32) | (chars - np.uint8(9) < 5)
+    drop = white.copy()
+    drop[1:] &= white[:-1]  # one space for each run between words, and at an end
     heads = offsets[:-1][offsets[:-1] < n]
-    keep[heads] = ~white[heads]
-    at = np.zeros(n + 1, np.int32)
-    np.cumsum(keep, out=at[1:])
+    drop[heads] = white[heads]
+    gone = np.flatnonzero(drop)
     feeds = np.flatnonzero(chars == 10)
-    starts = np.union1d(offsets[:-1], feeds + 1)
-    starts = starts[starts < n]
+    starts = np.sort(np.concatenate([heads, feeds + 1]))
+    starts = starts[(starts < n) & np.concatenate([np.ones(min(1, len(starts)), bool), starts[1:] != starts[:-1]])]
     ends = np.concatenate([starts[1:], [n]]) if len(starts) else starts
-    out = np.zeros(int(at[-1]) + SHINGLE, np.uint8)
-    np.compress(keep, _NORMAL[chars], out=out[:-SHINGLE])
-    start, end = at[starts].astype(np.int64), at[ends].astype(np.int64)
+    marked = np.where(white, np.uint8(32), chars)
+    marked[gone] = 9  # no other tab is left
+    out = np.frombuffer(marked.tobytes().translate(_NORMAL.tobytes(), b"\t") + bytes(SHINGLE), np.uint8)
+    start, end = starts - np.searchsorted(gone, starts), ends - np.searchsorted(gone, ends)
     size = end - start
     size -= (size > 0) & (out[end - 1] == 32)
     row = np.searchsorted(offsets, starts, "right") - 1
@@ -99,7 +100,7 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     wide = None
     if points is not None:
         found = np.flatnonzero(points > 255)
-        places = at[found].astype(np.int64)
+        places = found - np.searchsorted(gone, found)
         line = np.searchsorted(start, places, "right") - 1
         wide = line, places - start[line], points[found].astype(np.uint64)
     return Lines(out, start, size, row, number, wide)
@@ -163,7 +164,7 @@ def _by_row(lines: Lines, bounds: np.ndarray, rows: int) -> np.ndarray:
     return bounds[np.searchsorted(lines.row, np.arange(rows + 1))]
 
 
-METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, described=described)
+METHOD = Method(sets=line_sets, part=80, bands=10, sketch_slots=32, described=described, short=True)
 
 
 def _lines(documents: DataFrame, id_column: str) -> DataFrame:
@@ -171,24 +172,48 @@ def _lines(documents: DataFrame, id_column: str) -> DataFrame:
     names = ["id", "line", "hi", "lo", *band_names(METHOD)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            columns = [pa.concat_arrays(x) for x in zip(*[h[0] for h in held], strict=True)]
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([h[2] for h in held]))])
+            bands = bands_of(K.super_minhash(np.concatenate([h[1] for h in held]), bounds, METHOD.slots))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, bands)], names)
+
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             for a, _, data, offsets in K.chunks(batch.column(1), CHUNK):
                 lines = read_lines(data, offsets)
                 hi, lo = line_digests(lines)
-                columns = [batch.column(0).take(pa.array(lines.row + a)), pa.array(lines.number.astype(np.int32)), pa.array(hi), pa.array(lo)]
-                own = list(zip(hi.tolist(), lo.tolist(), strict=True))
+                own = zip(hi.tolist(), lo.tolist(), strict=True)
                 new = np.array([not (k in seen or seen.add(k)) for k in own], bool)
-                place = np.where(new, np.cumsum(new) - 1, 0)
-                fresh = Lines(lines.text, lines.start[new], lines.size[new], lines.row[new], lines.number[new], _of(lines.wide, new))
-                bands = bands_of(K.super_minhash(*line_shingles(fresh), METHOD.slots))
-                columns += [pa.array(b[place] if len(b) else np.zeros(len(new), np.int64), mask=~new) for b in bands]
+                columns = [batch.column(0).take(pa.array(lines.row + a)), pa.array(lines.number.astype(np.int32)), pa.array(hi), pa.array(lo)]
+                values, bounds = line_shingles(_chosen(lines, new))
+                sig, unfinished = K.super_minhash_rounds(values, bounds, METHOD.slots, ROUNDS)
+                bands, place = bands_of(sig), np.where(new, np.cumsum(new) - 1, 0)
+                if unfinished.any():
+                    counts = np.diff(bounds)[unfinished]
+                    waits = np.zeros(len(new), bool)
+                    waits[new] = unfinished
+                    held.append(([x.filter(pa.array(waits)) for x in columns], values[K.ragged(bounds[:-1][unfinished], counts)], counts))
+                    columns = [x.filter(pa.array(~waits)) for x in columns]
+                    new, place = new[~waits], place[~waits]
+                columns += [pa.array(b[place] if len(b) else np.zeros(len(place), np.int64), mask=~new) for b in bands]
                 yield pa.RecordBatch.from_arrays(columns, names)
+                if sum(len(h[1]) for h in held) >= HELD:
+                    yield close()
+        if held:
+            yield close()
 
     kind = dict(documents.dtypes)[id_column]
     return documents.select(id_column, "text").mapInArrow(run, f"id {kind}, line int, " + ", ".join(f"{k} long" for k in names[2:]))
 
 
+def _chosen(lines: Lines, chosen: np.ndarray) -> Lines:
+    return Lines(lines.text, lines.start[chosen], lines.size[chosen], lines.row[chosen], lines.number[chosen], _of(lines.wide, chosen))
+
+
 def _of(wide: tuple[np.ndarray, np.ndarray, np.ndarray] | None, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The characters beyond 255 of the chosen lines."""
     if wide is None:

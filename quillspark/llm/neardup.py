@@ -57,7 +57,7 @@ ROWS = 4
 class Method:
     """``sets``: from text to sets; ``part`` of ``whole``: the least similarity; ``bands`` of ROWS slots; ``parity_bits``
     and ``sketch_slots``: lengths of the sketches; ``described``: from text to sets and to what signatures are made from,
-    if that isn't the sets."""
+    if that isn't the sets; ``short``: values of sets have 48 bits, the upper ones."""
 
     sets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_sets
     part: int = 75
@@ -66,6 +66,7 @@ class Method:
     parity_bits: int = 512
     sketch_slots: int = 64
     described: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
+    short: bool = False
 
     @property
     def slots(self) -> int:
@@ -168,7 +169,15 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, method: Metho
                 values, bounds = method.sets(data, offsets)
                 # Runs of rows with the same first unit: the sets of that unit (several if rows share its id), then its partners'.
                 own = np.flatnonzero(np.concatenate([[True], (a[lo + 1 : hi] != a[lo : hi - 1]) | (salt[lo + 1 : hi] != salt[lo : hi - 1])])) + lo
-                for first, last in zip(own.tolist(), [*own[1:].tolist(), hi], strict=True):
+                ends = np.concatenate([own[1:], [hi]])
+                if method.short:
+                    # Groups that begin and end in here and have one first unit are verified together.
+                    plain = np.add.reduceat((member[lo:hi] == 0).astype(np.int64), own - lo) == 1
+                    plain[[0, -1]] = False
+                    partners = K.ragged(own[plain] + 1, ends[plain] - own[plain] - 1)
+                    keep[partners] = _reach_pairs(method, values, bounds, np.repeat(own[plain], ends[plain] - own[plain] - 1) - lo, partners - lo)
+                    own, ends = own[~plain], ends[~plain]
+                for first, last in zip(own.tolist(), ends.tolist(), strict=True):
                     key = (a[first], salt[first])
                     heads = first + int((member[first:last] == 0).sum())
                     mine = [values[bounds[k - lo] : bounds[k - lo + 1]] for k in range(first, heads)]
@@ -195,6 +204,26 @@ def _reach(method: Method, hubs: list[np.ndarray], values: np.ndarray, bounds: n
     return out
 
 
+#: Pairs that are verified by one sort.
+PAIRS = 512
+
+
+def _reach_pairs(method: Method, values: np.ndarray, bounds: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of rows reach the threshold, for values of 48 bits: what two sets share stands side by side when sorted."""
+    sizes, out = np.diff(bounds), np.zeros(len(one), bool)
+    low, high = np.minimum(sizes[one], sizes[other]), np.maximum(sizes[one], sizes[other])
+    allowed = np.flatnonzero((low > 0) & (method.whole * low >= method.part * high))
+    for k in range(0, len(allowed), PAIRS):
+        pairs = allowed[k : k + PAIRS]
+        rows = np.concatenate([one[pairs], other[pairs]])
+        place = np.repeat(np.tile(np.arange(len(pairs), dtype=np.uint64), 2), sizes[rows])
+        packed = np.sort((place << np.uint64(48)) | (values[K.ragged(bounds[rows], sizes[rows])] >> np.uint64(16)))
+        shared = packed[1:][packed[1:] == packed[:-1]] >> np.uint64(48)
+        both = np.bincount(shared.astype(np.int64), minlength=len(pairs))
+        out[pairs] = method.whole * both >= method.part * (low[pairs] + high[pairs] - both)
+    return out
+
+
 #: Standard deviations below the expected sketch of a pair at the threshold: for pairs worth a try, and for possible pairs.
 LIKELY, POSSIBLE = 1.5, 4.5
 
@@ -225,18 +254,19 @@ def _leaders(method: Method, entries: np.ndarray, head: np.ndarray, size: np.nda
     two = head[size == 2]
     near = _near(method, sketch[two], sketch[two + 1], LIKELY)
     left, right, lead = [two[near]], [two[near] + 1], [two, two[~near] + 1]
-    for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        rest = np.arange(h, h + n)
-        for _ in range(LEADERS):
-            if not len(rest):
-                break
-            lead.append(rest[:1])
-            rest, first = rest[1:], rest[0]
-            if len(rest):
-                with_first = _near(method, sketch[first], sketch[rest], LIKELY)
-                right.append(rest[with_first])
-                left.append(np.full(len(right[-1]), first))
-                rest = rest[~with_first]
+    rest, group = K.ragged(head[size > 2], size[size > 2]), np.repeat(np.arange((size > 2).sum()), size[size > 2])
+    for _ in range(LEADERS):  # all groups at once
+        if not len(rest):
+            break
+        at, n = _runs(group)
+        lead.append(rest[at])
+        others = np.ones(len(rest), bool)
+        others[at] = False
+        first, rest, group = np.repeat(rest[at], n)[others], rest[others], group[others]
+        near = _near(method, sketch[first], sketch[rest], LIKELY)
+        left.append(first[near])
+        right.append(rest[near])
+        rest, group = rest[~near], group[~near]
     return np.concatenate(left), np.concatenate(right), np.concatenate(lead)
 
 

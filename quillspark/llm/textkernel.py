@@ -246,7 +246,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
-    """SuperMinHash signatures, m slots of 16 bits by row; values of a row may repeat. Rows without values get zeros.
+    """SuperMinHash signatures, m slots of 16 bits by row; values of a row may repeat. Rows without values get zeros."""
+    return super_minhash_rounds(values, bounds, m, m)[0]
+
+
+def super_minhash_rounds(values: np.ndarray, bounds: np.ndarray, m: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same after so many rounds, and which rows are unfinished then: their signatures are of no use.
 
     In round j each element draws r in [0, 1) and takes slot p(j) of its own random permutation with rank j + r; a slot
     keeps its least rank. A round can only give ranks from j to j + 1, so a row whose slots all hold ranks below j is
@@ -256,9 +261,9 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     full = np.iinfo(np.uint64).max
     sig = np.full(n * m, full, U64)
     counts = np.diff(bounds)
-    row = np.repeat(np.arange(n, dtype=np.int32), counts)
-    active, draws = values, []
-    for j in range(m):
+    first = np.repeat(np.arange(0, n * m, m), counts)  # the place in sig of each element's row
+    active, draws, going = values, [], counts > 0
+    for j in range(rounds):
         if not len(active):
             break
         with np.errstate(over="ignore"):
@@ -280,13 +285,14 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
         h &= U64(0xFFFFFFFF)
         if j:
             h |= U64(j << 32)
-        np.minimum.at(sig, row * m + slot, h)
+        np.minimum.at(sig, first + slot, h)
         going = (sig.reshape(n, m).max(axis=1) >= (U64(j + 1) << U64(32))) & (counts > 0)
-        if not going.any():
+        if not going.any() or j == rounds - 1:
             break
         draws.append(own)
-        stay = np.flatnonzero(np.repeat(going, counts) if j == 0 else going[row])
+        # Few rows go on as a rule: in the first round their elements are found by the bounds.
+        stay = ragged(bounds[:-1][going], counts[going]) if j == 0 else np.flatnonzero(going[first // m])
         if len(stay) < len(active):
-            active, row, draws = active[stay], row[stay], [d[stay] for d in draws]
+            active, first, draws = active[stay], first[stay], [d[stay] for d in draws]
     sig[sig == full] = 0
-    return (mix(sig) >> U64(48)).astype(np.uint16).reshape(n, m)
+    return (mix(sig) >> U64(48)).astype(np.uint16).reshape(n, m), going

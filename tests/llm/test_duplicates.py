@@ -183,6 +183,57 @@ def test_line_sets():
     assert [len(x) for x in own] == [len(x) for x in want] and own[2] == own[3]
 
 
+class Passed:
+    """A table whose mapInArrow is run here."""
+
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_signatures_of_many_chunks_take_few_rounds(monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n".join("".join(rng.choice("abcdeé界 ") for _ in range(rng.choice([0, 1, 7, 8, 9, 30, 200]))) for _ in range(40)) for _ in range(60)]
+    texts[7] = None
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(lines, "CHUNK", 1 << 12)
+    rounds, mixed = [], K.mix_in_place
+    monkeypatch.setattr(K, "mix_in_place", lambda x: rounds.append(len(x)) or mixed(x))
+    run = lines._lines(Passed(), "doc_id")
+    got = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    chunks = len(list(K.chunks(batch.column(1), lines.CHUNK)))
+    assert chunks > 30 and len(rounds) <= 2 * chunks + lines.METHOD.slots
+    monkeypatch.undo()
+    want, seen = {}, set()
+    for i, text in enumerate(texts):
+        own = lines.read_lines(*K.flat(pa.array([text], pa.string())))
+        bands = lines.bands_of(K.super_minhash(*lines.line_shingles(own), lines.METHOD.slots)).T.tolist()
+        for number, digest, band in zip(own.number.tolist(), zip(*[x.tolist() for x in lines.line_digests(own)], strict=True), bands, strict=True):
+            want[i, number] = *digest, *(band if digest not in seen else [None] * len(band))
+            seen.add(digest)
+    assert {(r["id"], r["line"]): tuple(r.values())[2:] for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_are_verified_together():
+    rng = random.Random(9)
+    texts = ["", "a", "abcdefgh"]
+    for _ in range(300):
+        base = list(rng.choice(texts)) if rng.random() < 0.7 else [rng.choice("abcdefg é") for _ in range(rng.randrange(200))]
+        for _ in range(rng.randrange(5) if base else 0):
+            base[rng.randrange(len(base))] = rng.choice("xyz界")
+        texts.append("".join(base))
+    values, bounds = lines.line_sets(*K.flat(pa.array(texts)))
+    own = [set(values[bounds[k] : bounds[k + 1]].tolist()) for k in range(len(texts))]
+    one, other = (np.array([rng.randrange(len(texts)) for _ in range(4000)]) for _ in range(2))
+    got = neardup._reach_pairs(lines.METHOD, values, bounds, one, other)
+    assert got.tolist() == [len(own[a] | own[b]) > 0 and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) and len(own[a] & own[b]) > 0 for a, b in zip(one, other, strict=True)]
+    assert got.any()
+
+
 def test_passages(spark):
     rng = random.Random(6)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
